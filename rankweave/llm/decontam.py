@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import ALNUM, HashSet, hash_bytes, ngram_hash, prefix_hash, slices, span_hash, total_bytes, word_spans
+from .textcore import ALNUM, HashSet, hash_bytes, ngram_hash, prefix_hash, slices, small_batches, span_hash, total_bytes, word_spans
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton.
@@ -192,6 +192,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     A null or empty text has no words and no hits; an item without words has no window;
     repeated items and item ids count once; an empty benchmark leaves every text clean.
     """
+    small_batches(docs.sparkSession)
     made = ["n_words", "n_hit", "hit_spans", "hit_items", "contaminated"]
     spans = "array<struct<word:int,end_word:int,start:int,end:int>>"
     df = docs.drop(*made).select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast(spans).alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))

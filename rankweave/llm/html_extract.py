@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import stored
+from .textcore import small_batches, stored
 
 MIN_PAGES = 8
 LOW = 0.2
@@ -276,6 +276,7 @@ def extract(pages: DataFrame, *, html: str = "html", url: str = "url", min_pages
     only declared roles remove their blocks. If the tree would remove all of a page, it removes
     nothing of it. Rows repeat as they are given; columns of these names in ``pages`` are replaced.
     """
+    small_batches(pages.sparkSession)
     rest = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     host = F.lower(F.regexp_extract(F.col(url).cast("string"), r"(?s)://([^/?#]*)", 1))
     rows = pages.select(*rest, F.coalesce(host, F.lit("")).alias("_host"), F.col(html).cast("string").alias("_html"))

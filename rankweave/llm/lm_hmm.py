@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import ALNUM, NON_SPACE, as_strings, mix, partitions, prefix_hash, seeds, slices, span_hash, stored, total_bytes, word_spans
+from .textcore import ALNUM, NON_SPACE, as_strings, mix, partitions, prefix_hash, seeds, slices, small_batches, span_hash, stored, total_bytes, word_spans
 
 TOP = 16_000
 STATES = 8
@@ -364,6 +364,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_o
     every count is 0; no rows give no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), held.alias("held"))
     train = df.where("not held").select("text")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import NON_SPACE, partitions, slices, stored, word_spans
+from .textcore import NON_SPACE, partitions, slices, small_batches, stored, word_spans
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
@@ -73,6 +73,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     are documents of their own; a source of size 0 has target 0; no rows give no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sized = count_words(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")), "text", "size")
     key = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
     placed = sized.repartitionByRange(partitions(spark), *key, F.xxhash64("doc_id")).sortWithinPartitions(*key).select("*", F.spark_partition_id().alias("part"))

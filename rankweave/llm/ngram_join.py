@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import least_labels, linked_classes
-from .textcore import NON_SPACE, apart, as_strings, fixed_binary, groups, mix, ngram_hash, partitions, prefix_hash, seeds, slices, span_hash, stored, word_spans
+from .textcore import NON_SPACE, apart, as_strings, fixed_binary, groups, mix, ngram_hash, partitions, prefix_hash, seeds, slices, small_batches, span_hash, stored, word_spans
 
 N = 5
 THRESHOLD = 0.8
@@ -198,6 +198,7 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     nothing; rows with a null id likewise; repeated rows are copies.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     runs = runs_for(threshold, levels, recall)
     width = runs * levels
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

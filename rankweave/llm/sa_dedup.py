@@ -25,21 +25,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import apart, as_strings, groups, partitions, prefix_hash, runs, slices, span_hash, stored, total_bytes
+from .textcore import apart, as_strings, groups, mix, partitions, prefix_hash, rolling_hash, runs, slices, small_batches, span_hash, stored, total_bytes
 
 LENGTH = 50
 GRAM = 24
 #: Text bytes for each shard of anchors, and of segments.
-ANCHOR_SHARD = 64 << 20
-SEGMENT_SHARD = 6 << 20
+ANCHOR_SHARD = 16 << 20
+SEGMENT_SHARD = 1 << 20
 #: Bytes of one suffix array.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Different segments of one anchor beyond which its strings are dealt one by one.
 HOT_SEGMENTS = 20_000
 _U = np.uint64
@@ -55,7 +57,7 @@ def _first_ranks(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, _U)
     for j in range(8):
         key = (key << _U(8)) | padded[j : j + n].astype(_U)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     new = np.empty(n, bool)
     new[:1] = True
     new[1:] = key[sa[1:]] != key[sa[:-1]]
@@ -84,7 +86,7 @@ def _refine(sa: np.ndarray, rank: np.ndarray, step: int) -> None:
     further = own + step
     key = np.where(further < n, rank[np.minimum(further, n - 1)] + 1, 0)
     group = sorted_rank[at]
-    order = np.argsort(group * (n + 1) + key, kind="stable")
+    order = np.argsort(group * (n + 1) + key)
     own, key, group = own[order], key[order], group[order]
     sa[at] = own
     new = np.ones(len(at), bool)
@@ -167,10 +169,18 @@ class _Block:
         of = np.empty(len(text), np.int64)
         of[order] = group
         self.group = of[starts]
-        self.least = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(self.least, self.group, least[owner])
-        first = order[np.flatnonzero(lcp < length)]
-        self.strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[first]).view(f"S{length}").ravel() if len(first) else np.zeros(0, f"S{length}")
+        self.first = order[np.flatnonzero(lcp < length)]
+        self.text, self.length = text, length
+        begin = np.flatnonzero(lcp < length)
+        place = np.empty(len(text), np.int64)
+        place[starts] = owner
+        self.least = np.minimum.reduceat(least[place[order]], begin) if len(begin) else np.zeros(0, np.int64)
+
+    @cached_property
+    def strings(self) -> np.ndarray:
+        """The block's different strings in order."""
+        rows = np.lib.stride_tricks.sliding_window_view(self.text, self.length)[self.first]
+        return np.ascontiguousarray(rows).view(f"S{self.length}").ravel()
 
     def merge(self, other: _Block) -> None:
         """Give both the smaller id of every string that both have."""
@@ -217,8 +227,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[
     n = len(buf) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
-    at = np.arange(len(buf) - gram + 1)
-    low = span_hash(prefix_hash(buf, lower=False), at, at + gram)
+    low = rolling_hash(buf, gram)
     width, have = length - gram + 1, 1
     while have < width:  # minima of windows, doubled
         step = min(have, width - have)
@@ -234,7 +243,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[
     new[1:] = (h[1:] != h[:-1]) | (inside[1:] != inside[:-1] + 1)
     new[(np.cumsum(number) - number)[number > 0]] = True  # texts stand side by side
     first = np.flatnonzero(new)
-    return inside[first], np.diff(np.append(first, len(inside))), h[first]
+    return inside[first], np.diff(np.append(first, len(inside))), mix(h[first])  # minima are small: spread them again
 
 
 def _shard(h: np.ndarray, n: int) -> np.ndarray:
@@ -291,8 +300,62 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names[who[z].astype(np.int64)]), pa.array(np.full(len(who[z]), shard, np.int32)), _blobs((pairs[lo:hi] & _U(0xFFFFFFFF)).astype(np.uint32), number[z])], names=["same", "shard", "hashes"])
 
 
+class _Combiner:
+    """Segments that a task has sent, so that a common one goes out once and not per document."""
+
+    MOST = 1_000_000
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.low, self.multi = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def add(self, key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of rows (key, id): one row of each key that says anything new, its least id, and whether there are several."""
+        order = np.lexsort((ids, key))
+        k, i = key[order], ids[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        last = np.append(first[1:], len(k)) - 1
+        k, low, multi, row = k[first], i[first], i[first] != i[last], order[first]
+        if len(self.keys) > self.MOST:
+            self.clear()
+        at = np.minimum(np.searchsorted(self.keys, k), max(0, len(self.keys) - 1))
+        known = self.keys[at] == k if len(self.keys) else np.zeros(len(k), bool)
+        old_low, old_multi = self.low[at[known]], self.multi[at[known]]
+        more = np.ones(len(k), bool)
+        new_multi = multi[known] | old_multi | (old_low != low[known])
+        more[known] = (low[known] < old_low) | (new_multi & ~old_multi)
+        low[known], multi[known] = np.minimum(low[known], old_low), new_multi
+        self.low[at[known]], self.multi[at[known]] = low[known], multi[known]
+        fresh = ~known
+        where = np.searchsorted(self.keys, k[fresh])
+        self.keys, self.low, self.multi = np.insert(self.keys, where, k[fresh]), np.insert(self.low, where, low[fresh]), np.insert(self.multi, where, multi[fresh])
+        return row[more], low[more], multi[more]
+
+
+_FOUND = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("same", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("segment", pa.binary()), ("low", pa.int64()), ("multi", pa.bool_())])
+_FOUND_DDL = "key long, id long, same long, at long, anchor long, segment binary, low long, multi boolean"
+
+
+def _found(sent: _Combiner, buf: np.ndarray, sums: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray | None, ids: np.ndarray, same: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each occurrence of a segment, and one with its bytes where the task has not sent them."""
+    key = span_hash(sums, start, start + size)
+    anchor = key if anchor is None else anchor
+    none = lambda n, kind: pa.nulls(n, kind)
+    for z in range(0, len(key), 50_000):
+        z = slice(z, z + 50_000)
+        n = len(key[z])
+        yield pa.RecordBatch.from_arrays([pa.array(key[z].view(np.int64)), pa.array(ids[z]), pa.array(same[z]), pa.array(at[z]), *(none(n, f.type) for f in list(_FOUND)[4:])], schema=_FOUND)
+        row, low, multi = sent.add(key[z], ids[z])
+        if len(row):
+            s, c = start[z][row], size[z][row]
+            yield pa.RecordBatch.from_arrays([pa.array(key[z][row].view(np.int64)), *(none(len(row), pa.int64()) for _ in range(3)), pa.array(anchor[z][row].view(np.int64)), _blobs(buf[runs(s, c)], c), pa.array(low), pa.array(multi)], schema=_FOUND)
+
+
 def _segments(length: int, gram: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = _Combiner()
         for b in batches:
             ids, same, asked = b.column("id").to_numpy(), b.column("same").to_numpy(), b.column("asked").to_pylist()
             for lo, hi, buf, offs in slices(as_strings(b.column("text"))):
@@ -308,12 +371,10 @@ def _segments(length: int, gram: int, shards: int):
                         want.sort()
                         own = code[cut[d] : cut[d + 1]]
                         keep[cut[d] : cut[d + 1]] = want[np.minimum(np.searchsorted(want, own), len(want) - 1)] == own
-                at = np.flatnonzero(keep)
-                for some in np.array_split(at, max(1, len(at) // 50_000)):
-                    if len(some):
-                        size = number[some] + length - 1
-                        doc = np.searchsorted(offs, start[some], "right") - 1
-                        yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), _blobs(buf[runs(start[some], size)], size), pa.array(ids[lo + doc]), pa.array(same[lo + doc]), pa.array((start[some] - offs[doc]).astype(np.int64))], names=["anchor", "segment", "id", "same", "at"])
+                some = np.flatnonzero(keep)
+                if len(some):
+                    doc = np.searchsorted(offs, start[some], "right") - 1
+                    yield from _found(sent, buf, prefix_hash(buf, lower=False), start[some], number[some] + length - 1, h[some], ids[lo + doc], same[lo + doc], start[some] - offs[doc])
 
     return run
 
@@ -322,20 +383,13 @@ def _strings(length: int):
     """Segments as single strings, each its own anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = _Combiner()
         for b in batches:
-            if not b.num_rows:
-                continue
-            col = b.column("segment")
-            off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-            data = np.frombuffer(col.buffers()[2], np.uint8)
-            number = np.diff(off) - length + 1
-            sums = prefix_hash(data[off[0] : off[-1]], lower=False)
             ids, same, at = (b.column(c).to_numpy() for c in ("id", "same", "at"))
-            starts = runs(off[:-1], number)
-            owner = np.repeat(np.arange(len(number)), number)
-            h = span_hash(sums, starts - off[0], starts - off[0] + length)
-            for some in np.array_split(np.arange(len(starts)), max(1, len(starts) // 50_000)):
-                yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), _blobs(data[runs(starts[some], np.full(len(some), length))], np.full(len(some), length)), pa.array(ids[owner[some]]), pa.array(same[owner[some]]), pa.array(at[owner[some]] + starts[some] - off[:-1][owner[some]])], names=["anchor", "segment", "id", "same", "at"])
+            for lo, hi, buf, offs in slices(as_strings(b.column("segment"))):
+                number = np.diff(offs) - length + 1
+                starts, owner = runs(offs[:-1], number), np.repeat(np.arange(hi - lo), number)
+                yield from _found(sent, buf, prefix_hash(buf, lower=False), starts, np.full(len(starts), length), None, ids[lo + owner], same[lo + owner], at[lo + owner] + starts - offs[owner])
 
     return run
 
@@ -343,15 +397,27 @@ def _strings(length: int):
 def _least(length: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in groups(batches, "shard"):
-            segments, low, high, key = t.column("segment").to_pylist(), t.column("low").to_numpy(), t.column("high").to_numpy(), t.column("key").to_numpy()
+            key, low, multi = (t.column(c).to_numpy(zero_copy_only=False) for c in ("key", "low", "multi"))
+            key, first, where = np.unique(key, return_index=True, return_inverse=True)
+            least, most = np.full(len(key), np.iinfo(np.int64).max), np.full(len(key), np.iinfo(np.int64).min)
+            np.minimum.at(least, where, low)
+            np.maximum.at(most, where, low)
+            several = (np.bincount(where, weights=multi, minlength=len(key)) > 0) | (least != most)
+            _, owner, many = np.unique(t.column("anchor").to_numpy()[first], return_inverse=True, return_counts=True)
+            col = t.column("segment")
             out: list[tuple[int, int, int, int]] = []
-            for i, least in enumerate(shard_least(segments, low, length, block)):
-                if least.min() >= high[i]:
-                    continue  # in no document of this segment is a string a repeat
-                cut = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(least)], strict=True):
-                    if least[a] < high[i]:
-                        out.append((int(key[i]), a, z, int(least[a])))
+            alone = (many == 1)[owner]  # an anchor's only segment shares no string with another
+            size = pc.binary_length(col).to_numpy()[first] - length + 1
+            for i in np.flatnonzero(alone & several).tolist():
+                out.append((int(key[i]), 0, int(size[i]), int(least[i])))
+            rest = np.flatnonzero(~alone)
+            segments = col.take(pa.array(first[rest])).to_pylist()
+            for i, got in zip(rest.tolist(), shard_least(segments, least[rest], length, block), strict=True):
+                if not several[i] and got.min() >= least[i]:
+                    continue  # in the one document of this segment no string is a repeat
+                cut = np.flatnonzero(np.concatenate([[True], got[1:] != got[:-1]]))
+                k = int(key[i])
+                out += [(k, a, z, int(got[a])) for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(got)], strict=True) if several[i] or got[a] < least[i]]
             for a in range(0, len(out), 50_000):
                 k, s, e, m = zip(*out[a : a + 50_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(m, pa.int64())], names=["key", "first", "end", "least"])
@@ -378,33 +444,31 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     Texts are known by two 64-bit hashes and their length; ``first`` is the smallest id.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     base = base.withColumn("same", F.xxhash64("text"))
     total = total_bytes(base, "text")
-    shards = max(16, -(-total // anchor_shard))
+    shards = max(64, -(-total // anchor_shard))
     sent = base.select("same", "text").mapInArrow(_send(length, gram, shards), "shard int, same long, hashes binary")
     told = sent.repartition(min(shards, partitions(spark)), "shard").sortWithinPartitions("shard").mapInArrow(_shared, "same long, shard int, hashes binary")
     told = stored(told, "anchors").groupBy("same").agg(F.collect_list(F.struct("shard", "hashes")).alias("asked"))  # a row for each shard, no longer than the text
     copies = stored(base.groupBy("same", F.xxhash64(F.lit(1), "text").alias("again")).agg(F.min("id").alias("first"), F.count("*").alias("n")), "texts")
     told = told.join(copies, "same").select(F.col("first").alias("id"), F.col("same").alias("t"), "asked")
     asked = base.join(told, "id").where("same = t").select("id", "same", "text", "asked")
-    found = stored(asked.mapInArrow(_segments(length, gram, shards), "anchor long, segment binary, id long, same long, at long"), "segments")
-
-    def distinct(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("anchor", "segment").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-
-    once = stored(distinct(found), "distinct")
-    many = stored(once.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("anchor"), "hot-anchors")
-    if many.limit(1).count():
-        crowd = found.join(many, "anchor", "left_semi").mapInArrow(_strings(length), found.schema)
-        found = stored(found.join(many, "anchor", "left_anti").unionByName(crowd), "segments")
-        once = stored(distinct(found), "distinct")
-    key = F.xxhash64("anchor", "segment")
-    units = max(16, -(-(once.agg(F.sum(F.octet_length("segment"))).first()[0] or 0) // segment_shard))
-    dealt = once.select(F.pmod(F.xxhash64("anchor"), F.lit(units)).cast("int").alias("shard"), "segment", "low", "high", key.alias("key"))
+    found = stored(asked.mapInArrow(_segments(length, gram, shards), _FOUND_DDL), "segments")
+    places, once = found.where("id is not null").select("key", "id", "same", "at"), found.where("low is not null").select("key", "anchor", "segment", "low", "multi")
+    many = once.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("anchor")
+    many = stored(once.join(many, "anchor", "left_semi").groupBy("anchor", "key").count().groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("anchor"), "hot-anchors")
+    if many.limit(1).count():  # their strings are dealt one by one
+        crowd = once.join(many, "anchor", "left_semi").groupBy("key").agg(F.first("segment").alias("segment"))
+        split = places.withColumn("k", apart("key")).join(crowd.select(apart("key").alias("k"), "segment"), "k").select("segment", "id", "same", "at")
+        split = stored(split.mapInArrow(_strings(length), _FOUND_DDL), "strings")
+        places = places.join(crowd, "key", "left_anti").union(split.where("id is not null").select("key", "id", "same", "at"))
+        once = once.join(many, "anchor", "left_anti").select("key", "anchor", "segment", "low", "multi").union(split.where("low is not null").select("key", "anchor", "segment", "low", "multi"))
+    units = max(64, -(-(once.agg(F.sum(F.octet_length("segment"))).first()[0] or 0) // segment_shard))
+    dealt = once.select(F.pmod(F.xxhash64("anchor"), F.lit(units)).cast("int").alias("shard"), "anchor", "key", "segment", "low", "multi")
     lows = stored(dealt.repartition(min(units, 4 * partitions(spark)), "shard").sortWithinPartitions("shard").mapInArrow(_least(length, block), "key long, first long, end long, least long"), "lows")
-    lows = lows.withColumn("k", apart("key")).drop("key")
-    parts = found.select("id", "same", "at", apart(key).alias("k")).join(lows, "k").where("least < id")
+    parts = places.select("id", "same", "at", apart("key").alias("k")).join(lows.select(apart("key").alias("k"), "first", "end", "least"), "k").where("least < id")
     spans = parts.groupBy("id", "same").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("end") + length - 1).alias("end"))).alias("spans"))
     return spans, copies.select("same", "again", "first")
 
@@ -412,11 +476,10 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 def _cut(length: int, keep_text: bool, rest: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ids = b.column("_text").to_pylist(), b.column("_id").to_pylist()
+            texts, ids = as_strings(b.column("_text")).cast(pa.binary()).to_pylist(), b.column("_id").to_pylist()
             spans, firsts, eq = b.column("_spans").to_pylist(), b.column("_first").to_pylist(), []
             out = {"n_bytes": [], "n_removed": [], "removed": [], "kept_sha256": []}
-            for t, i, s, f in zip(texts, ids, spans, firsts, strict=True):
-                raw = (t or "").encode()
+            for raw, i, s, f in zip(texts, ids, spans, firsts, strict=True):
                 if f is not None and i is not None and f < i:
                     gone = [(0, len(raw))]
                 else:
@@ -425,12 +488,12 @@ def _cut(length: int, keep_text: bool, rest: list[str]):
                 for a, e in gone:
                     kept.append(raw[at:a])
                     at = e
-                left = b"".join([*kept, raw[at:]])
+                left = b"".join([*kept, raw[at:]]) if gone else raw
                 out["n_bytes"].append(len(raw))
                 out["n_removed"].append(len(raw) - len(left))
                 out["removed"].append([{"start": a, "end": e} for a, e in gone])
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-                eq.append((t if not gone else left.decode("utf-8", "ignore")) if keep_text else None)
+                eq.append(left.decode("utf-8", "ignore") if keep_text else None)
             cols = [pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["removed"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out["kept_sha256"], pa.string())]
             names = ["n_bytes", "n_removed", "removed", "kept_sha256"]
             if keep_text:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 
@@ -129,6 +129,15 @@ def binary_array(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
+def rolling_hash(buf: np.ndarray, n: int) -> np.ndarray:
+    """The hash of every span of ``n`` bytes, letters' case kept."""
+    sums = prefix_hash(buf, lower=False)
+    raw = sums[n:] - sums[: len(sums) - n]
+    raw *= _power(_INVERSE, len(sums))[: len(raw)]
+    raw += _U(n * _STEP & (2**64 - 1))
+    return mix(raw)
+
+
 def ngram_hash(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of each ``n`` consecutive word hashes (len(words) - n + 1 of them)."""
     m = len(words) - n + 1
@@ -190,17 +199,39 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends here."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read again: its lineage ends here.
+
+    The write's shuffle files go as soon as it has ended.
+    """
+    spark = df.sparkSession
+    path, before = shared_path(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows and bytes of one Arrow batch on the way to Python, where the session sets none.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small: two workers share an executor's memory with its heap."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
+
+
 def apart(c: Column | str) -> Column:
     """A join key equal to ``c`` in what it matches, yet not known to be partitioned alike.
 

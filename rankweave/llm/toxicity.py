@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import ALNUM, HashSet, as_strings, mix, prefix_hash, slices, span_hash, word_spans
+from .textcore import ALNUM, HashSet, as_strings, mix, prefix_hash, slices, small_batches, span_hash, word_spans
 
 #: Labelled texts of each class that the classifier is fitted on, at most.
 SAMPLE = 2_500
@@ -275,6 +275,7 @@ def score_toxicity(docs: DataFrame, field: Field, *, text: str = "text") -> Data
     Only the text is read: null and empty texts get the score of a text without findings.
     Columns of these names in ``docs`` are replaced.
     """
+    small_batches(docs.sparkSession)
     base = docs.drop("toxicity", "toxic_spans")
     kind = base.select("*", F.lit(0.0).alias("toxicity"), F.array().cast("array<struct<start:int,end:int,p:double>>").alias("toxic_spans")).schema
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
