@@ -5,13 +5,14 @@ its response, and only those decisions return to the pages. A record is one text
 header, HTTP header, payload), and the text writer's line separator is the two CRLFs that end
 a record, so Spark writes and commits the archives on any file system.
 
-Every header starts with the archive's own id, drawn anew for each write: the reader splits the
-files at that line, in parallel, and no payload can hold it. Lengths and digests of the payloads
+Every header starts with the archive's own id, drawn anew for each write: the reader splits
+the files (each gzipped as a whole) at that line, and no payload can hold it. Lengths and digests of the payloads
 read are checked against the headers. Archives of others are read by content length.
 """
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from collections.abc import Iterator
 
@@ -19,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import apart, shared_path
+from .textcore import apart, shared_path, stored
 
 CRLF = "\r\n"
 END = CRLF + CRLF
 HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{END}"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+#: Revisit decisions that are sent to every task; more are joined by page.
+BROADCAST_REVISITS = 50_000
 #: Digits of a number in base 32 and the letters that RFC 4648 gives them.
 _DIGITS, _LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -63,6 +66,9 @@ def resolve_revisits(pages: DataFrame, *, page_id: str = "page_id", url: str = "
     firsts = firsts.select(apart(key).alias("k"), F.col("payload_digest").alias("d"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     again = heads.select("page_id", "payload_digest", apart(key).alias("hk")).join(firsts, (F.col("hk") == F.col("k")) & (F.col("payload_digest") == F.col("d"))).where(~F.col("page_id").eqNullSafe(F.col("first_id")))
     again = again.select(F.col("page_id").alias("again_id"), F.col("payload_digest").alias("again_digest"), "first_id", "first_url").distinct()
+    again = stored(again, "revisits")
+    if again.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS:
+        again = F.broadcast(again)  # else both sides are shuffled by page
     out = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("payload_digest") == F.col("again_digest")), "left")
     return out.select("page_id", "url", "html", "payload_digest", "payload_bytes", F.col("again_digest").isNotNull().alias("revisit"), "first_id", "first_url")
 
@@ -89,7 +95,7 @@ def write_warc(resolved: DataFrame, path: str, *, date: str = DATE) -> str:
         F.lit(CRLF + HTTP),
         F.when(revisit, "").otherwise(F.col("html")),
     )
-    resolved.select(record.alias("value")).write.option("lineSep", END).text(path)
+    resolved.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
     return archive
 
 
@@ -121,7 +127,7 @@ def read_warc(spark: SparkSession, path: str, archive: str) -> DataFrame:
 
 
 def read_foreign_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of any uncompressed WARC files, by content length; a file is read by one task.
+    """Records of any WARC files, gzipped or not, by content length; a file is read by one task.
 
     record_type, record_id, refers_to_id, url, payload_digest, block (binary). What follows a
     broken header is left out.
@@ -133,6 +139,7 @@ def read_foreign_warc(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for data in b.column("content"):
                 data, at, rows = data.as_py(), 0, []
+                data = gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
                 while data.startswith(b"WARC/", at):
                     end = data.find(b"\r\n\r\n", at)
                     if end < 0:
