@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textcore import stored
+
 #: Segments of a path that the tree tells apart; deeper ones are one rest.
 DEPTH = 4
 FAN_OUT = 30
@@ -75,6 +77,7 @@ def learn_templates(urls: DataFrame, *, fan_out: int = FAN_OUT, smoothing: float
     names = [f"s{i}" for i in range(DEPTH + 1)]
     base = urls.select("host", *(c.alias(n) for n, c in zip(names, _levels(F.col("path")), strict=True)), "blocked", "judged")
     base = base.withColumn("shape", _template(names)).groupBy("host", "shape", *names).agg(F.count("*").alias("n"), F.sum("judged").alias("judged"), F.sum("blocked").alias("blocked"))
+    base = stored(base, "url-shapes")  # each level is read twice: written, the plan stays flat
     rate = base.agg(((F.sum("blocked") + 1) / (F.sum("judged") + 2)).alias("rate"))
     tree = base
     for i in range(DEPTH):  # from the root down: a level's key holds the generalised levels above
@@ -86,6 +89,7 @@ def learn_templates(urls: DataFrame, *, fan_out: int = FAN_OUT, smoothing: float
         for a in above:
             on = on & F.col(a).eqNullSafe(F.col(f"w_{a}"))
         tree = tree.join(wide, on, "left").withColumn(names[i], F.when(F.col("w_host").isNotNull() & literal, "*").otherwise(F.col(names[i]))).drop(*wide.columns)
+        tree = stored(tree, f"url-level-{i}")
     # siblings at the first level merge if what lies below is alike and their block rates lie on one side
     tree = tree.withColumn("below", _template(names[1:]))
     branch = tree.groupBy("host", "s0", "below").agg(F.sum("judged").alias("j"), F.sum("blocked").alias("b"))
@@ -93,7 +97,7 @@ def learn_templates(urls: DataFrame, *, fan_out: int = FAN_OUT, smoothing: float
     side = F.when(F.col("j") == 0, "open").when(p - spread > 0.5, "high").when(p + spread < 0.5, "low").otherwise("mixed")
     branch = branch.select(F.col("host").alias("b_host"), F.col("s0").alias("b_s0"), F.col("below").alias("b_below"), side.alias("side"))
     tree = tree.join(branch, (F.col("host") == F.col("b_host")) & F.col("s0").eqNullSafe(F.col("b_s0")) & (F.col("below") == F.col("b_below")))
-    tree = tree.withColumn("group", F.when(F.col("side").isin("high", "low", "open"), F.col("side")).otherwise(F.concat(F.lit("="), F.coalesce("s0", F.lit("")))))
+    tree = stored(tree.withColumn("group", F.when(F.col("side").isin("high", "low", "open"), F.col("side")).otherwise(F.concat(F.lit("="), F.coalesce("s0", F.lit(""))))), "url-groups")
     made = tree.groupBy("host", "below", "group").agg(F.sum("n").alias("t_n"), F.sum("judged").alias("t_j"), F.sum("blocked").alias("t_b"), F.array_sort(F.collect_set("s0")).alias("heads"))  # at most the siblings that stay literal
     made = made.select(F.col("host").alias("m_host"), F.col("below").alias("m_below"), F.col("group").alias("m_group"), "t_n", "t_j", "t_b", "heads")
     out = tree.join(made, (F.col("host") == F.col("m_host")) & (F.col("below") == F.col("m_below")) & (F.col("group") == F.col("m_group"))).crossJoin(F.broadcast(rate))  # one row
