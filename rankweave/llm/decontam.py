@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import ALNUM, HashSet, hash_bytes, ngram_hash, prefix_hash, slices, small_batches, span_hash, total_bytes, word_spans
+from .textcore import ALNUM, HashSet, hash_bytes, ngram_hash, prefix_hash, slices, small_batches, span_hash, tidy, total_bytes, word_spans
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton.
@@ -201,7 +201,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     for s in range(shards):
         rows = items.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == s).collect()  # bounded by shard_bytes
         matcher = Matcher([(r.i, words_of(r.t)) for r in rows], window)
-        df = df.mapInArrow(_pass(matcher, text), df.schema)
+        df = df.mapInArrow(tidy(_pass(matcher, text)), df.schema)
     return df.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(max_share) * F.col("n_words")))
 
 
@@ -226,7 +226,7 @@ def remove_spans(judged: DataFrame, *, text: str = "text", min_words: int = WIND
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, b.schema.field(i).type) if f.name == text else b.column(i) for i, f in enumerate(b.schema)], names=b.schema.names)
 
-    return judged.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.lit(max_share) * F.col("n_words"))).mapInArrow(run, kind)
+    return judged.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.lit(max_share) * F.col("n_words"))).mapInArrow(tidy(run), kind)
 
 
 def decontamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import least_labels, linked_classes
-from .textcore import apart, fixed_binary, groups, mix, partitions, seeds, stored
+from .textcore import apart, fixed_binary, groups, mix, partitions, seeds, stored, tidy
 
 THRESHOLD = 0.98
 BITS = 12
@@ -125,7 +125,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
     rows = rows.select("vec_id", "label", "v", F.when(sound, digest).alias("same"))
     distinct = stored(rows.where("same is not null").groupBy("same").agg(F.min("vec_id").alias("id"), F.first("label").alias("label"), F.count("*").alias("copies"), F.first("v").alias("v")), "vectors")
     # a class goes by a hash of its digest, for ids of different vectors may be equal in odd input
-    coded = distinct.select(F.xxhash64("same").alias("id"), "label", "copies", "v").mapInArrow(_sign(tables, bits), "id long, label long, copies long, v array<double>, signs binary")
+    coded = distinct.select(F.xxhash64("same").alias("id"), "label", "copies", "v").mapInArrow(tidy(_sign(tables, bits)), "id long, label long, copies long, v array<double>, signs binary")
     coded = stored(coded, "signs")
     place = F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table")
     keyed = coded.select("*", place).withColumn("bucket", F.xxhash64("label", "table", F.size("v"), F.expr("substring(signs, 1 + 4 * table, 4)")))
@@ -136,7 +136,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("other")
     units = shared.select("id", "copies", "v", "signs", "table", "bucket", "mine", other)
     units = units.select("id", "copies", "v", "signs", "table", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), F.when(F.col("mine") != F.col("other"), (F.col("mine") > F.col("other")).cast("int")).alias("side"))
-    found = stored(units.repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(_compare(threshold, tables), _LINKS), "links")
+    found = stored(units.repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(tidy(_compare(threshold, tables)), _LINKS), "links")
     named = linked_classes(distinct.select(F.xxhash64("same").alias("id"), F.col("id").alias("least"), "copies"), found)
     named = named.select(apart("id").alias("nk"), "n_links", "component_id")
     out = rows.select("vec_id", F.when(F.col("same").isNotNull(), apart(F.xxhash64("same"))).alias("rk")).join(named, F.col("rk") == F.col("nk"), "left")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import small_batches, stored
+from .textcore import small_batches, stored, tidy
 
 MIN_PAGES = 8
 LOW = 0.2
@@ -254,7 +254,7 @@ def _up(e: _Element) -> Iterator[_Element]:
 
 def style_tree(pages: DataFrame, *, min_pages: int = MIN_PAGES, own: float = OWN) -> DataFrame:
     """The sites' nodes from rows (host, html): host, node, pages, importance; equal pages of a host count once."""
-    once = pages.select("host", "html").mapInArrow(_survey, _NODES).dropDuplicates(["host", "page"])
+    once = pages.select("host", "html").mapInArrow(tidy(_survey), _NODES).dropDuplicates(["host", "page"])
     rows = once.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
 
     def entropy(column: str):
@@ -299,7 +299,7 @@ def extract(pages: DataFrame, *, html: str = "html", url: str = "url", min_pages
                 texts.append("\n".join(x.text for x in blocks))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=[*rest, "text", "n_chars"])
 
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(tidy(run), kind)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

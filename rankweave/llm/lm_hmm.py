@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import ALNUM, NON_SPACE, as_strings, mix, partitions, prefix_hash, seeds, slices, small_batches, span_hash, stored, total_bytes, word_spans
+from .textcore import ALNUM, NON_SPACE, as_strings, mix, partitions, prefix_hash, seeds, slices, small_batches, span_hash, stored, tidy, total_bytes, word_spans
 
 TOP = 16_000
 STATES = 8
@@ -370,17 +370,17 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_o
     train = df.where("not held").select("text")
     n = max(8, -(-total_bytes(df, "text") // bucket_bytes))
     kind = "bucket int, hashes binary, counts binary, texts long"
-    counts = stored(train.mapInArrow(_count(n, "text"), kind).repartition(min(n, partitions(spark)), "bucket").mapInArrow(_merge_counts, kind), "lm-counts")
-    facts = stored(counts.mapInArrow(_facts(top), "word long, n long, totals array<long>"), "lm-facts")
+    counts = stored(train.mapInArrow(tidy(_count(n, "text")), kind).repartition(min(n, partitions(spark)), "bucket").mapInArrow(tidy(_merge_counts), kind), "lm-counts")
+    facts = stored(counts.mapInArrow(tidy(_facts(top)), "word long, n long, totals array<long>"), "lm-facts")
     most = facts.where("word is not null").orderBy(F.desc("n"), "word").limit(top).select("word", "n").collect()  # of the model's size
     sums = facts.where("totals is not null").select([F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(1 + 2 * CLASSES)]).first()
     sums = np.array([x or 0 for x in sums], np.int64)
     model = Model(np.array([r.word for r in most], np.int64).view(_U), np.array([r.n for r in most], np.int64), int(sums[0]), sums[1 : 1 + CLASSES], sums[1 + CLASSES :], states)
-    coded = stored(df.mapInArrow(_encode(model, n), _ENCODED_DDL), "lm-coded")
+    coded = stored(df.mapInArrow(tidy(_encode(model, n)), _ENCODED_DDL), "lm-coded")
     texts = coded.where("uid is not null")
     learn = texts.where("not held").select("ids")
     for _ in range(rounds if sums[0] else 0):
-        rows = learn.mapInArrow(_expectations(model), "block int, sums binary").repartition(partitions(spark), "block").mapInArrow(_add_blocks, "block int, sums binary").collect()
+        rows = learn.mapInArrow(tidy(_expectations(model)), "block int, sums binary").repartition(partitions(spark), "block").mapInArrow(tidy(_add_blocks), "block int, sums binary").collect()
         if not rows:
             break
         got = {r.block: np.frombuffer(r["sums"]) for r in rows}
@@ -388,9 +388,9 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_o
         model.update(emit, got[-1][: states**2].reshape(states, states), got[-1][states**2 :])
     asked = coded.where("bucket is not null").select("bucket", "uids", "sizes", "hashes", F.lit(None).cast("binary").alias("counts"), F.lit(1).alias("turn"))
     known = counts.select("bucket", F.lit(None).cast("binary").alias("uids"), F.lit(None).cast("binary").alias("sizes"), "hashes", "counts", F.lit(0).alias("turn"))
-    answers = known.union(asked).repartition(min(n, partitions(spark)), "bucket").sortWithinPartitions("bucket", "turn").mapInArrow(_answer, "uid long, more long, logs double")
+    answers = known.union(asked).repartition(min(n, partitions(spark)), "bucket").sortWithinPartitions("bucket", "turn").mapInArrow(tidy(_answer), "uid long, more long, logs double")
     answers = answers.groupBy("uid").agg(F.sum("more").alias("more"), F.sum("logs").alias("logs"))
-    scored = texts.select("uid", "doc_id", "held", "ids", "n_tokens", "known", "base", "inner").mapInArrow(_scores(model), "uid long, doc_id long, held boolean, n_tokens long, known long, base double, inner double, ll double")
+    scored = texts.select("uid", "doc_id", "held", "ids", "n_tokens", "known", "base", "inner").mapInArrow(tidy(_scores(model)), "uid long, doc_id long, held boolean, n_tokens long, known long, base double, inner double, ll double")
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     return scored.join(answers, "uid", "left").select("doc_id", F.col("held").alias("held_out"), "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("ll") + F.col("inner") + logs).alias("score"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import NON_SPACE, partitions, slices, small_batches, stored, word_spans
+from .textcore import NON_SPACE, partitions, slices, small_batches, stored, tidy, word_spans
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
@@ -39,7 +39,7 @@ def count_words(df: DataFrame, text: str, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(np.concatenate(n) if n else [], pa.int64())], names=[*rest, name])
 
     kind = df.select(*rest, F.lit(0).cast("long").alias(name)).schema
-    return df.select(*rest, text).mapInArrow(run, kind)
+    return df.select(*rest, text).mapInArrow(tidy(run), kind)
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> list[float]:
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local)], names=[*b.schema.names, "local"])
 
     kind = placed.select("*", F.lit(0).cast("long").alias("local")).schema
-    placed = stored(placed.mapInArrow(ranked, kind), "mixing")
+    placed = stored(placed.mapInArrow(tidy(ranked), kind), "mixing")
     counts = placed.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size")).limit(MAX_SOURCES + partitions(spark) * 4 + 1).collect()
     by: dict[str | None, list] = {}
     for r in sorted(counts, key=lambda r: r.part):

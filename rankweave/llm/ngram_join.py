@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import least_labels, linked_classes
-from .textcore import NON_SPACE, apart, as_strings, fixed_binary, groups, mix, ngram_hash, partitions, prefix_hash, seeds, slices, small_batches, span_hash, stored, word_spans
+from .textcore import NON_SPACE, apart, as_strings, fixed_binary, groups, mix, ngram_hash, partitions, prefix_hash, seeds, slices, small_batches, span_hash, stored, tidy, word_spans
 
 N = 5
 THRESHOLD = 0.8
@@ -202,7 +202,7 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     runs = runs_for(threshold, levels, recall)
     width = runs * levels
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = stored(base.mapInArrow(_sketch(n, width, "text"), "doc_id long, key long, size long, sig binary"), "sketches")
+    rows = stored(base.mapInArrow(tidy(_sketch(n, width, "text")), "doc_id long, key long, size long, sig binary"), "sketches")
     classes = rows.where("key is not null and doc_id is not null").groupBy(F.col("key").alias("id")).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     classes = stored(classes, "classes")
 
@@ -222,23 +222,23 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     # each class with its paths of all runs, then its units of work
     paths = ended.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("run", "path", "m"))).alias("got"))  # a row for each run at most
-    full = paths.join(classes, "id").mapInArrow(_packed(runs), "id long, size long, copies long, sig binary, paths binary, runs array<struct<run:int,path:long,m:long>>")
+    full = paths.join(classes, "id").mapInArrow(tidy(_packed(runs)), "id long, size long, copies long, sig binary, paths binary, runs array<struct<run:int,path:long,m:long>>")
     units = full.select("id", "size", "copies", "sig", "paths", F.explode("runs").alias("r")).select("id", "size", "copies", "sig", "paths", F.col("r.run").alias("run"), F.col("r.path").alias("path"), F.ceil(F.col("r.m") / F.lit(block)).cast("int").alias("blocks"), (F.col("r.m") > small).alias("large"))
     units = units.withColumn("blocks", F.when(F.col("large"), F.col("blocks")).otherwise(1)).withColumn("mine", F.pmod(F.xxhash64("id", "run"), F.col("blocks")).cast("int"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("other")
     units = units.select("id", "size", "copies", "sig", "paths", "run", "path", "mine", other)
     units = units.select("id", "size", "copies", "sig", "paths", "run", F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), F.when(F.col("mine") != F.col("other"), (F.col("mine") > F.col("other")).cast("int")).alias("side"))
     kind = units.schema
-    some = units.repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(_promising(runs, width, threshold), kind)
+    some = units.repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(tidy(_promising(runs, width, threshold)), kind)
     some = stored(some, "promising")
 
     # the sets of what has a promising partner, from the text of the class's first document
     wanted = some.groupBy("id").agg(F.collect_list(F.struct("unit", "run", F.coalesce("side", F.lit(-1)).alias("side"))).alias("wanted")).join(classes.select("id", "least"), "id")
     asked = base.join(wanted, F.col("doc_id") == F.col("least")).select("text", "id", "wanted")
-    given = asked.mapInArrow(_with_sets(n), "id long, wanted array<struct<unit:long,run:int,side:int>>, grams binary").dropDuplicates(["id"])
+    given = asked.mapInArrow(tidy(_with_sets(n)), "id long, wanted array<struct<unit:long,run:int,side:int>>, grams binary").dropDuplicates(["id"])
     facts = some.select("id", "size", "copies", "sig", "paths").dropDuplicates(["id"])
     work = given.join(facts, "id").select("id", "size", "copies", "sig", "paths", "grams", F.explode("wanted").alias("w")).select("id", "size", "copies", "sig", "paths", "grams", F.col("w.run").alias("run"), F.col("w.unit").alias("unit"), F.when(F.col("w.side") >= 0, F.col("w.side")).alias("side"))
-    found = stored(work.repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(_verify(runs, width, threshold), "id long, n long, root long"), "links")
+    found = stored(work.repartition(partitions(spark), "unit").sortWithinPartitions("unit").mapInArrow(tidy(_verify(runs, width, threshold)), "id long, n long, root long"), "links")
 
     named = linked_classes(classes.select("id", "least", "copies"), found).join(classes.select("id", F.col("least").alias("class_id")), "id").select(apart("id").alias("nk"), "class_id", "n_links", "component_id")
     out = rows.select("doc_id", "size", F.when(F.col("doc_id").isNotNull(), apart("key")).alias("rk")).join(named, F.col("rk") == F.col("nk"), "left")

@@ -6,6 +6,8 @@ documents is tokenised and hashed by a few numpy passes, never word by word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -182,6 +184,32 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+# --- Python workers ---
+
+
+def _keep_heap_small() -> None:
+    """Large arrays straight from the system and back to it: workers live on between tasks."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
+def tidy(fn):
+    """``fn`` as a task's function that gives unused memory back when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_heap_small()
+        try:
+            yield from fn(batches)
+        finally:
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 # --- Spark side -----------------------------------------------------------------------
 
 
@@ -221,12 +249,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows and bytes of one Arrow batch on the way to Python, where the session sets none.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+#: Rows of a Parquet batch, and rows and bytes of an Arrow batch, where the session sets none.
+BATCH = {"spark.sql.parquet.columnarReaderBatchSize": 256, "spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small: two workers share an executor's memory with its heap."""
+    """Keep batches of texts small, for texts may be long and workers share memory with the heap."""
     for key, value in BATCH.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, str(value))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import ALNUM, HashSet, as_strings, mix, prefix_hash, slices, small_batches, span_hash, word_spans
+from .textcore import ALNUM, HashSet, as_strings, mix, prefix_hash, slices, small_batches, span_hash, tidy, word_spans
 
 #: Labelled texts of each class that the classifier is fitted on, at most.
 SAMPLE = 2_500
@@ -286,7 +286,7 @@ def score_toxicity(docs: DataFrame, field: Field, *, text: str = "text") -> Data
             out = [pa.array([s for s, _ in found], pa.float64()), pa.array([[{"start": a, "end": e, "p": p} for a, e, p in x] for _, x in found], spans)]
             yield pa.RecordBatch.from_arrays([*b.columns, *out], names=[*b.schema.names, "toxicity", "toxic_spans"])
 
-    return base.mapInArrow(run, kind)
+    return base.mapInArrow(tidy(run), kind)
 
 
 def fold(doc_id, n: int = 3):

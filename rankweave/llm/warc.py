@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import apart, shared_path, stored
+from .textcore import apart, shared_path, stored, tidy
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -153,7 +153,7 @@ def read_foreign_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "block" else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "record_type string, record_id string, refers_to_id string, url string, payload_digest string, block binary")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(run), "record_type string, record_id string, refers_to_id string, url string, payload_digest string, block binary")
 
 
 def warc_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
