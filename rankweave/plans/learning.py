@@ -1,2 +1,161 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Registered queries of fitted scorers: models from judged candidates, then ranking with them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import base_rate, scoring
+from ..operators.learners import AttentionWeights, Isotonic, LearnableWeights, MultiHead, Platt, Transform, fit_by_group
+from ..operators.vector_probability import VectorProbability
+from .retrieval import TOP, Corpus, _shown
+
+SEED, RATIO = 42, 0.5
+#: Judged candidates that a model is fitted on: queries are few, and each has 2 * DEPTH candidates at most.
+MAX_QUERIES = 2_000
+
+
+def _judged(c: Corpus) -> DataFrame:
+    rows = c.signals().join(c.qrels, ["query_id", "doc_id"], "left")
+    return rows.select("query_id", "doc_id", "rank_sparse", "rank_dense", "bm25", "bayes", "cos", "overlap", "ratio", F.coalesce("relevance", F.lit(0.0)).alias("label")).cache()
+
+
+def _train_ids(c: Corpus) -> tuple[list, list]:
+    ids = sorted(r.query_id for r in c.vectors.select("query_id").limit(MAX_QUERIES).collect())
+    return base_rate.split_queries(ids, RATIO, SEED)
+
+
+def _model(rows: DataFrame, fit: Callable[[pd.DataFrame], dict], schema: str) -> dict:
+    got = fit_by_group(rows.withColumn("model", F.lit("all")), ["model"], fit, schema, ["query_id", "doc_id"]).collect()
+    return got[0].asDict() if got else {}
+
+
+def _fitted(spark: SparkSession, d: str) -> DataFrame:
+    """The sigmoid fitted on the training queries' candidates with a positive score, ranking the others."""
+    c = Corpus(spark, d)
+    rows = _judged(c)
+    train, rest = _train_ids(c)
+
+    def fit(p: pd.DataFrame) -> dict:
+        t = Transform().fit(p.bm25, p.label)
+        return {"alpha": t.alpha, "beta": t.beta}
+
+    m = _model(rows.where(F.col("query_id").isin(train) & (F.col("bm25") > 0)).select("query_id", "doc_id", "bm25", "label"), fit, "alpha double, beta double") or {"alpha": 1.0, "beta": 0.0}
+    score = F.when(F.col("bm25") > 0, X.score_to_probability(F.col("bm25"), F.col("overlap"), F.col("ratio"), m["alpha"], m["beta"])).otherwise(0.0)
+    return _shown(scoring.top_k(rows.where(F.col("query_id").isin(rest or train)).withColumn("score", score), TOP))
+
+
+def _dense_calibrated(kind: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        c = Corpus(spark, d)
+        rows = _judged(c)
+        train, rest = _train_ids(c)
+        some = rows.where(F.col("query_id").isin(train)).select("query_id", "doc_id", "cos", "label")
+        if kind == "platt":
+            fit = lambda p: vars(Platt().fit(p.cos, p.label))
+            m = _model(some, fit, "a double, b double")
+            score = Platt(m.get("a", 1.0), m.get("b", 0.0)).column(F.col("cos"))
+        else:
+            fit = lambda p: vars(Isotonic().fit(p.cos, p.label))
+            m = _model(some, fit, "x array<double>, y array<double>")
+            score = Isotonic(m.get("x", []), m.get("y", [])).column(F.col("cos"))
+        return _shown(scoring.top_k(rows.where(F.col("query_id").isin(rest or train)).withColumn("score", score), TOP))
+
+    return run
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    """By query: its length in matched words, the share of candidates hit, the largest score."""
+    return rows.groupBy("query_id").agg(F.log1p(F.max("overlap")).alias("f0"), F.avg((F.col("bm25") > 0).cast("double")).alias("f1"), F.log1p(F.max("bm25")).alias("f2"))
+
+
+def _attention(normalize: bool, heads: int):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        c = Corpus(spark, d)
+        rows = _judged(c)
+        train, rest = _train_ids(c)
+        full = rows.join(_features(rows), "query_id").select("query_id", "doc_id", "bayes", X.cosine_to_probability(F.col("cos")).alias("dense"), "label", "f0", "f1", "f2")
+
+        def model() -> MultiHead | AttentionWeights:
+            return MultiHead(2, 3, heads, 0.5, normalize) if heads > 1 else AttentionWeights(2, 3, 0.5, normalize)
+
+        def fit(p: pd.DataFrame) -> dict:
+            m = model().fit(p[["bayes", "dense"]].to_numpy(), p.label.to_numpy(), p[["f0", "f1", "f2"]].to_numpy(), p.query_id.to_numpy())
+            return {"theta": np.concatenate([x.state.theta for x in (m.models if heads > 1 else [m])]).tolist()}
+
+        theta = _model(full.where(F.col("query_id").isin(train)), fit, "theta array<double>").get("theta")
+
+        def one(p: pd.DataFrame) -> pd.DataFrame:
+            m = model()
+            if theta is not None:
+                for x, t in zip(m.models if heads > 1 else [m], np.split(np.array(theta), heads), strict=True):
+                    x.state.theta, x.state.mean = t, t
+            p = p.sort_values("doc_id")
+            out = m.combine(p[["bayes", "dense"]].to_numpy(), p[["f0", "f1", "f2"]].to_numpy()[:1], True)
+            return p[["query_id", "doc_id"]].assign(score=out)
+
+        scored = full.where(F.col("query_id").isin(rest or train)).groupBy("query_id").applyInPandas(one, "query_id long, doc_id long, score double")  # a query's candidates: 2 * DEPTH at most
+        return _shown(scoring.top_k(scored, TOP))
+
+    return run
+
+
+def _learnable(spark: SparkSession, d: str) -> DataFrame:
+    """Fusion weights by signal, fitted on all judged candidates."""
+    rows = _judged(Corpus(spark, d)).select("query_id", "doc_id", "bayes", X.cosine_to_probability(F.col("cos")).alias("dense"), "label")
+
+    def fit(p: pd.DataFrame) -> dict:
+        w = LearnableWeights(2).fit(p[["bayes", "dense"]].to_numpy(), p.label.to_numpy(), 0.1, 300, 1e-9).weights
+        return {"sparse_weight": round(float(w[0]), 6), "dense_weight": round(float(w[1]), 6)}
+
+    return fit_by_group(rows.withColumn("model", F.lit("all")), ["model"], fit, "sparse_weight double, dense_weight double", ["query_id", "doc_id"])
+
+
+def _vector(method: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """Distances of the candidates calibrated against the background of all documents."""
+        c = Corpus(spark, d)
+        back = c.dense().groupBy("query_id").agg(F.avg(X.cosine_distance(F.col("cos"))).alias("mu"), F.stddev_pop(X.cosine_distance(F.col("cos"))).alias("sigma"))
+        rows = c.signals().join(back, "query_id").select("query_id", "doc_id", "bm25", "bayes", X.cosine_distance(F.col("cos")).alias("dist"), "mu", "sigma")
+
+        def one(p: pd.DataFrame) -> pd.DataFrame:
+            p = p.sort_values("doc_id")
+            v = VectorProbability(float(p.mu.iloc[0]), max(float(p.sigma.iloc[0]), 1e-10))
+            return p[["query_id", "doc_id", "bm25", "bayes"]].assign(cos=v.calibrate(p.dist.to_numpy(), weights=p.bayes.to_numpy()))
+
+        got = rows.groupBy("query_id").applyInPandas(one, "query_id long, doc_id long, bm25 double, bayes double, cos double")
+        if method == "balanced":
+            return _shown(scoring.top_k(scoring.fuse(got, "balanced_fusion"), TOP))
+        return _shown(scoring.top_k(got.withColumn("score", X.log_odds_conjunction([F.col("bayes"), F.col("cos")], gating="softplus")), TOP))
+
+    return run
+
+
+def _rates(spark: SparkSession, d: str) -> DataFrame:
+    """Base rates by the three estimators, and the automatic sigmoid, from pseudo-queries of 50 documents."""
+    c = Corpus(spark, d)
+    n = c.index.docs.count()
+    ids = [r.doc_id for r in c.index.docs.where("doc_len > 0").orderBy(F.xxhash64("doc_id")).select("doc_id").limit(50).collect()]
+    scores = base_rate.pseudo_scores(c.index, ids).cache()
+    auto = base_rate.auto_parameters(scores)
+    quantile = base_rate.percentile_rate(scores, n).withColumnRenamed("base_rate", "percentile")
+    elbow = base_rate.elbow_rate(scores).withColumnRenamed("base_rate", "elbow")
+    return auto.crossJoin(quantile).crossJoin(elbow).select(*(F.round(x, 6).alias(x) for x in ("alpha", "beta", "percentile", "elbow")))  # one row each
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "bayesian_fitted_split": _fitted, "dense_platt_split": _dense_calibrated("platt"), "dense_isotonic_split": _dense_calibrated("isotonic"),
+        "bayesian_attention_split": _attention(False, 1), "bayesian_attn_norm_split": _attention(True, 1), "bayesian_multihead_split": _attention(False, 4), "bayesian_multihead_norm_split": _attention(True, 4),
+        "learnable_weights": _learnable, "bayesian_vector_balanced": _vector("balanced"), "bayesian_vector_softplus": _vector("softplus"), "base_rates": _rates,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    """Gradient descent and expectation-maximisation have no SQL; the tests hold the models to known values."""
+    return {}
