@@ -13,6 +13,12 @@ from ..functions.analysis import tokenize
 BROADCAST_TERMS = 500_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: a small table may be one file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @dataclass(frozen=True)
 class Params:
     """Parameters of scoring, with the defaults of the command line."""
@@ -43,7 +49,8 @@ class Index:
     def build(cls, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", terms: str | None = None, params: Params | None = None) -> Index:
         """From texts, or from ready ``terms`` where they are not null."""
         tokens = tokenize(F.col(text)) if terms is None else F.coalesce(F.col(terms), tokenize(F.col(text)))
-        rows = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("tokens"))
+        cols = [c for c in dict.fromkeys([doc_id, text, terms]) if c]
+        rows = spread(docs.select(*cols)).select(F.col(doc_id).alias("doc_id"), tokens.alias("tokens"))
         return cls(rows.withColumn("doc_len", F.size("tokens")), params or Params())
 
     def corpus_stats(self) -> DataFrame:
@@ -52,7 +59,7 @@ class Index:
 
     def postings(self, only: DataFrame | None = None) -> DataFrame:
         """(doc_id, term, doc_len, tf); with ``only``(term), those terms alone, filtered before the shuffle."""
-        rows = self.docs.select("doc_id", "doc_len", F.explode("tokens").alias("term"))
+        rows = self.docs.select("doc_id", "doc_len", F.explode_outer("tokens").alias("term")).where("term is not null")  # the outer form asks the tokens once
         if only is not None:
             wanted = only.select("term").distinct()
             small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS

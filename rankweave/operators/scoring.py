@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.analysis import tokenize
-from .index import Index, idf
+from .index import BROADCAST_TERMS, Index, idf
 
 #: Queries that are sent to every task for dense scoring; more are scored in turns.
 QUERY_BATCH = 10_000
@@ -24,7 +24,11 @@ def term_scores(index: Index, queries: DataFrame) -> DataFrame:
     p = index.params
     postings = index.postings(only=queries)
     stats = F.broadcast(index.corpus_stats())  # one row
-    rows = postings.join(index.term_stats(postings), "term").crossJoin(stats)
+    df = index.term_stats(postings)
+    if queries.select("term").distinct().limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        df = F.broadcast(df)  # a row for each query term: frequent terms then stay spread over all documents
+        queries = F.broadcast(queries) if queries.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else queries
+    rows = postings.join(df, "term").crossJoin(stats)
     ratio = F.when(F.col("avgdl") > 0, F.col("doc_len") / F.col("avgdl")).otherwise(1.0)
     tf = F.col("tf").cast("double")
     gain = tf / (p.k1 * (1.0 - p.b + p.b * ratio) + tf)
@@ -68,12 +72,16 @@ def zero_filled_top(matched: DataFrame, queries: DataFrame, docs: DataFrame, k:
     """``top_k`` as if every document without a match scored 0.
 
     Only queries with fewer than ``k`` positive matches look beyond them, and take at most
-    the first ``k`` of the other documents.
+    the first ``k`` of the other documents. The best matches, ``k`` rows a query, are kept so
+    that the scores behind them are computed once.
     """
-    short = queries.select("query_id").distinct().join(matched.where(F.col(score) > 0).groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k), "query_id", "left_anti")
+    best = top_k(matched, k, score).persist()
+    short = queries.select("query_id").distinct().join(best.where(F.col(score) > 0).groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k), "query_id", "left_anti")
+    if short.isEmpty():
+        return best
     other = short.crossJoin(docs.select("doc_id")).join(matched.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     first = other.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where(F.col("r") <= k)
-    return top_k(matched.select("query_id", "doc_id", score).unionByName(first.select("query_id", "doc_id", F.lit(0.0).alias(score))), k, score)
+    return top_k(best.drop("rank").unionByName(first.select("query_id", "doc_id", F.lit(0.0).alias(score)), allowMissingColumns=True), k, score)
 
 
 def dense_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -88,13 +96,20 @@ def dense_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return d.crossJoin(q).select("query_id", "doc_id", X.cosine(F.col("q"), F.col("d"), F.col("qn"), F.col("dn")).alias("cos"))
 
 
-def signals(sparse: DataFrame, dense: DataFrame, queries: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
-    """One row for each candidate, the best ``depth`` by either signal: bm25, bayes, cos, overlap, ratio and both ranks."""
-    s = zero_filled_top(sparse.withColumn("score", F.col("bm25")), queries, docs, depth).select("query_id", "doc_id", F.col("rank").alias("rank_sparse"))
+def signals(sparse: DataFrame, dense: DataFrame, vectors: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
+    """One row for each candidate, the best ``depth`` by either signal: bm25, bayes, cos, overlap, ratio and both ranks.
+
+    The sparse scores are kept, since ranking and the dense candidates both need them; cosines
+    of the candidates are computed anew, which costs less than keeping those of all pairs.
+    """
+    sparse = sparse.persist()
+    s = zero_filled_top(sparse.select("query_id", "doc_id", "bm25"), vectors, docs, depth, "bm25").select("query_id", "doc_id", F.col("rank").alias("rank_sparse"))
     d = top_k(dense, depth, "cos").select("query_id", "doc_id", F.col("rank").alias("rank_dense"))
     cand = s.join(d, ["query_id", "doc_id"], "full_outer")
-    out = cand.join(sparse, ["query_id", "doc_id"], "left").join(dense, ["query_id", "doc_id"], "left").join(docs.select("doc_id", "doc_ratio"), "doc_id", "left")
-    return out.select("query_id", "doc_id", "rank_sparse", "rank_dense", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("bayes", F.lit(0.0)).alias("bayes"), F.coalesce("cos", F.lit(0.0)).alias("cos"), F.coalesce("overlap", F.lit(0)).cast("double").alias("overlap"), F.coalesce("ratio", "doc_ratio").alias("ratio"))
+    q = vectors.select("query_id", F.col("embedding").alias("q"))
+    got = cand.join(q, "query_id").join(docs.select("doc_id", "doc_ratio", "embedding"), "doc_id").withColumn("cos", X.cosine(F.col("q"), F.coalesce("embedding", F.array().cast("array<float>")))).drop("q", "embedding")
+    out = got.join(sparse, ["query_id", "doc_id"], "left")
+    return out.select("query_id", "doc_id", "rank_sparse", "rank_dense", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("bayes", F.lit(0.0)).alias("bayes"), "cos", F.coalesce("overlap", F.lit(0)).cast("double").alias("overlap"), F.coalesce("ratio", "doc_ratio").alias("ratio"))
 
 
 # --- fusion of a candidate table -------------------------------------------------------------

@@ -39,7 +39,7 @@ class Corpus:
         return scoring.dense_scores(self.docs, self.vectors)
 
     def signals(self, depth: int = DEPTH) -> DataFrame:
-        return scoring.signals(self.sparse().join(self.vectors.select("query_id"), "query_id"), self.dense(), self.vectors.select("query_id"), self.docs, depth)
+        return scoring.signals(self.sparse().join(self.vectors.select("query_id"), "query_id"), self.dense(), self.vectors, self.docs, depth)
 
 
 def _shown(ranked: DataFrame, score: str = "score") -> DataFrame:
