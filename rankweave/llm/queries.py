@@ -96,3 +96,40 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links, least.m AS component_id, v.vec_id = least.m AS kept
 FROM v JOIN least ON least.a = v.vec_id
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_SQL["op1_warc_revisits"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, b, sha1(b) AS x, max(page_id) OVER (PARTITION BY b) AS top FROM p)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(x, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)), 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to, true AS intact
+FROM h
+"""
+
+_SQL["op3_ngram_jaccard_join"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+pairs AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b, c = x.n AND c = y.n AS same FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+own AS (SELECT a, count(*) AS k, min(b) FILTER (same) AS twin FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_grams, least(d.doc_id, coalesce(own.twin, d.doc_id)) AS class_id, coalesce(own.k, 0) AS n_links, least.m AS component_id, d.doc_id = least.m AS kept
+FROM documents d JOIN least ON least.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN own ON own.a = d.doc_id
+"""
+
+_SQL["op6_benchmark_decontamination"] = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[k + 1:k + least(13, len(w))], ' ') AS s FROM (SELECT item, w, unnest(range(greatest(1, len(w) - 12))) AS k FROM i WHERE len(w) > 0)),
+gram AS (SELECT doc_id, n, k, array_to_string(w[k + 1:k + n], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS MATERIALIZED (SELECT doc_id, gram.n, k, item FROM gram JOIN win ON gram.s = win.s AND gram.n = win.n),
+words AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS c, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hit GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(words.c, 0) AS n_hit, coalesce(items.c, 0) AS n_items, sha256(coalesce(items.s, '')) AS items_sha256,
+  coalesce(words.c, 0) > 0 AND 20 * coalesce(words.c, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
