@@ -187,20 +187,21 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 # --- Python workers ---
 
 
-def _keep_heap_small() -> None:
-    """Large arrays straight from the system and back to it: workers live on between tasks."""
+def _one_heap() -> None:
+    """Arrays come from a heap that a task reuses (fresh pages cost more than the arithmetic on
+    them) and that goes back to the system when the task ends: workers live on."""
     pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
 
 
 def tidy(fn):
     """``fn`` as a task's function that gives unused memory back when it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _keep_heap_small()
+        _one_heap()
         try:
             yield from fn(batches)
         finally:
