@@ -198,8 +198,12 @@ class Transform:
         self.state.average(decay)
         return self
 
-    def column(self, score: Column, tf: Column, ratio: Column) -> Column:
-        return X.score_to_probability(score, tf, ratio, self.alpha, self.beta, self.base_rate)
+    def column(self, score: Column, tf: Column, ratio: Column, prior: Callable[[Column, Column, Column], Column] | None = None, prior_free: bool = False) -> Column:
+        """With the composite prior, a prior of the caller's own (score, tf, ratio), or 0.5 throughout."""
+        if prior is None and not prior_free:
+            return X.score_to_probability(score, tf, ratio, self.alpha, self.beta, self.base_rate)
+        given = F.lit(0.5) if prior_free else prior(score, tf, ratio)
+        return X.posterior(X.likelihood(score, self.alpha, self.beta), given, self.base_rate)
 
 
 def learn_parameters(scores, labels, rate: float = 0.01, steps: int = 1000, tol: float = 1e-6) -> dict:
@@ -371,6 +375,15 @@ class MultiHead:
             m.update(*args, **kw)
         return self
 
+    def upper_bounds(self, bounds, features):
+        return sigmoid(np.mean([logit(m.upper_bounds(bounds, features)) for m in self.models], axis=0))
+
+    def prune(self, probs, features, bounds, threshold: float):
+        """As for one head, by the heads' mean bounds."""
+        rows = np.flatnonzero(self.upper_bounds(bounds, features) >= threshold)
+        q = np.asarray(features, float).reshape(-1, self.features)
+        return rows, self.combine(np.asarray(probs, float).reshape(-1, self.n)[rows], q[np.minimum(rows, len(q) - 1)]) if len(rows) else np.zeros(0)
+
 
 # --- Spark ------------------------------------------------------------------------------------
 

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import base_rate, scoring
+from ..operators import base_rate, scoring, training
 from ..operators.learners import AttentionWeights, Isotonic, LearnableWeights, MultiHead, Platt, Transform, fit_by_group
 from ..operators.vector_probability import VectorProbability
-from .retrieval import TOP, Corpus, _shown
+from .retrieval import DEPTH, TOP, Corpus, _shown
 
 SEED, RATIO = 42, 0.5
 #: Judged candidates that a model is fitted on: queries are few, and each has 2 * DEPTH candidates at most.
@@ -22,12 +22,17 @@ MAX_QUERIES = 2_000
 
 def _judged(c: Corpus) -> DataFrame:
     rows = c.signals().join(c.qrels, ["query_id", "doc_id"], "left")
-    return rows.select("query_id", "doc_id", "rank_sparse", "rank_dense", "bm25", "bayes", "cos", "overlap", "ratio", F.coalesce("relevance", F.lit(0.0)).alias("label")).cache()
+    return rows.select("query_id", "doc_id", "rank_sparse", "rank_dense", "bm25", "bayes", "cos", "overlap", "ratio", "relevance", F.coalesce("relevance", F.lit(0.0)).alias("label")).cache()
+
+
+def _ids(c: Corpus) -> list:
+    """Queries with a vector and a judgment, at most ``MAX_QUERIES`` of the smallest ids."""
+    known = c.vectors.select("query_id").join(c.qrels.select("query_id"), "query_id", "left_semi")
+    return [r.query_id for r in known.distinct().orderBy("query_id").limit(MAX_QUERIES).collect()]
 
 
 def _train_ids(c: Corpus) -> tuple[list, list]:
-    ids = sorted(r.query_id for r in c.vectors.select("query_id").limit(MAX_QUERIES).collect())
-    return base_rate.split_queries(ids, RATIO, SEED)
+    return base_rate.split_queries(_ids(c), RATIO, SEED)
 
 
 def _model(rows: DataFrame, fit: Callable[[pd.DataFrame], dict], schema: str) -> dict:
@@ -35,19 +40,24 @@ def _model(rows: DataFrame, fit: Callable[[pd.DataFrame], dict], schema: str) ->
     return got[0].asDict() if got else {}
 
 
-def _fitted(spark: SparkSession, d: str) -> DataFrame:
-    """The sigmoid fitted on the training queries' candidates with a positive score, ranking the others."""
-    c = Corpus(spark, d)
-    rows = _judged(c)
-    train, rest = _train_ids(c)
+def _fitted(kind: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """The sigmoid fitted on the training queries' candidates of a positive score, unjudged ones as negative."""
+        c = Corpus(spark, d)
+        rows = _judged(c)
+        train, rest = (_ids(c),) * 2 if kind == "all" else _train_ids(c)
 
-    def fit(p: pd.DataFrame) -> dict:
-        t = Transform().fit(p.bm25, p.label)
-        return {"alpha": t.alpha, "beta": t.beta}
+        def fit(p: pd.DataFrame) -> dict:
+            t = Transform().fit(p.bm25, p.label, 0.05, 3000)
+            return {"alpha": t.alpha, "beta": t.beta, "pairs": len(p)}
+
+        m = _model(rows.where(F.col("query_id").isin(train) & (F.col("bm25") > 0)).select("query_id", "doc_id", "bm25", "label"), fit, "alpha double, beta double, pairs long")
+        if m.get("pairs", 0) < 4:
+            rest = []
+        score = F.when(F.col("bm25") > 0, X.score_to_probability(F.col("bm25"), F.col("overlap"), F.col("ratio"), m.get("alpha", 1.0), m.get("beta", 0.0))).otherwise(0.0)
+        return _shown(scoring.top_k(rows.where(F.col("query_id").isin(rest)).withColumn("score", score), TOP))
 
-    m = _model(rows.where(F.col("query_id").isin(train) & (F.col("bm25") > 0)).select("query_id", "doc_id", "bm25", "label"), fit, "alpha double, beta double") or {"alpha": 1.0, "beta": 0.0}
-    score = F.when(F.col("bm25") > 0, X.score_to_probability(F.col("bm25"), F.col("overlap"), F.col("ratio"), m["alpha"], m["beta"])).otherwise(0.0)
-    return _shown(scoring.top_k(rows.where(F.col("query_id").isin(rest or train)).withColumn("score", score), TOP))
+    return run
 
 
 def _dense_calibrated(kind: str):
@@ -55,7 +65,8 @@ def _dense_calibrated(kind: str):
         c = Corpus(spark, d)
         rows = _judged(c)
         train, rest = _train_ids(c)
-        some = rows.where(F.col("query_id").isin(train)).select("query_id", "doc_id", "cos", "label")
+        order = spark.createDataFrame([(0, q, SEED + i + 1) for i, q in enumerate(train)], "model int, query_id long, seed long")
+        some = training.drawn(rows.select("query_id", "doc_id", "cos", "relevance"), order).select("query_id", "doc_id", "cos", "label")
         if kind == "platt":
             fit = lambda p: vars(Platt().fit(p.cos, p.label))
             m = _model(some, fit, "a double, b double")
@@ -69,37 +80,52 @@ def _dense_calibrated(kind: str):
     return run
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    """By query: its length in matched words, the share of candidates hit, the largest score."""
-    return rows.groupBy("query_id").agg(F.log1p(F.max("overlap")).alias("f0"), F.avg((F.col("bm25") > 0).cast("double")).alias("f1"), F.log1p(F.max("bm25")).alias("f2"))
+def _scored(c: Corpus, vector: bool) -> DataFrame:
+    """Candidates with both probabilities, their relevance (null where unjudged) and the query's features."""
+    queries = c.queries.join(c.vectors.select("query_id"), "query_id", "left_semi")
+    rows = c.signals()
+    features = training.query_features(c.vectors, queries, c.sparse(), c.dense(), rows, c.index.docs.count(), DEPTH)
+    if vector:
+        rows = _vector_probabilities(c, rows).withColumnRenamed("cos", "dense")
+    else:
+        rows = rows.withColumn("dense", X.cosine_to_probability(F.col("cos")))
+    return rows.join(c.qrels, ["query_id", "doc_id"], "left").join(features, "query_id").select("query_id", "doc_id", "bayes", "dense", "relevance", *training.RICH)
+
+
+def _attention(kind: str, normalize: bool = False, heads: int = 1, vector: bool = False):
+    """Query features weigh both signals; normalised models see all seven features, others three.
 
+    Models are fitted in one job, one task a model, and rank in another; a model without enough
+    pairs of both classes ranks nothing.
+    """
+    names = list(training.RICH if normalize else training.BASIC)
+
+    def model() -> MultiHead | AttentionWeights:
+        return MultiHead(2, len(names), heads, 0.5, normalize) if heads > 1 else AttentionWeights(2, len(names), 0.5, normalize)
 
-def _attention(normalize: bool, heads: int):
     def run(spark: SparkSession, d: str) -> DataFrame:
         c = Corpus(spark, d)
-        rows = _judged(c)
-        train, rest = _train_ids(c)
-        full = rows.join(_features(rows), "query_id").select("query_id", "doc_id", "bayes", X.cosine_to_probability(F.col("cos")).alias("dense"), "label", "f0", "f1", "f2")
-
-        def model() -> MultiHead | AttentionWeights:
-            return MultiHead(2, 3, heads, 0.5, normalize) if heads > 1 else AttentionWeights(2, 3, 0.5, normalize)
+        rows = _scored(c, vector).cache()
+        train, ranked = training.protocol(_ids(c), kind, RATIO, SEED)
+        order = spark.createDataFrame(train, "model int, query_id long, seed long")
 
         def fit(p: pd.DataFrame) -> dict:
-            m = model().fit(p[["bayes", "dense"]].to_numpy(), p.label.to_numpy(), p[["f0", "f1", "f2"]].to_numpy(), p.query_id.to_numpy())
+            if not training.trainable(p.label):
+                return {"theta": None}
+            m = model().fit(p[["bayes", "dense"]].to_numpy(), p.label.to_numpy(), p[names].to_numpy(), p.query_id.to_numpy())
             return {"theta": np.concatenate([x.state.theta for x in (m.models if heads > 1 else [m])]).tolist()}
 
-        theta = _model(full.where(F.col("query_id").isin(train)), fit, "theta array<double>").get("theta")
+        fitted = fit_by_group(training.drawn(rows, order), ["model"], fit, "theta array<double>", ["query_id", "doc_id"]).where("theta is not null")
+        use = spark.createDataFrame(ranked, "query_id long, model int").join(F.broadcast(fitted), "model")  # a row for each model
 
         def one(p: pd.DataFrame) -> pd.DataFrame:
-            m = model()
-            if theta is not None:
-                for x, t in zip(m.models if heads > 1 else [m], np.split(np.array(theta), heads), strict=True):
-                    x.state.theta, x.state.mean = t, t
-            p = p.sort_values("doc_id")
-            out = m.combine(p[["bayes", "dense"]].to_numpy(), p[["f0", "f1", "f2"]].to_numpy()[:1], True)
+            m, p = model(), p.sort_values("doc_id")
+            for x, t in zip(m.models if heads > 1 else [m], np.split(np.array(p.theta.iloc[0]), heads), strict=True):
+                x.state.theta, x.state.mean = t, t
+            out = m.combine(p[["bayes", "dense"]].to_numpy(), p[names].to_numpy()[:1], True)
             return p[["query_id", "doc_id"]].assign(score=out)
 
-        scored = full.where(F.col("query_id").isin(rest or train)).groupBy("query_id").applyInPandas(one, "query_id long, doc_id long, score double")  # a query's candidates: 2 * DEPTH at most
+        scored = rows.join(use, "query_id").groupBy("query_id").applyInPandas(one, "query_id long, doc_id long, score double")  # a query's candidates: 2 * DEPTH at most
         return _shown(scoring.top_k(scored, TOP))
 
     return run
@@ -116,19 +142,24 @@ def _learnable(spark: SparkSession, d: str) -> DataFrame:
     return fit_by_group(rows.withColumn("model", F.lit("all")), ["model"], fit, "sparse_weight double, dense_weight double", ["query_id", "doc_id"])
 
 
+def _vector_probabilities(c: Corpus, rows: DataFrame) -> DataFrame:
+    """``cos`` of the candidates calibrated against the background of all documents' distances."""
+    far = X.cosine_distance(F.col("cos"))
+    back = c.dense().groupBy("query_id").agg(F.avg(far).alias("mu"), F.stddev_pop(far).alias("sigma"))
+    rows = rows.join(back, "query_id").select("query_id", "doc_id", "bm25", "bayes", far.alias("dist"), "mu", "sigma")
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("doc_id")
+        v = VectorProbability(float(p.mu.iloc[0]), max(float(p.sigma.iloc[0]), 1e-10))
+        return p[["query_id", "doc_id", "bm25", "bayes"]].assign(cos=v.calibrate(p.dist.to_numpy(), weights=p.bayes.to_numpy()))
+
+    return rows.groupBy("query_id").applyInPandas(one, "query_id long, doc_id long, bm25 double, bayes double, cos double")
+
+
 def _vector(method: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        """Distances of the candidates calibrated against the background of all documents."""
         c = Corpus(spark, d)
-        back = c.dense().groupBy("query_id").agg(F.avg(X.cosine_distance(F.col("cos"))).alias("mu"), F.stddev_pop(X.cosine_distance(F.col("cos"))).alias("sigma"))
-        rows = c.signals().join(back, "query_id").select("query_id", "doc_id", "bm25", "bayes", X.cosine_distance(F.col("cos")).alias("dist"), "mu", "sigma")
-
-        def one(p: pd.DataFrame) -> pd.DataFrame:
-            p = p.sort_values("doc_id")
-            v = VectorProbability(float(p.mu.iloc[0]), max(float(p.sigma.iloc[0]), 1e-10))
-            return p[["query_id", "doc_id", "bm25", "bayes"]].assign(cos=v.calibrate(p.dist.to_numpy(), weights=p.bayes.to_numpy()))
-
-        got = rows.groupBy("query_id").applyInPandas(one, "query_id long, doc_id long, bm25 double, bayes double, cos double")
+        got = _vector_probabilities(c, c.signals())
         if method == "balanced":
             return _shown(scoring.top_k(scoring.fuse(got, "balanced_fusion"), TOP))
         return _shown(scoring.top_k(got.withColumn("score", X.log_odds_conjunction([F.col("bayes"), F.col("cos")], gating="softplus")), TOP))
@@ -149,9 +180,14 @@ def _rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "bayesian_fitted_split": _fitted, "dense_platt_split": _dense_calibrated("platt"), "dense_isotonic_split": _dense_calibrated("isotonic"),
-        "bayesian_attention_split": _attention(False, 1), "bayesian_attn_norm_split": _attention(True, 1), "bayesian_multihead_split": _attention(False, 4), "bayesian_multihead_norm_split": _attention(True, 4),
+    attention = {
+        f"bayesian_{name}{end}": _attention(kind, normalize, heads)
+        for end, kind in (("", "all"), ("_split", "split"))
+        for name, normalize, heads in (("attention", False, 1), ("attn_norm", True, 1), ("multihead", False, 4), ("multihead_norm", True, 4))
+    }
+    return attention | {
+        "bayesian_attn_norm_cv": _attention("cv", True), "bayesian_vector_attn_split": _attention("split", vector=True),
+        "bayesian_fitted": _fitted("all"), "bayesian_fitted_split": _fitted("split"), "dense_platt_split": _dense_calibrated("platt"), "dense_isotonic_split": _dense_calibrated("isotonic"),
         "learnable_weights": _learnable, "bayesian_vector_balanced": _vector("balanced"), "bayesian_vector_softplus": _vector("softplus"), "base_rates": _rates,
     }
 
