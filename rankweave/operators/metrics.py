@@ -46,8 +46,8 @@ def mean_metrics(by_query: DataFrame) -> DataFrame:
     return by_query.groupBy("cutoff").agg(F.count("*").alias("queries"), *(F.avg(m).alias(m) for m in ("ndcg", "map", "mrr", "recall")))
 
 
-def reliability(pairs: DataFrame, bins: int = 10) -> DataFrame:
-    """From (p, y) each non-empty bin (low, high] (the first with its low end): bin, mean_p, mean_y, n.
+def reliability(pairs: DataFrame, bins: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """From (*by, p, y) each non-empty bin (low, high] (the first with its low end): *by, bin, mean_p, mean_y, n.
 
     Bounds are compared as i / n, never by scaling p, which rounds otherwise at the edges.
     """
@@ -55,11 +55,54 @@ def reliability(pairs: DataFrame, bins: int = 10) -> DataFrame:
     for i in reversed(range(bins)):
         inside = (F.col("p") <= (i + 1) / bins) & ((F.col("p") >= 0) if i == 0 else (F.col("p") > i / bins))
         edge = F.when(inside, i).otherwise(edge)
-    return pairs.select(edge.alias("bin"), "p", "y").where("bin is not null").groupBy("bin").agg(F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"), F.count("*").alias("n"))
+    return pairs.select(*by, edge.alias("bin"), "p", "y").where("bin is not null").groupBy(*by, "bin").agg(F.avg("p").alias("mean_p"), F.avg("y").alias("mean_y"), F.count("*").alias("n"))
 
 
-def calibration(pairs: DataFrame, bins: int = 10) -> DataFrame:
-    """One row: ece, brier, samples; probabilities outside all bins count among the samples only."""
-    ece = reliability(pairs, bins).agg(F.coalesce(F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))), F.lit(0.0)).alias("gap"))
-    all_ = pairs.agg(F.count("*").alias("samples"), F.coalesce(F.avg(F.pow(F.col("p") - F.col("y"), 2)), F.lit(0.0)).alias("brier"))
-    return all_.crossJoin(ece).select(F.when(F.col("samples") > 0, F.col("gap") / F.col("samples")).otherwise(0.0).alias("ece"), "brier", "samples")
+def calibration(pairs: DataFrame, bins: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each ``by``: ece, brier, samples; probabilities outside all bins count among the samples only."""
+    ece = reliability(pairs, bins, by).groupBy(*by).agg(F.coalesce(F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))), F.lit(0.0)).alias("gap"))
+    all_ = pairs.groupBy(*by).agg(F.count("*").alias("samples"), F.coalesce(F.avg(F.pow(F.col("p") - F.col("y"), 2)), F.lit(0.0)).alias("brier"))
+    both = all_.join(ece, list(by), "left") if by else all_.crossJoin(ece)
+    return both.select(*by, F.when(F.col("samples") > 0, F.coalesce("gap", F.lit(0.0)) / F.col("samples")).otherwise(0.0).alias("ece"), "brier", "samples")
+
+
+# --- runs of several scorers ------------------------------------------------------------------
+
+# The scorers whose scores are probabilities.
+PROBABILITIES = (
+    "bayesian", "bayesian_attention", "bayesian_attention_split", "bayesian_attn_norm", "bayesian_attn_norm_cv", "bayesian_attn_norm_split",
+    "bayesian_fitted", "bayesian_fitted_split", "bayesian_gated_gelu", "bayesian_gated_relu", "bayesian_gated_softplus", "bayesian_gated_swish",
+    "bayesian_gated_swish_b2", "bayesian_logodds", "bayesian_logodds_br", "bayesian_multifield", "bayesian_multihead", "bayesian_multihead_norm",
+    "bayesian_multihead_norm_split", "bayesian_multihead_split", "bayesian_no_base_rate", "bayesian_vector_attn_split", "bayesian_vector_balanced",
+    "bayesian_vector_softplus", "dense_isotonic_split", "dense_platt_split", "hybrid_and", "hybrid_or",
+)
+
+
+def evaluate(runs: DataFrame, qrels: DataFrame, cutoffs: list[int], style: str = "pytrec") -> DataFrame:
+    """runs(scorer, query_id, doc_id, score) to (scorer, cutoff, queries, ndcg, map, mrr, recall).
+
+    A scorer's mean is over the judged queries it ranked.
+    """
+    key = F.struct("scorer", F.col("query_id").alias("q")).alias("query_id")
+    w = Window.partitionBy("scorer", "query_id").orderBy(F.round("score", 9).desc(), F.col("doc_id"))
+    ranked = runs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(cutoffs)).select(key, "doc_id", "rank")
+    seen = runs.select("scorer", "query_id").distinct()
+    judged = qrels.join(seen, "query_id").select(key, "doc_id", "relevance")
+    by = ranking_metrics(ranked, judged, cutoffs, style).select(F.col("query_id.scorer").alias("scorer"), "cutoff", "ndcg", "map", "mrr", "recall")
+    return by.groupBy("scorer", "cutoff").agg(F.count("*").alias("queries"), *(F.avg(m).alias(m) for m in ("ndcg", "map", "mrr", "recall")))
+
+
+def evaluate_calibration(runs: DataFrame, qrels: DataFrame, bins: int = 10, style: str = "pytrec", scorers: tuple[str, ...] = PROBABILITIES) -> DataFrame:
+    """(scorer, ece, brier, samples). pytrec: judged pairs only; python-reference: every positive score of
+    a judged query, unjudged documents as negative. Probabilities are clipped into [0, 1]."""
+    known = qrels.select("query_id").distinct()
+    rows = runs.where(F.col("scorer").isin(*scorers)).join(known, "query_id", "left_semi").join(qrels, ["query_id", "doc_id"], "left")
+    rows = rows.where("relevance is not null") if style == "pytrec" else rows.where((F.col("score") > 0) & ~F.isnan("score"))
+    p = F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))
+    return calibration(rows.select("scorer", p.alias("p"), (F.coalesce("relevance", F.lit(0.0)) > 0).cast("double").alias("y")), bins, ("scorer",))
+
+
+def over_datasets(results: DataFrame) -> DataFrame:
+    """results(dataset, scorer, cutoff, queries, metrics) with a row over all data sets (a null dataset): means, and queries summed."""
+    means = [F.avg(m).alias(m) for m in ("ndcg", "map", "mrr", "recall")]
+    return results.unionByName(results.groupBy("scorer", "cutoff").agg(F.sum("queries").alias("queries"), *means).withColumn("dataset", F.lit(None).cast("string")))

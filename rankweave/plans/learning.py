@@ -13,7 +13,7 @@ from ..functions import exprs as X
 from ..operators import base_rate, scoring, training
 from ..operators.learners import AttentionWeights, Isotonic, LearnableWeights, MultiHead, Platt, Transform, fit_by_group
 from ..operators.vector_probability import VectorProbability
-from .retrieval import DEPTH, TOP, Corpus, _shown
+from .retrieval import DEPTH, TOP, Corpus, Scorer, shown
 
 SEED, RATIO = 42, 0.5
 #: Judged candidates that a model is fitted on: queries are few, and each has 2 * DEPTH candidates at most.
@@ -31,6 +31,10 @@ def _ids(c: Corpus) -> list:
     return [r.query_id for r in known.distinct().orderBy("query_id").limit(MAX_QUERIES).collect()]
 
 
+def _key(c: Corpus) -> str:
+    return c.keys.split(", ")[0]
+
+
 def _train_ids(c: Corpus) -> tuple[list, list]:
     return base_rate.split_queries(_ids(c), RATIO, SEED)
 
@@ -41,9 +45,8 @@ def _model(rows: DataFrame, fit: Callable[[pd.DataFrame], dict], schema: str) ->
 
 
 def _fitted(kind: str):
-    def run(spark: SparkSession, d: str) -> DataFrame:
+    def run(c: Corpus) -> DataFrame:
         """The sigmoid fitted on the training queries' candidates of a positive score, unjudged ones as negative."""
-        c = Corpus(spark, d)
         rows = _judged(c)
         train, rest = (_ids(c),) * 2 if kind == "all" else _train_ids(c)
 
@@ -55,17 +58,16 @@ def _fitted(kind: str):
         if m.get("pairs", 0) < 4:
             rest = []
         score = F.when(F.col("bm25") > 0, X.score_to_probability(F.col("bm25"), F.col("overlap"), F.col("ratio"), m.get("alpha", 1.0), m.get("beta", 0.0))).otherwise(0.0)
-        return _shown(scoring.top_k(rows.where(F.col("query_id").isin(rest)).withColumn("score", score), TOP))
+        return scoring.top_k(rows.where(F.col("query_id").isin(rest)).withColumn("score", score), TOP)
 
     return run
 
 
 def _dense_calibrated(kind: str):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        c = Corpus(spark, d)
+    def run(c: Corpus) -> DataFrame:
         rows = _judged(c)
         train, rest = _train_ids(c)
-        order = spark.createDataFrame([(0, q, SEED + i + 1) for i, q in enumerate(train)], "model int, query_id long, seed long")
+        order = c.spark.createDataFrame([(0, q, SEED + i + 1) for i, q in enumerate(train)], f"model int, {_key(c)}, seed long")
         some = training.drawn(rows.select("query_id", "doc_id", "cos", "relevance"), order).select("query_id", "doc_id", "cos", "label")
         if kind == "platt":
             fit = lambda p: vars(Platt().fit(p.cos, p.label))
@@ -75,7 +77,7 @@ def _dense_calibrated(kind: str):
             fit = lambda p: vars(Isotonic().fit(p.cos, p.label))
             m = _model(some, fit, "x array<double>, y array<double>")
             score = Isotonic(m.get("x", []), m.get("y", [])).column(F.col("cos"))
-        return _shown(scoring.top_k(rows.where(F.col("query_id").isin(rest or train)).withColumn("score", score), TOP))
+        return scoring.top_k(rows.where(F.col("query_id").isin(rest or train)).withColumn("score", score), TOP)
 
     return run
 
@@ -103,11 +105,10 @@ def _attention(kind: str, normalize: bool = False, heads: int = 1, vector: bool
     def model() -> MultiHead | AttentionWeights:
         return MultiHead(2, len(names), heads, 0.5, normalize) if heads > 1 else AttentionWeights(2, len(names), 0.5, normalize)
 
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        c = Corpus(spark, d)
+    def run(c: Corpus) -> DataFrame:
         rows = _scored(c, vector).cache()
         train, ranked = training.protocol(_ids(c), kind, RATIO, SEED)
-        order = spark.createDataFrame(train, "model int, query_id long, seed long")
+        order = c.spark.createDataFrame(train, f"model int, {_key(c)}, seed long")
 
         def fit(p: pd.DataFrame) -> dict:
             if not training.trainable(p.label):
@@ -116,7 +117,7 @@ def _attention(kind: str, normalize: bool = False, heads: int = 1, vector: bool
             return {"theta": np.concatenate([x.state.theta for x in (m.models if heads > 1 else [m])]).tolist()}
 
         fitted = fit_by_group(training.drawn(rows, order), ["model"], fit, "theta array<double>", ["query_id", "doc_id"]).where("theta is not null")
-        use = spark.createDataFrame(ranked, "query_id long, model int").join(F.broadcast(fitted), "model")  # a row for each model
+        use = c.spark.createDataFrame(ranked, f"{_key(c)}, model int").join(F.broadcast(fitted), "model")  # a row for each model
 
         def one(p: pd.DataFrame) -> pd.DataFrame:
             m, p = model(), p.sort_values("doc_id")
@@ -125,15 +126,15 @@ def _attention(kind: str, normalize: bool = False, heads: int = 1, vector: bool
             out = m.combine(p[["bayes", "dense"]].to_numpy(), p[names].to_numpy()[:1], True)
             return p[["query_id", "doc_id"]].assign(score=out)
 
-        scored = rows.join(use, "query_id").groupBy("query_id").applyInPandas(one, "query_id long, doc_id long, score double")  # a query's candidates: 2 * DEPTH at most
-        return _shown(scoring.top_k(scored, TOP))
+        scored = rows.join(use, "query_id").groupBy("query_id").applyInPandas(one, f"{c.keys}, score double")  # a query's candidates: 2 * DEPTH at most
+        return scoring.top_k(scored, TOP)
 
     return run
 
 
 def _learnable(spark: SparkSession, d: str) -> DataFrame:
     """Fusion weights by signal, fitted on all judged candidates."""
-    rows = _judged(Corpus(spark, d)).select("query_id", "doc_id", "bayes", X.cosine_to_probability(F.col("cos")).alias("dense"), "label")
+    rows = _judged(Corpus.of_tables(spark, d)).select("query_id", "doc_id", "bayes", X.cosine_to_probability(F.col("cos")).alias("dense"), "label")
 
     def fit(p: pd.DataFrame) -> dict:
         w = LearnableWeights(2).fit(p[["bayes", "dense"]].to_numpy(), p.label.to_numpy(), 0.1, 300, 1e-9).weights
@@ -153,23 +154,22 @@ def _vector_probabilities(c: Corpus, rows: DataFrame) -> DataFrame:
         v = VectorProbability(float(p.mu.iloc[0]), max(float(p.sigma.iloc[0]), 1e-10))
         return p[["query_id", "doc_id", "bm25", "bayes"]].assign(cos=v.calibrate(p.dist.to_numpy(), weights=p.bayes.to_numpy()))
 
-    return rows.groupBy("query_id").applyInPandas(one, "query_id long, doc_id long, bm25 double, bayes double, cos double")
+    return rows.groupBy("query_id").applyInPandas(one, f"{c.keys}, bm25 double, bayes double, cos double")
 
 
 def _vector(method: str):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        c = Corpus(spark, d)
+    def run(c: Corpus) -> DataFrame:
         got = _vector_probabilities(c, c.signals())
         if method == "balanced":
-            return _shown(scoring.top_k(scoring.fuse(got, "balanced_fusion"), TOP))
-        return _shown(scoring.top_k(got.withColumn("score", X.log_odds_conjunction([F.col("bayes"), F.col("cos")], gating="softplus")), TOP))
+            return scoring.top_k(scoring.fuse(got, "balanced_fusion"), TOP)
+        return scoring.top_k(got.withColumn("score", X.log_odds_conjunction([F.col("bayes"), F.col("cos")], gating="softplus")), TOP)
 
     return run
 
 
 def _rates(spark: SparkSession, d: str) -> DataFrame:
     """Base rates by the three estimators, and the automatic sigmoid, from pseudo-queries of 50 documents."""
-    c = Corpus(spark, d)
+    c = Corpus.of_tables(spark, d)
     n = c.index.docs.count()
     ids = [r.doc_id for r in c.index.docs.where("doc_len > 0").orderBy(F.xxhash64("doc_id")).select("doc_id").limit(50).collect()]
     scores = base_rate.pseudo_scores(c.index, ids).cache()
@@ -179,7 +179,8 @@ def _rates(spark: SparkSession, d: str) -> DataFrame:
     return auto.crossJoin(quantile).crossJoin(elbow).select(*(F.round(x, 6).alias(x) for x in ("alpha", "beta", "percentile", "elbow")))  # one row each
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def scorers() -> dict[str, Scorer]:
+    """Scorers with a fit."""
     attention = {
         f"bayesian_{name}{end}": _attention(kind, normalize, heads)
         for end, kind in (("", "all"), ("_split", "split"))
@@ -188,10 +189,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return attention | {
         "bayesian_attn_norm_cv": _attention("cv", True), "bayesian_vector_attn_split": _attention("split", vector=True),
         "bayesian_fitted": _fitted("all"), "bayesian_fitted_split": _fitted("split"), "dense_platt_split": _dense_calibrated("platt"), "dense_isotonic_split": _dense_calibrated("isotonic"),
-        "learnable_weights": _learnable, "bayesian_vector_balanced": _vector("balanced"), "bayesian_vector_softplus": _vector("softplus"), "base_rates": _rates,
+        "bayesian_vector_balanced": _vector("balanced"), "bayesian_vector_softplus": _vector("softplus"),
     }
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: shown(f) for n, f in scorers().items()} | {"learnable_weights": _learnable, "base_rates": _rates}
+
+
 def oracle_sql() -> dict[str, str]:
     """Gradient descent and expectation-maximisation have no SQL; the tests hold the models to known values."""
     return {}

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, scoring
 from ..operators.index import Index, Params, block_max
+from ..operators.selfcheck import SelfCheck
 
-DEPTH, TOP = 100, 10
+DEPTH, TOP, BASE_RATE = 100, 10, 0.05
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -18,19 +20,32 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 class Corpus:
-    """The relations of one data set: documents and items with the vectors of their ids; an item's
-    relevant documents are those whose vector has its vector's label."""
-
-    def __init__(self, spark: SparkSession, d: str, params: Params | None = None):
-        docs, items, vec = _read(spark, d, "documents"), _read(spark, d, "benchmark"), _read(spark, d, "embeddings")
-        self.index = Index.build(docs, params=params or Params(method="lucene"))
-        self.queries = scoring.query_terms(items, query_id="item_id")
-        self.ids = items.select(F.col("item_id").alias("query_id"))
+    """What every scorer reads: docs(doc_id, text, embedding[, terms]), queries(query_id, text, embedding[, terms])
+    and qrels(query_id, doc_id, relevance). Queries with a null vector take part in sparse scoring only."""
+
+    def __init__(self, docs: DataFrame, queries: DataFrame, qrels: DataFrame, params: Params | None = None):
+        terms = lambda df: "terms" if "terms" in df.columns else None
+        self.spark, self.qrels = docs.sparkSession, qrels
+        self.index = Index.build(docs, terms=terms(docs), params=params or Params(method="lucene"))
+        self.queries = scoring.query_terms(queries, terms=terms(queries))
+        self.ids = queries.select("query_id")
         stats = F.broadcast(self.index.corpus_stats())
         rows = self.index.docs.crossJoin(stats).select("doc_id", F.when(F.col("avgdl") > 0, F.col("doc_len") / F.col("avgdl")).otherwise(1.0).alias("doc_ratio"))
-        self.docs = rows.join(vec.select(F.col("vec_id").alias("doc_id"), "embedding", "label"), "doc_id", "left")
-        self.vectors = vec.join(self.ids, F.col("vec_id") == F.col("query_id")).select("query_id", "embedding", "label")
-        self.qrels = self.vectors.select("query_id", F.col("label").alias("l")).join(self.docs.select("doc_id", "label"), F.col("label") == F.col("l")).select("query_id", "doc_id", F.lit(1.0).alias("relevance"))
+        self.docs = rows.join(docs.select("doc_id", "embedding"), "doc_id")
+        self.vectors = queries.where("embedding is not null").select("query_id", "embedding")
+        kinds = [df.select(c).schema[0].dataType.simpleString() for df, c in ((queries, "query_id"), (docs, "doc_id"))]
+        self.keys = f"query_id {kinds[0]}, doc_id {kinds[1]}"
+
+    @classmethod
+    def of_tables(cls, spark: SparkSession, d: str, params: Params | None = None) -> Corpus:
+        """One data set: documents and items with the vectors of their ids; an item's relevant documents
+        are those whose vector has its vector's label."""
+        vec = _read(spark, d, "embeddings").select("vec_id", "embedding", "label")
+        docs = _read(spark, d, "documents").select("doc_id", "text").join(vec, F.col("doc_id") == F.col("vec_id"), "left")
+        items = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(vec, F.col("query_id") == F.col("vec_id"), "left")
+        wanted = items.where("vec_id is not null").select("query_id", F.col("label").alias("l"))
+        qrels = wanted.join(docs.select("doc_id", "label"), F.col("label") == F.col("l")).select("query_id", "doc_id", F.lit(1.0).alias("relevance"))
+        return cls(docs, items, qrels, params)
 
     def sparse(self) -> DataFrame:
         return scoring.sparse_scores(self.index, self.queries)
@@ -46,29 +61,41 @@ def _shown(ranked: DataFrame, score: str = "score") -> DataFrame:
     return ranked.select("query_id", "doc_id", "rank", F.round(score, 6).alias("score"))
 
 
-def _sparse(method: str, column: str):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        c = Corpus(spark, d, Params(method=method))
-        rows = c.sparse().select("query_id", "doc_id", F.col(column).alias("score"))
-        return _shown(scoring.zero_filled_top(rows, c.ids, c.docs, TOP))
+Scorer = Callable[[Corpus], DataFrame]
+
+
+def _sparse(column: str) -> Scorer:
+    """The best documents of each query by a sparse score; those without a match score 0."""
+
+    def run(c: Corpus) -> DataFrame:
+        rows = c.sparse()
+        value = scoring.overall_posterior(F.col("bm25"), F.col("overlap"), F.col("ratio"), c.index.params.alpha, c.index.params.beta, c.index.params.base_rate) if column == "overall" else F.col(column)
+        return scoring.zero_filled_top(rows.select("query_id", "doc_id", value.alias("score")), c.ids, c.docs, TOP)
 
     return run
 
 
-def _dense(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(scoring.top_k(Corpus(spark, d).dense(), TOP, "cos"), "cos")
+def _dense(c: Corpus) -> DataFrame:
+    return scoring.top_k(c.dense().withColumnRenamed("cos", "score"), TOP)
 
 
-def _fused(method: str):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return _shown(scoring.top_k(scoring.fuse(Corpus(spark, d).signals(), method, base_rate=0.05), TOP))
+def _fused(method: str) -> Scorer:
+    return lambda c: scoring.top_k(scoring.fuse(c.signals(), method, base_rate=BASE_RATE), TOP)
 
-    return run
+
+def scorers() -> dict[str, Scorer]:
+    """Scorers that need no fit."""
+    return {"bm25": _sparse("bm25"), "bayesian": _sparse("bayes"), "bayesian_overall": _sparse("overall"), "dense": _dense} | {m: _fused(m) for m in scoring.METHODS}
+
+
+def shown(scorer: Scorer, params: Params | None = None):
+    """A scorer as a registered query."""
+    return lambda spark, d: _shown(scorer(Corpus.of_tables(spark, d, params)))
 
 
 def _metrics(style: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        c = Corpus(spark, d)
+        c = Corpus.of_tables(spark, d)
         ranked = scoring.top_k(scoring.fuse(c.signals(), "rrf"), TOP)
         got = metrics.mean_metrics(metrics.ranking_metrics(ranked, c.qrels, [5, 10], style))
         return got.select("cutoff", "queries", *(F.round(m, 6).alias(m) for m in ("ndcg", "map", "mrr", "recall")))
@@ -82,12 +109,12 @@ def _pairs(c: Corpus) -> DataFrame:
 
 
 def _calibration(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.calibration(_pairs(Corpus(spark, d)))
+    out = metrics.calibration(_pairs(Corpus.of_tables(spark, d)))
     return out.select(F.round("ece", 6).alias("ece"), F.round("brier", 6).alias("brier"), "samples")
 
 
 def _reliability(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.reliability(_pairs(Corpus(spark, d)))
+    out = metrics.reliability(_pairs(Corpus.of_tables(spark, d)))
     return out.select("bin", F.round("mean_p", 6).alias("mean_p"), F.round("mean_y", 6).alias("mean_y"), "n")
 
 
@@ -101,29 +128,58 @@ def _corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _block_max(spark: SparkSession, d: str) -> DataFrame:
-    c = Corpus(spark, d)
+    c = Corpus.of_tables(spark, d)
     rows = scoring.term_scores(c.index, c.queries).select("term", F.col("doc_id").alias("doc_ord"), F.col("raw").alias("score")).distinct()
     return block_max(rows, 64).select("term", "block_id", F.round("max_score", 6).alias("max_score"))
 
 
-def _multi_field(spark: SparkSession, d: str) -> DataFrame:
-    """Two fields, the first line and the rest."""
-    docs, items = _read(spark, d, "documents"), _read(spark, d, "benchmark")
+FIELDS = {"title": 0.2, "body": 0.8}
+
+
+def _fields(spark: SparkSession, d: str) -> dict[str, Index]:
+    """Two fields of the documents, the first line and the rest."""
     text = F.coalesce("text", F.lit(""))
-    parts = docs.select("doc_id", F.substring_index(text, "\n", 1).alias("title"), F.when(F.instr(text, "\n") > 0, F.substr(text, F.instr(text, "\n") + 1)).otherwise("").alias("body"))
-    p = Params(method="lucene")
-    fields = {f: Index.build(parts, text=f, params=p) for f in ("title", "body")}
-    rows = scoring.multi_field_scores(fields, scoring.query_terms(items, query_id="item_id"), {"title": 0.2, "body": 0.8})
+    rest = F.when(F.instr(text, "\n") > 0, F.substr(text, F.instr(text, "\n") + 1)).otherwise("")
+    parts = _read(spark, d, "documents").select("doc_id", F.substring_index(text, "\n", 1).alias("title"), rest.alias("body"))
+    return {f: Index.build(parts, text=f, params=Params(method="lucene")) for f in FIELDS}
+
+
+def _multi_field(spark: SparkSession, d: str) -> DataFrame:
+    rows = scoring.multi_field_scores(_fields(spark, d), scoring.query_terms(_read(spark, d, "benchmark"), query_id="item_id"), FIELDS)
     return _shown(scoring.top_k(rows, TOP))
 
 
+def _multi_field_balanced(spark: SparkSession, d: str) -> DataFrame:
+    """The fields' score fused with the cosine over the best candidates of both."""
+    c = Corpus.of_tables(spark, d)
+    rows = scoring.multi_field_scores(_fields(spark, d), c.queries.join(c.vectors.select("query_id"), "query_id", "left_semi"), FIELDS)
+    sparse = rows.select("query_id", "doc_id", F.col("score").alias("bm25"), F.col("score").alias("bayes"), F.lit(0).alias("overlap"), F.lit(None).cast("double").alias("ratio"))
+    return _shown(scoring.top_k(scoring.fuse(scoring.signals(sparse, c.dense(), c.vectors, c.docs, DEPTH), "balanced_fusion"), TOP))
+
+
+def _by_scorer(spark: SparkSession, d: str) -> DataFrame:
+    """Ranking metrics of three scorers, as one table of runs."""
+    c = Corpus.of_tables(spark, d)
+    known = scorers()
+    runs = reduce(DataFrame.unionByName, [known[n](c).select(F.lit(n).alias("scorer"), "query_id", "doc_id", "score") for n in ("bm25", "dense", "rrf")])
+    got = metrics.evaluate(runs.join(c.vectors.select("query_id"), "query_id", "left_semi"), c.qrels, [10])
+    return got.select("scorer", "cutoff", "queries", *(F.round(m, 6).alias(m) for m in ("ndcg", "map", "mrr", "recall")))
+
+
+def _self_checks(spark: SparkSession, d: str) -> DataFrame:
+    c = Corpus.of_tables(spark, d)
+    items = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return SelfCheck(c.index, items, c.signals(), c.qrels).run_all()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-        "bm25": _sparse("robertson", "bm25"), "bm25_lucene": _sparse("lucene", "bm25"), "bayesian": _sparse("lucene", "bayes"), "bayesian_robertson": _sparse("robertson", "bayes"),
-        "dense": _dense, "bayesian_multifield": _multi_field, "metrics_pytrec": _metrics("pytrec"), "metrics_reference": _metrics("python-reference"),
-        "calibration": _calibration, "reliability": _reliability, "term_stats": _term_stats, "corpus_stats": _corpus_stats, "block_max": _block_max,
+    known, lucene, robertson = scorers(), Params(method="lucene"), Params(method="robertson")
+    rated = Params(method="lucene", base_rate=BASE_RATE)
+    return {n: shown(f) for n, f in known.items()} | {
+        "bm25": shown(known["bm25"], robertson), "bm25_lucene": shown(known["bm25"], lucene), "bayesian_robertson": shown(known["bayesian"], robertson), "bayesian_no_base_rate": shown(known["bayesian"], lucene), "bayesian": shown(known["bayesian"], lucene), "bayesian_base_rate": shown(known["bayesian"], rated),
+        "bayesian_multifield": _multi_field, "bayesian_multifield_bal": _multi_field_balanced, "metrics_pytrec": _metrics("pytrec"), "metrics_reference": _metrics("python-reference"), "metrics_by_scorer": _by_scorer,
+        "calibration": _calibration, "reliability": _reliability, "term_stats": _term_stats, "corpus_stats": _corpus_stats, "block_max": _block_max, "self_checks": _self_checks,
     }
-    return out | {m: _fused(m) for m in scoring.METHODS}
 
 
 # --- the same in SQL ---------------------------------------------------------------------------
@@ -140,12 +196,15 @@ def _sigmoid(x: str) -> str:
     return f"(CASE WHEN ({x}) >= 0 THEN 1 / (1 + exp(-({x}))) ELSE exp({x}) / (1 + exp({x})) END)"
 
 
-def _base(method: str, text: str = "text", source: str = "documents", tag: str = "") -> str:
+def _base(method: str, text: str = "text", source: str = "documents", tag: str = "", rate: float | None = None) -> str:
     """CTEs up to sp<tag>(query_id, doc_id, bm25, bayes, overlap, ratio)."""
     t = tag
     idf = "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))" if method == "lucene" else "ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))"
     factor = "1.0::DOUBLE" if method == "lucene" else "2.2::DOUBLE"
     prior = "least(greatest(0.7::DOUBLE * (0.2::DOUBLE + 0.7::DOUBLE * least(tf / 10.0::DOUBLE, 1.0::DOUBLE)) + 0.3::DOUBLE * (CASE WHEN avgdl < 1 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE + 0.6::DOUBLE * (1 - least(abs(ratio - 0.5::DOUBLE) * 2, 1.0::DOUBLE)) END), 0.1::DOUBLE), 0.9::DOUBLE)"
+    post = "l * pr / (l * pr + (1 - l) * (1 - pr))"
+    if rate is not None:
+        post = f"({post}) * {rate}::DOUBLE / (({post}) * {rate}::DOUBLE + (1 - ({post})) * (1 - {rate}::DOUBLE))"
     return f"""
 toks{t} AS MATERIALIZED (SELECT doc_id, list_transform(regexp_extract_all(coalesce({text}, ''), '[A-Za-z0-9]+'), lambda x: lower(x)) AS t FROM {source}),
 st{t} AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, coalesce(avg(len(t)), 0)::DOUBLE AS avgdl FROM toks{t}),
@@ -157,7 +216,7 @@ ts{t} AS MATERIALIZED (SELECT query_id, doc_id, term, qtf, tf, ratio, avgdl, {id
   FROM post{t} JOIN dfs{t} USING (term) JOIN qt{t} USING (term) JOIN dr{t} USING (doc_id), st{t}),
 po{t} AS MATERIALIZED (SELECT *, {_safe(_sigmoid('raw - 0.5::DOUBLE'))} AS l, {_safe(prior)} AS pr FROM ts{t}),
 sp{t} AS MATERIALIZED (SELECT query_id, doc_id, sum(qtf * raw) AS bm25,
-  1 - exp(sum(CASE WHEN raw <> 0 THEN qtf * ln(1 - {_safe('l * pr / (l * pr + (1 - l) * (1 - pr))')}) ELSE 0 END)) AS bayes, count(*)::DOUBLE AS overlap, any_value(ratio) AS ratio FROM po{t} GROUP BY query_id, doc_id)"""
+  1 - exp(sum(CASE WHEN raw <> 0 THEN qtf * ln(1 - {_safe(post)}) ELSE 0 END)) AS bayes, count(*)::DOUBLE AS overlap, any_value(ratio) AS ratio FROM po{t} GROUP BY query_id, doc_id)"""
 
 
 _VECTORS = """
@@ -197,6 +256,11 @@ def oracle_sql() -> dict[str, str]:
     pairs = "FROM (SELECT i.item_id AS query_id, d.doc_id, s.bm25, s.bayes FROM benchmark i CROSS JOIN documents d LEFT JOIN sp s ON s.query_id = i.item_id AND s.doc_id = d.doc_id)"
     for name, method, col in (("bm25", "robertson", "bm25"), ("bm25_lucene", "lucene", "bm25"), ("bayesian", "lucene", "bayes"), ("bayesian_robertson", "robertson", "bayes")):
         out[name] = _ranked(f"coalesce({col}, 0)::DOUBLE AS score {pairs}", _base(method))
+    out["bayesian_no_base_rate"] = out["bayesian"]
+    out["bayesian_base_rate"] = _ranked(f"coalesce(bayes, 0)::DOUBLE AS score {pairs}", _base("lucene", rate=BASE_RATE))
+    whole = "least(greatest(0.7::DOUBLE * (0.2::DOUBLE + 0.7::DOUBLE * least(overlap / 10.0::DOUBLE, 1.0::DOUBLE)) + 0.3::DOUBLE * (0.3::DOUBLE + 0.6::DOUBLE * (1 - least(abs(ratio - 0.5::DOUBLE) * 2, 1.0::DOUBLE))), 0.1::DOUBLE), 0.9::DOUBLE)"
+    like = _safe(_sigmoid("bm25 - 0.5::DOUBLE"))
+    out["bayesian_overall"] = _ranked(f"CASE WHEN coalesce(bm25, 0) = 0 THEN 0 ELSE {like} * {whole} / ({like} * {whole} + (1 - {like}) * (1 - {whole})) END AS score {pairs.replace('s.bayes', 's.overlap, s.ratio')}", _base("lucene"))
     out["dense"] = _ranked("cos AS score FROM de", _VECTORS)
     ctes = f"{_base('lucene')}, {_VECTORS}, {_SIGNALS}"
     over = "OVER (PARTITION BY query_id)"
@@ -231,5 +295,9 @@ def oracle_sql() -> dict[str, str]:
     split = "(SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, CASE WHEN instr(coalesce(text, ''), chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body FROM documents)"
     fields = f"{_base('lucene', 'title', split, '1')}, {_base('lucene', 'body', split, '2')}"
     raw = f"(0.8::DOUBLE * {_logit('coalesce(b.bayes, 0)')} + 0.2::DOUBLE * {_logit('coalesce(a.bayes, 0)')}) * sqrt(2::DOUBLE)"
+    both = f"{fields}, {_VECTORS}, dr AS (SELECT doc_id, 1.0::DOUBLE AS ratio FROM documents), mf AS (SELECT query_id, doc_id, {_sigmoid(raw)} AS s FROM (SELECT * FROM sp1) a FULL OUTER JOIN (SELECT * FROM sp2) b USING (query_id, doc_id)), sp AS MATERIALIZED (SELECT query_id, doc_id, s AS bm25, s AS bayes, 0 AS overlap FROM mf), {_SIGNALS}"
+    out["bayesian_multifield_bal"] = _ranked(f"{select['balanced_fusion']} AS score FROM sig", both)
+    some = "UNION ALL ".join(f"SELECT '{n}' AS scorer, query_id, doc_id, {x} AS score FROM {t} " for n, x, t in (("bm25", "coalesce(bm25, 0)::DOUBLE", "de LEFT JOIN sp USING (query_id, doc_id)"), ("dense", "cos", "de"), ("rrf", select["rrf"], "sig")))
+    out["metrics_by_scorer"] = f"WITH {ctes}, runs AS ({some}), rk AS (SELECT *, row_number() OVER (PARTITION BY scorer, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM runs), qr AS (SELECT q.query_id, d.doc_id FROM qv q JOIN dv d ON q.label = d.label), rel AS (SELECT query_id, count(*) AS m FROM qr GROUP BY 1), hits AS (SELECT rk.scorer, rk.query_id, rank, qr.doc_id IS NOT NULL AS hit, sum((qr.doc_id IS NOT NULL)::INT) OVER (PARTITION BY rk.scorer, rk.query_id ORDER BY rank) AS h FROM rk LEFT JOIN qr USING (query_id, doc_id) WHERE rank <= 10), q AS (SELECT scorer, query_id, any_value(m) AS m, sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN hit THEN h / rank ELSE 0 END) AS ap, min(CASE WHEN hit THEN rank END) AS first, sum(hit::INT) AS found FROM rel JOIN hits USING (query_id) GROUP BY scorer, query_id) SELECT scorer, 10::INTEGER AS cutoff, count(*) AS queries, round(avg(dcg / list_sum(list_transform(range(1, least(m, 10)::BIGINT + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg, round(avg(ap / m), 6) AS map, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(found / m), 6) AS recall FROM q GROUP BY scorer"
     out["bayesian_multifield"] = _ranked(f"{_sigmoid(raw)} AS score FROM (SELECT * FROM sp1) a FULL OUTER JOIN (SELECT * FROM sp2) b USING (query_id, doc_id)", fields)
     return out

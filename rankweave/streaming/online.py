@@ -3,32 +3,84 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame
 
-from ..operators.learners import Transform
+from ..operators.learners import AttentionWeights, LearnableWeights, MultiHead, Transform
 
 
-class OnlineTransform:
-    """Feeds (event_time, score, label) rows to a transform, a micro-batch at a time.
+class Online:
+    """Feeds rows of a stream to a learner, a micro-batch at a time.
 
-    Updates depend on their order, so a batch's rows are sorted and applied one by one on the
-    driver, in bounded pieces; ``sink`` gets the state after each batch.
+    Updates depend on their order, so a batch's rows are sorted by ``event_time`` and applied one
+    by one on the driver, in bounded pieces; ``sink`` gets the state after each batch.
     """
 
-    def __init__(self, model: Transform | None = None, sink: Callable[[int, dict], None] | None = None, **rates: float):
-        self.model, self.sink, self.rates = model or Transform(), sink, rates
+    columns: tuple[str, ...] = ()
+
+    def __init__(self, model: Any, sink: Callable[[int, dict], None] | None = None, **rates: float):
+        self.model, self.sink, self.rates = model, sink, rates
+
+    def learn(self, row) -> None:
+        raise NotImplementedError
+
+    def state(self) -> dict:
+        raise NotImplementedError
 
     def batch(self, rows: DataFrame, batch_id: int) -> None:
-        for r in rows.orderBy("event_time").select("score", "label").toLocalIterator():
-            self.model.update([r.score], [r.label], **self.rates)
+        for r in rows.orderBy("event_time").select(*self.columns).toLocalIterator():
+            self.learn(r)
         if self.sink:
             self.sink(batch_id, self.state())
 
+    def start(self, stream: DataFrame, checkpoint: str, **trigger):
+        out = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
+        return (out.trigger(**trigger) if trigger else out).start()
+
+
+class OnlineTransform(Online):
+    """A transform, with a half-life or without, by (event_time, score, label)."""
+
+    columns = ("score", "label")
+
+    def __init__(self, model: Transform | None = None, sink: Callable[[int, dict], None] | None = None, **rates: float):
+        super().__init__(model or Transform(), sink, **rates)
+
+    def learn(self, row) -> None:
+        self.model.update([row.score], [row.label], **self.rates)
+
     def state(self) -> dict:
         s = self.model.state
         return {"alpha": self.model.alpha, "beta": self.model.beta, "alpha_mean": float(s.mean[0]), "beta_mean": float(s.mean[1]), "updates": s.n}
 
-    def start(self, stream: DataFrame, checkpoint: str, **trigger):
-        out = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
-        return (out.trigger(**trigger) if trigger else out).start()
+
+class OnlineWeights(Online):
+    """Fusion weights by (event_time, probs, label), probs an array of signals."""
+
+    columns = ("probs", "label")
+
+    def __init__(self, model: LearnableWeights, sink: Callable[[int, dict], None] | None = None, **rates: float):
+        super().__init__(model, sink, **rates)
+
+    def learn(self, row) -> None:
+        self.model.update(row.probs, row.label, **self.rates)
+
+    def state(self) -> dict:
+        return {"weights": self.model.weights.tolist(), "weights_mean": self.model.mean.tolist(), "updates": self.model.state.n}
+
+
+class OnlineAttention(Online):
+    """Attention weights, of one head or several, by (event_time, probs, features, label)."""
+
+    columns = ("probs", "features", "label")
+
+    def __init__(self, model: AttentionWeights | MultiHead, sink: Callable[[int, dict], None] | None = None, **rates: float):
+        super().__init__(model, sink, **rates)
+
+    def learn(self, row) -> None:
+        self.model.update([row.probs], [row.label], row.features, **self.rates)
+
+    def state(self) -> dict:
+        heads = self.model.models if isinstance(self.model, MultiHead) else [self.model]
+        return {"theta": [h.state.theta.tolist() for h in heads], "theta_mean": [h.state.mean.tolist() for h in heads], "updates": heads[0].state.n}
