@@ -107,13 +107,17 @@ class SelfCheck:
         return _holds(rows, _within(X.log_odds_conjunction([p, p])) & _within(X.prob_or([p, p])) & _within(X.sigmoid(x)) & logs)
 
     def parameter_learning(self) -> DataFrame:
-        """The loss of the fitted sigmoid falls, and in four steps of five."""
+        """The loss of the fitted sigmoid falls, and in four steps of five.
+
+        Scores are taken over their largest, as descent at a fixed rate need not fall on scores of any size.
+        """
         first = self.signals.agg(F.min("query_id").alias("query_id"))
         rows = self.signals.join(first, "query_id").join(self.relevant.select("query_id", "doc_id", F.lit(1.0).alias("y")), ["query_id", "doc_id"], "left").orderBy("doc_id")
         got = [(r.bm25, r.y or 0.0) for r in rows.select("bm25", "y").collect()]  # one query's candidates
         if not got:
             return _holds(self.spark.range(0), F.lit(True))
-        fit = learn_parameters([s for s, _ in got], [y for _, y in got], 0.1, 500, 1e-8)
+        top = max(max(abs(s) for s, _ in got), EPS)
+        fit = learn_parameters([s / top for s, _ in got], [y for _, y in got], 0.1, 500, 1e-8)
         steps = list(zip(fit["losses"], fit["losses"][1:], strict=False))
         falls = sum(b <= a + EPS for a, b in steps)
         passed = fit["alpha"] > 0 and fit["losses"][-1] < fit["losses"][0] and falls >= len(steps) * 8 // 10

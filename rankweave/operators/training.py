@@ -61,16 +61,16 @@ def trainable(labels: Sequence[float], least: int = 10) -> bool:
     return len(y) >= least and 0 < int((y > 0).sum()) < len(y)
 
 
-def protocol(ids: list, kind: str, ratio: float = 0.5, seed: int = 42, k: int = 5) -> tuple[list[tuple], list[tuple]]:
+def protocol(ids: list, kind: str, ratio: float = 0.5, seed: int = 42, k: int = 5, given: tuple[list, list] | None = None) -> tuple[list[tuple], list[tuple]]:
     """(model, query_id, seed) of all training queries and (query_id, model) of all that are ranked.
 
-    ``all`` trains and ranks with every query, ``split`` parts them, ``cv`` ranks each of ``k``
+    ``all`` trains and ranks with every query, ``split`` parts them (or takes the parts ``given``), ``cv`` ranks each of ``k``
     folds with a model of the others.
     """
     if kind == "all":
         return [(0, q, i + 1) for i, q in enumerate(ids)], [(q, 0) for q in ids]
     if kind == "split":
-        train, rest = split_queries(ids, ratio, seed)
+        train, rest = given or split_queries(ids, ratio, seed)
         return [(0, q, seed + i + 1) for i, q in enumerate(train)], [(q, 0) for q in rest]
     if kind != "cv":
         raise ValueError(f"unknown protocol {kind}")

@@ -13,9 +13,8 @@ from ..functions import exprs as X
 from ..operators import base_rate, scoring, training
 from ..operators.learners import AttentionWeights, Isotonic, LearnableWeights, MultiHead, Platt, Transform, fit_by_group
 from ..operators.vector_probability import VectorProbability
-from .retrieval import DEPTH, TOP, Corpus, Scorer, shown
+from .retrieval import DEPTH, Corpus, Scorer, shown
 
-SEED, RATIO = 42, 0.5
 #: Judged candidates that a model is fitted on: queries are few, and each has 2 * DEPTH candidates at most.
 MAX_QUERIES = 2_000
 
@@ -36,7 +35,13 @@ def _key(c: Corpus) -> str:
 
 
 def _train_ids(c: Corpus) -> tuple[list, list]:
-    return base_rate.split_queries(_ids(c), RATIO, SEED)
+    return _given(c) or base_rate.split_queries(_ids(c), c.options.ratio, c.options.seed)
+
+
+def _given(c: Corpus) -> tuple[list, list] | None:
+    """The named split, of the queries that take part."""
+    known = set(_ids(c)) if c.options.split else set()
+    return tuple([q for q in part if q in known] for part in c.options.split) if c.options.split else None
 
 
 def _model(rows: DataFrame, fit: Callable[[pd.DataFrame], dict], schema: str) -> dict:
@@ -58,7 +63,7 @@ def _fitted(kind: str):
         if m.get("pairs", 0) < 4:
             rest = []
         score = F.when(F.col("bm25") > 0, X.score_to_probability(F.col("bm25"), F.col("overlap"), F.col("ratio"), m.get("alpha", 1.0), m.get("beta", 0.0))).otherwise(0.0)
-        return scoring.top_k(rows.where(F.col("query_id").isin(rest)).withColumn("score", score), TOP)
+        return scoring.top_k(rows.where(F.col("query_id").isin(rest)).withColumn("score", score), c.options.top)
 
     return run
 
@@ -67,7 +72,7 @@ def _dense_calibrated(kind: str):
     def run(c: Corpus) -> DataFrame:
         rows = _judged(c)
         train, rest = _train_ids(c)
-        order = c.spark.createDataFrame([(0, q, SEED + i + 1) for i, q in enumerate(train)], f"model int, {_key(c)}, seed long")
+        order = c.spark.createDataFrame([(0, q, c.options.seed + i + 1) for i, q in enumerate(train)], f"model int, {_key(c)}, seed long")
         some = training.drawn(rows.select("query_id", "doc_id", "cos", "relevance"), order).select("query_id", "doc_id", "cos", "label")
         if kind == "platt":
             fit = lambda p: vars(Platt().fit(p.cos, p.label))
@@ -77,7 +82,7 @@ def _dense_calibrated(kind: str):
             fit = lambda p: vars(Isotonic().fit(p.cos, p.label))
             m = _model(some, fit, "x array<double>, y array<double>")
             score = Isotonic(m.get("x", []), m.get("y", [])).column(F.col("cos"))
-        return scoring.top_k(rows.where(F.col("query_id").isin(rest or train)).withColumn("score", score), TOP)
+        return scoring.top_k(rows.where(F.col("query_id").isin(rest or train)).withColumn("score", score), c.options.top)
 
     return run
 
@@ -107,7 +112,7 @@ def _attention(kind: str, normalize: bool = False, heads: int = 1, vector: bool
 
     def run(c: Corpus) -> DataFrame:
         rows = _scored(c, vector).cache()
-        train, ranked = training.protocol(_ids(c), kind, RATIO, SEED)
+        train, ranked = training.protocol(_ids(c), kind, c.options.ratio, c.options.seed, given=_given(c))
         order = c.spark.createDataFrame(train, f"model int, {_key(c)}, seed long")
 
         def fit(p: pd.DataFrame) -> dict:
@@ -127,7 +132,7 @@ def _attention(kind: str, normalize: bool = False, heads: int = 1, vector: bool
             return p[["query_id", "doc_id"]].assign(score=out)
 
         scored = rows.join(use, "query_id").groupBy("query_id").applyInPandas(one, f"{c.keys}, score double")  # a query's candidates: 2 * DEPTH at most
-        return scoring.top_k(scored, TOP)
+        return scoring.top_k(scored, c.options.top)
 
     return run
 
@@ -161,8 +166,8 @@ def _vector(method: str):
     def run(c: Corpus) -> DataFrame:
         got = _vector_probabilities(c, c.signals())
         if method == "balanced":
-            return scoring.top_k(scoring.fuse(got, "balanced_fusion"), TOP)
-        return scoring.top_k(got.withColumn("score", X.log_odds_conjunction([F.col("bayes"), F.col("cos")], gating="softplus")), TOP)
+            return scoring.top_k(scoring.fuse(got, "balanced_fusion"), c.options.top)
+        return scoring.top_k(got.withColumn("score", X.log_odds_conjunction([F.col("bayes"), F.col("cos")], gating="softplus")), c.options.top)
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +20,26 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@dataclass(frozen=True)
+class Options:
+    """How deep scorers rank, what they fuse, and how fitted ones split the queries (``split`` names both parts)."""
+
+    top: int = TOP
+    depth: int = DEPTH
+    base_rate: float | None = BASE_RATE
+    ratio: float = 0.5
+    seed: int = 42
+    split: tuple[list, list] | None = None
+    style: str = "pytrec"
+
+
 class Corpus:
     """What every scorer reads: docs(doc_id, text, embedding[, terms]), queries(query_id, text, embedding[, terms])
     and qrels(query_id, doc_id, relevance). Queries with a null vector take part in sparse scoring only."""
 
-    def __init__(self, docs: DataFrame, queries: DataFrame, qrels: DataFrame, params: Params | None = None):
+    def __init__(self, docs: DataFrame, queries: DataFrame, qrels: DataFrame, params: Params | None = None, options: Options | None = None):
         terms = lambda df: "terms" if "terms" in df.columns else None
-        self.spark, self.qrels = docs.sparkSession, qrels
+        self.spark, self.qrels, self.options = docs.sparkSession, qrels, options or Options()
         self.index = Index.build(docs, terms=terms(docs), params=params or Params(method="lucene"))
         self.queries = scoring.query_terms(queries, terms=terms(queries))
         self.ids = queries.select("query_id")
@@ -53,8 +67,8 @@ class Corpus:
     def dense(self) -> DataFrame:
         return scoring.dense_scores(self.docs, self.vectors)
 
-    def signals(self, depth: int = DEPTH) -> DataFrame:
-        return scoring.signals(self.sparse().join(self.vectors.select("query_id"), "query_id"), self.dense(), self.vectors, self.docs, depth)
+    def signals(self) -> DataFrame:
+        return scoring.signals(self.sparse().join(self.vectors.select("query_id"), "query_id"), self.dense(), self.vectors, self.docs, self.options.depth)
 
 
 def _shown(ranked: DataFrame, score: str = "score") -> DataFrame:
@@ -69,18 +83,18 @@ def _sparse(column: str) -> Scorer:
 
     def run(c: Corpus) -> DataFrame:
         rows = c.sparse()
-        value = scoring.overall_posterior(F.col("bm25"), F.col("overlap"), F.col("ratio"), c.index.params.alpha, c.index.params.beta, c.index.params.base_rate) if column == "overall" else F.col(column)
-        return scoring.zero_filled_top(rows.select("query_id", "doc_id", value.alias("score")), c.ids, c.docs, TOP)
+        value = scoring.overall_posterior(F.col("bm25"), F.col("overlap"), F.col("ratio"), c.index.params.alpha, c.index.params.beta, c.index.params.base_rate) if column == "overall" or (column == "bayes" and c.options.style == "python-reference") else F.col(column)
+        return scoring.zero_filled_top(rows.select("query_id", "doc_id", value.alias("score")), c.ids, c.docs, c.options.top)
 
     return run
 
 
 def _dense(c: Corpus) -> DataFrame:
-    return scoring.top_k(c.dense().withColumnRenamed("cos", "score"), TOP)
+    return scoring.top_k(c.dense().withColumnRenamed("cos", "score"), c.options.top)
 
 
 def _fused(method: str) -> Scorer:
-    return lambda c: scoring.top_k(scoring.fuse(c.signals(), method, base_rate=BASE_RATE), TOP)
+    return lambda c: scoring.top_k(scoring.fuse(c.signals(), method, base_rate=c.options.base_rate), c.options.top)
 
 
 def scorers() -> dict[str, Scorer]:
