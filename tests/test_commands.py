@@ -48,7 +48,7 @@ def test_prepared_records(spark):
 
 
 def test_embedder(spark):
-    got = embed.with_embeddings(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), lambda: embed.hashing_embedder(64)).orderBy("doc_id").collect()
+    got = embed.with_embeddings(spark.createDataFrame([(1, "vector search"), (2, None)], "doc_id long, text string"), lambda: embed.hashing_embedder(64)).orderBy("doc_id").collect()
     assert sum(x * x for x in got[0].embedding) == pytest.approx(1.0, rel=1e-6) and set(got[1].embedding) == {0.0}
     assert embed.unit_length(spark.createDataFrame([([3.0, 4.0],)], "embedding array<double>")).first().embedding == [0.6, 0.8]
 
