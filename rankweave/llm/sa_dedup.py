@@ -44,6 +44,8 @@ SEGMENT_SHARD = 1 << 20
 BLOCK = 2 << 20
 #: Different segments of one anchor beyond which its strings are dealt one by one.
 HOT_SEGMENTS = 20_000
+#: Bytes of the largest array that a worker keeps to use again: those of one slice.
+HEAP = 4 << 20
 _U = np.uint64
 
 
@@ -449,25 +451,25 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     base = base.withColumn("same", F.xxhash64("text"))
     total = total_bytes(base, "text")
     shards = max(64, -(-total // anchor_shard))
-    sent = base.select("same", "text").mapInArrow(tidy(_send(length, gram, shards)), "shard int, same long, hashes binary")
-    told = sent.repartition(min(shards, partitions(spark)), "shard").sortWithinPartitions("shard").mapInArrow(tidy(_shared), "same long, shard int, hashes binary")
+    sent = base.select("same", "text").mapInArrow(tidy(_send(length, gram, shards), HEAP), "shard int, same long, hashes binary")
+    told = sent.repartition(min(shards, partitions(spark)), "shard").sortWithinPartitions("shard").mapInArrow(tidy(_shared, HEAP), "same long, shard int, hashes binary")
     told = stored(told, "anchors").groupBy("same").agg(F.collect_list(F.struct("shard", "hashes")).alias("asked"))  # a row for each shard, no longer than the text
     copies = stored(base.groupBy("same", F.xxhash64(F.lit(1), "text").alias("again")).agg(F.min("id").alias("first"), F.count("*").alias("n")), "texts")
     told = told.join(copies, "same").select(F.col("first").alias("id"), F.col("same").alias("t"), "asked")
     asked = base.join(told, "id").where("same = t").select("id", "same", "text", "asked")
-    found = stored(asked.mapInArrow(tidy(_segments(length, gram, shards)), _FOUND_DDL), "segments")
+    found = stored(asked.mapInArrow(tidy(_segments(length, gram, shards), HEAP), _FOUND_DDL), "segments")
     places, once = found.where("id is not null").select("key", "id", "same", "at"), found.where("low is not null").select("key", "anchor", "segment", "low", "multi")
     many = once.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("anchor")
     many = stored(once.join(many, "anchor", "left_semi").groupBy("anchor", "key").count().groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("anchor"), "hot-anchors")
     if many.limit(1).count():  # their strings are dealt one by one
         crowd = once.join(many, "anchor", "left_semi").groupBy("key").agg(F.first("segment").alias("segment"))
         split = places.withColumn("k", apart("key")).join(crowd.select(apart("key").alias("k"), "segment"), "k").select("segment", "id", "same", "at")
-        split = stored(split.mapInArrow(tidy(_strings(length)), _FOUND_DDL), "strings")
+        split = stored(split.mapInArrow(tidy(_strings(length), HEAP), _FOUND_DDL), "strings")
         places = places.join(crowd, "key", "left_anti").union(split.where("id is not null").select("key", "id", "same", "at"))
         once = once.join(many, "anchor", "left_anti").select("key", "anchor", "segment", "low", "multi").union(split.where("low is not null").select("key", "anchor", "segment", "low", "multi"))
     units = max(64, -(-(once.agg(F.sum(F.octet_length("segment"))).first()[0] or 0) // segment_shard))
     dealt = once.select(F.pmod(F.xxhash64("anchor"), F.lit(units)).cast("int").alias("shard"), "anchor", "key", "segment", "low", "multi")
-    lows = stored(dealt.repartition(min(units, 4 * partitions(spark)), "shard").sortWithinPartitions("shard").mapInArrow(tidy(_least(length, block)), "key long, first long, end long, least long"), "lows")
+    lows = stored(dealt.repartition(min(units, 4 * partitions(spark)), "shard").sortWithinPartitions("shard").mapInArrow(tidy(_least(length, block), HEAP), "key long, first long, end long, least long"), "lows")
     parts = places.select("id", "same", "at", apart("key").alias("k")).join(lows.select(apart("key").alias("k"), "first", "end", "least"), "k").where("least < id")
     spans = parts.groupBy("id", "same").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("end") + length - 1).alias("end"))).alias("spans"))
     return spans, copies.select("same", "again", "first")
@@ -524,7 +526,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     out = rows.join(marks, (F.col("_id") == F.col("id")) & (F.col("_same") == F.col("same")), "left").drop("id", "same")
     names = [f.name for f in docs.select(*rest).schema]
     kind = docs.select(*rest, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"), F.lit("").alias("kept_sha256"), *([F.lit("").alias("kept_text")] if keep_text else [])).schema
-    return out.mapInArrow(tidy(_cut(length, keep_text, names)), kind)
+    return out.mapInArrow(tidy(_cut(length, keep_text, names), HEAP), kind)
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:

@@ -187,21 +187,22 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 # --- Python workers ---
 
 
-def _one_heap() -> None:
-    """Arrays come from a heap that a task reuses (fresh pages cost more than the arithmetic on
-    them) and that goes back to the system when the task ends: workers live on."""
+def _one_heap(largest: int) -> None:
+    """Arrays up to ``largest`` bytes come from a heap that a task reuses (fresh pages cost more
+    than the arithmetic on them) and that goes back to the system when the task ends: workers
+    live on. Larger arrays come straight from the system, and leave no gaps in the heap."""
     pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, largest)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 4 * largest)  # M_TRIM_THRESHOLD
 
 
-def tidy(fn):
+def tidy(fn, largest: int = 32 << 20):
     """``fn`` as a task's function that gives unused memory back when it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _one_heap()
+        _one_heap(largest)
         try:
             yield from fn(batches)
         finally:
