@@ -22,6 +22,28 @@ def shuffled(n: int, seed: int) -> list[int]:
     return out
 
 
+def first_shuffled(n: int, k: int, seed: int) -> np.ndarray:
+    """``shuffled(n, seed)[:k]``, by undoing the swaps for the first ``k`` places only."""
+    if n < 2 or not k:
+        return np.arange(min(n, k))
+    powers = np.cumprod(np.full(n - 1, 1664525, np.uint32), dtype=np.uint32)
+    sums = np.cumsum(np.concatenate([[1], powers[:-1]]).astype(np.uint32), dtype=np.uint32)
+    state = powers * np.uint32(seed & 0xFFFFFFFF) + sums * np.uint32(1013904223)
+    other = (state.astype(np.int64) % np.arange(n, 1, -1))[::-1]
+    slot = {p: p for p in range(min(n, k))}
+    for lo in range(0, n - 1, 1 << 16):
+        for i, j in enumerate(other[lo : lo + (1 << 16)].tolist(), lo + 1):
+            if i != j and (i in slot or j in slot):
+                x, y = slot.pop(i, None), slot.pop(j, None)
+                if x is not None:
+                    slot[j] = x
+                if y is not None:
+                    slot[i] = y
+    out = np.empty(len(slot), np.int64)
+    out[list(slot.values())] = list(slot)
+    return out
+
+
 def split_queries(ids: list, ratio: float, seed: int) -> tuple[list, list]:
     if len(ids) < 2:
         return list(ids), []

@@ -8,11 +8,12 @@ group of a DataFrame, one task a group, and predictions are Column expressions.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,13 +74,17 @@ class Platt:
     a: float = 1.0
     b: float = 0.0
 
-    def fit(self, scores, labels, rate: float = 0.01, steps: int = 1000, tol: float = 1e-6) -> Platt:
-        n = len(scores)
-        m = min(n, len(labels))
+    def fit(self, scores, labels, rate: float = 0.01, steps: int = 1000, tol: float = 1e-6, weights=None) -> Platt:
+        """Each row counts once, or ``weights`` times."""
+        m = min(len(scores), len(labels))
         s, y = np.asarray(scores, float)[:m], np.asarray(labels, float)[:m]
+        w = None if weights is None else np.asarray(weights, float)[:m]
+        n = len(scores) if w is None else float(w.sum())
 
         def gradient(t):
             error = safe(sigmoid(t[0] * s + t[1])) - y
+            if w is not None:
+                error = error * w
             return np.array([(error * s).sum(), error.sum()]) / n
 
         if n:
@@ -93,6 +98,46 @@ class Platt:
         return X.sigmoid(score * self.a + self.b)
 
 
+def pooled(blocks: Iterable[list[float]]) -> list[list[float]]:
+    """Adjacent blocks [sum, count, first score, last score] of falling means joined."""
+    out: list[list[float]] = []
+    for b in blocks:
+        out.append(list(b))
+        while len(out) > 1 and out[-2][0] / out[-2][1] > out[-1][0] / out[-1][1]:
+            last = out.pop()
+            out[-1][0] += last[0]
+            out[-1][1] += last[1]
+            out[-1][3] = last[3]
+    return out
+
+
+def thinned(blocks: list[list[float]]) -> list[list[float]]:
+    """Of equal neighbours the first, the last and one of all between, which changes neither pooling nor interpolation."""
+    out: list[list[float]] = []
+    for b in blocks:
+        mean = b[0] / b[1]
+        if len(out) > 2 and all(x[0] / x[1] == mean for x in out[-3:]):
+            last, mid = out[-1], out[-2]
+            out[-2:] = [[mid[0] + last[0], mid[1] + last[1], mid[2], last[3]], list(b)]
+        else:
+            out.append(list(b))
+    return out
+
+
+def isotonic_blocks(rows: DataFrame, score: str, label: str, order: list[str]) -> DataFrame:
+    """(part, nth, total, n, low, high): the rows pooled within ranges of their score, for :meth:`Isotonic.of_blocks`."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have: list[list[float]] = []
+        for p in parts:
+            have = thinned(pooled([*have, *([y, 1.0, s, s] for s, y in zip(p[score].tolist(), p[label].tolist(), strict=True))]))
+        if have:
+            yield pd.DataFrame(have, columns=["total", "n", "low", "high"]).assign(part=TaskContext.get().partitionId(), nth=range(len(have)))[["part", "nth", "total", "n", "low", "high"]]
+
+    keys = [score, *order]
+    return rows.select(*keys, label).repartitionByRange(*keys).sortWithinPartitions(*keys).mapInPandas(run, "part long, nth long, total double, n double, low double, high double")
+
+
 @dataclass
 class Isotonic:
     x: list[float] | None = None
@@ -104,17 +149,16 @@ class Isotonic:
             raise ValueError("one label for each score")
         s, t = np.asarray(scores, float), np.asarray(labels, float)
         order = np.argsort(s, kind="stable")
-        blocks: list[list[float]] = []  # sum, count, first score, last score
-        for v, w in zip(s[order].tolist(), t[order].tolist(), strict=True):
-            blocks.append([w, 1.0, v, v])
-            while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
-                last = blocks.pop()
-                blocks[-1][0] += last[0]
-                blocks[-1][1] += last[1]
-                blocks[-1][3] = last[3]
+        blocks = pooled([w, 1.0, v, v] for v, w in zip(s[order].tolist(), t[order].tolist(), strict=True))
         self.x, self.y = [(b[2] + b[3]) / 2 for b in blocks], [b[0] / b[1] for b in blocks]
         return self
 
+    @classmethod
+    def of_blocks(cls, blocks: Iterable[list[float]]) -> Isotonic:
+        """Fitted on rows that are pooled in part, in the order of their scores."""
+        got = thinned(pooled(blocks))
+        return cls([(b[2] + b[3]) / 2 for b in got], [b[0] / b[1] for b in got])
+
     def calibrate(self, scores):
         if self.x is None:
             raise ValueError("not fitted")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base_rate import folds, shuffled, split_queries
+from .base_rate import first_shuffled, folds, shuffled, split_queries
 from .scoring import top_k
 
 BASIC, RICH = ("f0", "f1", "f2"), ("f0", "f1", "f2", "f3", "f4", "f5", "f6")
@@ -55,6 +55,34 @@ def drawn(candidates: DataFrame, order: DataFrame) -> DataFrame:
     return rows.groupBy("model", "query_id").applyInPandas(one, f"{fields}, label double")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, at): each document's place by id, from 0, without sorting in one task."""
+    rows = docs.select("doc_id").orderBy("doc_id").select("doc_id", F.monotonically_increasing_id().alias("mark")).persist()
+    part, nth = F.shiftright("mark", 33), F.col("mark").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r.part, r.n) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row for each partition
+    starts = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    first = docs.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts[:-1], strict=True)], "part long, start long")
+    return rows.withColumn("part", part).join(F.broadcast(first), "part").select("doc_id", (nth + F.col("start")).alias("at"))
+
+
+def drawn_numbers(judged: DataFrame, n_docs: int) -> DataFrame:
+    """(query_id, at): of each query as many documents without a judgment, drawn from all, as are positive.
+
+    judged(query_id, seed, at, relevance). A task shuffles numbers only, one query at a time.
+    """
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        known = np.sort(p["at"].to_numpy())
+        rest = n_docs - len(known)
+        n = min(int((p.relevance > 0).sum()), rest)
+        nth = first_shuffled(rest, n, int(p.seed.iloc[0]))
+        at = nth + np.searchsorted(known - np.arange(len(known)), nth, "right")  # past the judged ones before it
+        return pd.DataFrame({"query_id": p.query_id.iloc[0], "at": at})
+
+    kind = judged.select("query_id").schema[0].dataType.simpleString()
+    return judged.select("query_id", "seed", "at", "relevance").groupBy("query_id").applyInPandas(one, f"query_id {kind}, at long")
+
+
 def trainable(labels: Sequence[float], least: int = 10) -> bool:
     """Enough pairs, of both classes."""
     y = np.asarray(labels)

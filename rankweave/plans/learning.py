@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import base_rate, scoring, training
-from ..operators.learners import AttentionWeights, Isotonic, LearnableWeights, MultiHead, Platt, Transform, fit_by_group
+from ..operators.learners import AttentionWeights, Isotonic, LearnableWeights, MultiHead, Platt, Transform, descend, fit_by_group, isotonic_blocks
 from ..operators.vector_probability import VectorProbability
 from .retrieval import DEPTH, Corpus, Scorer, shown
 
 #: Judged candidates that a model is fitted on: queries are few, and each has 2 * DEPTH candidates at most.
 MAX_QUERIES = 2_000
+#: Bins of scores in a unit of BM25 and of cosine.
+SPARSE_BINS, DENSE_BINS = 1 << 10, 1 << 16
 
 
 def _judged(c: Corpus) -> DataFrame:
@@ -24,9 +26,9 @@ def _judged(c: Corpus) -> DataFrame:
     return rows.select("query_id", "doc_id", "rank_sparse", "rank_dense", "bm25", "bayes", "cos", "overlap", "ratio", "relevance", F.coalesce("relevance", F.lit(0.0)).alias("label")).cache()
 
 
-def _ids(c: Corpus) -> list:
-    """Queries with a vector and a judgment, at most ``MAX_QUERIES`` of the smallest ids."""
-    known = c.vectors.select("query_id").join(c.qrels.select("query_id"), "query_id", "left_semi")
+def _ids(c: Corpus, vectors: bool = True) -> list:
+    """Queries with a judgment, and a vector where it is needed, at most ``MAX_QUERIES`` of the smallest ids."""
+    known = (c.vectors if vectors else c.ids).select("query_id").join(c.qrels.select("query_id"), "query_id", "left_semi")
     return [r.query_id for r in known.distinct().orderBy("query_id").limit(MAX_QUERIES).collect()]
 
 
@@ -34,55 +36,85 @@ def _key(c: Corpus) -> str:
     return c.keys.split(", ")[0]
 
 
-def _train_ids(c: Corpus) -> tuple[list, list]:
-    return _given(c) or base_rate.split_queries(_ids(c), c.options.ratio, c.options.seed)
+def _frame(c: Corpus, ids: list) -> DataFrame:
+    return c.spark.createDataFrame([(q,) for q in ids], _key(c))
 
 
-def _given(c: Corpus) -> tuple[list, list] | None:
+def _train_ids(c: Corpus, vectors: bool = True) -> tuple[list, list]:
+    return _given(c, vectors) or base_rate.split_queries(_ids(c, vectors), c.options.ratio, c.options.seed)
+
+
+def _given(c: Corpus, vectors: bool = True) -> tuple[list, list] | None:
     """The named split, of the queries that take part."""
-    known = set(_ids(c)) if c.options.split else set()
+    known = set(_ids(c, vectors)) if c.options.split else set()
     return tuple([q for q in part if q in known] for part in c.options.split) if c.options.split else None
 
 
-def _model(rows: DataFrame, fit: Callable[[pd.DataFrame], dict], schema: str) -> dict:
-    got = fit_by_group(rows.withColumn("model", F.lit("all")), ["model"], fit, schema, ["query_id", "doc_id"]).collect()
+def _binned(rows: DataFrame, score: str, bins: int) -> DataFrame:
+    """(bin, label, score, n): all rows, as the mean score and number of each label's in bins ``1 / bins`` wide.
+
+    Descent sums a smooth function of the score, so what the bins leave out is of the order of
+    (slope / bins) ** 2, and the rows of a fit are bounded by the range of the score.
+    """
+    return rows.groupBy(F.floor(F.col(score) * bins).alias("bin"), "label").agg(F.avg(score).alias("score"), F.count("*").cast("double").alias("n"))
+
+
+def _model(rows: DataFrame, fit: Callable[[pd.DataFrame], dict], schema: str, order: list[str]) -> dict:
+    got = fit_by_group(rows.withColumn("model", F.lit("all")), ["model"], fit, schema, order).collect()
     return got[0].asDict() if got else {}
 
 
 def _fitted(kind: str):
     def run(c: Corpus) -> DataFrame:
-        """The sigmoid fitted on the training queries' candidates of a positive score, unjudged ones as negative."""
-        rows = _judged(c)
-        train, rest = (_ids(c),) * 2 if kind == "all" else _train_ids(c)
+        """The sigmoid fitted on all documents of a positive score for the training queries, unjudged ones as negative, ranks all documents."""
+        train, rest = (_ids(c, False),) * 2 if kind == "all" else _train_ids(c, False)
+        sparse = lambda ids: scoring.sparse_scores(c.index, c.queries.join(F.broadcast(_frame(c, ids)), "query_id", "left_semi"))
 
         def fit(p: pd.DataFrame) -> dict:
-            t = Transform().fit(p.bm25, p.label, 0.05, 3000)
-            return {"alpha": t.alpha, "beta": t.beta, "pairs": len(p)}
+            s, y, w, n = p.score.to_numpy(), p.label.to_numpy(), p.n.to_numpy(), p.n.sum()
+            alpha, beta = descend(np.array([1.0, 0.0]), lambda t: Transform.gradient(t, s, y, None, w, n), 0.05, 3000, 1e-6)
+            return {"alpha": float(alpha), "beta": float(beta), "pairs": int(n)}
 
-        m = _model(rows.where(F.col("query_id").isin(train) & (F.col("bm25") > 0)).select("query_id", "doc_id", "bm25", "label"), fit, "alpha double, beta double, pairs long")
+        label = (F.coalesce("relevance", F.lit(0.0)) > 0).cast("double").alias("label")
+        pairs = sparse(train).where("bm25 > 0").join(c.qrels, ["query_id", "doc_id"], "left").select("bm25", label)
+        m = _model(_binned(pairs, "bm25", SPARSE_BINS), fit, "alpha double, beta double, pairs long", ["bin", "label"])
         if m.get("pairs", 0) < 4:
             rest = []
         score = F.when(F.col("bm25") > 0, X.score_to_probability(F.col("bm25"), F.col("overlap"), F.col("ratio"), m.get("alpha", 1.0), m.get("beta", 0.0))).otherwise(0.0)
-        return scoring.top_k(rows.where(F.col("query_id").isin(rest)).withColumn("score", score), c.options.top)
+        return scoring.zero_filled_top(sparse(rest).select("query_id", "doc_id", score.alias("score")), _frame(c, rest), c.docs, c.options.top)
 
     return run
 
 
+def _dense_pairs(c: Corpus, train: list) -> DataFrame:
+    """(query_id, doc_id, cos, label): the training queries' judged documents and as many of all others as are positive."""
+    docs = training.numbered(c.docs).persist()
+    order = c.spark.createDataFrame([(q, c.options.seed + i + 1) for i, q in enumerate(train)], f"{_key(c)}, seed long")
+    judged = c.qrels.join(F.broadcast(order), "query_id").join(docs, "doc_id").persist()
+    label = (F.col("relevance") > 0).cast("double").alias("label")
+    others = training.drawn_numbers(judged, docs.count()).join(docs, "at").select("query_id", "doc_id", F.lit(0.0).alias("label"))
+    pairs = judged.select("query_id", "doc_id", label).unionByName(others)
+    cos = X.cosine(F.col("q"), F.coalesce("embedding", F.array().cast("array<float>")))
+    return pairs.join(c.vectors.select("query_id", F.col("embedding").alias("q")), "query_id").join(c.docs.select("doc_id", "embedding"), "doc_id").select("query_id", "doc_id", cos.alias("cos"), "label")
+
+
 def _dense_calibrated(kind: str):
     def run(c: Corpus) -> DataFrame:
-        rows = _judged(c)
         train, rest = _train_ids(c)
-        order = c.spark.createDataFrame([(0, q, c.options.seed + i + 1) for i, q in enumerate(train)], f"model int, {_key(c)}, seed long")
-        some = training.drawn(rows.select("query_id", "doc_id", "cos", "relevance"), order).select("query_id", "doc_id", "cos", "label")
+        some = _dense_pairs(c, train)
         if kind == "platt":
-            fit = lambda p: vars(Platt().fit(p.cos, p.label))
-            m = _model(some, fit, "a double, b double")
+
+            def fit(p: pd.DataFrame) -> dict:
+                return vars(Platt().fit(p.score, p.label, weights=p.n))
+
+            m = _model(_binned(some, "cos", DENSE_BINS), fit, "a double, b double", ["bin", "label"])
             score = Platt(m.get("a", 1.0), m.get("b", 0.0)).column(F.col("cos"))
         else:
-            fit = lambda p: vars(Isotonic().fit(p.cos, p.label))
-            m = _model(some, fit, "x array<double>, y array<double>")
+            blocks = isotonic_blocks(some, "cos", "label", ["query_id", "doc_id"])
+            m = _model(blocks, lambda p: vars(Isotonic.of_blocks(p[["total", "n", "low", "high"]].to_numpy().tolist())), "x array<double>, y array<double>", ["part", "nth"])
             score = Isotonic(m.get("x", []), m.get("y", [])).column(F.col("cos"))
-        return scoring.top_k(rows.where(F.col("query_id").isin(rest or train)).withColumn("score", score), c.options.top)
+        near = c.dense().join(F.broadcast(_frame(c, rest or train)), "query_id", "left_semi")
+        return scoring.top_k(scoring.top_k(near, c.options.depth, "cos").withColumn("score", score), c.options.top)
 
     return run
 
