@@ -15,8 +15,6 @@ from ..operators.learners import AttentionWeights, Isotonic, LearnableWeights, M
 from ..operators.vector_probability import VectorProbability
 from .retrieval import DEPTH, Corpus, Scorer, shown
 
-#: Judged candidates that a model is fitted on: queries are few, and each has 2 * DEPTH candidates at most.
-MAX_QUERIES = 2_000
 #: Bins of scores in a unit of BM25 and of cosine.
 SPARSE_BINS, DENSE_BINS = 1 << 10, 1 << 16
 
@@ -27,9 +25,9 @@ def _judged(c: Corpus) -> DataFrame:
 
 
 def _ids(c: Corpus, vectors: bool = True) -> list:
-    """Queries with a judgment, and a vector where it is needed, at most ``MAX_QUERIES`` of the smallest ids."""
+    """All queries with a judgment, and a vector where it is needed, by id: splits shuffle them as one list."""
     known = (c.vectors if vectors else c.ids).select("query_id").join(c.qrels.select("query_id"), "query_id", "left_semi")
-    return [r.query_id for r in known.distinct().orderBy("query_id").limit(MAX_QUERIES).collect()]
+    return [r.query_id for r in known.distinct().orderBy("query_id").collect()]
 
 
 def _key(c: Corpus) -> str:

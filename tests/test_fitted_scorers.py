@@ -81,3 +81,16 @@ def test_calibrators_see_all_judged_documents(spark):
     pool = [(r.query_id, r.doc_id) for r in scoring.top_k(c.dense(), DEPTH, "cos").collect() if r.query_id in rest]
     for name, model in (("dense_platt_split", Platt().fit(s, y)), ("dense_isotonic_split", Isotonic().fit(s, y))):
         assert ranked(scorers()[name](c)) == best((q, d, float(model.calibrate([cos[q, d]])[0])) for q, d in pool)
+
+
+def test_every_query_is_ranked(spark):
+    """More eligible queries than the 2,000 that were ranked before."""
+    n = 2_050
+    docs = spark.createDataFrame([(i, f"w{i} x", [1.0, float(i)]) for i in range(4)], "doc_id long, text string, embedding array<double>")
+    queries = spark.range(n).select(F.col("id").alias("query_id"), F.lit("w1").alias("text"), F.array(F.lit(1.0), F.lit(0.5)).alias("embedding"))
+    qrels = spark.range(n).select(F.col("id").alias("query_id"), F.lit(1).cast("long").alias("doc_id"), F.lit(1.0).alias("relevance"))
+    c = Corpus(docs, queries, qrels, options=Options(top=1, depth=2, split=([0, 1], [n - 2, n - 1])))
+    assert len(learning._ids(c)) == len(learning._ids(c, False)) == n
+    assert learning._given(c) == ([0, 1], [n - 2, n - 1])
+    assert scorers()["bayesian_fitted"](c).select("query_id").distinct().count() == n
+    assert {r.query_id for r in scorers()["bayesian_attention"](c).select("query_id").distinct().collect()} == set(range(n))
