@@ -8,7 +8,7 @@ scaled forward recursion over a whole text gives its exact probability.
 
 Corpus counts are exact: batches count their words, the counts are summed by hash bucket in
 packed arrays, and the rare words of each text go to their bucket and come back as sums.
-Baum-Welch runs over all training texts; each task adds up its expected counts and sends
+Baum-Welch runs over all training texts, each as a whole; each task adds up its expected counts and sends
 one array per block of words, which are summed by block. What reaches the driver is of the
 model's size, and what every task receives too; the counts of all other words stay dealt out.
 """
@@ -28,7 +28,8 @@ from .textcore import ALNUM, NON_SPACE, as_strings, mix, partitions, prefix_hash
 TOP = 16_000
 STATES = 8
 ROUNDS = 6
-SEGMENT = 64
+#: Tokens whose messages are held at once; longer stretches keep one message a text at their borders.
+HELD = 400_000
 CLASSES = 4
 #: Text bytes for each bucket of the word counts.
 BUCKET_BYTES = 64 << 20
@@ -151,7 +152,6 @@ class Model:
         self.trans = np.full((states, states), 0.1 / max(1, states - 1))
         np.fill_diagonal(self.trans, 0.9 if states > 1 else 1.0)
         self.start = np.full(states, 1.0 / states)
-        self.inner = self.start.copy()
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """The emission of each word hash."""
@@ -163,7 +163,6 @@ class Model:
     def update(self, emit: np.ndarray, trans: np.ndarray, start: np.ndarray) -> None:
         emit = emit + 50.0 * self.unigram  # a Dirichlet prior: no emission gets probability 0
         self.emit = emit / emit.sum(1, keepdims=True)
-        self.inner = trans.sum(1) / max(trans.sum(), 1e-300)
         trans = trans + 1.0
         self.trans = trans / trans.sum(1, keepdims=True)
         start = start + 1.0
@@ -191,49 +190,58 @@ class Model:
         return out
 
     def expect(self, ids: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected emissions, transitions and starts, over segments of SEGMENT tokens.
+        """Expected emissions, transitions and starts over whole texts.
 
-        A segment takes its neighbour's first token along, so every transition counts once.
+        Texts run side by side. The forward messages of at most about HELD tokens are held at
+        once: of earlier steps only those before each stretch, from which it is run again.
         """
         n = np.diff(ptr)
-        parts = np.maximum(1, -(-n // SEGMENT)) * (n > 0)
-        doc = np.repeat(np.arange(len(n)), parts)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
-        lo = ptr[:-1][doc] + nth * SEGMENT
-        size = np.minimum(SEGMENT, ptr[1:][doc] - lo)
+        order = np.argsort(-n, kind="stable")
+        n, first = n[order], ptr[:-1][order]
         s, table = self.states, np.ascontiguousarray(self.emit.T)
         emit, trans, start = np.zeros((s, self.end + 1)), np.zeros((s, s)), np.zeros(s)
-        if not len(doc):
+        if not len(n) or not n[0]:
             return emit, trans, start
-        order = np.argsort(-size, kind="stable")
-        lo, size, opens = lo[order], size[order], (nth == 0)[order]
-        steps = int(size[0])
-        live = np.searchsorted(-size, -np.arange(steps), "left")  # segments longer than t
-        alphas, scales, likes = [], [], []
-        for t in range(steps):
-            m = int(live[t])
-            b = table[ids[lo[:m] + t]]
-            a = (np.where(opens[:, None], self.start, self.inner) if not t else alphas[-1][:m] @ self.trans)[:m] * b
-            c = a.sum(1)
-            alphas.append(a / c[:, None])
-            scales.append(c)
-            likes.append(b)
-        beta = np.ones((int(live[-1]), s))
-        gammas, at = [], []
-        for t in range(steps - 1, -1, -1):
-            m = int(live[t])
-            if len(beta) < m:
-                beta = np.concatenate([beta, np.ones((m - len(beta), s))])
-            gammas.append(alphas[t] * beta)
-            at.append(ids[lo[:m] + t])
-            if t:
-                back = likes[t] * beta / scales[t][:, None]
-                trans += (alphas[t - 1][:m].T @ back) * self.trans
-                beta = back @ self.trans.T
-        start += gammas[-1][opens].sum(0)
-        gamma, at = np.concatenate(gammas), np.concatenate(at)
-        for k in range(s):
-            emit[k] = np.bincount(at, weights=gamma[:, k], minlength=self.end + 1)
+        live = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # texts longer than t
+        done = np.concatenate([[0], np.cumsum(live)])
+        cuts = [0]
+        while cuts[-1] < len(live):
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(done, done[cuts[-1]] + HELD, "right")) - 1))
+
+        def forward(lo: int, hi: int, before: np.ndarray | None):
+            at = np.repeat(np.arange(lo, hi), live[lo:hi])
+            token = ids[first[np.arange(len(at)) - (done[at] - done[lo])] + at]
+            like = table[token]
+            alpha, scale, off = np.empty_like(like), np.empty(len(like)), (done[lo : hi + 1] - done[lo]).tolist()
+            for x, y in zip(off[:-1], off[1:], strict=True):
+                a = like[x:y] * (self.start if before is None else before[: y - x] @ self.trans)
+                c = a.sum(1)
+                scale[x:y] = c
+                before = np.divide(a, c[:, None], out=alpha[x:y])
+            return token, like, alpha, scale, off
+
+        borders: list[np.ndarray | None] = [None]  # the message before each stretch
+        for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
+            got = forward(lo, hi, borders[-1])
+            borders.append(got[2][got[4][-2] :].copy())
+        beta = np.ones((0, s))
+        for lo, hi, before in zip(cuts[-2::-1], cuts[:0:-1], borders[::-1], strict=True):
+            token, like, alpha, scale, off = forward(lo, hi, before)
+            like /= scale[:, None]
+            for k in range(hi - lo - 1, -1, -1):
+                x, y = off[k], off[k + 1]
+                if len(beta) < y - x:
+                    beta = np.concatenate([beta, np.ones((y - x - len(beta), s))])
+                back = like[x:y] * beta
+                alpha[x:y] *= beta  # now the posteriors
+                if k or before is not None:
+                    past = alpha[off[k - 1] : off[k - 1] + y - x] if k else before[: y - x]
+                    trans += (past.T @ back) * self.trans
+                    beta = back @ self.trans.T
+            if before is None:
+                start += alpha[: off[1]].sum(0)
+            for k in range(s):
+                emit[k] += np.bincount(token, weights=alpha[:, k], minlength=self.end + 1)
         return emit, trans, start
 
 

@@ -329,3 +329,34 @@ def test_registered(spark):
     from rankweave.llm import queries
 
     assert len([q for q in queries.queries() if re.match(r"op\d+_", q)]) == 10 and "pipeline" in queries.queries()
+
+
+@pytest.mark.parametrize("held", [1, 40, 400_000])
+def test_expected_counts_of_long_texts(monkeypatch, held):
+    """Against the plain recursions over each whole text, however few tokens are held at once."""
+    from rankweave.llm import lm_hmm
+
+    monkeypatch.setattr(lm_hmm, "HELD", held, raising=False)
+    m = lm_hmm.Model(np.arange(4, 24, 4, dtype=np.uint64), np.arange(5, 0, -1), 3, np.array([20, 1, 1, 1]), np.array([6, 1, 1, 1]), 3)
+    rng = np.random.default_rng(3)
+    m.trans, m.start = (x / x.sum(-1, keepdims=True) for x in (rng.random((3, 3)), rng.random(3)))
+    m.emit = rng.random(m.emit.shape)
+    m.emit /= m.emit.sum(1, keepdims=True)
+    ptr = np.array([0, 7, 7, 207, 337, 338])
+    ids = rng.integers(0, m.end + 1, 338).astype(np.uint16)
+    emit, trans, start = np.zeros_like(m.emit), np.zeros((3, 3)), np.zeros(3)
+    for x in (ids[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True) if b > a):
+        alpha, beta = [m.start * m.emit[:, x[0]]], [np.ones(3)]
+        for i in x[1:]:
+            alpha.append(alpha[-1] @ m.trans * m.emit[:, i])
+        for i in x[:0:-1]:
+            beta.insert(0, m.trans @ (m.emit[:, i] * beta[0]))
+        total = alpha[-1].sum()
+        start += alpha[0] * beta[0] / total
+        for t, i in enumerate(x):
+            emit[:, i] += alpha[t] * beta[t] / total
+            if t:
+                trans += np.outer(alpha[t - 1], m.emit[:, i] * beta[t]) * m.trans / total
+    for got, want in zip(m.expect(ids, ptr), (emit, trans, start), strict=True):
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+    assert trans.sum() == pytest.approx(sum(max(0, k - 1) for k in np.diff(ptr)))
