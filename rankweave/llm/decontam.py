@@ -174,7 +174,7 @@ def _pass(matcher: Matcher, text: str) -> Callable[[Iterator[pa.RecordBatch]], I
                     before, got = old_spans[lo + d] or [], found.get(d, [])
                     whole = merge([(x["word"], x["end_word"]) for x in before] + [(a, e) for a, e, _ in got])
                     spans.append([{"word": a, "end_word": e, "start": int(starts[ptr[d] + a] - offs[d]), "end": int(ends[ptr[d] + e - 1] - offs[d])} for a, e in whole])
-                    items.append(sorted({*(old_items[lo + d] or []), *(str(matcher.automaton.ids[k]) for _, _, k in got)}))
+                    items.append(sorted({*(old_items[lo + d] or []), *(str(matcher.automaton.ids[k]) for _, _, k in got if matcher.automaton.ids[k] is not None)}))
                     n_hit.append(sum(e - a for a, e in whole))
             out = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "hit_spans": pa.array(spans, _SPANS), "hit_items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([out.get(f.name, b.column(i)) for i, f in enumerate(b.schema)], names=b.schema.names)
@@ -190,16 +190,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     cover at least ``max_share`` of the words. Columns of these names in ``docs`` are replaced.
 
     A null or empty text has no words and no hits; an item without words has no window;
-    repeated items and item ids count once; an empty benchmark leaves every text clean.
+    repeated items and item ids count once; an item of null id marks its words but is not in
+    hit_items; an empty benchmark leaves every text clean.
     """
     small_batches(docs.sparkSession)
     made = ["n_words", "n_hit", "hit_spans", "hit_items", "contaminated"]
     spans = "array<struct<word:int,end_word:int,start:int,end:int>>"
     df = docs.drop(*made).select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast(spans).alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
     shards = max(1, -(-total_bytes(items, "t") // shard_bytes))
     for s in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == s).collect()  # bounded by shard_bytes
+        rows = items.where(F.pmod(F.xxhash64(F.coalesce("i", "t")), F.lit(shards)) == s).collect()  # bounded by shard_bytes
         matcher = Matcher([(r.i, words_of(r.t)) for r in rows], window)
         df = df.mapInArrow(tidy(_pass(matcher, text)), df.schema)
     return df.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(max_share) * F.col("n_words")))

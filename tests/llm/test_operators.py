@@ -360,3 +360,14 @@ def test_expected_counts_of_long_texts(monkeypatch, held):
     for got, want in zip(m.expect(ids, ptr), (emit, trans, start), strict=True):
         assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
     assert trans.sum() == pytest.approx(sum(max(0, k - 1) for k in np.diff(ptr)))
+
+
+@pytest.mark.parametrize("shard_bytes", [100, 1 << 20])
+def test_benchmark_item_without_an_id(spark, shard_bytes):
+    from rankweave.llm.decontam import decontaminate
+
+    passage = " ".join(WORDS[:20])
+    docs = spark.createDataFrame([(1, passage), (2, " ".join(WORDS[100:140])), (3, f"{passage} {' '.join(WORDS[50:70])}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (7, " ".join(WORDS[50:70])), (None, " ".join(WORDS[200:220]))], "item_id long, text string")
+    got = by_id(decontaminate(docs, bench, shard_bytes=shard_bytes))
+    assert {i: (r.n_hit, r.hit_items, r.contaminated) for i, r in got.items()} == {1: (20, [], True), 2: (0, [], False), 3: (40, ["7"], True)}
