@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import ALNUM, HashSet, as_strings, mix, prefix_hash, slices, small_batches, span_hash, tidy, word_spans
+from .textcore import ALNUM, HashSet, as_strings, mix, prefix_hash, slices, small_batches, span_hash, stored, tidy, word_spans
 
 #: Labelled texts of each class that the classifier is fitted on, at most.
 SAMPLE = 2_500
 PREFIXES = (3, 4, 5, 6)
 MIN_TEXTS = 4
-CHUNK = 32
+ROUNDS = 80
 THRESHOLD = 0.7
 _U = np.uint64
 
@@ -41,6 +41,167 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, ptr, span_hash(sums, starts, ends), short
 
 
+def feature_rows(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row of ``texts``, its words' feature hashes) one text after another."""
+    for lo, hi, buf, offs in slices(texts):
+        _, _, ptr, whole, short = features(buf, offs)
+        for d in range(lo, hi):
+            a, b = ptr[d - lo], ptr[d - lo + 1]
+            yield d, np.stack([whole[a:b], *(s[a:b] for s in short)], axis=1)
+
+
+class Association:
+    """In how many toxic and other texts the features of toxic ones are found; toxic texts come first.
+
+    Only hashes of toxic texts are held, so the others may be any number.
+    """
+
+    HELD = 2_000_000
+
+    def __init__(self) -> None:
+        self.hashes, self.counts = np.zeros(0, _U), np.zeros((2, 0), np.int64)
+        self.texts, self.held, self.parts = [0, 0], 0, []
+
+    def add(self, toxic: bool, rows: np.ndarray) -> None:
+        self.texts[toxic] += 1
+        u = np.unique(rows)
+        u = u[u > 0]
+        if toxic:
+            self.parts.append(u)
+            self.held += len(u)
+            if self.held > self.HELD:
+                self._merge()
+            return
+        self._merge()
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, u), len(self.hashes) - 1)
+            self.counts[0, at[self.hashes[at] == u]] += 1
+
+    def _merge(self) -> None:
+        if self.parts:
+            u, n = np.unique(np.concatenate(self.parts), return_counts=True)
+            names = np.union1d(self.hashes, u)
+            counts = np.zeros((2, len(names)), np.int64)
+            counts[:, np.searchsorted(names, self.hashes)] = self.counts
+            counts[1, np.searchsorted(names, u)] += n
+            self.hashes, self.counts, self.parts, self.held = names, counts, [], 0
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes that may carry weight (the rest share the background), and whether they mark a word as toxic."""
+        self._merge()
+        other, bad = self.counts
+        odds = np.log((bad + 0.5) / (self.texts[1] + 1)) - np.log((other + 0.5) / (self.texts[0] + 1))
+        surely = odds - 1.64 * np.sqrt(1 / (bad + 0.5) + 1 / (other + 0.5))
+        keep = (bad >= MIN_TEXTS) & (surely > 0.5)
+        return self.hashes[keep], (surely[keep] > 1.0) & (odds[keep] > 2.5)
+
+
+def _powers(base: np.ndarray, slopes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """base ** n and its derivatives along ``slopes``, both over one positive scale for each n."""
+    out, d_out = np.tile(np.eye(2), (len(n), 1, 1)), np.zeros((len(n), len(slopes), 2, 2))
+    while n.any():
+        odd = (n & 1).astype(bool)
+        d_out[odd] = d_out[odd] @ base + out[odd][:, None] @ slopes
+        out[odd] = out[odd] @ base
+        scale = out.sum((1, 2))
+        out, d_out = out / scale[:, None, None], d_out / scale[:, None, None, None]
+        slopes, base = slopes @ base + base @ slopes, base @ base
+        slopes, base = slopes / base.sum(), base / base.sum()
+        n = n >> 1
+    return out, d_out
+
+
+class Chains:
+    """Whole texts as the chains of their weighted words, side by side, the longest first."""
+
+    def __init__(self, texts: list[tuple[int, np.ndarray, np.ndarray]], toxic: np.ndarray, marks: np.ndarray):
+        """texts: (words, places of weighted words, their features), as :meth:`Field.look` gives them."""
+        own = [np.unique(w, return_inverse=True) for _, w, _ in texts]
+        k = np.array([len(u) for u, _ in own], np.int64)
+        order = np.argsort(-k, kind="stable")
+        self.k, self.words = k[order], np.array([n for n, _, _ in texts], np.int64)[order]
+        self.live = np.searchsorted(-self.k, -np.arange(int(k.max(initial=0))), "left")
+        first = np.cumsum(self.live) - self.live
+        self.off = [*first.tolist(), int(k.sum())]
+        place, cell, feat = np.empty(int(k.sum()), np.int64), [], []
+        self.y = np.zeros(int(k.sum()))
+        for r, d in enumerate(order.tolist()):
+            (u, inverse), f = own[d], texts[d][2]
+            at = first[: len(u)] + r
+            place[at] = u
+            cell.append(at[inverse])
+            feat.append(f)
+            if toxic[d]:
+                self.y[at[inverse[marks[f]]]] = 1.0
+        self.cell, self.feat = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (cell, feat))
+        self.gap = place.copy()  # background words before each weighted word, and after the last
+        for t in range(1, len(self.live)):
+            lo, n = self.off[t], self.live[t]
+            self.gap[lo : lo + n] = place[lo : lo + n] - place[self.off[t - 1] : self.off[t - 1] + n] - 1
+        some = self.k > 0
+        last = first[np.maximum(self.k, 1) - 1] + np.arange(len(self.k)) if len(place) else np.zeros(0, np.int64)
+        self.rest = self.words[some] - 1 - place[last[some]] if len(place) else np.zeros(0, np.int64)
+        self.bare = self.words[~some]
+        self.bare = self.bare[self.bare > 0]
+        # steps between the labelled states, of all words
+        after = np.zeros(len(place))
+        after[last[some]] = self.rest == 0
+        one, end, begin = self.y.sum(), (self.y * after).sum(), (self.y[: self.off[1] if len(self.live) else 0] * (self.gap[: self.off[1] if len(self.live) else 0] == 0)).sum()
+        both = sum((self.y[self.off[t] : self.off[t] + n] * self.y[self.off[t - 1] : self.off[t - 1] + n] * (self.gap[self.off[t] : self.off[t] + n] == 0)).sum() for t, n in enumerate(self.live) if t)
+        steps = np.maximum(self.words - 1, 0).sum()
+        self.seen = np.array([[steps - (one - end) - (one - begin) + both, one - begin - both], [one - end - both, both]])
+
+    def expected(self, e: np.ndarray, bias: float, step: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """Marginals of the weighted words, the background's expected toxic words, expected steps."""
+        t, back = np.exp(np.clip(step, -10, 10)), np.array([1.0, np.exp(bias)])
+        units = np.eye(4).reshape(4, 2, 2) * t  # derivatives of the steps along their logarithms
+        d_back = np.array([0.0, back[1]])
+        before, after = back[:, None] * t, t * back  # a background word, then a step; a step, then such a word
+        d_before = np.concatenate([(d_back[:, None] * t)[None], back[:, None] * units])
+        d_after = np.concatenate([(t * d_back)[None], units * back])
+        d_t = np.concatenate([np.zeros((1, 2, 2)), units])
+        lengths, at = np.unique(self.gap, return_inverse=True)
+        p, dp = _powers(before, d_before, lengths)
+        g, dg = t @ p, d_t @ p[:, None] + t @ dp
+        emit = np.stack([np.ones(len(e)), np.exp(np.clip(e, -30, 30))], axis=1)
+        alpha, total = np.empty((len(e), 2)), np.zeros(5)
+        for i, n in enumerate(self.live.tolist()):
+            lo = self.off[i]
+            m = (g if i else p)[at[lo : lo + n]]
+            a = (m.sum(1) if not i else (alpha[self.off[i - 1] : self.off[i - 1] + n, :, None] * m).sum(1)) * emit[lo : lo + n]
+            alpha[lo : lo + n] = a / a.sum(1, keepdims=True)
+        p_own = np.empty(len(e))
+        beta = np.ones((0, 2))
+        if len(self.rest):
+            r, at_r = np.unique(self.rest, return_inverse=True)
+            q, dq = _powers(after, d_after, r)
+            ends = q[at_r].sum(2)  # of each text with weighted words, longest first
+            d_ends = dq[at_r].sum(3)
+        for i in range(len(self.live) - 1, -1, -1):
+            lo, n = self.off[i], int(self.live[i])
+            new = slice(len(beta), n)  # texts whose last weighted word this is
+            beta = np.concatenate([beta, ends[new]])
+            z = (alpha[lo : lo + n] * beta).sum(1)
+            p_own[lo : lo + n] = alpha[lo : lo + n, 1] * beta[:, 1] / z
+            total += ((d_ends[new] * alpha[lo : lo + n][new][:, None]).sum(2) / z[new][:, None]).sum(0)
+            back_in = emit[lo : lo + n] * beta
+            m, dm = (g if i else p)[at[lo : lo + n]], (dg if i else dp)[at[lo : lo + n]]
+            past = alpha[self.off[i - 1] : self.off[i - 1] + n] if i else np.ones((n, 2))
+            norm = (past * (m * back_in[:, None]).sum(2)).sum(1)
+            total += ((dm * back_in[:, None, None]).sum(3) * past[:, None]).sum(2).T @ (1 / norm)
+            beta = (m * back_in[:, None]).sum(2)
+            beta /= beta.sum(1, keepdims=True)
+        if len(self.bare):
+            n, times = np.unique(self.bare, return_counts=True)
+            m, dm = _powers(before, d_before, n - 1)
+            z = m.sum(1) @ back
+            d = dm.sum(2) @ back
+            d[:, 0] += m.sum(1) @ d_back
+            total += (d * (times / z)[:, None]).sum(0)
+        return p_own, float(total[0]), total[1:].reshape(2, 2)
+
+
+
 class Field:
     """Weights of a two-state chain, and the document score on top."""
 
@@ -50,127 +211,53 @@ class Field:
         self.bias = 0.0
         self.step = np.zeros((2, 2))
         self.coef = np.zeros(4)
-        self.powers: list[np.ndarray] = []
+        self.gaps: dict[int, np.ndarray] = {}
 
     # --- learning -------------------------------------------------------------------
 
     def fit(self, texts: list[str], toxic: np.ndarray) -> Field:
-        """From whole texts and their labels; without both classes every score is the class share."""
-        toxic = np.asarray(toxic, float)
+        """From whole texts and their labels, all in one process; :func:`fit_toxicity` deals them out."""
+        toxic, arr, found = np.asarray(toxic, float), pa.array(texts, pa.large_string()), Association()
+        for side in (1, 0):
+            for _, rows in feature_rows(arr.filter(pa.array(toxic == side))):
+                found.add(bool(side), rows)
+        hashes, marks = found.found()
+        self.known = HashSet(hashes)
+        return self.learn([(len(rows), *self.look(rows)) for _, rows in feature_rows(arr)], toxic, marks)
+
+    def look(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, feature) pairs of the weighted features in rows of hashes."""
+        at, rank = self.known.index(rows.ravel())
+        return at // rows.shape[1], rank
+
+    def learn(self, texts: list[tuple[int, np.ndarray, np.ndarray]], toxic: np.ndarray, marks: np.ndarray) -> Field:
+        """From (words, places, features) of each text; without both classes every score is the class share."""
         share = float(toxic.mean()) if len(toxic) else 0.0
         self.coef = np.array([np.log((share * len(toxic) + 0.5) / ((1 - share) * len(toxic) + 0.5)), 0.0, 0.0, 0.0])
+        self.weights, self.gaps = np.zeros(len(self.known.values)), {}
         if not (0 < share < 1):
             return self
-        arr = pa.array(texts, pa.large_string())
-        words, counts = [], {0: [], 1: []}
-        for lo, hi, buf, offs in slices(arr):
-            _, _, ptr, whole, short = features(buf, offs)
-            for d in range(lo, hi):
-                a, b = ptr[d - lo], ptr[d - lo + 1]
-                rows = np.stack([whole[a:b], *(s[a:b] for s in short)], axis=1)
-                words.append(rows)
-                u = np.unique(rows)
-                counts[int(toxic[d])].append(u[u > 0])
-        self._associate(counts, toxic)
         if len(self.known.values):
-            self._train(words, toxic)
-        self._score_fit(words, toxic)
+            self._train(Chains(texts, toxic, marks))
+        self._score_fit(texts, toxic)
         return self
 
-    def _associate(self, counts: dict[int, list[np.ndarray]], toxic: np.ndarray) -> None:
-        bad, n_bad = np.unique(np.concatenate(counts[1]), return_counts=True)
-        good, n_good = np.unique(np.concatenate(counts[0]), return_counts=True)
-        ok = n_bad >= MIN_TEXTS
-        bad, n_bad = bad[ok], n_bad[ok]
-        at = np.minimum(np.searchsorted(good, bad), max(0, len(good) - 1))
-        other = np.where(good[at] == bad, n_good[at], 0) if len(good) else np.zeros(len(bad))
-        odds = np.log((n_bad + 0.5) / (toxic.sum() + 1)) - np.log((other + 0.5) / ((1 - toxic).sum() + 1))
-        spread = np.sqrt(1 / (n_bad + 0.5) + 1 / (other + 0.5))
-        surely = odds - 1.64 * spread
-        keep = surely > 0.5  # features that may carry weight; the rest share the background
-        self.known = HashSet(bad[keep])
-        order = np.argsort(bad[keep])
-        self.label = (surely[keep] > 1.0)[order] & (odds[keep] > 2.5)[order]
-
-    def _look(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word, feature) pairs of the weighted features in rows of hashes."""
-        at, rank = self.known.index(rows.ravel())
-        return at // rows.shape[1], rank
-
-    def _train(self, words: list[np.ndarray], toxic: np.ndarray) -> None:
-        chunks: list[tuple[int, int, int]] = []
-        pairs, labels = [], []
-        for d, rows in enumerate(words):
-            w, f = self._look(rows)
-            y = np.zeros(len(rows), bool)
-            if toxic[d]:
-                y[w[self.label[f]]] = True
-            pairs.append((w, f))
-            labels.append(y)
-            live = {int(x) // CHUNK for x in w}
-            live |= {d * 7 % max(1, -(-len(rows) // CHUNK))}  # and one chunk of any text
-            chunks += [(d, c * CHUNK, min(len(rows), (c + 1) * CHUNK)) for c in sorted(live) if c * CHUNK < len(rows)]
-        n = len(chunks)
-        row, col, feat, y = [], [], [], np.zeros((n, CHUNK))
-        mask = np.zeros((n, CHUNK), bool)
-        for i, (d, a, b) in enumerate(chunks):
-            mask[i, : b - a] = True
-            y[i, : b - a] = labels[d][a:b]
-            w, f = pairs[d]
-            inside = (w >= a) & (w < b)
-            row.append(np.full(int(inside.sum()), i))
-            col.append(w[inside] - a)
-            feat.append(f[inside])
-        row, col, feat = (np.concatenate(x).astype(np.int64) for x in (row, col, feat))
-        cell = row * CHUNK + col
+    def _train(self, chains: Chains) -> None:
         size = len(self.known.values)
         theta, m, v = np.zeros(size + 5), np.zeros(size + 5), np.zeros(size + 5)
         theta[size] = -3.0
-        seen = np.zeros((2, 2))
-        both = mask[:, 1:]
-        for a in (0, 1):
-            for b in (0, 1):
-                seen[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum()
-        for it in range(1, 81):
-            e = np.bincount(cell, weights=theta[feat], minlength=n * CHUNK).reshape(n, CHUNK) + theta[size]
-            p, pair = self._marginals(e, theta[size + 1 :].reshape(2, 2), mask)
-            gap = (y - p) * mask
-            grad = np.concatenate([np.bincount(feat, weights=gap.ravel()[cell], minlength=size), [gap.sum()], (seen - pair).ravel()])
+        for it in range(1, ROUNDS + 1):
+            e = np.bincount(chains.cell, weights=theta[chains.feat], minlength=len(chains.y)) + theta[size]
+            p, background, steps = chains.expected(e, theta[size], theta[size + 1 :].reshape(2, 2))
+            gap = chains.y - p
+            grad = np.concatenate([np.bincount(chains.feat, weights=gap[chains.cell], minlength=size), [gap.sum() - background], (chains.seen - steps).ravel()])
             grad -= np.concatenate([0.05 * theta[:size], [0.0], 0.05 * theta[size + 1 :]])
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             theta = theta + 0.15 * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.99**it)) + 1e-8)
         self.weights, self.bias, self.step = theta[:size], float(theta[size]), theta[size + 1 :].reshape(2, 2)
 
-    @staticmethod
-    def _marginals(e: np.ndarray, step: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Marginals of state 1 and expected steps, of many chains at once."""
-        n, length = e.shape
-        emit = np.stack([np.ones_like(e), np.exp(np.clip(e, -30, 30))], axis=2)
-        emit[~mask] = 1.0
-        t = np.exp(np.clip(step, -10, 10))
-        alpha, scale = np.empty((length, n, 2)), np.empty((length, n))
-        for i in range(length):
-            a = emit[:, i] if not i else np.where(mask[:, i, None], (alpha[i - 1] @ t) * emit[:, i], alpha[i - 1])
-            scale[i] = a.sum(1)
-            alpha[i] = a / scale[i][:, None]
-        beta, p, pair = np.ones((n, 2)), np.empty((n, length)), np.zeros((2, 2))
-        for i in range(length - 1, -1, -1):
-            g = alpha[i] * beta
-            p[:, i] = g[:, 1] / g.sum(1)
-            if i:
-                back = emit[:, i] * beta / scale[i][:, None]
-                live = mask[:, i]
-                joint = alpha[i - 1][live][:, :, None] * t[None] * back[live][:, None, :]
-                pair += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-                beta = np.where(live[:, None], back @ t.T, beta)
-        return p, pair
-
-    def _score_fit(self, words: list[np.ndarray], toxic: np.ndarray) -> None:
-        x = []
-        for rows in words:
-            w, f = self._look(rows)
-            x.append(self._summary(self.marginals(*self._emissions(w, f), len(rows))[1], len(rows)))
-        x = np.array(x)
+    def _score_fit(self, texts: list[tuple[int, np.ndarray, np.ndarray]], toxic: np.ndarray) -> None:
+        x = np.array([self._summary(self.marginals(*self._emissions(w, f), n)[1], n) for n, w, f in texts])
         beta = np.zeros(4)
         for _ in range(40):  # Newton steps with a ridge
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -188,14 +275,13 @@ class Field:
 
     def _gap(self, n: int) -> np.ndarray:
         """The matrix of ``n`` background words and the steps around them, scaled."""
-        if not self.powers:
+        if n not in self.gaps:
             t = np.exp(np.clip(self.step, -10, 10))
             one = t * np.array([1.0, np.exp(self.bias)])[None, :]  # a step, then a background word
-            self.powers = [t / t.sum()]
-            for _ in range(512):
-                nxt = one @ self.powers[-1]
-                self.powers.append(nxt / nxt.sum())
-        return self.powers[min(n, 512)]  # scaled powers of a positive matrix have long converged there
+            root = (np.trace(one) + np.sqrt((one[0, 0] - one[1, 1]) ** 2 + 4 * one[0, 1] * one[1, 0])) / 2
+            got = np.linalg.matrix_power(one / root, n) @ t
+            self.gaps[n] = got / got.sum()
+        return self.gaps[n]
 
     def marginals(self, own: np.ndarray, e: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(words, marginals of the toxic state) by forward-backward over all ``n`` words."""
@@ -256,17 +342,53 @@ class Field:
             yield self.score(p, n), [(int(starts[a + w] - offs[d]), int(ends[a + w] - offs[d]), float(x)) for w, x in zip(own, p, strict=True) if x >= 0.5]
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, train, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, seed: int = 0) -> tuple[list[str], np.ndarray]:
-    """At most ``sample`` labelled texts of each class among the rows that ``train`` admits.
+def sample_labelled(docs: DataFrame, labels: DataFrame, train, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, seed: int = 0) -> DataFrame:
+    """(id, y, text) of at most ``sample`` labelled texts of each class among the rows that ``train`` admits.
 
     The rows with the smallest hash of their id; a document with several labels has the
     highest, and a document given in several rows counts once.
     """
-    own = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("l_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y")).where(train(F.col("l_id")))
-    order = F.xxhash64(F.lit(seed), "l_id")
-    ids = own.where("y = 1").orderBy(order, "l_id").limit(sample).union(own.where("y = 0").orderBy(order, "l_id").limit(sample))
-    rows = docs.select(F.col(doc_id).alias("d_id"), F.col(text).cast("string").alias("t")).join(F.broadcast(ids), F.col("d_id") == F.col("l_id")).groupBy("l_id", "y").agg(F.min("t").alias("t")).orderBy("l_id").collect()  # 2 * sample rows at most
-    return [r.t or "" for r in rows], np.array([r.y for r in rows], float)
+    own = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y")).where(train(F.col("id")))
+    order = F.xxhash64(F.lit(seed), "id")
+    ids = own.where("y = 1").orderBy(order, "id").limit(sample).union(own.where("y = 0").orderBy(order, "id").limit(sample))
+    rows = docs.select(F.col(doc_id).alias("d_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(ids), F.col("d_id") == F.col("id"))  # 2 * sample ids at most
+    return rows.groupBy("id", "y").agg(F.min("t").alias("text"))
+
+
+def _associate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = Association()
+    for b in batches:
+        y = b.column("y").to_numpy()
+        for d, rows in feature_rows(as_strings(b.column("text"))):
+            found.add(bool(y[d]), rows)
+    hashes, marks = found.found()
+    yield pa.RecordBatch.from_arrays([pa.array([hashes.tobytes()], pa.binary()), pa.array([marks.tobytes()], pa.binary())], names=["hashes", "marks"])
+
+
+def _reduced(hashes: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = Field()
+        field.known = HashSet(hashes)
+        for b in batches:
+            got = [(len(rows), *(x.astype(np.int32).tobytes() for x in field.look(rows))) for _, rows in feature_rows(as_strings(b.column("text")))]
+            words, places, feats = zip(*got, strict=True) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(words, pa.int64()), pa.array(places, pa.binary()), pa.array(feats, pa.binary())], names=["id", "y", "words", "places", "feats"])
+
+    return run
+
+
+def _learnt(hashes: np.ndarray, marks: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, texts = [], []
+        for b in batches:
+            y += b.column("y").to_pylist()
+            texts += [(n, np.frombuffer(w, np.int32).astype(np.int64), np.frombuffer(f, np.int32).astype(np.int64)) for n, w, f in zip(*(b.column(c).to_pylist() for c in ("words", "places", "feats")), strict=True)]
+        field = Field()
+        field.known = HashSet(hashes)
+        field.learn(texts, np.array(y, float), marks)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (field.weights, np.array([field.bias, *field.step.ravel(), *field.coef]))], names=["weights", "rest"])
+
+    return run
 
 
 def score_toxicity(docs: DataFrame, field: Field, *, text: str = "text") -> DataFrame:
@@ -294,8 +416,23 @@ def fold(doc_id, n: int = 3):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, held: int | None = 1, sample: int = SAMPLE) -> Field:
-    """The field fitted on labelled rows outside fold ``held`` (None: on all)."""
-    return Field().fit(*sample_labelled(docs, labels, lambda c: F.lit(True) if held is None else fold(c) != held, sample=sample))
+    """The field fitted on labelled rows outside fold ``held`` (None: on all).
+
+    The sample is written to the shared folder. Tasks that see all of it hold its hashes of
+    toxic texts, or its weighted words; the driver gets the weights.
+    """
+    small_batches(docs.sparkSession)
+    texts = stored(sample_labelled(docs, labels, lambda c: F.lit(True) if held is None else fold(c) != held, sample=sample), "labelled-sample")
+    hashes, marks = texts.repartition(1).sortWithinPartitions(F.desc("y"), "id").mapInArrow(tidy(_associate), "hashes binary, marks binary").first() or (b"", b"")
+    field, hashes, marks = Field(), np.frombuffer(hashes, _U), np.frombuffer(marks, bool)
+    few = texts.mapInArrow(tidy(_reduced(hashes)), texts.select("id", "y", F.lit(0).cast("long").alias("words"), F.lit(b"").alias("places"), F.lit(b"").alias("feats")).schema)
+    got = few.repartition(1).sortWithinPartitions("id").mapInArrow(tidy(_learnt(hashes, marks)), "weights binary, rest binary").first()
+    if got is None:  # no labelled text
+        return field.learn([], np.zeros(0), marks)
+    field.known = HashSet(hashes)
+    field.weights, rest = (np.frombuffer(x) for x in got)
+    field.bias, field.step, field.coef = float(rest[0]), rest[1:5].reshape(2, 2), rest[5:]
+    return field
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -258,15 +258,71 @@ def test_toxicity(spark, docs):
         for s in r.toxic_spans:
             assert r.text[s.start : s.end][:4] in ("vile", "nast")
     assert Field().fit([], np.zeros(0)).score(np.zeros(0), 3) >= 0
-    # the compressed recursion against one over every word
-    own, e = np.array([2, 3, 9]), np.array([1.0, -0.5, 2.0])
-    full = np.full((1, 14), f.bias)
-    full[0, own] = e
-    p, _ = Field._marginals(full, f.step, np.ones((1, 14), bool))
-    assert np.allclose(f.marginals(own, e, 14)[1], p[0, own], atol=1e-9)
     assert fold(F.lit(3)) is not None
 
 
+def _plain_chain(e, step):
+    """Marginals of state 1 and expected steps of one chain, word by word."""
+    t, emit = np.exp(step), np.stack([np.ones(len(e)), np.exp(e)], 1)
+    alpha, beta = [emit[0]], [np.ones(2)]
+    for x in emit[1:]:
+        alpha.append(alpha[-1] @ t * x)
+    for x in emit[:0:-1]:
+        beta.insert(0, t @ (x * beta[0]))
+    z = alpha[-1].sum()
+    steps = sum((np.outer(alpha[i - 1], emit[i] * beta[i]) * t / z for i in range(1, len(e))), np.zeros((2, 2)))
+    return np.array([a[1] * b[1] / z for a, b in zip(alpha, beta, strict=True)]), steps
+
+
+def test_chains_of_weighted_words():
+    """The recursion over weighted words alone against one over every word, in learning and in use."""
+    from rankweave.llm.toxicity import Chains, Field
+
+    rng = np.random.default_rng(9)
+    step, bias, weight = np.array([[0.3, -1.0], [-0.5, 0.8]]), -1.2, rng.normal(size=6)
+    marks = np.array([True, False, True, False, False, True])
+    texts, toxic = [], np.array([1, 0, 1, 1, 0, 1, 1], float)
+    for n in (14, 9, 1, 40, 0, 25, 3):
+        places = np.sort(rng.choice(n, min(n, [5, 0, 1, 12, 0, 3, 3][len(texts)]), replace=False)) if n else np.zeros(0, np.int64)
+        places = np.concatenate([places, places[:1]])  # a word may have two features
+        texts.append((n, np.sort(places), rng.integers(0, 6, len(places))))
+    chains = Chains(texts, toxic, marks)
+    e = np.bincount(chains.cell, weights=weight[chains.feat], minlength=len(chains.y)) + bias
+    p, background, steps = chains.expected(e, bias, step)
+    own, rest, all_steps, seen = [], 0.0, np.zeros((2, 2)), np.zeros((2, 2))
+    f = Field()
+    f.weights, f.bias, f.step = weight, bias, step
+    for (n, w, x), bad in zip(texts, toxic, strict=True):
+        if not n:
+            continue
+        full = np.full(n, bias)
+        np.add.at(full, w, weight[x])
+        q, s = _plain_chain(full, step)
+        y = np.zeros(n, int)
+        y[w[marks[x]]] = int(bad)
+        np.add.at(seen, (y[:-1], y[1:]), 1)
+        at = np.unique(w)
+        own += q[at].tolist()
+        rest += np.delete(q, at).sum()
+        all_steps += s
+        assert np.allclose(f.marginals(*f._emissions(w, x), n)[1], q[at])
+    assert np.allclose(sorted(p), sorted(own)) and background == pytest.approx(rest) and np.allclose(steps, all_steps) and np.allclose(chains.seen, seen)
+
+
+def test_toxicity_fit_is_the_same_dealt_out(spark):
+    from rankweave.llm.toxicity import Field, fit_toxicity
+
+    rng = np.random.default_rng(11)
+    rows = [(i, prose(rng, 50) + (" vilew nastyx" if i % 3 == 0 else "")) for i in range(90)] + [(200, None), (201, "")]
+    labels = [(i, int(i < 200 and i % 3 == 0)) for i, _ in rows]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = fit_toxicity(d.union(d.limit(5)), lab, held=None)
+    want = Field().fit([t or "" for _, t in rows], np.array([y for _, y in labels]))
+    assert np.allclose(got.weights, want.weights) and np.allclose(got.coef, want.coef, atol=1e-4) and got.bias == pytest.approx(want.bias)
+    for lab in (lab.limit(0), lab.where("toxic = 0"), lab.where("toxic = 1")):
+        assert 0 <= fit_toxicity(d, lab, held=None).score(np.zeros(0), 3) <= 1
+
+
 def test_mixing(spark, docs):
     from rankweave.llm.mixing import mix, mixing_digest, targets
 
