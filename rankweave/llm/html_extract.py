@@ -1,17 +1,22 @@
 """Main-text extraction with a site style tree.
 
-Pages are parsed leniently into blocks that know their chain of elements. Blocks in menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments and invisible elements go
-by what their elements declare. For the rest, the same-host pages (each distinct page once) are
-merged into one tree: a node is a chain of tags and classes, its presentation is the sequence
-of its children, its content the text directly in it. The entropy of either over the host's
-pages, in the logarithm of their number, is 0 if all pages agree and 1 if all differ; a node's
-importance weighs its own presentation with the content of the leaves below. Nodes of low
-importance, seen on enough pages, are template, and their branches go from every page.
+Pages are parsed leniently into blocks that know their chain of elements. The same-host pages
+(each distinct page once) are merged into one tree: a node is a chain of tags and classes, its
+presentation is the sequence of its children, its content the text directly in it. The entropy
+of either over the host's pages, in the logarithm of their number, is 0 if all pages agree and
+1 if all differ. A node's importance is the entropy of its presentation times the mean entropy
+of the contents below it, a branch's that of its most important node.
+
+From the root down, a branch whose importance is below ``ratio`` of its most important sibling's
+is layout and goes, and a node whose own importance is at least ``own`` of what is most important
+in it is no skeleton but the main content. The entropies of siblings share one logarithm, so their ratio does not depend on
+the number of pages. Nodes whose contents hardly vary go wherever they stand. Inside the main
+content, what varies as it does (reader comments, forms, notices) goes by what elements declare;
+so does all of a page that has no node of the tree, or of a host with fewer than ``min_pages``.
 
 The tree is a table of counts by (host, node), summed map-side, so a host with a third of all
-pages is no larger than its templates. The low nodes go to every task if they are few, else
-they are joined by host.
+pages is no larger than its templates. Its verdicts go to every task if they are few, else
+they are joined by host, and a hot host's pages may be split.
 """
 
 from __future__ import annotations
@@ -26,19 +31,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import small_batches, stored, tidy
+from .textcore import apart, small_batches, stored, tidy
 
 MIN_PAGES = 8
+#: Mean content entropy below which a node is template wherever it stands.
 LOW = 0.2
-OWN = 0.1
-#: Low-importance nodes that are broadcast; beyond it they are joined by host.
+#: Share of the most important sibling's importance below which a branch is layout; and the importance from which siblings are compared.
+RATIO, LEAST = 0.75, 0.05
+#: Share of a branch's importance that its top node itself must have to be main content.
+OWN = 0.3
+#: Judged nodes that are broadcast; beyond it they are joined by host.
 BROADCAST_NODES = 200_000
 
 # Element names by role in HTML, and the words by which sites name their parts.
 _RAW = frozenset("script style noscript template iframe xmp textarea title noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-_GONE = frozenset("script style noscript template nav footer aside form button select textarea iframe svg math object canvas audio video dialog menu head title datalist noembed noframes xmp map".split())
+_UNSEEN = frozenset("script style noscript template button select textarea iframe svg object canvas audio video head title datalist noembed noframes xmp".split())
+_GONE = frozenset("nav footer aside form dialog menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside rail footer header masthead topbar toolbar comment comments disqus replies respond discussion share sharing social related recommended recommendations widget widgets pagination pager skip copyright disclaimer form searchform searchbox paywall".split())
 _NOT_FIRST = frozenset("with has no without is js".split())
@@ -57,12 +67,13 @@ def _hash(*parts: str) -> int:
 
 
 class _Element:
-    __slots__ = ("children", "gone", "inside", "node", "parent", "tag", "text")
+    """An element; ``unseen`` text is never read, and ``gone`` says that it or what holds it declares a side role."""
 
-    def __init__(self, tag: str, node: int, parent: _Element | None, gone: bool, inside: int):
-        self.tag, self.node, self.parent, self.gone, self.inside = tag, node, parent, gone, inside
+    __slots__ = ("children", "gone", "inside", "node", "parent", "tag", "unseen")
+
+    def __init__(self, tag: str, node: int, parent: _Element | None, unseen: bool, gone: bool, inside: int):
+        self.tag, self.node, self.parent, self.unseen, self.gone, self.inside = tag, node, parent, unseen, gone, inside
         self.children: list[str] = []
-        self.text: list[str] = []
 
 
 class Block:
@@ -89,28 +100,29 @@ def _opened(tag: str, raw: str, parent: _Element) -> _Element:
     attrs = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip(" /\n\t") else {}
     cls, own_id, role = attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", "").lower()
     inside = parent.inside
-    gone = parent.gone or tag in _GONE or (tag == "header" and not inside) or role in _ROLES
+    side = tag in _GONE or (tag == "header" and not inside) or role in _ROLES
     if tag not in ("html", "body", "main"):
-        gone = gone or _named_out(f"{cls} {own_id}", inside, tag)
-    gone = gone or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(attrs.get("style", "")))
+        side = side or _named_out(f"{cls} {own_id}", inside, tag)
+    unseen = parent.unseen or tag in _UNSEEN or (side and tag not in _BLOCK)
+    unseen = unseen or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(attrs.get("style", "")))
     if tag == "article":
         inside = 2
     elif not inside and (tag == "main" or role == "main" or attrs.get("itemprop", "").lower() == "articlebody" or _CONTENT.intersection(cls.lower().split()) or own_id.lower() in _CONTENT):
         inside = 1
     label = f"{tag}.{'.'.join(sorted(cls.lower().split()))}" if cls else tag
     parent.children.append(label)
-    return _Element(tag, _hash(str(parent.node), label), parent, gone, inside)
+    return _Element(tag, _hash(str(parent.node), label), parent, unseen, parent.gone or side, inside)
 
 
 def _space(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-def parse(source: str) -> tuple[list[Block], list[_Element]]:
-    """The blocks of a page in order, and its elements."""
-    at = root = _Element("", 0, None, False, 0)
+def parse(source: str | None) -> list[Block]:
+    """The blocks of a page in order, whatever their elements declare."""
+    source = source or ""
+    at = root = _Element("", 0, None, False, False, 0)
     blocks: list[Block] = []
-    elements: list[_Element] = []
     held: list[str] = []
     links, in_link, pos, n = 0, 0, 0, len(source)
 
@@ -120,7 +132,6 @@ def parse(source: str) -> tuple[list[Block], list[_Element]]:
             text = _space(held)
             if text:
                 blocks.append(Block(at, text, links))
-                at.text.append(text)
             held.clear()
             links = 0
 
@@ -130,7 +141,7 @@ def parse(source: str) -> tuple[list[Block], list[_Element]]:
         if lt < 0 or lt > pos or m is None:
             end = n if lt < 0 else lt if lt > pos else lt + 1
             piece = source[pos:end]
-            if not at.gone:
+            if not at.unseen:
                 held.append(piece)
                 if in_link:
                     links += len(piece)
@@ -163,26 +174,23 @@ def parse(source: str) -> tuple[list[Block], list[_Element]]:
                     at = e.parent
                 e = e.parent
         elif tag in ("br", "wbr"):
-            if tag == "br" and not at.gone:
+            if tag == "br" and not at.unseen:
                 held.append(" ")
             continue
         if tag in _VOID:
             continue
         e = _opened(tag, raw, at)
-        elements.append(e)
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, pos)
             pos = end.end() if end else n
             continue
-        if e.gone and not at.gone and tag in _BLOCK:
-            flush()
         if raw.endswith("/") and tag not in _BLOCK:
             continue
         at = e
         if tag == "a":
             in_link = 1
     flush()
-    return blocks, elements
+    return blocks
 
 
 def any_block(low: _Element, high: _Element) -> bool:
@@ -193,13 +201,13 @@ def any_block(low: _Element, high: _Element) -> bool:
     return False
 
 
-def candidates(source: str | None) -> tuple[list[Block], list[_Element]]:
+def declared(blocks: list[Block]) -> list[Block]:
     """The blocks that no declared role removes; if any stands in an article (or else a main part), only those."""
-    blocks, elements = parse(source or "")
+    blocks = [b for b in blocks if not b.element.gone]
     for level in (2, 1):
         own = [b for b in blocks if b.element.inside >= level]
         if own:
-            return own, elements
+            return own
     run: list[Block] = []
     out: list[Block] = []
     for b in [*blocks, None]:  # without such a part, three link blocks or more in a row are a menu
@@ -210,7 +218,27 @@ def candidates(source: str | None) -> tuple[list[Block], list[_Element]]:
         run = []
         if b is not None:
             out.append(b)
-    return out, elements
+    return out
+
+
+#: Verdicts on a node: its branch is layout, it is main content, its contents hardly vary.
+_SIDE, _MAIN, _SAME = 1, 2, 4
+
+
+def main_blocks(blocks: list[Block], verdicts: dict[int, int], roles: bool = True) -> list[Block]:
+    """The blocks in main content by the tree's verdicts, else by declared roles; a verdict that leaves nothing is not followed."""
+    main, varied = [], []
+    for x in blocks:
+        seen, goes = 0, False
+        for node in reversed(_chain(x.element)):
+            v = verdicts.get(node, 0)
+            goes = goes or bool(v & _SAME) or bool(v & _SIDE and not seen & _MAIN)
+            seen |= v
+        if not goes and seen & _MAIN and not (roles and x.element.gone):
+            main.append(x)
+        if not goes:
+            varied.append(x)
+    return main or (declared(varied) or declared(blocks) if roles else varied or blocks)
 
 
 def _chain(e: _Element) -> list[int]:
@@ -221,81 +249,88 @@ def _chain(e: _Element) -> list[int]:
     return out
 
 
-_NODES = "host string, page long, nodes array<struct<node:long,chain:array<long>,style:long,content:long>>"
+_NODES = "host string, page long, nodes array<struct<chain:array<long>,style:long,content:long>>"
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("node", pa.int64()), ("chain", pa.list_(pa.int64())), ("style", pa.int64()), ("content", pa.int64())]))
+    kind = pa.list_(pa.struct([("chain", pa.list_(pa.int64())), ("style", pa.int64()), ("content", pa.int64())]))
     for b in batches:
         pages, nodes = [], []
         for source in b.column("html").to_pylist():
-            blocks, _ = candidates(source)
+            blocks = parse(source)
             seen: dict[int, tuple[_Element, list[str], list[str]]] = {}
+            passed: set[int] = set()
             for x in blocks:
                 e, text = x.element, x.text
                 while e.parent is not None:
                     own = seen.setdefault(e.node, (e, [], []))
                     if text is not None:
                         own[2].append(text)
-                    text = None
+                        text = None
+                    elif id(e) in passed:
+                        break
+                    if id(e) not in passed:
+                        passed.add(id(e))
+                        own[1].extend([*e.children, "|"])
                     e = e.parent
-            for e in {id(y): y for x in blocks for y in _up(x.element)}.values():
-                seen[e.node][1].extend([*e.children, "|"])
             pages.append(_hash(*(x.text for x in blocks)))
-            nodes.append([{"node": k, "chain": _chain(e), "style": _hash(*style), "content": _hash(*content) if content else None} for k, (e, style, content) in seen.items()])
+            nodes.append([{"chain": _chain(e), "style": _hash(*style), "content": _hash(*content) if content else None} for e, style, content in seen.values()])
         yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(pages, pa.int64()), pa.array(nodes, kind)], names=["host", "page", "nodes"])
 
 
-def _up(e: _Element) -> Iterator[_Element]:
-    while e.parent is not None:
-        yield e
-        e = e.parent
-
+def style_tree(pages: DataFrame, *, min_pages: int = MIN_PAGES, ratio: float = RATIO, own: float = OWN, least: float = LEAST, low: float = LOW) -> DataFrame:
+    """The sites' nodes from rows (host, html): host, node, pages, presentation and content entropies, importance, branch, verdict.
 
-def style_tree(pages: DataFrame, *, min_pages: int = MIN_PAGES, own: float = OWN) -> DataFrame:
-    """The sites' nodes from rows (host, html): host, node, pages, importance; equal pages of a host count once."""
+    Equal pages of a host count once; nodes on fewer than ``min_pages`` pages are left out.
+    """
     once = pages.select("host", "html").mapInArrow(tidy(_survey), _NODES).dropDuplicates(["host", "page"])
-    rows = once.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
-
-    def entropy(column: str):
-        counts = rows.where(F.col(column).isNotNull()).groupBy("host", "node", column).agg(F.count("*").alias("c"), F.first("chain").alias("chain"))
-        sums = counts.groupBy("host", "node").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.ln("c")).alias("cl"), F.first("chain").alias("chain"))
-        # - sum p log_m p, with p = c / m
-        return sums.select("host", "node", "m", "chain", F.when(F.col("m") > 1, (F.ln("m") - F.col("cl") / F.col("m")) / F.ln("m")).otherwise(1.0).alias("h"))
-
-    style, content = entropy("style"), entropy("content")
-    below = content.select("host", F.explode("chain").alias("node"), "h", "m").groupBy("host", "node").agg((F.sum(F.col("h") * F.col("m")) / F.sum("m")).alias("leaves"))
-    joined = style.select("host", "node", "m", "h").join(below, ["host", "node"], "left")
-    return joined.where(F.col("m") >= min_pages).select("host", "node", F.col("m").alias("pages"), (own * F.col("h") + (1 - own) * F.coalesce("leaves", F.lit(1.0))).alias("importance"))
-
-
-def extract(pages: DataFrame, *, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+    both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("x.style").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("x.content").alias("value")))).alias("v")
+    rows = once.select("host", F.explode("nodes").alias("x")).select("host", F.col("x.chain").alias("chain"), both).where("v.value is not null")
+    counts = rows.groupBy("host", F.col("chain")[0].alias("node"), F.col("v.kind").alias("kind"), F.col("v.value").alias("value")).agg(F.count("*").alias("c"), F.first("chain").alias("chain"))
+    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
+    sums = counts.groupBy("host", "node").agg(F.first("chain").alias("chain"), *(of(k, x).alias(f"{n}{k}") for k in (0, 1) for n, x in (("m", F.col("c")), ("cl", F.col("c") * F.ln("c")))))
+    # - sum p log_m p, with p = c / m
+    h = lambda k: F.when(F.col(f"m{k}") > 1, (F.ln(f"m{k}") - F.col(f"cl{k}") / F.col(f"m{k}")) / F.ln(f"m{k}")).otherwise(1.0)
+    nodes = stored(sums.where(F.col("m0") >= min_pages).select("host", "node", "chain", F.col("m0").alias("pages"), h(0).alias("style"), F.when(F.col("m1") > 0, h(1)).alias("content"), F.coalesce("m1", F.lit(0)).alias("m1")), "site-nodes")
+    up = nodes.select("host", F.explode("chain").alias("node"), "content", "m1")
+    leaves = up.groupBy("host", "node").agg((F.sum(F.col("content") * F.col("m1")) / F.sum(F.when(F.col("content").isNotNull(), F.col("m1")))).alias("leaves"))
+    weighed = stored(nodes.join(leaves, ["host", "node"]).withColumn("importance", F.col("style") * F.coalesce("leaves", F.lit(0.0))), "site-importance")
+    branch = weighed.select("host", F.explode("chain").alias("node"), "importance").groupBy("host", "node").agg(F.max("importance").alias("branch"))
+    judged = weighed.join(branch, ["host", "node"]).withColumn("parent", F.coalesce(F.get("chain", F.lit(1)), F.lit(0).cast("long")))
+    most = judged.groupBy("host", "parent").agg(F.max("branch").alias("most"))
+    side = (F.col("most") >= least) & (F.col("branch") < ratio * F.col("most"))
+    main = (F.col("branch") >= least) & (F.col("importance") >= own * F.col("branch"))
+    verdict = F.when(side, _SIDE).otherwise(0) + F.when(main, _MAIN).otherwise(0) + F.when(F.col("leaves") < low, _SAME).otherwise(0)
+    return judged.join(most, ["host", "parent"]).select("host", "node", "pages", "style", "content", "importance", "branch", verdict.alias("verdict"))
+
+
+def extract(pages: DataFrame, *, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, ratio: float = RATIO, own: float = OWN, least: float = LEAST, low: float = LOW, roles: bool = True, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """``pages`` without html, with text (the main text's blocks joined by newlines) and n_chars.
 
     A null html is an empty page and has an empty text. Pages without a host form no site, and
-    only declared roles remove their blocks. If the tree would remove all of a page, it removes
-    nothing of it. Rows repeat as they are given; columns of these names in ``pages`` are replaced.
+    declared roles alone remove their blocks; with ``roles`` off, only the tree removes any. If the
+    tree would remove all of a page, roles decide on it. Rows repeat as they are given, and no
+    rows give no rows; columns of these names in ``pages`` are replaced.
     """
     small_batches(pages.sparkSession)
     rest = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     host = F.lower(F.regexp_extract(F.col(url).cast("string"), r"(?s)://([^/?#]*)", 1))
     rows = pages.select(*rest, F.coalesce(host, F.lit("")).alias("_host"), F.col(html).cast("string").alias("_html"))
-    tree = style_tree(rows.where("_host <> ''").select(F.col("_host").alias("host"), F.col("_html").alias("html")), min_pages=min_pages)
-    nodes = stored(tree.where(F.col("importance") < low).select("host", "node"), "template-nodes")
-    by_host = nodes.groupBy(F.col("host").alias("_site")).agg(F.collect_set("node").alias("_low"))  # the host's templates, not its pages
-    if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
-        by_host = F.broadcast(by_host)
-    rows = rows.join(by_host, F.col("_host") == F.col("_site"), "left").drop("_site", "_host")
-    kind = rows.drop("_html", "_low").select("*", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
+    tree = style_tree(rows.where("_host <> ''").select(F.col("_host").alias("host"), F.col("_html").alias("html")), min_pages=min_pages, ratio=ratio, own=own, least=least, low=low)
+    nodes = tree.where("verdict > 0").groupBy(F.col("host").alias("_site")).agg(F.collect_list(F.struct("node", "verdict")).alias("_verdicts"))  # the host's templates, not its pages
+    nodes = stored(nodes, "site-verdicts")
+    if (nodes.agg(F.sum(F.size("_verdicts"))).first()[0] or 0) <= broadcast_nodes:
+        rows = rows.join(F.broadcast(nodes), F.col("_host") == F.col("_site"), "left")
+    else:
+        rows = rows.withColumn("_key", apart(F.xxhash64("_host"))).join(nodes.withColumn("_at", apart(F.xxhash64("_site"))), (F.col("_key") == F.col("_at")) & (F.col("_host") == F.col("_site")), "left").drop("_key", "_at")
+    rows = rows.drop("_site", "_host")
+    kind = rows.drop("_html", "_verdicts").select("*", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for source, gone in zip(b.column("_html").to_pylist(), b.column("_low").to_pylist(), strict=True):
-                blocks, _ = candidates(source)
-                if gone:
-                    gone = set(gone)
-                    blocks = [x for x in blocks if gone.isdisjoint(_chain(x.element))] or blocks
+            for source, verdicts in zip(b.column("_html").to_pylist(), b.column("_verdicts").to_pylist(), strict=True):
+                blocks = main_blocks(parse(source), {v["node"]: v["verdict"] for v in verdicts or ()}, roles)
                 texts.append("\n".join(x.text for x in blocks))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=[*rest, "text", "n_chars"])
 

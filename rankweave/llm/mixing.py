@@ -1,32 +1,39 @@
 """Mixing sources to target weights by systematic sampling.
 
-Every document of a source is expected as often as the source's target is its size. The
-documents of a source stand in the order of their size, so that each stretch of the
-prefix sum of expected copies holds documents alike; one offset is added for the source, and
-a document is emitted once per integer that its stretch of the sum crosses.
+Every document of a source has its expected copies, which weighted by size add up to the
+source's target. The documents stand in the order of their size; one random offset is added to
+the prefix sum of expected copies, and a document is emitted once per integer boundary that its
+stretch of the sum crosses.
+
+Copies are expected alike but for documents that are a noticeable part of their source. These
+form a certainty stratum: their expected copies are whole numbers, rounded from the common rate
+one after another so that what one has too much the next has less, and all others share what is
+then left of the target. So a long document does not make a source miss its target by its size.
 
 Ranks come from a range partitioning by (source, size, document): a source with a third of
 all rows spreads over as many partitions as it fills, each counted once, and the sums over
-the partitions before give the start of each. Only the counts by source and partition and the
-targets by source reach the driver.
+the partitions before give the start of each. Nothing but a few sums reaches the driver.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textcore import NON_SPACE, partitions, slices, small_batches, stored, tidy, word_spans
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
-#: Sources are counted on the driver; more than this many raise an error.
-MAX_SOURCES = 1_000_000
+#: Share of its source's words above which a document's expected copies are a whole number; at most 1 / LARGE documents of a source.
+LARGE = 0.002
+#: Rows of a table by source (and partition) that is sent to every task; larger ones are joined.
+BROADCAST_ROWS = 100_000
+#: Documents for each partition of the ranking.
+PLACED = 2_000_000
 
 
 def count_words(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -42,89 +49,95 @@ def count_words(df: DataFrame, text: str, name: str) -> DataFrame:
     return df.select(*rest, text).mapInArrow(tidy(run), kind)
 
 
-def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> list[float]:
-    """Targets of sources in their order: ``share`` of the total by repeating weights, none above
-    ``cap`` times its size; what a capped source cannot take goes to the others by weight."""
-    w = [weights[i % len(weights)] for i in range(len(sizes))]
-    total, out, free = share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
-    while free:
-        left = total - sum(out[i] for i in range(len(sizes)) if i not in free)
-        unit = left / sum(w[i] for i in free)
-        over = {i for i in free if w[i] * unit > cap * sizes[i]}
-        for i in over or free:
-            out[i] = cap * sizes[i] if over else w[i] * unit
-        free -= over or set(free)
-    return out
+def _ordered(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """``df`` written in ``order``, with ``part`` and ``at``: a row's partition, and a number that rises within it."""
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return stored(placed.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "mixing-order")
 
 
-def offsets(source: str | None, seed: int, n: int) -> list[float]:
-    """``n`` offsets in [0, 1) drawn for a source from the seed and its name, so reruns agree."""
-    key = f"{seed}:{'' if source is None else source}:{source is None}"
-    return [int(hashlib.md5(f"{key}:{k}".encode()).hexdigest()[:12], 16) / 16**12 for k in range(n)]
+def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """sources(source, source_size) with target: ``share`` of all sizes by ``weights``, repeating in the order
+    of the names (by code point, null last), none above ``cap`` times its size; what a capped source cannot
+    take goes to the others by weight."""
+    order = _ordered(sources, partitions(sources.sparkSession), F.col("source").asc_nulls_last())
+    counts = order.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # a row for each partition
+    before = counts.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("shift"))
+    place = F.pmod(F.col("at") + F.col("shift"), F.lit(len(weights))).cast("int")
+    weighed = order.join(F.broadcast(before), "part").select("source", "source_size", F.get(F.array(*map(F.lit, weights)), place).alias("w"))
+    weighed, unit, most = stored(weighed, "mixing-weights"), 0.0, cap * F.col("source_size")
+    total = share * float(weighed.agg(F.sum("source_size")).first()[0] or 0)
+    while True:  # the unit only rises, and with it the sources at their cap
+        capped = F.col("w") * unit > most
+        got = weighed.agg(F.sum(F.when(capped, most)), F.sum(F.when(~capped, F.col("w")))).first()
+        new = (total - (got[0] or 0.0)) / got[1] if got[1] else unit
+        if new == unit:
+            return weighed.select("source", "source_size", F.when(capped, most).otherwise(F.col("w") * unit).alias("target"))
+        unit = new
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 0, draws: int = 32) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target and copies.
+def offset(source: Column, seed: int) -> Column:
+    """An offset in [0, 1) drawn from the seed and the source's name, so reruns agree."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit("")), F.when(source.isNull(), ":null").otherwise(":"))
+    return F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+
+
+def _joined(rows: DataFrame, table: DataFrame, *on: str) -> DataFrame:
+    """Both on equal (null or not) columns; ``table`` is broadcast if it is short, else adaptive execution may split a hot source."""
+    table = table.withColumnsRenamed({c: f"r_{c}" for c in on})
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        table = F.broadcast(table)
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"r_{c}"))
+    return rows.join(table, match).drop(*(f"r_{c}" for c in on))
+
+
+def _whole_copies(rate: Column) -> Column:
+    """Of docs, an array of (size, ...) from the largest on, the copies of each: rate or its neighbour, errors carried on."""
+    start = F.struct(F.lit(0.0).alias("due"), F.lit(0.0).alias("taken"), F.array().cast("array<bigint>").alias("copies"))
 
-    Of ``draws`` random offsets a source takes the one whose words come nearest to its target:
-    a long document weighs in whole, so a single draw may miss by one such document.
+    def step(s: Column, d: Column) -> Column:
+        due = s["due"] + rate * d["size"]
+        n = F.least(F.greatest(F.floor((due - s["taken"]) / d["size"] + 0.5), F.floor(rate)), F.ceil(rate)).cast("long")
+        return F.struct(due.alias("due"), (s["taken"] + n * d["size"]).alias("taken"), F.concat(s["copies"], F.array(n)).alias("copies"))
+
+    return F.aggregate("docs", start, step, lambda s: s["copies"])
+
+
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, large: float = LARGE, seed: int = 0) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target and copies.
 
     A null text has size 0, a null source is a source of its own and the last; repeated rows
-    are documents of their own; a source of size 0 has target 0; no rows give no rows.
+    are documents of their own, documents of equal size stand by id, a null id first; a source of
+    size 0 has target 0; no rows give no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark)
     sized = count_words(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")), "text", "size")
-    key = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
-    placed = sized.repartitionByRange(partitions(spark), *key, F.xxhash64("doc_id")).sortWithinPartitions(*key).select("*", F.spark_partition_id().alias("part"))
-
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, n = object(), 0
-        for b in batches:
-            src = b.column("source").dictionary_encode("encode")
-            codes, names = src.indices.to_numpy(zero_copy_only=False), src.dictionary.to_pylist()
-            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
-            local = np.empty(len(codes), np.int64)
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if lo == hi:
-                    continue
-                n = n if names[codes[lo]] == last and last.__class__ is not object else 0
-                last = names[codes[lo]]
-                local[lo:hi] = n + np.arange(1, hi - lo + 1)
-                n += hi - lo
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local)], names=[*b.schema.names, "local"])
-
-    kind = placed.select("*", F.lit(0).cast("long").alias("local")).schema
-    placed = stored(placed.mapInArrow(tidy(ranked), kind), "mixing")
-    counts = placed.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size")).limit(MAX_SOURCES + partitions(spark) * 4 + 1).collect()
-    by: dict[str | None, list] = {}
-    for r in sorted(counts, key=lambda r: r.part):
-        by.setdefault(r.source, []).append(r)
-    if len(by) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    if not by:
-        return placed.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"))
-    names = sorted(by, key=lambda s: (s is None, "" if s is None else s))  # str order is code point order
-    sizes = [sum(r["size"] or 0 for r in by[s]) for s in names]
-    plan = []
-    for s, size, t in zip(names, sizes, targets(sizes, weights, share, cap), strict=True):
-        before = 0
-        for r in by[s]:
-            plan.append((s, r.part, size, float(t), before, offsets(s, seed, draws)))
-            before += r.n
-    steps = spark.createDataFrame(plan, "p_source string, p_part int, source_size long, target double, before long, shifts array<double>")
-    joined = placed.join(F.broadcast(steps), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))  # a row per source and partition
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rank = F.col("before") + F.col("local")
-    copies = lambda shift: (F.floor(rank * rate + shift) - F.floor((rank - 1) * rate + shift)).cast("long")
-    trial = joined.groupBy("source").agg(*(F.sum(copies(F.col("shifts")[k]) * F.col("size")).alias(f"w{k}") for k in range(draws))).collect()
-    best = []
-    for s, t in zip(names, targets(sizes, weights, share, cap), strict=True):
-        taken = next(r for r in trial if r.source == s)
-        best.append((s, offsets(s, seed, draws)[min(range(draws), key=lambda k: abs((taken[f"w{k}"] or 0) - t))]))
-    chosen = spark.createDataFrame(best, "c_source string, shift double")
-    joined = joined.join(F.broadcast(chosen), F.col("source").eqNullSafe(F.col("c_source")))
-    return joined.select("doc_id", "size", "source_size", "target", copies(F.col("shift")).alias("copies"))
+    sized = stored(sized, "mixing-sizes")
+    aims = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "mixing-targets")
+    rows = _joined(sized, aims, "source")
+    is_large = F.col("size") > F.lit(large) * F.col("source_size")
+    few = rows.where(is_large).groupBy("source", "source_size", "target").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id")), asc=False).alias("docs"))  # 1 / large of a source at most
+    few = few.withColumn("copies", _whole_copies(F.col("target") / F.col("source_size")))
+    few = stored(few.select("source", "source_size", "target", F.arrays_zip("docs", "copies").alias("docs")), "mixing-large")
+    firm = few.select("source", F.aggregate("docs", F.lit(0).cast("long"), lambda s, d: s + d["copies"] * d["docs"]["size"]).alias("firm"), F.aggregate("docs", F.lit(0).cast("long"), lambda s, d: s + d["docs"]["size"]).alias("large_size"))
+    left = aims.join(firm.withColumnRenamed("source", "f"), F.col("source").eqNullSafe(F.col("f")), "left").na.fill(0, ["firm", "large_size"])
+    rate = F.when(F.col("source_size") > F.col("large_size"), F.least(F.greatest((F.col("target") - F.col("firm")) / F.nullif(F.col("source_size") - F.col("large_size"), F.lit(0)), F.lit(0.0)), F.lit(cap))).otherwise(0.0)
+    rates = stored(left.select("source", rate.alias("rate"), offset(F.col("source"), seed).alias("shift")), "mixing-rates")
+
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
+    n = max(partitions(spark), -(-sized.count() // PLACED))
+    placed = _ordered(rows.where(~is_large), n, *order)
+    counts = placed.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = stored(_joined(counts.select("source", "part", (before - F.col("first") + 1).alias("shift_at")), rates, "source"), "mixing-starts")
+    many = _joined(placed, starts, "source", "part")
+    rank = F.col("at") + F.col("shift_at")
+    copies = F.floor(rank * F.col("rate") + F.col("shift")) - F.floor((rank - 1) * F.col("rate") + F.col("shift"))
+    names = ["doc_id", "size", "source_size", "target", "copies"]
+    certain = few.select("source_size", "target", F.explode("docs").alias("d")).select(F.col("d.docs.doc_id").alias("doc_id"), F.col("d.docs.size").alias("size"), "source_size", "target", F.col("d.copies").alias("copies"))
+    return many.withColumn("copies", copies.cast("long")).select(*names).unionByName(certain)
 
 
 def mixing_digest(docs: DataFrame) -> DataFrame:

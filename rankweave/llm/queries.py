@@ -133,3 +133,24 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(words.c, 0) AS n_hit, coalesce(it
   coalesce(words.c, 0) > 0 AND 20 * coalesce(words.c, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+_SQL["op9_source_mixing"] = r"""TH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+t AS MATERIALIZED (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
+units(k, unit) AS (SELECT 0, 0::DOUBLE UNION ALL
+  SELECT k + 1, (SELECT (1.5::DOUBLE * sum(source_size) - coalesce(sum(2.0::DOUBLE * source_size) FILTER (w * u.unit > 2.0::DOUBLE * source_size), 0)) / sum(w) FILTER (w * u.unit <= 2.0::DOUBLE * source_size) FROM t)
+  FROM units u WHERE k < 100),
+aim AS MATERIALIZED (SELECT source, source_size, least(w * (SELECT max(unit) FROM units), 2.0::DOUBLE * source_size) AS target FROM t),
+j AS MATERIALIZED (SELECT d.doc_id, d.size, a.source, a.source_size, a.target, d.size > 0.002::DOUBLE * a.source_size AS large FROM d JOIN aim a ON d.source IS NOT DISTINCT FROM a.source),
+big AS MATERIALIZED (SELECT source, list(struct_pack(size := size, doc_id := doc_id) ORDER BY size DESC, doc_id DESC) AS l, any_value(target / source_size) AS rate FROM j WHERE large GROUP BY source),
+step(source, l, rate, i, due, taken, n) AS (SELECT source, l, rate, 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM big UNION ALL
+  SELECT source, l, rate, i + 1, due + rate * l[i + 1].size, taken + c * l[i + 1].size, c
+  FROM (SELECT *, least(greatest(floor((due + rate * l[i + 1].size - taken) / l[i + 1].size + 0.5::DOUBLE), floor(rate)), ceil(rate)) AS c FROM step WHERE i < len(l))),
+firm AS (SELECT source, max_by(taken, i) AS firm FROM step GROUP BY source),
+rest AS (SELECT source, sum(size) AS s FROM j WHERE NOT large GROUP BY source),
+rate AS MATERIALIZED (SELECT a.source, least(greatest((a.target - coalesce(f.firm, 0)) / nullif(r.s, 0), 0::DOUBLE), 2.0::DOUBLE) AS rate,
+    ('0x' || substr(md5('0:' || coalesce(a.source, '') || CASE WHEN a.source IS NULL THEN ':null' ELSE ':' END), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS u
+  FROM aim a JOIN rest r ON a.source IS NOT DISTINCT FROM r.source LEFT JOIN firm f ON a.source IS NOT DISTINCT FROM f.source),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) AS k FROM j WHERE NOT large)
+SELECT x.doc_id, x.size, x.source_size, x.target, ((floor(k * coalesce(rate, 0) + u) - floor((k - 1) * coalesce(rate, 0) + u)) * x.size)::BIGINT AS taken FROM ranked x JOIN rate r ON x.source IS NOT DISTINCT FROM r.source
+UNION ALL SELECT l[i].doc_id, l[i].size, a.source_size, a.target, (n * l[i].size)::BIGINT FROM step s JOIN aim a ON s.source IS NOT DISTINCT FROM a.source WHERE i > 0
+"""

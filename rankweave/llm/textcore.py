@@ -215,18 +215,41 @@ def tidy(fn, largest: int = 32 << 20):
 # --- Spark side -----------------------------------------------------------------------
 
 
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir`` names it; only where that is unset, as in
-    tests, a folder of this machine is set.
+    The session's ``spark.checkpoint.dir`` names it. Only where that is unset and Spark runs
+    in this one process, as in tests, a folder of this machine is set; elsewhere that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rankweave-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what has been written to the shared folder inside; for blocks that store their result elsewhere first."""
+    began = len(_written)
+    try:
+        yield
+    finally:
+        drop(spark, _written[began:])
+        del _written[began:]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in map(hadoop.Path, paths):
+        p.getFileSystem(conf).delete(p, True)
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

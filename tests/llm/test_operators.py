@@ -129,9 +129,9 @@ def test_jaccard(spark, docs):
 
 
 def test_html():
-    from rankweave.llm.html_extract import candidates
+    from rankweave.llm.html_extract import declared, parse
 
-    t = lambda s: [b.text for b in candidates(s)[0]]
+    t = lambda s: [b.text for b in declared(parse(s))]
     page = '<html><head><title>x</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></li></ul></nav><!-- c --><div class="ad">AD</div><article><h1>T &amp; x</h1><p><b>one  two.<br><p>three &eacute; &#233;<p>four <i>it</i>alic</p><div class="notice">N</div><section class="comments"><article class="comment">hey</article></section><form><p>F</p></form></article><aside>s</aside><footer>&copy;</footer></body></html>'
     assert t(page) == ["T & x", "one two.", "three é é", "four italic"]
     assert t(None) == t("") == [] and t("plain < 5 & more <b>x</b>") == ["plain < 5 & more x"]
@@ -140,14 +140,74 @@ def test_html():
     assert t("<p>x" + "<b>" * 3000 + "y" * 50_000)[0].startswith("xy")
 
 
+def _site(n, host="a.com"):
+    """Pages of one layout without any declared role, whose article alone differs in presentation."""
+    rng = np.random.default_rng(12)
+    pages = []
+    for i in range(n):
+        body = "".join(f"<p>{prose(rng, 8)}{'<b>x</b>' if rng.random() < 0.3 else ''}</p>" for _ in range(int(rng.integers(1, 9))))
+        pages.append((i, f"http://{host}/{i}", f"<div class=x1><a>{prose(rng, 2)}</a><a>q</a></div><div class=x2>{prose(rng, 4)}</div><div class=x3><h1>title {i}</h1>{body}</div><div class=x4>{host} all rights</div>"))
+    return pages
+
+
 def test_style_tree(spark):
-    from rankweave.llm.html_extract import extract
+    from rankweave.llm.html_extract import extract, parse
 
     rows = [(i, f"http://a.com/{i}", f"<div class=x><p>Subscribe today</p></div><div class=y><p>story {i} {'z' * i}</p></div>") for i in range(12)]
     rows += [(100 + i, "http://b.com/", "<p>one page, many copies</p>") for i in range(20)] + [(200, None, "<p>t</p>"), (201, "http://a.com", None)]
     got = by_id(extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
     assert got[3].text == "story 3 zzz" and got[3].n_chars == 11
     assert got[100].text == "one page, many copies" and got[200].text == "t" and got[201].text == "" and len(got) == len(rows)
+    # the tree alone finds the article: no role is declared, and contents differ everywhere but in x4
+    site = _site(30)
+    df = spark.createDataFrame([*[(*r, "clash") for r in site], (500, "http://a.com/z", "<div class=y9><p>other layout</p></div>", "c"), (501, site[0][1], site[0][2], "again")], "page_id long, url string, html string, text string")
+    want = {i: "\n".join(b.text for b in parse(h[h.index("<div class=x3>") : h.index("<div class=x4>")])) for i, _, h in site}
+    for kw in ({"roles": False}, {}, {"broadcast_nodes": 0}):
+        got = by_id(extract(df, **kw), "page_id")
+        assert {i: got[i].text for i in want} == want and got[501].text == want[0] and got[500].text == "other layout"
+    off = by_id(extract(df, min_pages=1000, roles=False), "page_id")
+    assert all(off[i].text != t for i, t in want.items())
+    assert extract(df.limit(0)).count() == 0 and extract(df).columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_style_tree_entropies(spark):
+    """Importance and verdicts against entropies summed in plain Python."""
+    from rankweave.llm.html_extract import _chain, parse, style_tree
+
+    site = _site(25) + _site(9, "b.org")
+    got = {(r.host, r.node): r for r in style_tree(spark.createDataFrame([(u.split("/")[2], h) for _, u, h in site] * 2, "host string, html string")).collect()}
+    for host, pages in (("a.com", [h for _, u, h in site if "a.com" in u]), ("b.org", [h for _, u, h in site if "b.org" in u])):
+        style, content, chains = {}, {}, {}
+        for h in pages:
+            own_s, own_c, seen = {}, {}, set()
+            for x in parse(h):
+                own_c.setdefault(x.element.node, []).append(x.text)
+                e = x.element
+                while e.parent is not None:
+                    if id(e) not in seen:
+                        seen.add(id(e))
+                        own_s.setdefault(e.node, []).append(tuple(e.children))
+                    chains[e.node] = _chain(e)
+                    e = e.parent
+            for n, v in own_s.items():
+                style.setdefault(n, Counter())[tuple(v)] += 1
+            for n, v in own_c.items():
+                content.setdefault(n, Counter())[tuple(v)] += 1
+        entropy = lambda c: -sum(x / c.total() * math.log(x / c.total()) for x in c.values()) / math.log(c.total()) if c.total() > 1 else 1.0
+        often = {n for n, c in style.items() if c.total() >= 8}
+        leaves = {}
+        for n in often:
+            below = [m for m in often if n in chains[m] and m in content]
+            leaves[n] = sum(entropy(content[m]) * content[m].total() for m in below) / sum(content[m].total() for m in below) if below else None
+        own = {n: entropy(style[n]) * (leaves[n] or 0.0) for n in often}
+        branch = {n: max(own[m] for m in often if n in chains[m]) for n in often}
+        up = lambda n: (chains[n] + [0])[1]
+        assert often == {n for h, n in got if h == host}
+        for n in often:
+            most = max(branch[m] for m in often if up(m) == up(n))
+            verdict = (most >= 0.05 and branch[n] < 0.75 * most) + 2 * (branch[n] >= 0.05 and own[n] >= 0.3 * branch[n]) + 4 * (leaves[n] is not None and leaves[n] < 0.2)
+            r = got[host, n]
+            assert (r.importance, r.branch, r.verdict) == (pytest.approx(own[n]), pytest.approx(branch[n]), verdict)
 
 
 def test_urls(spark):
@@ -164,6 +224,101 @@ def test_urls(spark):
     assert got[25].rule is None and got[25].verdict == "block" and got[125].verdict == "allow"
 
 
+def _plain_templates(rows, fan_out):
+    """Templates of (host, path, judged, blocked) by recursion over dictionaries: {(host, shape): (template, purity, rejected)}."""
+    kinds = ("{n}", "{date}", "{hex}", "{code}")
+
+    def shape(x):
+        for pattern, kind in ((r"[0-9]+", "{n}"), (r"[0-9]{4}-[0-9]{2}(-[0-9]{2})?", "{date}")):
+            if re.fullmatch(pattern, x):
+                return kind
+        if re.fullmatch(r"[0-9]+\.[A-Za-z]+", x):
+            return "{n}." + x.split(".")[-1]
+        return "{hex}" if re.fullmatch(r"[0-9a-fA-F-]{16,}", x) else "{code}" if len(re.sub("[^0-9]", "", x)) >= 3 else x
+
+    bound = lambda n, m: math.sqrt(math.log(40) / 2) * (n**-0.5 + m**-0.5)
+    base = {}
+    for host, path, j, b in rows:
+        x = base.setdefault((host, tuple(shape(s) for s in re.split("/+", path) if s)), [0, set(), 0, 0])
+        x[0], x[2], x[3] = x[0] + 1, x[2] + j, x[3] + b
+        x[1].add(path)
+    out = {}
+
+    def walk(host, head, group):  # group: (shape, rest, n, paths, judged, blocked)
+        low, high = min(g[1] for g in group), max(g[1] for g in group)
+        same = next((i for i in range(min(len(low), len(high))) if low[i] != high[i]), min(len(low), len(high)))
+        head += "".join("/" + x for x in low[:same])
+        group = [(g[0], g[1][same:], *g[2:]) for g in group]
+        for g in group:
+            if not g[1]:
+                out[host, "/".join(g[0])] = (head, g[2], g[4], g[5])
+        group = [g for g in group if g[1]]
+        literal = [g for g in group if g[1][0] not in kinds]
+        kids = {g[1][0] for g in literal}
+        if len(kids) > fan_out and (sum(g[3] for g in literal) < 4 * len(kids) or len(kids) > 10 * fan_out):
+            group = [(g[0], ("*", *g[1][1:]), *g[2:]) if g[1][0] in kids else g for g in group]
+        child = {}
+        for g in group:
+            c = child.setdefault(g[1][0], {"sig": Counter(), "j": 0, "b": 0})
+            c["sig"]["/".join(x if x in kinds else "w" for x in g[1][1:])] += g[3]
+            c["j"], c["b"] = c["j"] + g[4], c["b"] + g[5]
+        named = {}
+        tops = {}
+        for k, c in child.items():
+            best = max(c["sig"].values())
+            tops.setdefault(frozenset(s for s, v in c["sig"].items() if v == best), []).append(k)
+        assert all(len(t) == 1 for t in tops), "ties are left to the hash"
+        for top, members in tops.items():
+            pool = sum((child[k]["sig"] for k in members), Counter())
+            j, b, n = sum(child[k]["j"] for k in members), sum(child[k]["b"] for k in members), pool.total()
+            for k in members:
+                c = child[k]
+                m = c["sig"].total()
+                gap = max(*(abs(v / m - pool[s] / n) for s, v in c["sig"].items()), 1 - sum(pool[s] / n for s in c["sig"]))
+                q = (b + 1) / (j + 2)
+                over = c["b"] - c["j"] * q
+                off = 0 if abs(over) <= 1.64 * math.sqrt(c["j"] * q * (1 - q)) else (over > 0) - (over < 0)
+                named.setdefault((top, off) if gap <= bound(m, n) else k, []).append(k)
+        for members in named.values():
+            name = f"({'|'.join(sorted(members))})" if len(members) > 1 else members[0]
+            walk(host, f"{head}/{name}", [(g[0], g[1][1:], *g[2:]) for g in group if g[1][0] in members])
+
+    for host in {h for h, _ in base}:
+        walk(host, "", [(s, s, n, len(p), j, b) for (h, s), (n, p, j, b) in base.items() if h == host])
+    own, over_all = {}, {}
+    for (host, _), (t, _, j, b) in out.items():
+        for table, key in ((own, (host, t)), (over_all, t)):
+            x = table.setdefault(key, [0, 0])
+            x[0], x[1] = x[0] + j, x[1] + b
+    purity = {(h, t): (b + 4 * (over_all[t][1] + 2) / (over_all[t][0] + 4)) / (j + 4) for (h, t), (j, b) in own.items()}
+    return {(h, s): (t, pytest.approx(purity[h, t]), own[h, t][0] > 0 and purity[h, t] > 0.5) for (h, s), (t, *_) in out.items()}
+
+
+def test_path_templates(spark):
+    """Wildcards, merges at every level and purities against plain recursion; labels reach unlabelled kin."""
+    from rankweave.llm.url_filter import filter_urls, learn_templates
+
+    rng = np.random.default_rng(14)
+    rows = []
+    for i in range(400):
+        lang = str(rng.choice(["de", "en", "es", "fr"]))
+        rows.append(("a.net", f"/{lang}/{i}", int(lang in "es fr"), int(lang in "es fr")))
+        rows.append(("b.net", f"/{lang}/{i}/x/y/z/{'q' if i % 3 else 'r'}/{i % 7}", int(lang in "es fr"), int(lang == "es")))
+        rows.append(("c.org", f"/user/name{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i % 6]}/photos", 1, i % 2))
+        rows.append(("c.org", f"/big/{'abcdefgh'[i % 8]}/{i}", 0, 0))
+    rows += [("d.org", "/" + "s/" * 300 + e, 0, 0) for e in ("a", "b", "b")] + [("", "", 0, 0), ("e.org", "//", 0, 0), ("e.org", "/one//two/", 1, 1), ("f.org", "/2024-01-02/12.html", 1, 0), ("f.org", "/{n}/*", 0, 0)]
+    df = spark.createDataFrame([(h, p, j, b) for h, p, j, b in rows], "host string, path string, judged long, blocked long")
+    got = {(r.host, r["shape"]): (r.template, r.purity, r.rejected) for r in learn_templates(df, fan_out=20).collect()}
+    want = _plain_templates(rows, 20)
+    assert got == want
+    assert got["a.net", "en/{n}"] == ("/(de|en|es|fr)/{n}", want["a.net", "en/{n}"][1], True)  # en has no label of its own
+    assert any("*" in t for (h, _), (t, *_) in got.items() if h == "c.org") and got["b.net", "es/{n}/x/y/z/q/{n}"][2] and not got["b.net", "fr/{n}/x/y/z/q/{n}"][2]
+    assert learn_templates(df.limit(0)).count() == 0 and filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p, *_) in enumerate(rows) if h] + [(0, "http://a.net/" + "x" * 200_000)], "page_id long, url string")
+    out = filter_urls(pages.union(pages.limit(3)))
+    assert out.count() == pages.count() + 3 and out.where("verdict is null").count() == 0
+
+
 def test_decontamination(spark, docs):
     from rankweave.llm.decontam import decontaminate, decontamination_digest, remove_spans, words_of
 
@@ -323,27 +478,59 @@ def test_toxicity_fit_is_the_same_dealt_out(spark):
         assert 0 <= fit_toxicity(d, lab, held=None).score(np.zeros(0), 3) <= 1
 
 
+def _plain_mix(rows, weights=(5.0, 2.0, 1.0), share=1.5, cap=2.0, large=0.002, seed=0):
+    """(id, size, source, target, copies) of (id, text, source), by plain systematic sampling."""
+    size = [len(re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode())) for _, t, _ in rows]
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    total = {n: sum(z for z, (*_, s) in zip(size, rows, strict=True) if s == n) for n in names}
+    w, left, free, aim = {n: weights[i % len(weights)] for i, n in enumerate(names)}, share * sum(size), set(names), {}
+    while free:
+        unit = (left - sum(aim.values())) / sum(w[n] for n in free)
+        over = {n for n in free if w[n] * unit > cap * total[n]}
+        aim |= {n: cap * total[n] for n in over} or {n: w[n] * unit for n in free}
+        free -= over or free
+    out = []
+    for n in names:
+        own = sorted(((z, i is not None, i or 0) for z, (i, _, s) in zip(size, rows, strict=True) if s == n))
+        big = [x for x in own if x[0] > large * total[n]][::-1]
+        rest = [x for x in own if x[0] <= large * total[n]]
+        due, taken = 0.0, 0
+        for x in big:
+            rate = aim[n] / total[n]
+            due += rate * x[0]
+            k = min(max(math.floor((due - taken) / x[0] + 0.5), math.floor(rate)), math.ceil(rate))
+            taken += k * x[0]
+            out.append((x[2] if x[1] else None, x[0], total[n], aim[n], k))
+        some = sum(x[0] for x in rest)
+        rate = min(max((aim[n] - taken) / some, 0), cap) if some else 0.0
+        key = f"{seed}:{n or ''}:{'null' if n is None else ''}"
+        u = int(hashlib.md5(key.encode()).hexdigest()[:12], 16) / 16**12
+        out += [(x[2] if x[1] else None, x[0], total[n], aim[n], math.floor(k * rate + u) - math.floor((k - 1) * rate + u)) for k, x in enumerate(rest, 1)]
+    return out
+
+
 def test_mixing(spark, docs):
-    from rankweave.llm.mixing import mix, mixing_digest, targets
+    """Against plain systematic sampling with the same offsets; sources of one document, of long ones, of none with words."""
+    from rankweave.llm import mixing
 
-    assert targets([10, 100, 100], (5.0, 2.0, 1.0)) == pytest.approx([20, 195.0, 100.0]) or sum(targets([10, 100, 100])) == pytest.approx(315)
-    assert targets([0, 0]) == [0, 0] and targets([]) == []
     rng = np.random.default_rng(6)
-    rows = [(i, prose(rng, int(rng.integers(1, 80))), [None, "b", "a", "ä"][i % 4]) for i in range(2000)] + [(5000, None, "a"), (5001, "", None)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
-    got = by_id(mixing_digest(d))
-    size = {i: len((t or "").split()) for i, t, _ in rows}
-    names = ["a", "b", "ä", None]
-    total = [sum(size[i] for i, _, s in rows if s == n) for n in names]
-    want = dict(zip(names, targets(total), strict=True))
-    for n, whole in zip(names, total, strict=True):
-        own = [got[i] for i, _, s in rows if s == n]
-        assert all(r.source_size == whole and r.target == pytest.approx(want[n]) and r.taken <= 2 * r.size for r in own)
-        assert abs(sum(r.taken for r in own) - want[n]) <= 0.01 * want[n] + 1
-    assert {i: r.size for i, r in got.items()} == size
-    again = by_id(mixing_digest(d.repartition(2)))
-    assert {i: r.taken for i, r in again.items()} == {i: r.taken for i, r in got.items()}
-    assert mix(d.limit(0)).count() == 0 and mix(docs).count() == docs.count()
+    rows = [(i, prose(rng, int(rng.integers(1, 80))), [None, "b", "a", "ä", "\U0001f600", "\ufb01"][i % 6]) for i in range(3000)] + [(5000, None, "a"), (5001, "", None), (5002, prose(rng, 3000), "a"), (5003, prose(rng, 9000), "long"), (5004, prose(rng, 2000), "long"), (5005, None, "none"), (5006, "x y", "one"), (None, "x y", "b")]
+    rows += rows[:40]
+    d = spark.createDataFrame([(i, t, s, 1) for i, t, s in rows], "doc_id long, text string, source string, size int").repartition(5)
+    key = lambda r: (str(r[0]), *r[1:])
+    want = sorted(_plain_mix(rows), key=key)
+    for n in (100_000, 2):
+        mixing.BROADCAST_ROWS = n
+        try:
+            got = sorted((tuple(r) for r in mixing.mix(d).collect()), key=key)
+        finally:
+            mixing.BROADCAST_ROWS = 100_000
+        assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
+    for n in {s for *_, s in rows}:
+        own = [r for r in want if r[2] == sum(len((t or "").split()) for _, t, s in rows if s == n)]
+        assert abs(sum(r[4] * r[1] for r in own) - own[0][3]) <= 0.005 * own[0][3] + 160 or n in ("long", "one")
+    assert all(r[4] <= 2 for r in want)
+    assert mixing.mix(d.limit(0)).count() == 0 and mixing.mix(docs).count() == docs.count()
 
 
 def test_language_model(spark, docs):
