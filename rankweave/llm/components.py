@@ -46,18 +46,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def linked_classes(classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Of classes(id, least, copies) and found(id, n, root): id, n_links, component_id.
+    """Of classes(id, least, copies) and found(id, n, root): id, n_links, component_id, component.
 
     A row of ``found`` says that a unit of work linked ``id`` with n rows of other classes
     (copies counted), and that ``root`` is connected with it. n_links also counts the other
-    copies of the class; component_id is the least ``least`` of what is connected.
+    copies of the class; component_id is the least ``least`` of what is connected, component its
+    least class.
     """
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = classes.join(links, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
     named = named.select("id", "least", F.coalesce("component", "id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id")).select(apart("component").alias("lk"), "component_id")
-    return named.withColumn("ck", apart("component")).join(least, F.col("ck") == F.col("lk")).select("id", "n_links", "component_id")
+    return named.withColumn("ck", apart("component")).join(least, F.col("ck") == F.col("lk")).select("id", "n_links", "component_id", "component")
 
 
 def least_labels(linked: np.ndarray) -> np.ndarray:

@@ -125,7 +125,45 @@ def test_jaccard(spark, docs):
         assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (n[i], c) for i, c in want.items()}
     kept = one_of_each_group(docs.union(docs.where("doc_id = 1")))
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in want.values()}) and kept.columns == docs.columns
-    assert jaccard_join(docs.limit(0)).count() == 0
+    assert jaccard_join(docs.limit(0)).count() == 0 and one_of_each_group(docs.limit(0)).count() == 0
+
+
+def test_one_id_on_several_texts(spark):
+    """Each row goes or stays by its own text; rows with a null id or no words stay."""
+    from rankweave.llm.ngram_join import jaccard_join, one_of_each_group
+
+    rng = np.random.default_rng(21)
+    a, b, c = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(3, a, "s"), (5, a + " more", "t"), (5, b, "s"), (7, c, "s"), (7, c + " x", "t"), (7, c, "u"), (None, a, "s"), (None, a, "s"), (9, None, "s"), (9, None, "t"), (9, "", "s"), (10, " ", "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r.doc_id, r.text) for r in one_of_each_group(d).collect())
+    assert got == Counter({(3, a): 1, (5, b): 1, (None, a): 2, (9, None): 1, (9, ""): 1, (10, " "): 1}) + Counter({max([(7, c), (7, c + " x")], key=lambda k: got[k]): 1})
+    assert jaccard_join(d).where("doc_id is null").select("kept", "n_links").distinct().collect() == [(True, 0)]
+
+
+def test_recall_of_chosen_paths(spark):
+    """The share of all links at the threshold that trees of few runs find, and of many, against brute force."""
+    from rankweave.llm.ngram_join import jaccard_join, least_equal, runs_for
+
+    assert runs_for(0.8, 3, 0.99) < runs_for(0.8, 3, 0.9999) < runs_for(0.8, 5, 0.9999) and least_equal(0.8, 0.9) > least_equal(0.8, 0.9999)
+    rng = np.random.default_rng(22)
+    rows, sets = [], {}
+    for i in range(300):  # pairs near the threshold: words changed at one place or two
+        words = prose(rng, int(rng.integers(30, 120))).split()
+        for j in range(2):
+            if j:
+                for k in rng.integers(0, len(words), int(rng.integers(1, 3))):
+                    words[k] = "changed"
+            rows.append((2 * i + j, " ".join(words)))
+            sets[2 * i + j] = shingles(rows[-1][1])
+    links = {(2 * i, 2 * i + 1) for i in range(300) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for recall in (0.5, 0.9, 0.9999):
+        got = by_id(jaccard_join(d, recall=recall, small=8))
+        found[recall] = sum(got[a].n_links == 1 and got[b].component_id == a for a, b in links) / len(links)
+        assert sum(r.n_links for r in got.values()) <= 2 * len(links)
+    assert len(links) > 60 and found[0.5] >= 0.5 and found[0.9] >= 0.9 and found[0.9999] == 1
 
 
 def test_html():
