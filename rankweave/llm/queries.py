@@ -154,3 +154,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_i
 SELECT x.doc_id, x.size, x.source_size, x.target, ((floor(k * coalesce(rate, 0) + u) - floor((k - 1) * coalesce(rate, 0) + u)) * x.size)::BIGINT AS taken FROM ranked x JOIN rate r ON x.source IS NOT DISTINCT FROM r.source
 UNION ALL SELECT l[i].doc_id, l[i].size, a.source_size, a.target, (n * l[i].size)::BIGINT FROM step s JOIN aim a ON s.source IS NOT DISTINCT FROM a.source WHERE i > 0
 """
+
+_SQL["op7_suffix_array_dedup"] = r"""TH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 100)) AS h FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - 49)) AS i FROM d WHERE len(x) >= 100)),
+low AS (SELECT h, min(doc_id) AS m FROM s GROUP BY h HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM s JOIN low USING (h) WHERE m < doc_id),
+grp AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hit),
+span AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM grp GROUP BY doc_id, g),
+gone AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id),
+cuts AS (SELECT doc_id, b AS f, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000) AS t FROM span UNION ALL SELECT doc_id, 0, min(a) FROM span GROUP BY doc_id),
+kept AS (SELECT c.doc_id, string_agg(substr(x, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS k FROM cuts c JOIN d USING (doc_id) GROUP BY c.doc_id)
+SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

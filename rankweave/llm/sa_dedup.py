@@ -11,9 +11,10 @@ strings that could be equal are brought together by content:
    anchor. Equal segments collapse to one with the smallest and largest id.
 3. Segments meet in shards by their anchor. A shard sorts its suffixes by Larsson-Sadakane
    refinement (ranks of 8 bytes, then doubled within the unsorted groups), takes common prefixes
-   of neighbours in Kasai's order, and has the smallest id of every string. A shard
-   of more than ``block`` bytes is several suffix arrays, merged by binary search for each
-   other's strings. An anchor with too many different segments is dealt by string instead.
+   of neighbours by Kasai's algorithm, and has the smallest id of every string. A shard of
+   more than ``block`` bytes is several suffix arrays; where an anchor's segments lie in two of
+   them, they are merged by binary search for each other's strings. An anchor with too many
+   different segments is dealt by string instead.
 4. Every segment learns where its strings have a smaller id than its documents; these become
    byte ranges of the documents.
 
@@ -25,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +33,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import apart, as_strings, groups, mix, partitions, prefix_hash, rolling_hash, runs, slices, small_batches, span_hash, stored, tidy, total_bytes
+from .textcore import apart, as_strings, groups, mix, prefix_hash, rolling_hash, runs, slices, small_batches, span_hash, stored, tasks, tidy, total_bytes
 
 LENGTH = 50
 GRAM = 24
 #: Text bytes for each shard of anchors, and of segments.
 ANCHOR_SHARD = 16 << 20
-SEGMENT_SHARD = 1 << 20
+SEGMENT_SHARD = 4 << 20
 #: Bytes of one suffix array.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Different segments of one anchor beyond which its strings are dealt one by one.
 HOT_SEGMENTS = 20_000
 #: Bytes of the largest array that a worker keeps to use again: those of one slice.
@@ -68,14 +68,12 @@ def _first_ranks(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sa, rank
 
 
-def _refine(sa: np.ndarray, rank: np.ndarray, step: int) -> None:
+def _refine(sa: np.ndarray, rank: np.ndarray, step: int) -> bool:
     """Larsson-Sadakane: within groups of equal rank, sort by the rank ``step`` further on.
 
-    Groups of one are left alone; ``sa`` and ``rank`` change in place.
+    Groups of one are left alone; ``sa`` and ``rank`` change in place. False if there were no others.
     """
     n = len(sa)
-    if n < 2:
-        return
     sorted_rank = rank[sa]
     alone = np.ones(n, bool)
     same = sorted_rank[1:] == sorted_rank[:-1]
@@ -83,7 +81,7 @@ def _refine(sa: np.ndarray, rank: np.ndarray, step: int) -> None:
     alone[:-1] &= ~same
     at = np.flatnonzero(~alone)
     if not len(at):
-        return
+        return False
     own = sa[at]
     further = own + step
     key = np.where(further < n, rank[np.minimum(further, n - 1)] + 1, 0)
@@ -94,107 +92,102 @@ def _refine(sa: np.ndarray, rank: np.ndarray, step: int) -> None:
     new = np.ones(len(at), bool)
     new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
     rank[own] = np.maximum.accumulate(np.where(new, at, 0))
+    return True
 
 
-def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks; with ``depth``, suffixes that agree so far share a rank.
-
-    Ranks are refined to powers of two and, at last, by the step that makes up ``depth``, so
-    no byte beyond it is ever compared.
-    """
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array, and the place of each suffix in it."""
     sa, rank = _first_ranks(text)
-    have, n = 8, len(text)
-    goal = n if depth is None else depth
-    while have < goal and n:
-        step = min(have, goal - have)
-        _refine(sa, rank, step)
-        have += step
-        if depth is None and len(np.unique(rank)) == n:
-            break
+    have = 8
+    while len(text) and _refine(sa, rank, have):
+        have *= 2
     return sa, rank
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix of each suffix with its predecessor in ``sa``, at most ``cap``.
+def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lane: int = 256) -> np.ndarray:
+    """Common prefix, ``cap`` at most, of each suffix with its predecessor in the suffix array, by Kasai's algorithm.
 
-    In Kasai's text order, through each suffix's predecessor; many at once, eight bytes a step.
+    In text order a suffix has with its predecessor all but one byte of what the suffix before
+    had, so comparison starts there. The text is cut into lanes of ``lane`` bytes, each with a
+    carry of its own, that go side by side and compare eight bytes at a time.
     """
-    n = len(sa)
-    out = np.zeros(n, np.int64)
+    n = len(text)
     if n < 2:
-        return out
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    word = np.zeros(len(text) + 1, _U)
-    for j in range(8):
-        word[: len(text)] = (word[: len(text)] << _U(8)) | padded[j : j + len(text)].astype(_U)
-    before = np.full(len(text), -1, np.int64)
+        return np.zeros(n, np.int32)
+    padded = np.concatenate([text, np.zeros(cap + 16, np.uint8)])
+    word = np.lib.stride_tricks.as_strided(padded, (n + cap + 8, 8), (1, 1)).copy().view("<u8").ravel()  # the first byte is the lowest
+    lanes = -(-n // lane)
+    before = np.full(lanes * lane, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    at = np.flatnonzero(before >= 0)
-    plcp = np.zeros(len(text), np.int64)
-    live, k = at, 0
-    while len(live) and k < cap:
-        a, b = live + k, before[live] + k
-        limit = len(text) - np.maximum(a, b)
-        x = word[np.minimum(a, len(text))] ^ word[np.minimum(b, len(text))]
-        same = np.full(len(live), 8, np.int64)
-        diff = x != 0
-        lead = np.zeros(int(diff.sum()), np.int64)
-        y = x[diff]
-        for s in (32, 16, 8):
-            zero = (y >> _U(64 - s)) == 0
-            lead += zero * (s // 8)
-            y = np.where(zero, y << _U(s), y)
-        same[diff] = lead
-        same = np.minimum(same, np.maximum(limit, 0))
-        plcp[live] += same
-        live = live[same == 8]
-        k += 8
-    out[:] = np.minimum(plcp[sa], cap)
-    out[0] = 0
-    return out
+    before = np.ascontiguousarray(before.reshape(lanes, lane).T)
+    plcp = np.zeros((lane, lanes), np.int32)
+    first, h = np.arange(0, lanes * lane, lane, dtype=np.int32), np.zeros(lanes, np.int32)
+    for step in range(lane):
+        j = before[step]
+        live = np.flatnonzero((j >= 0) & (h < cap))
+        h[j < 0] = 0
+        a, b, k = first[live] + np.int32(step), j[live], h[live]
+        top = np.minimum(np.int32(n) - np.maximum(a, b), np.int32(cap))
+        a, b = a + k, b + k
+        while len(live):
+            x = word[a] ^ word[b]
+            low = (x & (~x + _U(1))).astype(np.float64)  # its lowest set bit, whose exponent tells the byte
+            same = np.where(x == 0, 8, ((low.view(np.int64) >> 52) - 1023) >> 3).astype(np.int32)
+            k = np.minimum(k + same, top)
+            h[live] = k
+            on = np.flatnonzero((same == 8) & (k < top))
+            live, a, b, k, top = live[on], a[on] + np.int32(8), b[on] + np.int32(8), k[on], top[on]
+        plcp[step] = h
+        h = np.maximum(h - 1, 0)
+    return plcp.T.ravel()[:n][sa]
 
 
 class _Block:
     """A suffix array of segments: their strings in order, and the smallest id of each."""
 
-    def __init__(self, text: np.ndarray, offs: np.ndarray, least: np.ndarray, length: int):
-        size = np.diff(offs)
-        self.number = size - length + 1  # strings that start in each segment
+    def __init__(self, text: np.ndarray, offs: np.ndarray, least: np.ndarray, anchor: np.ndarray, length: int):
+        self.number = np.diff(offs) - length + 1  # strings that start in each segment
         starts = runs(offs[:-1], self.number)
-        owner = np.repeat(np.arange(len(size)), self.number)
-        sa, rank = suffix_array(text, length)
+        self.owner, self.anchor = np.repeat(np.arange(len(self.number)), self.number), anchor
+        sa, _ = suffix_array(text)
+        lcp = common_prefixes(text, sa, length)
         valid = np.zeros(len(text), bool)
         valid[starts] = True
-        order = sa[valid[sa]]
-        lcp = common_prefixes(text, order, length)
-        group = np.cumsum(lcp < length) - 1
+        at = np.flatnonzero(valid[sa])
+        order = sa[at]
+        # the common prefix of two starts is the least over all suffixes between them
+        lcp = np.minimum.reduceat(lcp[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1])) if len(at) else lcp[:0]
+        new = lcp < length
+        new[:1] = True
         of = np.empty(len(text), np.int64)
-        of[order] = group
+        of[order] = np.cumsum(new) - 1
         self.group = of[starts]
-        self.first = order[np.flatnonzero(lcp < length)]
+        self.first = order[new]
         self.text, self.length = text, length
-        begin = np.flatnonzero(lcp < length)
         place = np.empty(len(text), np.int64)
-        place[starts] = owner
-        self.least = np.minimum.reduceat(least[place[order]], begin) if len(begin) else np.zeros(0, np.int64)
+        place[starts] = self.owner
+        self.least = np.minimum.reduceat(least[place[order]], np.flatnonzero(new)) if len(at) else np.zeros(0, np.int64)
 
-    @cached_property
-    def strings(self) -> np.ndarray:
-        """The block's different strings in order."""
-        rows = np.lib.stride_tricks.sliding_window_view(self.text, self.length)[self.first]
-        return np.ascontiguousarray(rows).view(f"S{self.length}").ravel()
+    def strings(self, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+        """The different strings of an anchor's segments, in order, and their numbers."""
+        own = np.unique(self.group[(self.anchor == anchor)[self.owner]])
+        rows = np.lib.stride_tricks.sliding_window_view(self.text, self.length)[self.first[own]]
+        return np.ascontiguousarray(rows).view(f"S{self.length}").ravel(), own
 
     def merge(self, other: _Block) -> None:
-        """Give both the smaller id of every string that both have."""
-        at = np.searchsorted(other.strings, self.strings)
-        at = np.minimum(at, len(other.strings) - 1)
-        both = np.flatnonzero(other.strings[at] == self.strings)
-        low = np.minimum(self.least[both], other.least[at[both]])
-        self.least[both], other.least[at[both]] = low, low
-
-
-def shard_least(segments: list[bytes], least: np.ndarray, length: int, block: int = BLOCK) -> Iterator[np.ndarray]:
-    """Of each segment the smallest id among all segments with each of its strings."""
+        """Give both the smaller id of every string that both have; an anchor in both is the last here and the first there."""
+        if self.anchor[-1] != other.anchor[0]:
+            return
+        (a, mine), (b, its) = self.strings(self.anchor[-1]), other.strings(self.anchor[-1])
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        both = np.flatnonzero(b[at] == a)
+        mine, its = mine[both], its[at[both]]
+        low = np.minimum(self.least[mine], other.least[its])
+        self.least[mine], other.least[its] = low, low
+
+
+def shard_least(segments: list[bytes], least: np.ndarray, anchor: np.ndarray, length: int, block: int = BLOCK) -> Iterator[np.ndarray]:
+    """Of each segment the smallest id among all segments with each of its strings; segments stand by their anchor."""
     size = np.array([len(s) for s in segments], np.int64)
     cut, total = [0], 0
     for i, n in enumerate(size.tolist()):
@@ -207,10 +200,12 @@ def shard_least(segments: list[bytes], least: np.ndarray, length: int, block: in
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
         if hi > lo:
             text = np.frombuffer(b"".join(segments[lo:hi]), np.uint8)
-            blocks.append(_Block(text, np.concatenate([[0], np.cumsum(size[lo:hi])]), least[lo:hi], length))
+            blocks.append(_Block(text, np.concatenate([[0], np.cumsum(size[lo:hi])]), least[lo:hi], anchor[lo:hi], length))
     for _ in range(2 if len(blocks) > 2 else 1):  # the second round carries ids back to earlier blocks
         for i, a in enumerate(blocks):
             for b in blocks[i + 1 :]:
+                if a.anchor[-1] != b.anchor[0]:
+                    break  # nor do later blocks have it
                 a.merge(b)
     for b in blocks:
         got, ends = b.least[b.group], np.cumsum(b.number)
@@ -413,8 +408,9 @@ def _least(length: int, block: int):
             for i in np.flatnonzero(alone & several).tolist():
                 out.append((int(key[i]), 0, int(size[i]), int(least[i])))
             rest = np.flatnonzero(~alone)
+            rest = rest[np.argsort(owner[rest], kind="stable")]
             segments = col.take(pa.array(first[rest])).to_pylist()
-            for i, got in zip(rest.tolist(), shard_least(segments, least[rest], length, block), strict=True):
+            for i, got in zip(rest.tolist(), shard_least(segments, least[rest], owner[rest], length, block), strict=True):
                 if not several[i] and got.min() >= least[i]:
                     continue  # in the one document of this segment no string is a repeat
                 cut = np.flatnonzero(np.concatenate([[True], got[1:] != got[:-1]]))
@@ -452,7 +448,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     total = total_bytes(base, "text")
     shards = max(64, -(-total // anchor_shard))
     sent = base.select("same", "text").mapInArrow(tidy(_send(length, gram, shards), HEAP), "shard int, same long, hashes binary")
-    told = sent.repartition(min(shards, partitions(spark)), "shard").sortWithinPartitions("shard").mapInArrow(tidy(_shared, HEAP), "same long, shard int, hashes binary")
+    told = sent.repartition(tasks(spark, shards), "shard").sortWithinPartitions("shard").mapInArrow(tidy(_shared, HEAP), "same long, shard int, hashes binary")
     told = stored(told, "anchors").groupBy("same").agg(F.collect_list(F.struct("shard", "hashes")).alias("asked"))  # a row for each shard, no longer than the text
     copies = stored(base.groupBy("same", F.xxhash64(F.lit(1), "text").alias("again")).agg(F.min("id").alias("first"), F.count("*").alias("n")), "texts")
     told = told.join(copies, "same").select(F.col("first").alias("id"), F.col("same").alias("t"), "asked")
@@ -469,7 +465,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         once = once.join(many, "anchor", "left_anti").select("key", "anchor", "segment", "low", "multi").union(split.where("low is not null").select("key", "anchor", "segment", "low", "multi"))
     units = max(64, -(-(once.agg(F.sum(F.octet_length("segment"))).first()[0] or 0) // segment_shard))
     dealt = once.select(F.pmod(F.xxhash64("anchor"), F.lit(units)).cast("int").alias("shard"), "anchor", "key", "segment", "low", "multi")
-    lows = stored(dealt.repartition(min(units, 4 * partitions(spark)), "shard").sortWithinPartitions("shard").mapInArrow(tidy(_least(length, block), HEAP), "key long, first long, end long, least long"), "lows")
+    lows = stored(dealt.repartition(tasks(spark, units), "shard").sortWithinPartitions("shard").mapInArrow(tidy(_least(length, block), HEAP), "key long, first long, end long, least long"), "lows")
     parts = places.select("id", "same", "at", apart("key").alias("k")).join(lows.select(apart("key").alias("k"), "first", "end", "least"), "k").where("least < id")
     spans = parts.groupBy("id", "same").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("end") + length - 1).alias("end"))).alias("spans"))
     return spans, copies.select("same", "again", "first")

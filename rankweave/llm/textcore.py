@@ -274,6 +274,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks(spark: SparkSession, n: int) -> int:
+    """Tasks for ``n`` shares of work of bounded size: one each, as far as a scheduler bears it."""
+    return max(1, min(n, max(partitions(spark), 20_000)))
+
+
 #: Rows of a Parquet batch, and rows and bytes of an Arrow batch, where the session sets none.
 BATCH = {"spark.sql.parquet.columnarReaderBatchSize": 256, "spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 

@@ -408,6 +408,9 @@ def test_repeats(spark, docs):
         assert {i: (r.n_bytes, r.n_removed, len(r.removed), r.kept_sha256) for i, r in got.items()} == want
     assert got[0].kept_text == rows[0].text and got[201].kept_text == ""
     assert remove_repeats(docs.limit(0)).count() == 0
+    # rows of one id never remove from each other, rows without an id neither remove nor lose
+    odd = spark.createDataFrame([(1, rows[3].text), (1, rows[3].text), (None, rows[3].text), (None, rows[3].text), (2, None), (2, rows[3].text)], "doc_id long, text string")
+    assert Counter((r.doc_id, r.n_removed) for r in remove_repeats(odd).collect()) == Counter({(1, 0): 2, (None, 0): 2, (2, 0): 1, (2, len(rows[3].text.encode())): 1})
 
 
 def test_suffix_array():
@@ -418,40 +421,29 @@ def test_suffix_array():
         raw = text.tobytes()
         sa, _ = suffix_array(text)
         assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
-        lcp = common_prefixes(text, sa, 20)
-        for k in range(1, len(sa)):
-            a, b = raw[sa[k - 1] :], raw[sa[k] :]
-            n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-            assert lcp[k] == min(n, 20)
-
-
-def test_toxicity(spark, docs):
-    from rankweave.llm.toxicity import Field, fold, score_toxicity, toxicity_digest
-
-    rng = np.random.default_rng(4)
-    rows, labels = [], []
-    for i in range(600):
-        bad = i % 4 == 0
-        words = prose(rng, 60).split()
-        if bad:
-            for k in rng.integers(0, 60, 4):
-                words[k] = str(rng.choice(["vilew", "nastyx", "vilest", "nastyy"]))
-        rows.append((i, " ".join(words)))
-        labels.append((i, 1, int(bad)))
-    rows += [(9000, None), (9001, ""), (9002, "v " * 20_000)]
-    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*labels, (5000, 1, None), (0, 1, 1)], "doc_id long, quality int, toxic int")
-    got = by_id(toxicity_digest(d, lab))
-    held = [i for i, _, y in labels if got[i].held_out]
-    assert held and all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, _ in rows)
-    assert np.mean([got[i].predicted == (i % 4 == 0) for i in held]) > 0.97
-    assert got[9000].predicted == got[9001].predicted == 0 and got[9000].score == got[9001].score
-    f = Field().fit([t for _, t in rows[:400]], np.array([y for _, _, y in labels[:400]]))
-    tagged = score_toxicity(d.where("doc_id in (4, 5)").withColumn("toxicity", F.lit("clash")), f).collect()
-    for r in tagged:
-        for s in r.toxic_spans:
-            assert r.text[s.start : s.end][:4] in ("vile", "nast")
-    assert Field().fit([], np.zeros(0)).score(np.zeros(0), 3) >= 0
-    assert fold(F.lit(3)) is not None
+        for cap, lane in ((1000, 3), (1000, 256), (20, 7)):
+            lcp = common_prefixes(text, sa, cap, lane)
+            for k in range(1, len(sa)):
+                a, b = raw[sa[k - 1] :], raw[sa[k] :]
+                assert lcp[k] == min(cap, next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))))
+
+
+@pytest.mark.parametrize("block", [150, 400, 1 << 20])
+def test_shards_of_several_suffix_arrays(block):
+    """The smallest id of every string, however many arrays its anchor's segments are dealt to."""
+    from rankweave.llm.sa_dedup import shard_least
+
+    rng = np.random.default_rng(30)
+    anchor = np.sort(rng.integers(0, 4, 40))
+    core = [rng.integers(97, 123, 30).astype(np.uint8).tobytes() for _ in range(4)]
+    segments = [bytes(rng.choice([97, 98], int(rng.integers(0, 4))).astype(np.uint8)) + core[a] + bytes(rng.choice([97, 98], int(rng.integers(0, 4))).astype(np.uint8)) for a in anchor]
+    least = rng.permutation(1000)[:40]
+    low = {}
+    for s, i, a in zip(segments, least, anchor, strict=True):
+        for k in range(len(s) - 29):
+            low[a, s[k : k + 30]] = min(low.get((a, s[k : k + 30]), 10**9), i)
+    for s, a, got in zip(segments, anchor, shard_least(segments, least, anchor, 30, block), strict=True):
+        assert got.tolist() == [low[a, s[k : k + 30]] for k in range(len(s) - 29)]
 
 
 def _plain_chain(e, step):
