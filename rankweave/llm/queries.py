@@ -134,7 +134,8 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(words.c, 0) AS n_hit, coalesce(it
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-_SQL["op9_source_mixing"] = r"""TH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+_SQL["op9_source_mixing"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 t AS MATERIALIZED (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
 units(k, unit) AS (SELECT 0, 0::DOUBLE UNION ALL
   SELECT k + 1, (SELECT (1.5::DOUBLE * sum(source_size) - coalesce(sum(2.0::DOUBLE * source_size) FILTER (w * u.unit > 2.0::DOUBLE * source_size), 0)) / sum(w) FILTER (w * u.unit <= 2.0::DOUBLE * source_size) FROM t)
@@ -155,7 +156,8 @@ SELECT x.doc_id, x.size, x.source_size, x.target, ((floor(k * coalesce(rate, 0)
 UNION ALL SELECT l[i].doc_id, l[i].size, a.source_size, a.target, (n * l[i].size)::BIGINT FROM step s JOIN aim a ON s.source IS NOT DISTINCT FROM a.source WHERE i > 0
 """
 
-_SQL["op7_suffix_array_dedup"] = r"""TH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+_SQL["op7_suffix_array_dedup"] = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 s AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 100)) AS h FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - 49)) AS i FROM d WHERE len(x) >= 100)),
 low AS (SELECT h, min(doc_id) AS m FROM s GROUP BY h HAVING min(doc_id) < max(doc_id)),
 hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM s JOIN low USING (h) WHERE m < doc_id),
