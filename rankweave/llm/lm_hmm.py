@@ -1,7 +1,7 @@
 """Language-model scoring with a hidden Markov model trained by Baum-Welch on the corpus.
 
-Tokens are lower-cased words and one end per text. The ``top`` most frequent training words
-and the end are emissions of their own; every other word is emitted as one of four classes
+Tokens are lower-cased words and one end per text. The most frequent training words and the
+end are emissions of their own, the more the larger the corpus (:func:`own_words`); every other word is emitted as one of four classes
 (ASCII or not, ending in a letter or digit or not), and within its class has the smoothed
 probability (c + 1) / (C + V + 1). So the model is a distribution over all texts, and the
 scaled forward recursion over a whole text gives its exact probability.
@@ -23,20 +23,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import ALNUM, NON_SPACE, as_strings, mix, partitions, prefix_hash, seeds, slices, small_batches, span_hash, stored, tidy, total_bytes, word_spans
+from .textcore import ALNUM, NON_SPACE, as_strings, mix, partitions, prefix_hash, seeds, slices, small_batches, span_hash, stored, tasks, tidy, total_bytes, word_spans
 
-TOP = 16_000
+#: Words with an emission of their own: at OWN_BYTES of text and below, and at most, which bounds the model that every task holds.
+TOP, MOST_WORDS = 16_000, 2_000_000
+OWN_BYTES = 512 << 20
 STATES = 8
 ROUNDS = 6
 #: Tokens whose messages are held at once; longer stretches keep one message a text at their borders.
 HELD = 400_000
 CLASSES = 4
 #: Text bytes for each bucket of the word counts.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 10 << 20
 _BLOCK = 2048
 _U = np.uint64
 
 
+def own_words(total: int) -> int:
+    """Words with an emission of their own for so many bytes of text: as the distinct words do, they grow with the square root."""
+    return min(MOST_WORDS, max(TOP, int(TOP * (total / OWN_BYTES) ** 0.5)))
+
+
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes, whose two low bits are the word's class, and each text's bounds."""
     starts, ends, ptr = word_spans(buf, offs, NON_SPACE)
@@ -72,8 +79,9 @@ def _count(n: int, text: str):
     def out(h, c, texts):
         u, k = _summed(h, c)
         cut = np.searchsorted(_bucket(u, n), np.arange(n + 1))
+        some = np.flatnonzero((np.diff(cut) > 0) | (np.arange(n) == 0)).tolist()  # the first bucket counts the texts
         return pa.RecordBatch.from_arrays(
-            [pa.array(range(n), pa.int32()), pa.array([u[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([k[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([texts] + [0] * (n - 1), pa.int64())], schema=_COUNTS
+            [pa.array(some, pa.int32()), pa.array([u[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()), pa.array([k[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()), pa.array([texts] + [0] * (len(some) - 1), pa.int64())], schema=_COUNTS
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,20 +120,32 @@ def _merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([u.tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary()), pa.array([t], pa.int64())], schema=_COUNTS)
 
 
-def _facts(top: int):
-    """Of each bucket: totals by class and its most frequent words."""
+_BINS = 512
+
+
+def _bin(counts: np.ndarray) -> np.ndarray:
+    return (np.log2(counts) * 8).astype(np.int64)
+
+
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket: its texts, tokens and words by class, and words by bin of their count."""
+    for b in batches:
+        for h, c, t in zip(*(b.column(x).to_pylist() for x in ("hashes", "counts", "texts")), strict=True):
+            k = np.frombuffer(c, np.int64)
+            kind = (np.frombuffer(h, _U) & _U(3)).astype(np.int64)
+            totals = [t, *np.bincount(kind, weights=k, minlength=CLASSES).astype(int).tolist(), *np.bincount(kind, minlength=CLASSES).tolist(), *np.bincount(_bin(k), minlength=_BINS).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([totals], pa.list_(pa.int64()))], names=["totals"])
+
+
+def _frequent(least: int):
+    """Each bucket's words whose count is in bin ``least`` or above."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for h, c, t in zip(*(b.column(x).to_pylist() for x in ("hashes", "counts", "texts")), strict=True):
-                u, k = np.frombuffer(h, _U), np.frombuffer(c, np.int64)
-                kind = (u & _U(3)).astype(np.int64)
-                best = np.lexsort((u, -k))[:top]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(u[best].view(np.int64)), pa.array(k[best]), pa.array([None] * len(best), pa.list_(pa.int64()))], names=["word", "n", "totals"]
-                )
-                totals = [t, *np.bincount(kind, weights=k, minlength=CLASSES).astype(int).tolist(), *np.bincount(kind, minlength=CLASSES).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([totals], pa.list_(pa.int64()))], names=["word", "n", "totals"])
+            for h, c in zip(*(b.column(x).to_pylist() for x in ("hashes", "counts")), strict=True):
+                u, k = np.frombuffer(h, np.int64), np.frombuffer(c, np.int64)
+                keep = _bin(k) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(k[keep])], names=["word", "n"])
 
     return run
 
@@ -156,9 +176,14 @@ class Model:
     def ids(self, h: np.ndarray) -> np.ndarray:
         """The emission of each word hash."""
         if not self.k:
-            return (h & _U(3)).astype(np.uint16)
+            return (h & _U(3)).astype(self.kind)
         at = np.minimum(np.searchsorted(self.words, h), self.k - 1)
-        return np.where(self.words[at] == h, at, self.k + (h & _U(3)).astype(np.int64)).astype(np.uint16)
+        return np.where(self.words[at] == h, at, self.k + (h & _U(3)).astype(np.int64)).astype(self.kind)
+
+    @property
+    def kind(self) -> type:
+        """What an emission's number takes."""
+        return np.uint16 if self.end < 1 << 16 else np.uint32
 
     def update(self, emit: np.ndarray, trans: np.ndarray, start: np.ndarray) -> None:
         emit = emit + 50.0 * self.unigram  # a Dirichlet prior: no emission gets probability 0
@@ -189,8 +214,8 @@ class Model:
         out[order] = total
         return out
 
-    def expect(self, ids: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected emissions, transitions and starts over whole texts.
+    def expect(self, ids: np.ndarray, ptr: np.ndarray, kind=np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected emissions, transitions and starts over whole texts, messages in ``kind`` and sums in double precision.
 
         Texts run side by side. The forward messages of at most about HELD tokens are held at
         once: of earlier steps only those before each stretch, from which it is run again.
@@ -198,7 +223,8 @@ class Model:
         n = np.diff(ptr)
         order = np.argsort(-n, kind="stable")
         n, first = n[order], ptr[:-1][order]
-        s, table = self.states, np.ascontiguousarray(self.emit.T)
+        s, table, step, begin = self.states, np.ascontiguousarray(self.emit.T, kind), self.trans.astype(kind), self.start.astype(kind)
+        back_step, ones = np.ascontiguousarray(step.T), np.ones(self.states, kind)
         emit, trans, start = np.zeros((s, self.end + 1)), np.zeros((s, s)), np.zeros(s)
         if not len(n) or not n[0]:
             return emit, trans, start
@@ -212,10 +238,10 @@ class Model:
             at = np.repeat(np.arange(lo, hi), live[lo:hi])
             token = ids[first[np.arange(len(at)) - (done[at] - done[lo])] + at]
             like = table[token]
-            alpha, scale, off = np.empty_like(like), np.empty(len(like)), (done[lo : hi + 1] - done[lo]).tolist()
+            alpha, scale, off = np.empty_like(like), np.empty(len(like), kind), (done[lo : hi + 1] - done[lo]).tolist()
             for x, y in zip(off[:-1], off[1:], strict=True):
-                a = like[x:y] * (self.start if before is None else before[: y - x] @ self.trans)
-                c = a.sum(1)
+                a = like[x:y] * (begin if before is None else before[: y - x] @ step)
+                c = a @ ones
                 scale[x:y] = c
                 before = np.divide(a, c[:, None], out=alpha[x:y])
             return token, like, alpha, scale, off
@@ -224,24 +250,24 @@ class Model:
         for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
             got = forward(lo, hi, borders[-1])
             borders.append(got[2][got[4][-2] :].copy())
-        beta = np.ones((0, s))
+        beta = np.ones((0, s), kind)
         for lo, hi, before in zip(cuts[-2::-1], cuts[:0:-1], borders[::-1], strict=True):
             token, like, alpha, scale, off = forward(lo, hi, before)
             like /= scale[:, None]
             for k in range(hi - lo - 1, -1, -1):
                 x, y = off[k], off[k + 1]
                 if len(beta) < y - x:
-                    beta = np.concatenate([beta, np.ones((y - x - len(beta), s))])
+                    beta = np.concatenate([beta, np.ones((y - x - len(beta), s), kind)])
                 back = like[x:y] * beta
                 alpha[x:y] *= beta  # now the posteriors
                 if k or before is not None:
                     past = alpha[off[k - 1] : off[k - 1] + y - x] if k else before[: y - x]
                     trans += (past.T @ back) * self.trans
-                    beta = back @ self.trans.T
+                    beta = back @ back_step
             if before is None:
                 start += alpha[: off[1]].sum(0)
-            for k in range(s):
-                emit[k] += np.bincount(token, weights=alpha[:, k], minlength=self.end + 1)
+            for k, own in enumerate(np.ascontiguousarray(alpha.T)):
+                emit[k] += np.bincount(token, weights=own, minlength=self.end + 1)
         return emit, trans, start
 
 
@@ -277,7 +303,7 @@ def _encode(model: Model, n: int):
                 rare_h.append(h[rare])
                 rare_u.append(uid[lo:hi][np.searchsorted(ptr, rare, "right") - 1])
                 ptr2 = ptr + np.arange(len(ptr))
-                full = np.empty(int(ptr2[-1]), np.uint16)
+                full = np.empty(int(ptr2[-1]), model.kind)
                 ends = ptr2[1:] - 1
                 is_end = np.zeros(len(full), bool)
                 is_end[ends] = True
@@ -304,17 +330,18 @@ def _encode(model: Model, n: int):
     return run
 
 
-def _ids(b: pa.RecordBatch, limit: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for lo, hi, buf, offs in slices(b.column("ids"), 2 * limit):
-        yield lo, hi, np.ascontiguousarray(buf).view(np.uint16), offs // 2
+def _ids(b: pa.RecordBatch, kind: type, limit: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    width = np.dtype(kind).itemsize
+    for lo, hi, buf, offs in slices(b.column("ids"), width * limit):
+        yield lo, hi, np.ascontiguousarray(buf).view(kind), offs // width
 
 
 def _expectations(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit, trans, start = np.zeros_like(model.emit), np.zeros_like(model.trans), np.zeros_like(model.start)
         for b in batches:
-            for _, _, ids, ptr in _ids(b):
-                e, t, s = model.expect(ids, ptr)
+            for _, _, ids, ptr in _ids(b, model.kind):
+                e, t, s = model.expect(ids, ptr, np.float32)
                 emit += e
                 trans += t
                 start += s
@@ -358,31 +385,34 @@ def _scores(model: Model):
         for b in batches:
             if not b.num_rows:
                 continue
-            ll = np.concatenate([model.forward(ids, ptr) for _, _, ids, ptr in _ids(b)]) / np.log(10)
+            ll = np.concatenate([model.forward(ids, ptr) for _, _, ids, ptr in _ids(b, model.kind)]) / np.log(10)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("uid", "doc_id", "held", "n_tokens", "known", "base", "inner")), pa.array(ll)], names=["uid", "doc_id", "held", "n_tokens", "known", "base", "inner", "ll"])
 
     return run
 
 
-def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out=None, top: int = TOP, states: int = STATES, rounds: int = ROUNDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out=None, top: int | None = None, states: int = STATES, rounds: int = ROUNDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held_out`` is a boolean column of the texts that are scored but not learnt from. Null and
     empty texts are one end token; repeated rows are texts of their own; without training texts
-    every count is 0; no rows give no rows.
+    every count is 0; no rows give no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark)
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), held.alias("held"))
     train = df.where("not held").select("text")
-    n = max(8, -(-total_bytes(df, "text") // bucket_bytes))
+    total = total_bytes(df, "text")
+    n, top = max(8, -(-total // bucket_bytes)), own_words(total) if top is None else top
     kind = "bucket int, hashes binary, counts binary, texts long"
-    counts = stored(train.mapInArrow(tidy(_count(n, "text")), kind).repartition(min(n, partitions(spark)), "bucket").mapInArrow(tidy(_merge_counts), kind), "lm-counts")
-    facts = stored(counts.mapInArrow(tidy(_facts(top)), "word long, n long, totals array<long>"), "lm-facts")
-    most = facts.where("word is not null").orderBy(F.desc("n"), "word").limit(top).select("word", "n").collect()  # of the model's size
-    sums = facts.where("totals is not null").select([F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(1 + 2 * CLASSES)]).first()
-    sums = np.array([x or 0 for x in sums], np.int64)
+    counts = stored(train.mapInArrow(tidy(_count(n, "text")), kind).repartition(tasks(spark, n), "bucket").mapInArrow(tidy(_merge_counts), kind), "lm-counts")
+    facts = counts.mapInArrow(tidy(_facts), "totals array<long>")
+    sums = facts.select([F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(1 + 2 * CLASSES + _BINS)]).first()
+    sums, bins = np.split(np.array([x or 0 for x in sums], np.int64), [1 + 2 * CLASSES])
+    above = np.cumsum(bins[::-1])[::-1]  # words by bin and above
+    least = int(np.flatnonzero(above >= min(top, above[0])).max())
+    most = counts.mapInArrow(tidy(_frequent(least)), "word long, n long").orderBy(F.desc("n"), "word").limit(top).select("word", "n").collect()  # of the model's size
     model = Model(np.array([r.word for r in most], np.int64).view(_U), np.array([r.n for r in most], np.int64), int(sums[0]), sums[1 : 1 + CLASSES], sums[1 + CLASSES :], states)
     coded = stored(df.mapInArrow(tidy(_encode(model, n)), _ENCODED_DDL), "lm-coded")
     texts = coded.where("uid is not null")
@@ -396,7 +426,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_o
         model.update(emit, got[-1][: states**2].reshape(states, states), got[-1][states**2 :])
     asked = coded.where("bucket is not null").select("bucket", "uids", "sizes", "hashes", F.lit(None).cast("binary").alias("counts"), F.lit(1).alias("turn"))
     known = counts.select("bucket", F.lit(None).cast("binary").alias("uids"), F.lit(None).cast("binary").alias("sizes"), "hashes", "counts", F.lit(0).alias("turn"))
-    answers = known.union(asked).repartition(min(n, partitions(spark)), "bucket").sortWithinPartitions("bucket", "turn").mapInArrow(tidy(_answer), "uid long, more long, logs double")
+    answers = known.union(asked).repartition(tasks(spark, n), "bucket").sortWithinPartitions("bucket", "turn").mapInArrow(tidy(_answer), "uid long, more long, logs double")
     answers = answers.groupBy("uid").agg(F.sum("more").alias("more"), F.sum("logs").alias("logs"))
     scored = texts.select("uid", "doc_id", "held", "ids", "n_tokens", "known", "base", "inner").mapInArrow(tidy(_scores(model)), "uid long, doc_id long, held boolean, n_tokens long, known long, base double, inner double, ll double")
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))

@@ -633,6 +633,27 @@ def test_expected_counts_of_long_texts(monkeypatch, held):
     for got, want in zip(m.expect(ids, ptr), (emit, trans, start), strict=True):
         assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
     assert trans.sum() == pytest.approx(sum(max(0, k - 1) for k in np.diff(ptr)))
+    for got, want in zip(m.expect(ids, ptr, np.float32), (emit, trans, start), strict=True):
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-5)
+
+
+def test_more_words_than_two_bytes_number(spark):
+    """Words numbered above 65,535 keep emissions of their own."""
+    from rankweave.llm import lm_hmm
+
+    assert lm_hmm.own_words(0) == lm_hmm.own_words(1 << 29) == 16_000 and lm_hmm.own_words(1 << 35) == 128_000 and lm_hmm.own_words(1 << 60) == lm_hmm.MOST_WORDS
+    texts = [" ".join(f"w{j}" for j in range(i, 70_000, 7)) for i in range(7)] + ["w3 w3 w69999", ""]
+    d = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, held string")
+    got = by_id(lm_hmm.score(d, rounds=0, top=70_000, states=2))
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    h, ptr = lm_hmm.tokens(buf, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    u, c = np.unique(h, return_counts=True)
+    kind = (u & np.uint64(3)).astype(int)
+    m = lm_hmm.Model(u, c, len(texts), np.bincount(kind, weights=c, minlength=4).astype(int), np.bincount(kind, minlength=4), 2)
+    assert m.kind is np.uint32 and m.k == 70_000
+    for i in range(len(texts)):
+        ids = np.append(m.ids(h[ptr[i] : ptr[i + 1]]), m.end)
+        assert got[i].score == pytest.approx(m.forward(ids, np.array([0, len(ids)]))[0] / math.log(10))
 
 
 @pytest.mark.parametrize("shard_bytes", [100, 1 << 20])
