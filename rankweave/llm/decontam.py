@@ -7,14 +7,17 @@ of the items, hashed, tell which stretches of a text can hold a window at all (e
 a window is an item n-gram, so nothing is lost), and only those stretches reach the automaton,
 which compares the words themselves.
 
-One scan, no shuffle. The automaton is bounded by ``shard_bytes`` of item text; a larger
-benchmark is dealt by id into several automata that pass over the texts one after another,
-each adding its hits to those found before.
+One scan, no shuffle. An automaton holds ``shard_bytes`` of item text, is built in a task and
+kept in flat arrays, which take some 15 bytes for each of text; a larger benchmark is dealt by id
+into several automata that pass over the texts one after another, each adding its hits to
+those found before.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ from .textcore import ALNUM, HashSet, hash_bytes, ngram_hash, prefix_hash, slice
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 4 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -36,78 +39,102 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Of several word sequences; a state knows its items and the whole items that end in it."""
+    """Of several word sequences; a state knows its items and the whole items that end in it.
+
+    States are numbers in flat arrays. Most have a single way on, kept as a word and a state;
+    only those that branch have a dictionary. Items by state are sorted pairs.
+    """
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int):
-        self.window = window
-        self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.len = [-1], [0]
-        for _, words in items:
+        self.window, self.names = window, {}
+        self.word, self.to = array("i", [-1]), array("i", [-1])  # the single way on
+        self.branches: dict[int, dict[int, int]] = {}
+        self.link, self.len = array("i", [-1]), array("i", [0])
+        self.ids = [i for i, _ in items]
+        coded = [[self.names.setdefault(w, len(self.names)) for w in words] for _, words in items]
+        for words in coded:
             last = 0
             for w in words:
                 last = self._add(last, w)
-        self.items: list[set[int]] = [set() for _ in self.next]
-        self.whole: list[list[tuple[int, int]]] = [[] for _ in self.next]
-        self.ids = [i for i, _ in items]
-        for k, (_, words) in enumerate(items):
+        state, item, marked = array("i"), array("i"), array("i", [-1]) * len(self.link)
+        self.whole: dict[int, list[tuple[int, int]]] = {}
+        for k, words in enumerate(coded):
             at = 0
             for w in words:
-                at = self.next[at][w]
-                up = at
-                while up > 0 and self.len[up] >= window and k not in self.items[up]:
-                    self.items[up].add(k)
+                at = up = self._next(at, w)
+                while up > 0 and self.len[up] >= window and marked[up] != k:
+                    marked[up] = k
+                    state.append(up)
+                    item.append(k)
                     up = self.link[up]
             if 0 < len(words) < window:
-                self.whole[at].append((len(words), k))
-
-    def _new(self, length: int, link: int, edges: dict[bytes, int]) -> int:
-        self.next.append(edges)
-        self.link.append(link)
-        self.len.append(length)
-        return len(self.next) - 1
-
-    def _split(self, p: int, w: bytes, q: int) -> int:
-        clone = self._new(self.len[p] + 1, self.link[q], dict(self.next[q]))
+                self.whole.setdefault(at, []).append((len(words), k))
+        state, item = np.array(state, np.int32), np.array(item, np.int32)
+        order = np.argsort(state, kind="stable")
+        self.state, self.item = state[order], item[order]
+
+    def _next(self, at: int, w: int) -> int:
+        if self.word[at] == w:
+            return self.to[at]
+        return self.branches[at].get(w, -1) if at in self.branches else -1
+
+    def _set(self, at: int, w: int, to: int) -> None:
+        if self.word[at] == -1 or self.word[at] == w:
+            self.word[at], self.to[at] = w, to
+        else:
+            self.branches.setdefault(at, {})[w] = to
+
+    def _new(self, length: int, link: int) -> int:
+        for x, v in ((self.word, -1), (self.to, -1), (self.link, link), (self.len, length)):
+            x.append(v)
+        return len(self.link) - 1
+
+    def _split(self, p: int, w: int, q: int) -> int:
+        clone = self._new(self.len[p] + 1, self.link[q])
+        self.word[clone], self.to[clone] = self.word[q], self.to[q]
+        if q in self.branches:
+            self.branches[clone] = dict(self.branches[q])
         self.link[q] = clone
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = clone
+        while p >= 0 and self._next(p, w) == q:
+            self._set(p, w, clone)
             p = self.link[p]
         return clone
 
-    def _add(self, last: int, w: bytes) -> int:
-        q = self.next[last].get(w)
-        if q is not None:
+    def _add(self, last: int, w: int) -> int:
+        q = self._next(last, w)
+        if q >= 0:
             return q if self.len[q] == self.len[last] + 1 else self._split(last, w, q)
-        cur = self._new(self.len[last] + 1, 0, {})
+        cur = self._new(self.len[last] + 1, 0)
         p = last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = cur
+        while p >= 0 and self._next(p, w) < 0:
+            self._set(p, w, cur)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][w]
+            q = self._next(p, w)
             self.link[cur] = q if self.len[q] == self.len[p] + 1 else self._split(p, w, q)
         return cur
 
     def matches(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """(first word, end word, item) of each window occurrence in ``words``."""
         state, length, window = 0, 0, self.window
-        for i, w in enumerate(words, 1):
-            while state and w not in self.next[state]:
+        for i, name in enumerate(words, 1):
+            w = self.names.get(name, -2)
+            while state and self._next(state, w) < 0:
                 state = self.link[state]
                 length = self.len[state]
-            to = self.next[state].get(w)
-            if to is None:
+            to = self._next(state, w)
+            if to < 0:
                 continue
             state, length = to, length + 1
             if length >= window:
                 s = state
                 while self.len[self.link[s]] >= window:
                     s = self.link[s]
-                for k in self.items[s]:
+                for k in self.item[np.searchsorted(self.state, s) : np.searchsorted(self.state, s, "right")].tolist():
                     yield i - window, i, k
             s = state
-            while s > 0:
-                for n, k in self.whole[s]:
+            while s > 0 and self.whole:
+                for n, k in self.whole.get(s, ()):
                     if n <= length:
                         yield i - n, i, k
                 s = self.link[s]
@@ -159,6 +186,16 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _built(window: int):
+    """The pickled matcher of a shard's items, ``shard_bytes`` of text in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = [(i, words_of(t)) for b in batches for i, t in zip(b.column("i").to_pylist(), b.column("t").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Matcher(items, window), pickle.HIGHEST_PROTOCOL)], pa.binary())], names=["matcher"])
+
+    return run
+
+
 _SPANS = pa.list_(pa.struct([("word", pa.int32()), ("end_word", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -197,12 +234,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     made = ["n_words", "n_hit", "hit_spans", "hit_items", "contaminated"]
     spans = "array<struct<word:int,end_word:int,start:int,end:int>>"
     df = docs.drop(*made).select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast(spans).alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
     shards = max(1, -(-total_bytes(items, "t") // shard_bytes))
     for s in range(shards):
-        rows = items.where(F.pmod(F.xxhash64(F.coalesce("i", "t")), F.lit(shards)) == s).collect()  # bounded by shard_bytes
-        matcher = Matcher([(r.i, words_of(r.t)) for r in rows], window)
-        df = df.mapInArrow(tidy(_pass(matcher, text)), df.schema)
+        part = items.where(F.pmod(F.xxhash64(F.coalesce("i", "t"), "t"), F.lit(shards)) == s)
+        made = part.repartition(1).sortWithinPartitions("i", "t").mapInArrow(tidy(_built(window)), "matcher binary").first()
+        df = df.mapInArrow(tidy(_pass(pickle.loads(made[0]) if made else Matcher([], window), text)), df.schema)
     return df.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(max_share) * F.col("n_words")))
 
 

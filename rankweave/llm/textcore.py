@@ -156,7 +156,13 @@ class HashSet:
     """Membership of 64-bit hashes: a bit table refuses most, a sorted array decides the rest."""
 
     def __init__(self, values: np.ndarray):
-        self.values = np.unique(np.asarray(values, _U))
+        self.__setstate__(np.unique(np.asarray(values, _U)))
+
+    def __getstate__(self) -> np.ndarray:
+        return self.values  # the bit table is made again where it is used
+
+    def __setstate__(self, values: np.ndarray) -> None:
+        self.values = values
         self.bits = max(16, int(np.ceil(np.log2(max(1, len(self.values)) * 64))))
         self.table = np.zeros(1 << self.bits, bool)
         self.table[self.values >> _U(64 - self.bits)] = True

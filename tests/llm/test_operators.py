@@ -385,6 +385,23 @@ def test_decontamination(spark, docs):
     cut = by_id(remove_spans(decontaminate(docs, bench), max_share=0.9))
     assert w[45] not in cut[101].text.split()[28:] and cut[0].text == texts[0]
     assert decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate(docs.limit(0), bench).count() == 0
+    twice = decontaminate(docs.union(docs), bench).groupBy("doc_id", "n_hit", "hit_items").count().collect()
+    assert {r["count"] for r in twice} == {2} and len(twice) == len(texts)
+
+
+def test_automaton_of_repetitive_items():
+    """Window occurrences against plain comparison, for items over two words with long repeats."""
+    from rankweave.llm.decontam import SuffixAutomaton
+
+    rng = np.random.default_rng(17)
+    for window in (1, 3, 5):
+        items = [(k, [bytes([97 + int(x)]) for x in rng.integers(0, 2, int(rng.integers(0, 14)))]) for k in range(12)]
+        a = SuffixAutomaton(items, window)
+        for _ in range(30):
+            text = [bytes([97 + int(x)]) for x in rng.integers(0, 3, 25)]
+            want = {(i, i + n, k) for k, w in items if w for n in [min(window, len(w))] for j in range(len(w) - n + 1) for i in range(len(text) - n + 1) if text[i : i + n] == w[j : j + n]}
+            assert set(a.matches(text)) == want
 
 
 def test_repeats(spark, docs):
