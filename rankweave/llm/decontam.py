@@ -8,7 +8,7 @@ a window is an item n-gram, so nothing is lost), and only those stretches reach
 which compares the words themselves.
 
 One scan, no shuffle. An automaton holds ``shard_bytes`` of item text, is built in a task and
-kept in flat arrays, which take some 15 bytes for each of text; a larger benchmark is dealt by id
+kept in flat arrays, some 25 bytes for each of text (6 as it is sent); a larger benchmark is dealt by id
 into several automata that pass over the texts one after another, each adding its hits to
 those found before.
 """

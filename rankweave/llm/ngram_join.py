@@ -1,6 +1,6 @@
 """Jaccard self-join of word n-gram sets by chosen paths.
 
-Equal sets are one from the start. A set is a sketch of ``width`` tokens (least hashes), of which
+Equal sets are one from the start. A set is a sketch of ``width`` tokens (two bytes of its least hashes), of which
 two sets of similarity s share each with probability s. Each run grows a tree of paths from a
 root that holds all sets: a hash of the path alone samples one token place, or at times two, so
 that ``1 / threshold`` are sampled on average, and a set goes on to a branch for each, named by
@@ -35,7 +35,7 @@ THRESHOLD = 0.8
 WIDTH = 48
 RECALL = 0.9999
 SMALL = 128
-BLOCK = 256
+BLOCK = 512
 #: Share of a bucket in one of its branches from which its sets count as alike.
 DENSE = 0.75
 #: Levels that the first runs allow for, more runs following if the trees grow deeper; at the deepest, a bucket is compared however large.
@@ -100,9 +100,9 @@ def _sketch(n: int, t: int, text: str):
                 full = [s for s in own if len(s)]
                 if full:
                     h, first = np.concatenate(full), np.cumsum([0, *(len(s) for s in full[:-1])])
-                    sketch = np.empty((len(full), t), np.uint32)
+                    sketch = np.empty((len(full), t), np.uint16)
                     for c in range(t):
-                        sketch[:, c] = np.minimum.reduceat(h * odd[c], first) >> _U(32)
+                        sketch[:, c] = mix(np.minimum.reduceat(h * odd[c], first)) & _U(0xFFFF)
                 at = iter(range(len(full)))
                 for s in own:
                     size.append(len(s))
@@ -120,16 +120,23 @@ class _Unit:
         self.ids, first = np.unique(t.column("id").to_numpy(), return_index=True)
         t = t.take(pa.array(first))
         self.table = t
-        size = t.column("size").to_numpy().astype(float)
-        side = t.column("side").to_numpy(zero_copy_only=False).astype(float)
-        pairs = np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-9
+        size = t.column("size").to_numpy().astype(np.float32)
+        side = t.column("side").to_numpy(zero_copy_only=False).astype(np.float32)
+        near = size[:, None] >= (size * np.float32(threshold - 1e-6))[None, :]
+        pairs = near & near.T
         np.fill_diagonal(pairs, False)
         if not np.isnan(side).all():
             pairs &= side[:, None] != side[None, :]
         if pairs.any():
             pairs &= ~self._met_before(t.column("buckets").combine_chunks(), t.column("bucket")[0].as_py())
-        if pairs.any():
-            sig, same = fixed_binary(t.column("sig"), np.uint32, width), np.zeros(pairs.shape, np.uint16)
+        sig, left = fixed_binary(t.column("sig"), np.uint16, width), int(pairs.sum())
+        if 8 * left < pairs.size:  # a few pairs one by one, many by columns
+            i, j = np.nonzero(pairs)
+            for lo in range(0, left, 100_000):
+                x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
+                pairs[x, y] = (sig[x] == sig[y]).sum(1) >= equal
+        else:
+            same = np.zeros(pairs.shape, np.uint8)
             for c in range(width):
                 same += sig[:, c][:, None] == sig[:, c][None, :]
             pairs &= same >= equal
@@ -224,7 +231,7 @@ def _verify(width: int, threshold: float, equal: int):
 
 
 def _split(live: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The branches of rows (id, sig, path, used, m): id, path, used, parent (the size of the bucket that was split).
+    """The branches of rows (id, sig, path, used, m): id, sig, path, used, parent (the size of the bucket that was split).
 
     ``used`` has a bit for each token place on the path, which is not sampled again.
     """
@@ -236,9 +243,9 @@ def _split(live: DataFrame, width: int, threshold: float) -> DataFrame:
     often = F.pmod(F.xxhash64(F.lit(-1), "path"), F.lit(1 << 20)) < int((1 / threshold - 1) * (1 << 20))
     rows = rows.withColumn("two", F.when(often, F.coalesce(*(free(at(k), F.col("used")) for k in range(4, 8)))))
     rows = rows.withColumn("place", F.explode(F.filter(F.array("one", "two"), lambda i: i.isNotNull())))
-    token = F.expr("substring(sig, 1 + 4 * place, 4)")
+    token = F.expr("substring(sig, 1 + 2 * place, 2)")
     mask = F.col("used").bitwiseOR(bit(F.col("place")))
-    return rows.select("id", F.xxhash64("path", "place", token).alias("path"), mask.alias("used"), F.col("m").alias("parent"))
+    return rows.select("id", "sig", F.xxhash64("path", "place", token).alias("path"), mask.alias("used"), F.col("m").alias("parent"))
 
 
 def _buckets(classes: DataFrame, threshold: float, recall: float, small: int, width: int) -> DataFrame:
@@ -253,8 +260,7 @@ def _buckets(classes: DataFrame, threshold: float, recall: float, small: int, wi
             rows = stored(grown.withColumn("pk", apart("path")).join(counts, F.col("pk") == F.col("k")).drop("pk", "k"), "paths")
             over = (F.col("m") <= small) | (F.col("m") >= DENSE * F.col("parent")) | F.lit(level + 1 == DEEPEST)
             done.append(rows.where(over).select("id", "path", "m"))
-            left = rows.where(~over).select("id", "path", "used", "m")
-            live = left.withColumn("ik", apart("id")).join(classes.select(apart("id").alias("ck"), "sig"), F.col("ik") == F.col("ck")).select("id", "sig", "path", "used", "m")
+            live = rows.where(~over).select("id", "sig", "path", "used", "m")
             level += 1
             levels = max(levels, level)
     out = done[0]

@@ -13,6 +13,7 @@ from .lm_hmm import scoring_digest
 from .mixing import mixing_digest
 from .ngram_join import jaccard_classes
 from .sa_dedup import repeats_digest
+from .stages import run
 from .toxicity import toxicity_digest
 from .url_filter import url_verdicts
 from .warc import warc_round_trip
@@ -63,8 +64,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpus_pipeline import run
-
     return run(spark, sf_dir)
 
 

@@ -186,31 +186,20 @@ class _Block:
         self.least[mine], other.least[its] = low, low
 
 
-def shard_least(segments: list[bytes], least: np.ndarray, anchor: np.ndarray, length: int, block: int = BLOCK) -> Iterator[np.ndarray]:
-    """Of each segment the smallest id among all segments with each of its strings; segments stand by their anchor."""
-    size = np.array([len(s) for s in segments], np.int64)
-    cut, total = [0], 0
-    for i, n in enumerate(size.tolist()):
-        if total and total + n > block:
-            cut.append(i)
-            total = 0
-        total += n
-    cut.append(len(segments))
-    blocks = []
-    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        if hi > lo:
-            text = np.frombuffer(b"".join(segments[lo:hi]), np.uint8)
-            blocks.append(_Block(text, np.concatenate([[0], np.cumsum(size[lo:hi])]), least[lo:hi], anchor[lo:hi], length))
+def shard_least(data: np.ndarray, offs: np.ndarray, least: np.ndarray, anchor: np.ndarray, length: int, block: int = BLOCK) -> np.ndarray:
+    """The smallest id among all segments with a string, of each string of each segment ``data[offs[i]:offs[i+1]]``; segments stand by their anchor."""
+    blocks, lo = [], 0
+    while lo < len(least):
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + block, "right")) - 1)
+        blocks.append(_Block(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], least[lo:hi], anchor[lo:hi], length))
+        lo = hi
     for _ in range(2 if len(blocks) > 2 else 1):  # the second round carries ids back to earlier blocks
         for i, a in enumerate(blocks):
             for b in blocks[i + 1 :]:
                 if a.anchor[-1] != b.anchor[0]:
                     break  # nor do later blocks have it
                 a.merge(b)
-    for b in blocks:
-        got, ends = b.least[b.group], np.cumsum(b.number)
-        for e, n in zip(ends.tolist(), b.number.tolist(), strict=True):
-            yield got[e - n : e]
+    return np.concatenate([b.least[b.group] for b in blocks]) if blocks else np.zeros(0, np.int64)
 
 
 # --- anchors ------------------------------------------------------------------------------
@@ -401,24 +390,31 @@ def _least(length: int, block: int):
             np.maximum.at(most, where, low)
             several = (np.bincount(where, weights=multi, minlength=len(key)) > 0) | (least != most)
             _, owner, many = np.unique(t.column("anchor").to_numpy()[first], return_inverse=True, return_counts=True)
-            col = t.column("segment")
-            out: list[tuple[int, int, int, int]] = []
+            col = t.column("segment").combine_chunks()
             alone = (many == 1)[owner]  # an anchor's only segment shares no string with another
-            size = pc.binary_length(col).to_numpy()[first] - length + 1
-            for i in np.flatnonzero(alone & several).tolist():
-                out.append((int(key[i]), 0, int(size[i]), int(least[i])))
             rest = np.flatnonzero(~alone)
             rest = rest[np.argsort(owner[rest], kind="stable")]
-            segments = col.take(pa.array(first[rest])).to_pylist()
-            for i, got in zip(rest.tolist(), shard_least(segments, least[rest], owner[rest], length, block), strict=True):
-                if not several[i] and got.min() >= least[i]:
-                    continue  # in the one document of this segment no string is a repeat
-                cut = np.flatnonzero(np.concatenate([[True], got[1:] != got[:-1]]))
-                k = int(key[i])
-                out += [(k, a, z, int(got[a])) for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(got)], strict=True) if several[i] or got[a] < least[i]]
-            for a in range(0, len(out), 50_000):
-                k, s, e, m = zip(*out[a : a + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(m, pa.int64())], names=["key", "first", "end", "least"])
+            own = col.take(pa.array(first[rest]))
+            off = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64)
+            data = np.frombuffer(own.buffers()[2], np.uint8)[off[0] : off[-1]] if len(own) else np.zeros(0, np.uint8)
+            off -= off[0]
+            got = shard_least(data, off, least[rest], owner[rest], length, block)
+            # runs of equal ids in each segment, of which those count that some document is above
+            number = np.diff(off) - length + 1
+            begin = np.cumsum(number) - number
+            new = np.ones(len(got), bool)
+            new[1:] = got[1:] != got[:-1]
+            new[begin] = True
+            at = np.flatnonzero(new)
+            row = np.searchsorted(begin, at, "right") - 1
+            end = np.append(at[1:], len(got)) - begin[row]
+            says = several[rest[row]] | (got[at] < least[rest[row]])
+            at, row, end = at[says], row[says], end[says]
+            one = np.flatnonzero(alone & several)
+            size = pc.binary_length(col).to_numpy()[first[one]] - length + 1
+            cols = [np.concatenate(x).astype(np.int64) for x in ((key[one], key[rest[row]]), (np.zeros(len(one), np.int64), at - begin[row]), (size, end), (least[one], got[at]))]
+            for a in range(0, len(cols[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in cols], names=["key", "first", "end", "least"])
 
     return run
 

@@ -242,14 +242,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end what has been written to the shared folder inside; for blocks that store their result elsewhere first."""
-    began = len(_written)
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete at the end the paths, given as a list, that have been written to in the shared folder inside.
+
+    For blocks that read their result elsewhere, or take its path (the last one written) off the list.
+    """
+    global _written
+    outer, _written = _written, []
     try:
-        yield
+        yield _written
     finally:
-        drop(spark, _written[began:])
-        del _written[began:]
+        drop(spark, _written)
+        _written = outer
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:

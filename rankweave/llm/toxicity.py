@@ -231,11 +231,10 @@ class Field:
         return at // rows.shape[1], rank
 
     def learn(self, texts: list[tuple[int, np.ndarray, np.ndarray]], toxic: np.ndarray, marks: np.ndarray) -> Field:
-        """From (words, places, features) of each text; without both classes every score is the class share."""
-        share = float(toxic.mean()) if len(toxic) else 0.0
-        self.coef = np.array([np.log((share * len(toxic) + 0.5) / ((1 - share) * len(toxic) + 0.5)), 0.0, 0.0, 0.0])
+        """From (words, places, features) of each text; without both classes every score is 0.5."""
+        self.coef = np.zeros(4)
         self.weights, self.gaps = np.zeros(len(self.known.values)), {}
-        if not (0 < share < 1):
+        if not 0 < toxic.sum() < len(toxic):
             return self
         if len(self.known.values):
             self._train(Chains(texts, toxic, marks))

@@ -459,8 +459,10 @@ def test_shards_of_several_suffix_arrays(block):
     for s, i, a in zip(segments, least, anchor, strict=True):
         for k in range(len(s) - 29):
             low[a, s[k : k + 30]] = min(low.get((a, s[k : k + 30]), 10**9), i)
-    for s, a, got in zip(segments, anchor, shard_least(segments, least, anchor, 30, block), strict=True):
-        assert got.tolist() == [low[a, s[k : k + 30]] for k in range(len(s) - 29)]
+    offs = np.concatenate([[0], np.cumsum([len(s) for s in segments])])
+    got = shard_least(np.frombuffer(b"".join(segments), np.uint8), offs, least, anchor, 30, block)
+    assert got.tolist() == [low[a, s[k : k + 30]] for s, a in zip(segments, anchor, strict=True) for k in range(len(s) - 29)]
+    assert len(shard_least(np.zeros(0, np.uint8), np.zeros(1, np.int64), least[:0], anchor[:0], 30)) == 0
 
 
 def _plain_chain(e, step):
