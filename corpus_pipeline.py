@@ -1,65 +1,7 @@
-"""The corpus pipeline: toxicity, n-gram Jaccard join, suffix-array dedup, decontamination, mixing.
-
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the
-shared folder and gives the next stage what it reads back. All stages but the last return the
-columns of documents.
-"""
+"""The corpus pipeline: STAGES lists its stages, run(spark, sf_dir) applies them to documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from rankweave.llm.decontam import decontaminate
-from rankweave.llm.mixing import mix
-from rankweave.llm.ngram_join import one_of_each_group
-from rankweave.llm.sa_dedup import remove_repeats
-from rankweave.llm.textcore import stored
-from rankweave.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold, by a field fitted on the labelled training fold."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_toxicity(docs.select(*COLUMNS), fit_toxicity(docs, labels))
-    return scored.where(F.col("toxicity") < THRESHOLD).select(*COLUMNS)
-
-
-def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
-    return one_of_each_group(docs.select(*COLUMNS))
-
-
-def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that a document of smaller id has; what nothing is left of goes."""
-    cut = remove_repeats(docs.select(*COLUMNS))
-    left = cut.where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
-    return left.select("doc_id", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose words lie in benchmark windows for less than one in twenty, or not at all."""
-    judged = decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return judged.where((F.col("n_hit") == 0) | (20 * F.col("n_hit") < F.col("n_words"))).select(*COLUMNS)
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents once per copy that the mix takes, numbered from 1."""
-    plan = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("copies"))
-    taken = docs.select(*COLUMNS).join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-
-
-STAGES = [("toxicity", toxicity), ("ngram_jaccard", ngram_jaccard), ("suffix_array", suffix_array), ("decontamination", decontamination), ("mixing", mixing)]
-
-#: No stage but decontamination can be put in SQL; the tests compare the run with plain Python.
-ORACLE_SQL = None
-
+from rankweave.llm.stages import COLUMNS, ORACLE_SQL, STAGES, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
