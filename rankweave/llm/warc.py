@@ -15,6 +15,7 @@ from __future__ import annotations
 import gzip
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,6 @@ CRLF = "\r\n"
 END = CRLF + CRLF
 HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{END}"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2024-01-01T00:00:00Z"
 #: Revisit decisions that are sent to every task; more are joined by page.
 BROADCAST_REVISITS = 50_000
 #: Digits of a number in base 32 and the letters that RFC 4648 gives them.
@@ -40,8 +40,8 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), _DIGITS, _LETTERS)
 
 
-def _record_id(page: Column, digest: Column) -> Column:
-    h = F.sha1(F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("null")), digest))
+def _record_id(archive: str, *of: Column) -> Column:
+    h = F.sha1(F.concat_ws(":", F.lit(archive), *(F.coalesce(x.cast("string"), F.lit("null")) for x in of)))
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
@@ -51,12 +51,13 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit(CRLF)), F.lit(""))
 
 
-def resolve_revisits(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
+def resolve_revisits(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, broadcast_revisits: int = BROADCAST_REVISITS) -> DataFrame:
     """pages(page_id, url, html) with payload_digest, payload_bytes, and the response that each
     repeats: first_id, first_url (both null for responses) and revisit.
 
     Of equal payloads of ``min_bytes`` or more, the largest page_id is the response (a null id
-    is below all others); rows that repeat its id are responses as well. A null html is an empty payload.
+    is below all others); rows that repeat its id are responses as well. A null html is an empty payload;
+    other columns are left out; no rows give no rows.
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"), base32_sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
@@ -67,25 +68,30 @@ def resolve_revisits(pages: DataFrame, *, page_id: str = "page_id", url: str = "
     again = heads.select("page_id", "payload_digest", apart(key).alias("hk")).join(firsts, (F.col("hk") == F.col("k")) & (F.col("payload_digest") == F.col("d"))).where(~F.col("page_id").eqNullSafe(F.col("first_id")))
     again = again.select(F.col("page_id").alias("again_id"), F.col("payload_digest").alias("again_digest"), "first_id", "first_url").distinct()
     again = stored(again, "revisits")
-    if again.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS:
+    if again.limit(broadcast_revisits + 1).count() <= broadcast_revisits:
         again = F.broadcast(again)  # else both sides are shuffled by page
     out = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("payload_digest") == F.col("again_digest")), "left")
     return out.select("page_id", "url", "html", "payload_digest", "payload_bytes", F.col("again_digest").isNotNull().alias("revisit"), "first_id", "first_url")
 
 
-def write_warc(resolved: DataFrame, path: str, *, date: str = DATE) -> str:
-    """Write the result of :func:`resolve_revisits`; the archive id that :func:`read_warc` takes."""
-    archive = f"<urn:uuid:{uuid.uuid4()}>"
+def write_warc(resolved: DataFrame, path: str, *, date: str | None = None) -> str:
+    """Write the result of :func:`resolve_revisits`; the archive id that :func:`read_warc` takes.
+
+    Headers are fresh: the date (by default of the write), and record ids that depend on the
+    archive. A response's id follows from its page and payload, so that revisits can name it
+    without a join (rows that repeat such a page share it); each revisit has its own.
+    """
+    archive, date = f"<urn:uuid:{uuid.uuid4()}>", date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     revisit = F.col("revisit")
     block_bytes = F.lit(len(HTTP)) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
     record = F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Warcinfo-ID: {archive}{CRLF}"),
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        _line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("payload_digest"))),
+        _line("WARC-Record-ID", F.when(revisit, _record_id(archive, F.lit("row"), F.monotonically_increasing_id())).otherwise(_record_id(archive, F.col("page_id"), F.col("payload_digest")))),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
-        _line("WARC-Refers-To", F.when(revisit, _record_id(F.col("first_id"), F.col("payload_digest")))),
+        _line("WARC-Refers-To", F.when(revisit, _record_id(archive, F.col("first_id"), F.col("payload_digest")))),
         _line("WARC-Refers-To-Target-URI", F.when(revisit, F.col("first_url"))),
         _line("WARC-Refers-To-Date", F.when(revisit, F.lit(date))),
         _line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
@@ -129,8 +135,9 @@ def read_warc(spark: SparkSession, path: str, archive: str) -> DataFrame:
 def read_foreign_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of any WARC files, gzipped or not, by content length; a file is read by one task.
 
-    record_type, record_id, refers_to_id, url, payload_digest, block (binary). What follows a
-    broken header is left out.
+    record_type, record_id, refers_to_id, url, payload_digest, block (binary). After a broken
+    header reading goes on at the next line that begins a record. A file is one value, which
+    Spark bounds at 2 GB.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,16 +147,17 @@ def read_foreign_warc(spark: SparkSession, path: str) -> DataFrame:
             for data in b.column("content"):
                 data, at, rows = data.as_py(), 0, []
                 data = gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
-                while data.startswith(b"WARC/", at):
-                    end = data.find(b"\r\n\r\n", at)
-                    if end < 0:
-                        break
-                    head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
-                    if not head.get("content-length", "").isdigit():
-                        break
-                    size = int(head["content-length"])
-                    rows.append([*(head.get(k) for k in keys), data[end + 4 : end + 4 + size]])
-                    at = end + 8 + size
+                while at >= 0:
+                    end = data.find(b"\r\n\r\n", at) if data.startswith(b"WARC/", at) else -1
+                    head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at : max(at, end)].decode("utf-8", "replace").split("\r\n")[1:])}
+                    size = head.get("content-length", "")
+                    if size.isdigit() and (data.startswith(b"\r\n\r\n", end + 4 + int(size)) or end + 4 + int(size) == len(data)):
+                        rows.append([*(head.get(k) for k in keys), data[end + 4 : end + 4 + int(size)]])
+                        at = end + 8 + int(size)
+                        if data.startswith(b"WARC/", at):
+                            continue
+                    at = data.find(b"\nWARC/", at)  # a broken header or length: on to the next record
+                    at += at >= 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "block" else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 

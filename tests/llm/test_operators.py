@@ -84,7 +84,15 @@ def test_warc(spark, tmp_path):
     key = lambda x: (str(x[0]), x[2])
     assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=key) == sorted(want, key=key)
     write_warc(resolve_revisits(pages), str(tmp_path / "w"))
-    assert read_foreign_warc(spark, str(tmp_path / "w")).count() == len(rows)
+    ids = [r.record_id for r in read_foreign_warc(spark, str(tmp_path / "w")).collect()]
+    assert len(ids) == len(rows) == len(set(ids))
+    record = lambda i, block, size=None: f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: {i}\r\nContent-Length: {len(block) if size is None else size}\r\n\r\n{block}\r\n\r\n"
+    (tmp_path / "foreign.warc").write_bytes((record("a", "x\nWARC/1.1 is no record") + "WARC/1.1\r\nContent-Length: what\r\n\r\nlost\r\n\r\n" + record("b", "") + record("c", "short", 99) + record("d", "last")[:-4]).encode())
+    assert [(r.record_id, bytes(r.block)) for r in read_foreign_warc(spark, str(tmp_path / "foreign.warc")).collect()] == [("a", b"x\nWARC/1.1 is no record"), ("b", b""), ("d", b"last")]
+    clash = pages.withColumns({"revisit": F.lit("x"), "payload_digest": F.lit(1)})
+    for n in (0, 50_000):
+        far = resolve_revisits(clash, broadcast_revisits=n)
+        assert sorted(map(str, far.collect())) == sorted(map(str, resolve_revisits(pages).collect()))
     small = by_id(resolve_revisits(pages, min_bytes=1), "page_id")
     assert not small[3].revisit and not small[4].revisit and small[1].revisit
     assert warc_round_trip(pages.limit(0)).count() == 0
