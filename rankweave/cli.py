@@ -148,7 +148,7 @@ def _resolved(index: Index, a: argparse.Namespace) -> tuple[Params, float | None
     elif rate == "auto" and a.base_rate_method == "elbow":
         rate = base_rate.elbow_rate(scores).first().base_rate
     elif rate == "auto":
-        rate = base_rate.mixture([r.score for r in scores.select("score").toLocalIterator()])  # of the drawn pseudo-queries
+        rate = base_rate.mixture_rate(scores).first().base_rate
     alpha, beta = auto.alpha if a.alpha == "auto" else a.alpha, auto.beta if a.beta == "auto" else a.beta
     return Params(p.k1, p.b, p.method, alpha, beta, rate), rate
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .index import Index
@@ -85,13 +85,50 @@ def percentile_rate(scores: DataFrame, n_docs: int, q: float = 0.95) -> DataFram
 def elbow_rate(scores: DataFrame) -> DataFrame:
     """The place furthest from the chord of the falling score curve, as a share of it.
 
-    Equal scores share a place's distance only at their ends, so the curve is taken by
-    distinct score with its first and last place; no row is numbered in one task.
+    Among equal scores the distance is largest at their first or last place, so the curve is
+    taken by distinct score with its places, counted by sums over the ranges of a range
+    partitioning; no row is numbered in one task.
     """
-    by = scores.groupBy("score").agg(F.count("*").alias("c"))
-    rows = sorted(((r.score, r.c) for r in by.collect()), reverse=True)
-    s = np.repeat([r[0] for r in rows], [r[1] for r in rows]) if rows else np.zeros(0)
-    return scores.sparkSession.createDataFrame([(elbow(s),)], "base_rate double")
+    by = scores.groupBy("score").agg(F.count("*").alias("c")).repartitionByRange(F.col("score").desc()).select("*", F.spark_partition_id().alias("part")).persist()
+    ends = by.agg(F.max("score").alias("high"), F.min("score").alias("low"), F.sum("c").alias("n"))  # one row
+    parts = by.groupBy("part").agg(F.sum("c").alias("c"))  # a row for each partition
+    before = parts.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.sum("c").over(Window.partitionBy("part").orderBy(F.col("score").desc()))
+    rows = by.withColumn("within", within).join(F.broadcast(before), "part").crossJoin(F.broadcast(ends))
+    last = F.col("before") + F.col("within") - 1
+    at = F.explode(F.array(last - F.col("c") + 1, last)).alias("at")
+    far = F.abs((F.col("low") - F.col("high")) * F.col("at") - (F.col("n") - 1) * (F.col("score") - F.col("high")))
+    best = rows.select("score", "high", "low", "n", at).groupBy("n", "high", "low").agg(F.max_by("at", F.struct(F.round(far, 9), -F.col("at"))).alias("at"))
+    flat = (F.col("n") < 3) | (F.sqrt((F.col("n") - 1) * (F.col("n") - 1) + (F.col("low") - F.col("high")) * (F.col("low") - F.col("high"))) < 1e-12)
+    rate = F.when(flat, 1e-6).otherwise(F.least(F.greatest(F.greatest("at", F.lit(1)) / F.col("n"), F.lit(1e-6)), F.lit(0.5)))
+    return best.agg(F.coalesce(F.max(rate), F.lit(1e-6)).alias("base_rate"))
+
+
+def mixture_rate(scores: DataFrame, steps: int = 20) -> DataFrame:
+    """The share of the upper of two normal components, by expectation and maximisation as sums over all scores."""
+    x = scores.select(F.col("score").cast("double").alias("x")).persist()
+    first = x.agg(F.count("*").alias("n"), F.percentile("x", F.lit(0.5)).alias("mid")).first()
+    out = lambda share: scores.sparkSession.createDataFrame([(float(min(0.5, max(1e-6, share))),)], "base_rate double")
+    if first.n < 2:
+        return out(0.0)
+    side = [F.when(F.col("x") <= first.mid, F.col("x")), F.when(F.col("x") > first.mid, F.col("x"))]
+    start = x.agg(*(f(c) for c in side for f in (F.avg, F.var_pop))).first()
+    mu = [first.mid + d if m is None else m for m, d in zip(start[::2], (-1.0, 1.0), strict=True)]
+    var = [max(1.0 if v is None else v, 1e-8) for v in start[1::2]]
+    share = 0.5
+    for _ in range(steps):
+        log = [-0.5 * (F.col("x") - m) * (F.col("x") - m) / v - 0.5 * math.log(v) + math.log(max(p, 1e-10)) for m, v, p in zip(mu, var, (1 - share, share), strict=True)]
+        g1 = 1 / (1 + F.exp(F.least(F.greatest(log[0] - log[1], F.lit(-700.0)), F.lit(700.0))))
+        rows = x.select("x", g1.alias("g1")).withColumn("g0", 1 - F.col("g1"))
+        mass = rows.agg(*(f for g in ("g0", "g1") for f in (F.sum(g), F.sum(F.col(g) * F.col("x"))))).first()
+        if min(mass[0], mass[2]) < 1e-8:
+            break
+        mu = [mass[1] / mass[0], mass[3] / mass[2]]
+        spread = rows.agg(*(F.sum(F.col(g) * (F.col("x") - m) * (F.col("x") - m)) for g, m in zip(("g0", "g1"), mu, strict=True))).first()
+        var = [max(s / m, 1e-8) for s, m in zip(spread, (mass[0], mass[2]), strict=True)]
+        share = mass[2] / first.n
+    x.unpersist()
+    return out(share if mu[1] >= mu[0] else 1 - share)
 
 
 def elbow(falling) -> float:

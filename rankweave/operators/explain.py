@@ -38,6 +38,18 @@ def trace_fusion(names: list[str], ps: list[Column], method: str = "log_odds", a
     return F.struct(F.lit(method).alias("method"), signals.alias("signals"), fused[method]().alias("fused"))
 
 
+def trace_document(bm25: Column | None = None, tf: Column | None = None, ratio: Column | None = None, cos: Column | None = None, method: str = "log_odds", alpha: float | None = None, weights: list[float] | None = None) -> Column:
+    """The traces of a document's signals, of their fusion, and the final probability; at least one signal is needed."""
+    if bm25 is None and cos is None:
+        raise ValueError("bm25 or cos is needed")
+    if bm25 is not None and (tf is None or ratio is None):
+        raise ValueError("bm25 needs tf and ratio")
+    traces = ({"BM25": trace_bm25(bm25, tf, ratio)} if bm25 is not None else {}) | ({"Vector": trace_vector(cos)} if cos is not None else {})
+    ps = [t["posterior" if n == "BM25" else "probability"] for n, t in traces.items()]
+    fusion = trace_fusion(list(traces), ps, method, alpha, weights)
+    return F.struct(F.struct(*(t.alias(n) for n, t in traces.items())).alias("signals"), fusion.alias("fusion"), fusion["fused"].alias("probability"))
+
+
 def compare(names: list[str], a: list[Column], b: list[Column], fused_a: Column, fused_b: Column) -> Column:
     """Differences by signal (a missing one is 0.5), the first of the largest, and the first that opposes the whole."""
     deltas = [F.coalesce(x, F.lit(0.5)) - F.coalesce(y, F.lit(0.5)) for x, y in zip(a, b, strict=True)]

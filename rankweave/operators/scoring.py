@@ -9,7 +9,7 @@ from ..functions import exprs as X
 from ..functions.analysis import tokenize
 from .index import BROADCAST_TERMS, Index, idf
 
-#: Queries that are sent to every task for dense scoring; more are scored in turns.
+#: Queries that are sent to every task for dense scoring; more are joined in blocks, each of which meets each block of documents once.
 QUERY_BATCH = 10_000
 
 
@@ -62,24 +62,37 @@ def overall_posterior(score: Column, overlap: Column, ratio: Column, alpha: floa
     return F.when(score == 0, 0.0).otherwise(X.posterior(X.likelihood(score, alpha, beta), _prior(overlap, ratio, F.lit(1.0)), base_rate, safe=False))
 
 
-def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
-    """The best ``k`` by query with their rank: score (at nine digits) down, then id."""
-    w = Window.partitionBy("query_id").orderBy(F.round(score, 9).desc(), F.col("doc_id"))
+def top_k(scores: DataFrame, k: int, score: str = "score", order: str = "doc_id") -> DataFrame:
+    """The best ``k`` by query with their rank: score (at nine digits) down, then ``order``.
+
+    With the documents' place in their collection as ``order`` (see :func:`in_order`) equal
+    scores stay as they are given, as a stable sort leaves them.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.round(score, 9).desc(), F.col(order))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def in_order(scores: DataFrame, places: DataFrame) -> DataFrame:
+    """scores(query_id, doc_id, ...) with ``place`` of places(doc_id, place); documents without one come last."""
+    return scores.join(places.select("doc_id", "place"), "doc_id", "left").withColumn("place", F.coalesce("place", F.lit(2**62)))
+
+
 def zero_filled_top(matched: DataFrame, queries: DataFrame, docs: DataFrame, k: int, score: str = "score") -> DataFrame:
     """``top_k`` as if every document without a match scored 0.
 
-    Only queries with fewer than ``k`` positive matches look beyond them, and take at most
-    the first ``k`` of the other documents. The best matches, ``k`` rows a query, are kept so
-    that the scores behind them are computed once.
+    Only queries with fewer than ``k`` positive matches look beyond them. The first documents by
+    id, as many as such a query has matches and ``k`` more, hold the ``k`` that it may need, so no
+    query is set against all documents. The best matches, ``k`` rows a query, are kept so that
+    the scores behind them are computed once.
     """
     best = top_k(matched, k, score).persist()
-    short = queries.select("query_id").distinct().join(best.where(F.col(score) > 0).groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k), "query_id", "left_anti")
+    short = queries.select("query_id").distinct().join(best.where(F.col(score) > 0).groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k), "query_id", "left_anti").persist()
     if short.isEmpty():
         return best
-    other = short.crossJoin(docs.select("doc_id")).join(matched.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    known = matched.select("query_id", "doc_id").join(short, "query_id", "left_semi")
+    most = known.groupBy("query_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    low = docs.select("doc_id").distinct().orderBy("doc_id").limit(k + most)
+    other = short.crossJoin(low).join(known, ["query_id", "doc_id"], "left_anti")
     first = other.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where(F.col("r") <= k)
     return top_k(best.drop("rank").unionByName(first.select("query_id", "doc_id", F.lit(0.0).alias(score)), allowMissingColumns=True), k, score)
 
@@ -90,10 +103,15 @@ def dense_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     A null query vector leaves the query out, an empty one scores 0 everywhere.
     """
     q = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("q"), X.norm(F.col("embedding")).alias("qn"))
-    if q.limit(QUERY_BATCH + 1).count() <= QUERY_BATCH:
-        q = F.broadcast(q)
+    n = q.count()
     d = docs.select("doc_id", F.coalesce("embedding", F.array().cast("array<float>")).alias("d")).withColumn("dn", X.norm(F.col("d")))
-    return d.crossJoin(q).select("query_id", "doc_id", X.cosine(F.col("q"), F.col("d"), F.col("qn"), F.col("dn")).alias("cos"))
+    if n <= QUERY_BATCH:
+        pairs = d.crossJoin(F.broadcast(q))
+    else:  # documents go once to each block of queries, by a hash join on its number
+        blocks = -(-n // QUERY_BATCH)
+        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        pairs = d.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(q, "block")
+    return pairs.select("query_id", "doc_id", X.cosine(F.col("q"), F.col("d"), F.col("qn"), F.col("dn")).alias("cos"))
 
 
 def signals(sparse: DataFrame, dense: DataFrame, vectors: DataFrame, docs: DataFrame, depth: int) -> DataFrame:

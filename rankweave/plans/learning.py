@@ -17,6 +17,7 @@ from .retrieval import DEPTH, Corpus, Scorer, shown
 
 #: Bins of scores in a unit of BM25 and of cosine.
 SPARSE_BINS, DENSE_BINS = 1 << 10, 1 << 16
+PSEUDO_QUERIES = 50
 
 
 def _judged(c: Corpus) -> DataFrame:
@@ -203,15 +204,17 @@ def _vector(method: str):
 
 
 def _rates(spark: SparkSession, d: str) -> DataFrame:
-    """Base rates by the three estimators, and the automatic sigmoid, from pseudo-queries of 50 documents."""
+    """Base rates by the three estimators, and the automatic sigmoid, from pseudo-queries of 50 documents drawn by the seeded shuffle."""
     c = Corpus.of_tables(spark, d)
     n = c.index.docs.count()
-    ids = [r.doc_id for r in c.index.docs.where("doc_len > 0").orderBy(F.xxhash64("doc_id")).select("doc_id").limit(50).collect()]
+    drawn = spark.createDataFrame([(int(i),) for i in base_rate.first_shuffled(n, PSEUDO_QUERIES, c.options.seed)], "at long")
+    ids = [r.doc_id for r in training.numbered(c.index.docs).join(F.broadcast(drawn), "at").select("doc_id").collect()]
     scores = base_rate.pseudo_scores(c.index, ids).cache()
     auto = base_rate.auto_parameters(scores)
     quantile = base_rate.percentile_rate(scores, n).withColumnRenamed("base_rate", "percentile")
     elbow = base_rate.elbow_rate(scores).withColumnRenamed("base_rate", "elbow")
-    return auto.crossJoin(quantile).crossJoin(elbow).select(*(F.round(x, 6).alias(x) for x in ("alpha", "beta", "percentile", "elbow")))  # one row each
+    mixture = base_rate.mixture_rate(scores).withColumnRenamed("base_rate", "mixture")
+    return auto.crossJoin(quantile).crossJoin(elbow).crossJoin(mixture).select(*(F.round(x, 6).alias(x) for x in ("alpha", "beta", "percentile", "elbow", "mixture")))  # one row each
 
 
 def scorers() -> dict[str, Scorer]:
