@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import ALNUM, NON_SPACE, as_strings, mix, partitions, prefix_hash, seeds, slices, small_batches, span_hash, stored, tasks, tidy, total_bytes, word_spans
+from .textcore import ALNUM, NON_SPACE, as_strings, groups, mix, partitions, prefix_hash, seeds, slices, small_batches, span_hash, stored, tasks, tidy, total_bytes, word_spans
 
 #: Words with an emission of their own: at OWN_BYTES of text and below, and at most, which bounds the model that every task holds.
 TOP, MOST_WORDS = 16_000, 2_000_000
@@ -324,7 +324,7 @@ def _encode(model: Model, n: int):
                 for k in np.flatnonzero(np.diff(cut)).tolist():
                     own, sizes = np.unique(u[cut[k] : cut[k + 1]], return_counts=True)
                     rows.append((k, own.tobytes(), sizes.astype(np.int32).tobytes(), h[cut[k] : cut[k + 1]].tobytes()))
-                cols = [[None] * len(rows)] * 8 + [list(c) for c in zip(*rows, strict=True)]
+                cols = [[int(uid[0])] * len(rows)] + [[None] * len(rows)] * 7 + [list(c) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ENCODED, strict=True)], schema=_ENCODED)
 
     return run
@@ -362,10 +362,10 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by text of a bucket's rare words; the bucket's counts come before its words."""
+    """Sums by text of a bucket's rare words, packed by the batch of texts; the bucket's counts come before its words."""
     now, words, counts = None, np.zeros(0, _U), np.zeros(0, np.int64)
     for b in batches:
-        for k, uids, sizes, hashes, c in zip(*(b.column(x).to_pylist() for x in ("bucket", "uids", "sizes", "hashes", "counts")), strict=True):
+        for k, batch, uids, sizes, hashes, c in zip(*(b.column(x).to_pylist() for x in ("bucket", "uid", "uids", "sizes", "hashes", "counts")), strict=True):
             if k != now:
                 now, words, counts = k, np.zeros(0, _U), np.zeros(0, np.int64)
             if c is not None:
@@ -377,7 +377,16 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.minimum(np.searchsorted(words, h), len(words) - 1)
                 found = np.where(words[at] == h, counts[at], 0)
             first = np.cumsum(n) - n
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(uids, np.int64)), pa.array(np.add.reduceat((found > 0).astype(np.int64), first)), pa.array(np.add.reduceat(np.log10(found + 1.0), first))], names=["uid", "more", "logs"])
+            more, logs = np.add.reduceat((found > 0).astype(np.int64), first), np.add.reduceat(np.log10(found + 1.0), first)
+            yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), *(pa.array([x], pa.binary()) for x in (uids, more.tobytes(), logs.tobytes()))], names=["uid", "uids", "more", "logs"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text: the sums of its batch's answers from all buckets."""
+    for _, t in groups(batches, "uid"):
+        uids, more, logs = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]) for c, kind in (("uids", np.int64), ("more", np.int64), ("logs", np.float64)))
+        own, at = np.unique(uids, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(at, weights=more).astype(np.int64)), pa.array(np.bincount(at, weights=logs))], names=["uid", "more", "logs"])
 
 
 def _scores(model: Model):
@@ -415,7 +424,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_o
     most = counts.mapInArrow(tidy(_frequent(least)), "word long, n long").orderBy(F.desc("n"), "word").limit(top).select("word", "n").collect()  # of the model's size
     model = Model(np.array([r.word for r in most], np.int64).view(_U), np.array([r.n for r in most], np.int64), int(sums[0]), sums[1 : 1 + CLASSES], sums[1 + CLASSES :], states)
     coded = stored(df.mapInArrow(tidy(_encode(model, n)), _ENCODED_DDL), "lm-coded")
-    texts = coded.where("uid is not null")
+    texts = coded.where("bucket is null")
     learn = texts.where("not held").select("ids")
     for _ in range(rounds if sums[0] else 0):
         rows = learn.mapInArrow(tidy(_expectations(model)), "block int, sums binary").repartition(partitions(spark), "block").mapInArrow(tidy(_add_blocks), "block int, sums binary").collect()
@@ -424,10 +433,10 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_o
         got = {r.block: np.frombuffer(r["sums"]) for r in rows}
         emit = np.concatenate([got[i].reshape(states, -1) for i in sorted(got) if i >= 0], axis=1)
         model.update(emit, got[-1][: states**2].reshape(states, states), got[-1][states**2 :])
-    asked = coded.where("bucket is not null").select("bucket", "uids", "sizes", "hashes", F.lit(None).cast("binary").alias("counts"), F.lit(1).alias("turn"))
-    known = counts.select("bucket", F.lit(None).cast("binary").alias("uids"), F.lit(None).cast("binary").alias("sizes"), "hashes", "counts", F.lit(0).alias("turn"))
-    answers = known.union(asked).repartition(tasks(spark, n), "bucket").sortWithinPartitions("bucket", "turn").mapInArrow(tidy(_answer), "uid long, more long, logs double")
-    answers = answers.groupBy("uid").agg(F.sum("more").alias("more"), F.sum("logs").alias("logs"))
+    asked = coded.where("bucket is not null").select("bucket", "uid", "uids", "sizes", "hashes", F.lit(None).cast("binary").alias("counts"), F.lit(1).alias("turn"))
+    known = counts.select("bucket", F.lit(None).cast("long").alias("uid"), F.lit(None).cast("binary").alias("uids"), F.lit(None).cast("binary").alias("sizes"), "hashes", "counts", F.lit(0).alias("turn"))
+    answers = known.union(asked).repartition(tasks(spark, n), "bucket").sortWithinPartitions("bucket", "turn").mapInArrow(tidy(_answer), "uid long, uids binary, more binary, logs binary")
+    answers = answers.repartition(tasks(spark, n), "uid").sortWithinPartitions("uid").mapInArrow(tidy(_added), "uid long, more long, logs double")
     scored = texts.select("uid", "doc_id", "held", "ids", "n_tokens", "known", "base", "inner").mapInArrow(tidy(_scores(model)), "uid long, doc_id long, held boolean, n_tokens long, known long, base double, inner double, ll double")
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     return scored.join(answers, "uid", "left").select("doc_id", F.col("held").alias("held_out"), "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("ll") + F.col("inner") + logs).alias("score"))

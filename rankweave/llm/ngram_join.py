@@ -1,6 +1,6 @@
 """Jaccard self-join of word n-gram sets by chosen paths.
 
-Equal sets are one from the start. A set is a sketch of ``width`` tokens (two bytes of its least hashes), of which
+Equal sets are one from the start. A set is a sketch of ``width`` tokens (least hashes, of which two bytes go along), of which
 two sets of similarity s share each with probability s. Each run grows a tree of paths from a
 root that holds all sets: a hash of the path alone samples one token place, or at times two, so
 that ``1 / threshold`` are sampled on average, and a set goes on to a branch for each, named by
@@ -94,21 +94,24 @@ def _sketch(n: int, t: int, text: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, size, sig = [], [], []
+            keys, size, sig, high = [], [], [], []
             for lo, hi, buf, offs in slices(as_strings(b.column(text))):
                 own = list(sets(buf, offs, n))
                 full = [s for s in own if len(s)]
                 if full:
                     h, first = np.concatenate(full), np.cumsum([0, *(len(s) for s in full[:-1])])
-                    sketch = np.empty((len(full), t), np.uint16)
+                    sketch, above = np.empty((len(full), t), np.uint16), np.empty((len(full), t), np.uint16)
                     for c in range(t):
-                        sketch[:, c] = mix(np.minimum.reduceat(h * odd[c], first)) & _U(0xFFFF)
+                        least = mix(np.minimum.reduceat(h * odd[c], first))
+                        sketch[:, c], above[:, c] = least & _U(0xFFFF), (least >> _U(16)) & _U(0xFFFF)
                 at = iter(range(len(full)))
                 for s in own:
                     size.append(len(s))
                     keys.append(_key(s) if len(s) else None)
-                    sig.append(sketch[next(at)].tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(keys, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "digest", "key", "size", "sig"])
+                    k = next(at) if len(s) else None
+                    sig.append(None if k is None else sketch[k].tobytes())
+                    high.append(None if k is None else above[k].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(keys, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(high, pa.binary())], names=["doc_id", "digest", "key", "size", "sig", "high"])
 
     return run
 
@@ -233,7 +236,8 @@ def _verify(width: int, threshold: float, equal: int):
 def _split(live: DataFrame, width: int, threshold: float) -> DataFrame:
     """The branches of rows (id, sig, path, used, m): id, sig, path, used, parent (the size of the bucket that was split).
 
-    ``used`` has a bit for each token place on the path, which is not sampled again.
+    ``used`` has a bit for each token place on the path, which is not sampled again. Where rows have
+    ``high``, as at the root, which holds all sets, tokens have two bytes more.
     """
     at = lambda k: F.pmod(F.xxhash64(F.lit(k), "path"), F.lit(width)).cast("int")
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
@@ -243,7 +247,8 @@ def _split(live: DataFrame, width: int, threshold: float) -> DataFrame:
     often = F.pmod(F.xxhash64(F.lit(-1), "path"), F.lit(1 << 20)) < int((1 / threshold - 1) * (1 << 20))
     rows = rows.withColumn("two", F.when(often, F.coalesce(*(free(at(k), F.col("used")) for k in range(4, 8)))))
     rows = rows.withColumn("place", F.explode(F.filter(F.array("one", "two"), lambda i: i.isNotNull())))
-    token = F.expr("substring(sig, 1 + 2 * place, 2)")
+    two_bytes = lambda c: F.substring(F.col(c), 1 + 2 * F.col("place"), F.lit(2))
+    token = F.concat(two_bytes("high"), two_bytes("sig")) if "high" in live.columns else two_bytes("sig")
     mask = F.col("used").bitwiseOR(bit(F.col("place")))
     return rows.select("id", "sig", F.xxhash64("path", "place", token).alias("path"), mask.alias("used"), F.col("m").alias("parent"))
 
@@ -252,7 +257,7 @@ def _buckets(classes: DataFrame, threshold: float, recall: float, small: int, wi
     """(id, path, m) of the buckets of two sets or more in which paths end."""
     done, ran, levels, everything = [], 0, 0, classes.count()
     while ran < (runs := runs_for(threshold, max(levels, LEVELS), recall, width)):
-        live = classes.select("id", "sig", F.explode(F.sequence(F.lit(ran), F.lit(runs - 1))).alias("run")).select("id", "sig", F.xxhash64(F.lit("root"), "run").alias("path"), F.lit(0).cast("long").alias("used"), F.lit(everything).cast("long").alias("m"))
+        live = classes.select("id", "sig", "high", F.explode(F.sequence(F.lit(ran), F.lit(runs - 1))).alias("run")).select("id", "sig", "high", F.xxhash64(F.lit("root"), "run").alias("path"), F.lit(0).cast("long").alias("used"), F.lit(everything).cast("long").alias("m"))
         ran, level = runs, 0
         while level == 0 or not live.isEmpty():
             grown = _split(live, width, threshold)
@@ -275,8 +280,8 @@ def _linked(docs: DataFrame, doc_id: str, text: str, n: int, threshold: float, r
     small_batches(spark)
     equal = least_equal(threshold, recall, width)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = stored(base.withColumn("digest", F.xxhash64("text")).mapInArrow(tidy(_sketch(n, width, "text")), "doc_id long, digest long, key long, size long, sig binary"), "sketches")
-    classes = rows.where("key is not null and doc_id is not null").groupBy(F.col("key").alias("id")).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    rows = stored(base.withColumn("digest", F.xxhash64("text")).mapInArrow(tidy(_sketch(n, width, "text")), "doc_id long, digest long, key long, size long, sig binary, high binary"), "sketches")
+    classes = rows.where("key is not null and doc_id is not null").groupBy(F.col("key").alias("id")).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("high").alias("high"))
     classes = stored(classes, "classes")
     ended = _buckets(classes, threshold, recall, small, width)
 
