@@ -76,9 +76,9 @@ def clip_rate(c):
 
 
 def percentile_rate(scores: DataFrame, n_docs: int, q: float = 0.95) -> DataFrame:
-    """The mean share of documents at or above each pseudo-query's ``q`` quantile."""
+    """The mean share of documents at or above each pseudo-query's ``q`` quantile, at nine digits: equal scores are interpolated inexactly."""
     cut = scores.groupBy("query_id").agg(F.percentile("score", F.lit(q)).alias("cut"))
-    share = scores.join(cut, "query_id").groupBy("query_id").agg((F.sum((F.col("score") >= F.col("cut")).cast("int")) / float(max(n_docs, 1))).alias("share"))
+    share = scores.join(cut, "query_id").groupBy("query_id").agg((F.sum((F.round("score", 9) >= F.round("cut", 9)).cast("int")) / float(max(n_docs, 1))).alias("share"))
     return share.agg(clip_rate(F.coalesce(F.avg("share"), F.lit(0.0))).alias("base_rate"))
 
 

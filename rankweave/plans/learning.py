@@ -13,7 +13,7 @@ from ..functions import exprs as X
 from ..operators import base_rate, scoring, training
 from ..operators.learners import AttentionWeights, Isotonic, LearnableWeights, MultiHead, Platt, Transform, descend, fit_by_group, isotonic_blocks
 from ..operators.vector_probability import VectorProbability
-from .retrieval import DEPTH, Corpus, Scorer, shown
+from .retrieval import DEPTH, Corpus, Scorer, _base, shown
 
 #: Bins of scores in a unit of BM25 and of cosine.
 SPARSE_BINS, DENSE_BINS = 1 << 10, 1 << 16
@@ -235,6 +235,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: shown(f) for n, f in scorers().items()} | {"learnable_weights": _learnable, "base_rates": _rates}
 
 
+def _rates_sql() -> str:
+    """Base rates in SQL, the shuffle and the mixture as recursions."""
+    base = _base("lucene").replace("FROM (SELECT item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: lower(x))) AS term FROM benchmark) GROUP BY ALL)", "FROM (SELECT doc_id AS item_id, unnest(t[1:5]) AS term FROM drawn JOIN toks USING (doc_id)) GROUP BY ALL)")
+    base = base.replace("post AS MATERIALIZED", """ids AS MATERIALIZED (SELECT list(doc_id ORDER BY doc_id) AS l, count(*)::BIGINT AS n FROM toks),
+shuf(i, state, l) AS (SELECT n - 1, (42 * 1664525 + 1013904223) % 4294967296, l FROM ids UNION ALL
+  SELECT i - 1, (state * 1664525 + 1013904223) % 4294967296, list_transform(range(1, len(l) + 1), lambda k: CASE WHEN k = i + 1 THEN l[state % (i + 1) + 1] WHEN k = state % (i + 1) + 1 THEN l[i + 1] ELSE l[k] END) FROM shuf WHERE i > 0),
+drawn AS MATERIALIZED (SELECT unnest(l[1:50]) AS doc_id FROM (SELECT l FROM shuf ORDER BY i LIMIT 1)),
+post AS MATERIALIZED""")
+    log = lambda m, v, p: f"(-0.5::DOUBLE * (x - e.{m}) * (x - e.{m}) / e.{v} - 0.5::DOUBLE * ln(e.{v}) + ln(greatest({p}, 1e-10::DOUBLE)))"
+    return f"""WITH RECURSIVE {base},
+sc AS MATERIALIZED (SELECT query_id, bm25 AS x FROM sp WHERE bm25 > 0),
+auto AS (SELECT CASE WHEN stddev_pop(x) > 0 THEN 1 / stddev_pop(x) ELSE 1 END AS alpha, quantile_cont(x, 0.5) AS beta FROM sc),
+cut AS (SELECT query_id, quantile_cont(x, 0.95) AS c FROM sc GROUP BY query_id),
+share AS (SELECT count(*) FILTER (round(x, 9) >= round(c, 9)) / (SELECT n FROM st) AS s FROM sc JOIN cut USING (query_id) GROUP BY query_id),
+pc AS (SELECT least(greatest(avg(s), 1e-6::DOUBLE), 0.5::DOUBLE) AS percentile FROM share),
+curve AS (SELECT x, row_number() OVER (ORDER BY x DESC) - 1 AS p, count(*) OVER () AS n, max(x) OVER () AS hi, min(x) OVER () AS lo FROM sc),
+el AS (SELECT least(greatest(greatest(p, 1) / n, 1e-6::DOUBLE), 0.5::DOUBLE) AS elbow FROM curve ORDER BY round(abs((lo - hi) * p - (n - 1) * (x - hi)), 9) DESC, p LIMIT 1),
+em(k, m0, m1, v0, v1, s) AS (
+  SELECT 0, avg(x) FILTER (x <= beta), avg(x) FILTER (x > beta), greatest(var_pop(x) FILTER (x <= beta), 1e-8::DOUBLE), greatest(var_pop(x) FILTER (x > beta), 1e-8::DOUBLE), 0.5::DOUBLE FROM sc, auto
+  UNION ALL SELECT e.k + 1, w.a0 / w.g0, w.a1 / w.g1, greatest(w.b0 / w.g0 - (w.a0 / w.g0) * (w.a0 / w.g0), 1e-8::DOUBLE), greatest(w.b1 / w.g1 - (w.a1 / w.g1) * (w.a1 / w.g1), 1e-8::DOUBLE), w.g1 / w.n
+  FROM em e, LATERAL (SELECT sum(1 - g) AS g0, sum(g) AS g1, sum((1 - g) * x) AS a0, sum(g * x) AS a1, sum((1 - g) * x * x) AS b0, sum(g * x * x) AS b1, count(*) AS n FROM (SELECT x, 1 / (1 + exp({log('m0', 'v0', '1 - e.s')} - {log('m1', 'v1', 'e.s')})) AS g FROM sc)) w WHERE e.k < 20),
+mx AS (SELECT least(greatest(CASE WHEN m1 >= m0 THEN s ELSE 1 - s END, 1e-6::DOUBLE), 0.5::DOUBLE) AS mixture FROM em WHERE k = 20)
+SELECT round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(percentile, 6) AS percentile, round(elbow, 6) AS elbow, round(mixture, 6) AS mixture FROM auto, pc, el, mx"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Gradient descent and expectation-maximisation have no SQL; the tests hold the models to known values."""
-    return {}
+    """Of the fits only the base rates; the tests hold the models to known values."""
+    return {"base_rates": _rates_sql()}
