@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.learners import AttentionWeights, LearnableWeights, MultiHead, Transform
 
@@ -13,14 +15,16 @@ from ..operators.learners import AttentionWeights, LearnableWeights, MultiHead,
 class Online:
     """Feeds rows of a stream to a learner, a micro-batch at a time.
 
-    Updates depend on their order, so a batch's rows are sorted by ``event_time`` and applied one
-    by one on the driver, in bounded pieces; ``sink`` gets the state after each batch.
+    Updates depend on their order, so a batch's rows are sorted by ``event_time`` (equal ones by their
+    values) and applied one by one on the driver, in bounded pieces; ``sink`` gets the state
+    after each batch. With ``store``, a path, each batch leaves the model there with its number; a
+    learner that starts again goes on from the last one and passes over batches that it holds.
     """
 
     columns: tuple[str, ...] = ()
 
-    def __init__(self, model: Any, sink: Callable[[int, dict], None] | None = None, **rates: float):
-        self.model, self.sink, self.rates = model, sink, rates
+    def __init__(self, model: Any, sink: Callable[[int, dict], None] | None = None, store: str | None = None, **rates: float):
+        self.model, self.sink, self.store, self.rates, self.last = model, sink, store, rates, -1
 
     def learn(self, row) -> None:
         raise NotImplementedError
@@ -29,12 +33,28 @@ class Online:
         raise NotImplementedError
 
     def batch(self, rows: DataFrame, batch_id: int) -> None:
-        for r in rows.orderBy("event_time").select(*self.columns).toLocalIterator():
+        if batch_id <= self.last:
+            return
+        for r in rows.orderBy("event_time", *self.columns).select(*self.columns).toLocalIterator():
             self.learn(r)
+        self.last = batch_id
+        if self.store:
+            held = rows.sparkSession.createDataFrame([(batch_id, bytearray(pickle.dumps(self.model)))], "batch_id long, model binary")
+            held.coalesce(1).write.mode("append").parquet(self.store)
         if self.sink:
             self.sink(batch_id, self.state())
 
+    def resume(self, spark: SparkSession) -> None:
+        """Take the last stored model, if there is one."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.store)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            row = spark.read.schema("batch_id long, model binary").parquet(self.store).agg(F.max("batch_id").alias("last"), F.max_by("model", "batch_id").alias("model")).first()
+            if row.last is not None:
+                self.last, self.model = row.last, pickle.loads(bytes(row.model))
+
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
+        if self.store:
+            self.resume(stream.sparkSession)
         out = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
         return (out.trigger(**trigger) if trigger else out).start()
 
@@ -44,8 +64,8 @@ class OnlineTransform(Online):
 
     columns = ("score", "label")
 
-    def __init__(self, model: Transform | None = None, sink: Callable[[int, dict], None] | None = None, **rates: float):
-        super().__init__(model or Transform(), sink, **rates)
+    def __init__(self, model: Transform | None = None, sink: Callable[[int, dict], None] | None = None, store: str | None = None, **rates: float):
+        super().__init__(model or Transform(), sink, store, **rates)
 
     def learn(self, row) -> None:
         self.model.update([row.score], [row.label], **self.rates)
@@ -60,8 +80,8 @@ class OnlineWeights(Online):
 
     columns = ("probs", "label")
 
-    def __init__(self, model: LearnableWeights, sink: Callable[[int, dict], None] | None = None, **rates: float):
-        super().__init__(model, sink, **rates)
+    def __init__(self, model: LearnableWeights, sink: Callable[[int, dict], None] | None = None, store: str | None = None, **rates: float):
+        super().__init__(model, sink, store, **rates)
 
     def learn(self, row) -> None:
         self.model.update(row.probs, row.label, **self.rates)
@@ -75,8 +95,8 @@ class OnlineAttention(Online):
 
     columns = ("probs", "features", "label")
 
-    def __init__(self, model: AttentionWeights | MultiHead, sink: Callable[[int, dict], None] | None = None, **rates: float):
-        super().__init__(model, sink, **rates)
+    def __init__(self, model: AttentionWeights | MultiHead, sink: Callable[[int, dict], None] | None = None, store: str | None = None, **rates: float):
+        super().__init__(model, sink, store, **rates)
 
     def learn(self, row) -> None:
         self.model.update([row.probs], [row.label], row.features, **self.rates)

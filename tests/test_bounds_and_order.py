@@ -108,3 +108,24 @@ def test_document_trace(spark):
     for wrong in ({}, {"bm25": c("s")}):
         with pytest.raises(ValueError):
             trace_document(**wrong)
+
+
+def test_online_model_survives_a_restart(spark, tmp_path):
+    from rankweave.operators.learners import Transform
+    from rankweave.streaming.online import OnlineTransform
+
+    rng = np.random.default_rng(3)
+    rows = [(int(t), float(s), float(s + rng.normal() > 1)) for t, s in zip(rng.integers(0, 5, 40), rng.normal(1, 1, 40), strict=True)]
+    frames = [spark.createDataFrame(x, "event_time long, score double, label double") for x in (rows[:20], rows[20:])]
+    whole = OnlineTransform(Transform())
+    for i, f in enumerate(frames):
+        whole.batch(f, i)
+    store = str(tmp_path / "models")
+    first = OnlineTransform(Transform(), store=store)
+    first.resume(spark)
+    first.batch(frames[0].repartition(3), 0)
+    again = OnlineTransform(Transform(), store=store)
+    again.resume(spark)
+    again.batch(frames[0], 0)  # delivered twice
+    again.batch(frames[1].repartition(2), 1)
+    assert again.state() == whole.state() and again.state()["updates"] == 40
