@@ -75,7 +75,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--docs", "--queries", "--qrels"):
         b.add_argument(name, required=True)
     b.add_argument("--cutoffs", type=lambda t: sorted(int(x) for x in t.split(",") if int(x) > 0), default=[5, 10, 20, 100])
-    b.add_argument("--scorers", type=_names)
+    b.add_argument("--scorers", type=_names, help="separated by commas; all without it")
     b.add_argument("--metric-style", choices=STYLES, default="pytrec")
     b.add_argument("--alpha", type=_number, default=1.0)
     b.add_argument("--beta", type=_number, default=0.5)
@@ -166,7 +166,7 @@ def _bench(spark: SparkSession, a: argparse.Namespace) -> str:
     options = Options(top=max([*a.cutoffs, a.trec_run_depth if a.trec_run_dir else 0]), depth=a.candidate_depth, base_rate=rate, ratio=a.fit_train_ratio, seed=a.fit_split_seed, split=split, style=a.metric_style)
     corpus = Corpus(docs, judged, qrels, params, options)
     known = retrieval.scorers() | learning.scorers()
-    names = a.scorers or [n for n in ("bm25", "bayesian", "dense", "convex", "rrf", "balanced_fusion")]
+    names = a.scorers or list(known)
     unknown = [n for n in names if n not in known]
     if unknown:
         raise ValueError(f"unknown scorers: {', '.join(unknown)}")

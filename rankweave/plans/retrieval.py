@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from copy import copy
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +90,13 @@ def _sparse(column: str) -> Scorer:
     return run
 
 
+def _no_base_rate(c: Corpus) -> DataFrame:
+    """The Bayesian score without the base rate that the others may have."""
+    plain = copy(c)
+    plain.index = replace(c.index, params=replace(c.index.params, base_rate=None))
+    return _sparse("bayes")(plain)
+
+
 def _dense(c: Corpus) -> DataFrame:
     return scoring.top_k(c.dense().withColumnRenamed("cos", "score"), c.options.top)
 
@@ -99,7 +107,7 @@ def _fused(method: str) -> Scorer:
 
 def scorers() -> dict[str, Scorer]:
     """Scorers that need no fit."""
-    return {"bm25": _sparse("bm25"), "bayesian": _sparse("bayes"), "bayesian_overall": _sparse("overall"), "dense": _dense} | {m: _fused(m) for m in scoring.METHODS}
+    return {"bm25": _sparse("bm25"), "bayesian": _sparse("bayes"), "bayesian_no_base_rate": _no_base_rate, "bayesian_overall": _sparse("overall"), "dense": _dense} | {m: _fused(m) for m in scoring.METHODS}
 
 
 def shown(scorer: Scorer, params: Params | None = None):
