@@ -234,10 +234,10 @@ def _verify(width: int, threshold: float, equal: int):
 
 
 def _split(live: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The branches of rows (id, sig, path, used, m): id, sig, path, used, parent (the size of the bucket that was split).
+    """The branches of rows (id, sig, high, path, used, m): id, sig, high, path, used, parent (the size of the bucket that was split).
 
-    ``used`` has a bit for each token place on the path, which is not sampled again. Where rows have
-    ``high``, as at the root, which holds all sets, tokens have two bytes more.
+    ``used`` has a bit for each token place on the path, which is not sampled again. At the root,
+    which holds all sets, tokens have the two bytes of ``high`` more; past it that is empty.
     """
     at = lambda k: F.pmod(F.xxhash64(F.lit(k), "path"), F.lit(width)).cast("int")
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
@@ -248,9 +248,9 @@ def _split(live: DataFrame, width: int, threshold: float) -> DataFrame:
     rows = rows.withColumn("two", F.when(often, F.coalesce(*(free(at(k), F.col("used")) for k in range(4, 8)))))
     rows = rows.withColumn("place", F.explode(F.filter(F.array("one", "two"), lambda i: i.isNotNull())))
     two_bytes = lambda c: F.substring(F.col(c), 1 + 2 * F.col("place"), F.lit(2))
-    token = F.concat(two_bytes("high"), two_bytes("sig")) if "high" in live.columns else two_bytes("sig")
+    token = F.concat(two_bytes("high"), two_bytes("sig"))
     mask = F.col("used").bitwiseOR(bit(F.col("place")))
-    return rows.select("id", "sig", F.xxhash64("path", "place", token).alias("path"), mask.alias("used"), F.col("m").alias("parent"))
+    return rows.select("id", "sig", F.lit(b"").alias("high"), F.xxhash64("path", "place", token).alias("path"), mask.alias("used"), F.col("m").alias("parent"))
 
 
 def _buckets(classes: DataFrame, threshold: float, recall: float, small: int, width: int) -> DataFrame:
@@ -265,7 +265,7 @@ def _buckets(classes: DataFrame, threshold: float, recall: float, small: int, wi
             rows = stored(grown.withColumn("pk", apart("path")).join(counts, F.col("pk") == F.col("k")).drop("pk", "k"), "paths")
             over = (F.col("m") <= small) | (F.col("m") >= DENSE * F.col("parent")) | F.lit(level + 1 == DEEPEST)
             done.append(rows.where(over).select("id", "path", "m"))
-            live = rows.where(~over).select("id", "sig", "path", "used", "m")
+            live = rows.where(~over).select("id", "sig", "high", "path", "used", "m")
             level += 1
             levels = max(levels, level)
     out = done[0]
