@@ -70,5 +70,5 @@ def test_odd_tables(spark, tmp_path):
         assert c.run(spark, str(d)).count() >= 0 and docs.count() == len(rows)
     ids = lambda stage: sorted(re.findall(r"Row\(doc_id=(\w+)", " ".join(tables["odd", stage])))
     assert len(ids("toxicity")) == len(odd) and len(ids("decontamination")) == len(odd)
-    assert ids("ngram_jaccard") == sorted(["1", "2", "None", "None", "3", "5", "6"])
+    assert ids("ngram_jaccard") == sorted(["1", "2", "None", "None", "3", "5"])  # 6 has the one word of 5
     assert ids("suffix_array") == sorted(["1", "1", "2", "2", "None", "None", "3", "5"])  # of 6 a tab is left, of 4 nothing
