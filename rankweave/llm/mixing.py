@@ -81,7 +81,7 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def _joined(rows: DataFrame, table: DataFrame, *on: str) -> DataFrame:
+def joined(rows: DataFrame, table: DataFrame, *on: str) -> DataFrame:
     """Both on equal (null or not) columns; ``table`` is broadcast if it is short, else adaptive execution may split a hot source."""
     table = table.withColumnsRenamed({c: f"r_{c}" for c in on})
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     sized = count_words(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")), "text", "size")
     sized = stored(sized, "mixing-sizes")
     aims = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "mixing-targets")
-    rows = _joined(sized, aims, "source")
+    rows = joined(sized, aims, "source")
     is_large = F.col("size") > F.lit(large) * F.col("source_size")
     few = rows.where(is_large).groupBy("source", "source_size", "target").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id")), asc=False).alias("docs"))  # 1 / large of a source at most
     few = few.withColumn("copies", _whole_copies(F.col("target") / F.col("source_size")))
@@ -131,8 +131,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     placed = _ordered(rows.where(~is_large), n, *order)
     counts = placed.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = stored(_joined(counts.select("source", "part", (before - F.col("first") + 1).alias("shift_at")), rates, "source"), "mixing-starts")
-    many = _joined(placed, starts, "source", "part")
+    starts = stored(joined(counts.select("source", "part", (before - F.col("first") + 1).alias("shift_at")), rates, "source"), "mixing-starts")
+    many = joined(placed, starts, "source", "part")
     rank = F.col("at") + F.col("shift_at")
     copies = F.floor(rank * F.col("rate") + F.col("shift")) - F.floor((rank - 1) * F.col("rate") + F.col("shift"))
     names = ["doc_id", "size", "source_size", "target", "copies"]

@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import decontamination_digest
+from .divergence import divergence_digest
 from .embed_dedup import embedding_links
 from .html_extract import main_texts
 from .lm_hmm import scoring_digest
 from .mixing import mixing_digest
 from .ngram_join import jaccard_classes
+from .repetition import quality_digest
 from .sa_dedup import repeats_digest
 from .stages import run
 from .toxicity import toxicity_digest
 from .url_filter import url_verdicts
+from .vector_codes import compression_digest
 from .warc import warc_round_trip
 
 
@@ -63,12 +66,24 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_digest(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_warc_revisits, op2_embedding_near_dedup, op3_ngram_jaccard_join, op4_html_main_text, op5_url_filter, op6_benchmark_decontamination, op7_suffix_array_dedup, op8_toxicity, op9_source_mixing, op10_lm_scoring, pipeline]
+    own = [op1_warc_revisits, op2_embedding_near_dedup, op3_ngram_jaccard_join, op4_html_main_text, op5_url_filter, op6_benchmark_decontamination, op7_suffix_array_dedup, op8_toxicity, op9_source_mixing, op10_lm_scoring, op11_quality_rules, op12_source_divergence, op13_vector_codes, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -168,3 +183,54 @@ kept AS (SELECT c.doc_id, string_agg(substr(x, 2 * f + 1, 2 * (t - f)), '' ORDER
 SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+_SQL["op11_quality_rules"] = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS MATERIALIZED (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols FROM d),
+l AS (SELECT doc_id, i, s, list_sum(list_transform(regexp_extract_all(s, '[^\x20\x09-\x0D]+'), lambda x: length(x))) AS chars FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d) WHERE regexp_matches(s, '[^\x20\x09-\x0D]')),
+lines AS (SELECT doc_id, count(*)::BIGINT AS n, sum(chars)::BIGINT AS chars FROM (SELECT doc_id, chars, row_number() OVER (PARTITION BY doc_id, s ORDER BY i) AS k FROM l) WHERE k > 1 GROUP BY doc_id),
+g AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest([5, 6, 8, 10]) AS n))),
+again AS (SELECT doc_id, n, i FROM (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, s) AS c FROM g) WHERE c > 1),
+inside AS (SELECT doc_id, n, count(*)::BIGINT AS words, sum(length(w[p]))::BIGINT AS chars FROM (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS p FROM again) JOIN d USING (doc_id) GROUP BY doc_id, n),
+x AS (SELECT c.*, coalesce(lines.n, 0) AS n_dup_lines, coalesce(lines.chars, 0) AS dup_line_chars, coalesce(i5.words, 0) AS n_repeat_words, coalesce(i5.chars, 0) AS repeat_chars, coalesce(i10.chars, 0) AS long_repeat_chars,
+    coalesce(i6.chars, 0) AS c6, coalesce(i8.chars, 0) AS c8
+  FROM c LEFT JOIN lines USING (doc_id) LEFT JOIN (SELECT * FROM inside WHERE n = 5) i5 USING (doc_id) LEFT JOIN (SELECT * FROM inside WHERE n = 6) i6 USING (doc_id) LEFT JOIN (SELECT * FROM inside WHERE n = 8) i8 USING (doc_id) LEFT JOIN (SELECT * FROM inside WHERE n = 10) i10 USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (dup_line_chars > 0.3::DOUBLE * word_chars OR repeat_chars > 0.3::DOUBLE * word_chars OR c6 > 0.3::DOUBLE * word_chars OR c8 > 0.28::DOUBLE * word_chars OR long_repeat_chars > 0.25::DOUBLE * word_chars) AS kept,
+  dup_line_chars, repeat_chars, long_repeat_chars FROM f
+"""
+
+_SQL["op12_source_divergence"] = r"""
+WITH d AS MATERIALIZED (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT lang, source, k, term, count(*)::BIGINT AS n FROM (SELECT lang, source, k, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n)::BIGINT AS in_lang FROM t GROUP BY lang, term HAVING count(*) >= 10),
+own AS MATERIALIZED (SELECT lang, source, term, sum(n)::BIGINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM d),
+tot AS MATERIALIZED (SELECT g.lang, g.source, coalesce((SELECT sum(n) FROM own o WHERE o.lang = g.lang AND o.source = g.source), 0)::HUGEINT AS own, (SELECT count(*) FROM kept k WHERE k.lang = g.lang)::HUGEINT AS v, coalesce((SELECT sum(in_lang) FROM kept k WHERE k.lang = g.lang), 0)::HUGEINT AS all_n FROM grp g),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 2)) // (g.own + 2 * g.v))::BIGINT AS p, (1 + (1000000000::HUGEINT * (k.in_lang + 2)) // (g.all_n + 2 * g.v))::BIGINT AS q
+  FROM tot g JOIN kept k ON k.lang = g.lang LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+best AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM every UNION ALL SELECT * FROM best)) WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def _codes_sql() -> str:
+    """The rounds written out one after another, all in integers."""
+    ctes = ["""k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(embedding) > 0 AND len(embedding) % 4 = 0)""",
+            "x AS MATERIALIZED (SELECT vec_id, label, p, e[p * len(e) // 4 + 1:(p + 1) * len(e) // 4] AS v FROM k, (SELECT unnest(range(4)) AS p))",
+            "b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS j, v FROM x WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256))"]
+    for r in range(5):
+        near = "list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, label, p, v, o.j AS j, o.d AS d FROM (SELECT x.vec_id, any_value(x.label) AS label, x.p, any_value(x.v) AS v, min(struct_pack(d := {near}, j := b.j)) AS o FROM x JOIN b{r} b ON x.p = b.p GROUP BY x.vec_id, x.p))")
+        if r < 4:
+            ctes.append(f"m{r} AS (SELECT p, j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (SELECT p, j, i, sum(c)::BIGINT AS s, count(*) AS n FROM (SELECT p, j, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY p, j, i) GROUP BY p, j)")
+            ctes.append(f"b{r + 1} AS MATERIALIZED (SELECT b.p, b.j, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m USING (p, j))")
+    ctes.append("coded AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', j), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY vec_id)")
+    ctes.append("books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM b4)")
+    return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, books"
+
+
+_SQL["op13_vector_codes"] = _codes_sql()

@@ -140,6 +140,18 @@ def rolling_hash(buf: np.ndarray, n: int) -> np.ndarray:
     return mix(raw)
 
 
+def running(words: np.ndarray) -> np.ndarray:
+    """Running sums of word hashes, with a leading 0, from which :func:`window_hash` takes any window of words."""
+    out = np.zeros(len(words) + 1, _U)
+    np.cumsum(words * _power(_BASE, len(words)), out=out[1:])
+    return out
+
+
+def window_hash(sums: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the windows of ``n`` words that start at the places ``at``."""
+    return mix((sums[at + n] - sums[at]) * _power(_INVERSE, len(sums))[at] + _U(n * _STEP & (2**64 - 1)))
+
+
 def ngram_hash(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of each ``n`` consecutive word hashes (len(words) - n + 1 of them)."""
     m = len(words) - n + 1

@@ -628,7 +628,7 @@ def test_language_model(spark, docs):
 def test_registered(spark):
     from rankweave.llm import queries
 
-    assert len([q for q in queries.queries() if re.match(r"op\d+_", q)]) == 10 and "pipeline" in queries.queries()
+    assert len([q for q in queries.queries() if re.match(r"op\d+_", q)]) == 13 and "pipeline" in queries.queries()
 
 
 @pytest.mark.parametrize("held", [1, 40, 400_000])
