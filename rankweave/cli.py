@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import exprs as X
 from .functions.analysis import scorer_name
-from .operators import base_rate, metrics, scoring
+from .operators import base_rate, metrics, scoring, training
+from .operators.dense import cosines
 from .operators.index import Index, Params
-from .operators.training import explicit_split
 from .plans import learning, retrieval
 from .plans.retrieval import Corpus, Options
 from .sources import report
@@ -123,7 +123,7 @@ def _search(spark: SparkSession, a: argparse.Namespace) -> str:
         score = "bm25" if a.mode == "bm25" else "bayes"
         return report.search_lines(scoring.zero_filled_top(found.select("query_id", "doc_id", F.col(score).alias("score")), query, index.docs, a.top_k))
     vector = with_embeddings(query, lambda: hashing_embedder(a.dims)).select("query_id", "embedding")
-    dense = scoring.dense_scores(spark.read.parquet(f"{a.index}/vectors"), vector)
+    dense = cosines(spark.read.parquet(f"{a.index}/vectors"), vector)
     both = dense.join(found.select("query_id", "doc_id", "bayes"), ["query_id", "doc_id"], "left").na.fill(0.0, ["bayes"])
     v = X.vector_probability(F.col("cos"))
     if a.mode == "or":
@@ -139,7 +139,7 @@ def _resolved(index: Index, a: argparse.Namespace) -> tuple[Params, float | None
     if "auto" not in (a.alpha, a.beta, a.base_rate):
         return Params(p.k1, p.b, p.method, a.alpha, a.beta, a.base_rate), a.base_rate
     n = index.docs.count()
-    ids = [r.doc_id for r in index.docs.where("doc_len > 0").orderBy(F.xxhash64("doc_id", F.lit(a.base_rate_seed))).select("doc_id").limit(a.base_rate_sample_size).collect()]
+    ids = training.drawn_documents(index.docs, n, a.base_rate_sample_size, a.base_rate_seed)
     scores = base_rate.pseudo_scores(index, ids).persist()
     auto = base_rate.auto_parameters(scores).first()
     rate = a.base_rate
@@ -162,7 +162,7 @@ def _bench(spark: SparkSession, a: argparse.Namespace) -> str:
     params, rate = _resolved(Index.build(docs, terms="terms", params=Params(k1=a.k1, b=a.b, method=a.bm25_method)), a)
     split = None
     if a.fit_split_file:
-        split = explicit_split([r.query_id for r in judged.select("query_id").collect()], *report.read_split(a.fit_split_file))
+        split = training.explicit_split([r.query_id for r in judged.select("query_id").collect()], *report.read_split(a.fit_split_file))
     options = Options(top=max([*a.cutoffs, a.trec_run_depth if a.trec_run_dir else 0]), depth=a.candidate_depth, base_rate=rate, ratio=a.fit_train_ratio, seed=a.fit_split_seed, split=split, style=a.metric_style)
     corpus = Corpus(docs, judged, qrels, params, options)
     known = retrieval.scorers() | learning.scorers()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -22,24 +23,54 @@ def shuffled(n: int, seed: int) -> list[int]:
     return out
 
 
+_FACTOR, _TERM, _CHUNK = 1664525, 1013904223, 1 << 16
+
+
+def jumped(state: int, steps: int) -> int:
+    """The generator's state after ``steps`` steps, by squaring one step's factor and term."""
+    factor, term, a, b = 1, 0, _FACTOR, _TERM
+    while steps:
+        if steps & 1:
+            factor, term = factor * a & 0xFFFFFFFF, (term * a + b) & 0xFFFFFFFF
+        a, b = a * a & 0xFFFFFFFF, (a * b + b) & 0xFFFFFFFF
+        steps >>= 1
+    return (factor * state + term) & 0xFFFFFFFF
+
+
 def first_shuffled(n: int, k: int, seed: int) -> np.ndarray:
-    """``shuffled(n, seed)[:k]``, by undoing the swaps for the first ``k`` places only."""
+    """``shuffled(n, seed)[:k]``, by undoing the swaps for the first ``k`` places only.
+
+    The swaps come in the opposite order of the generator, so it is jumped to the end of each chunk of
+    them; memory is one chunk and the ``k`` places, whatever ``n``. A swap moves one of the places that are
+    followed only where its partner is one, which happens about k * log(n / k) times.
+    """
+    k = min(n, k)
     if n < 2 or not k:
-        return np.arange(min(n, k))
-    powers = np.cumprod(np.full(n - 1, 1664525, np.uint32), dtype=np.uint32)
-    sums = np.cumsum(np.concatenate([[1], powers[:-1]]).astype(np.uint32), dtype=np.uint32)
-    state = powers * np.uint32(seed & 0xFFFFFFFF) + sums * np.uint32(1013904223)
-    other = (state.astype(np.int64) % np.arange(n, 1, -1))[::-1]
-    slot = {p: p for p in range(min(n, k))}
-    for lo in range(0, n - 1, 1 << 16):
-        for i, j in enumerate(other[lo : lo + (1 << 16)].tolist(), lo + 1):
-            if i != j and (i in slot or j in slot):
-                x, y = slot.pop(i, None), slot.pop(j, None)
-                if x is not None:
-                    slot[j] = x
-                if y is not None:
-                    slot[i] = y
-    out = np.empty(len(slot), np.int64)
+        return np.arange(k)
+    powers = np.cumprod(np.full(_CHUNK, _FACTOR, np.uint32), dtype=np.uint32)
+    sums = np.cumsum(np.concatenate([[1], powers[:-1]]).astype(np.uint32), dtype=np.uint32) * np.uint32(_TERM)
+    slot = {p: p for p in range(k)}  # where a place of the result stands now
+    for lo in range(1, n, _CHUNK):
+        size = min(_CHUNK, n - lo)
+        before = np.uint32(jumped(seed & 0xFFFFFFFF, n - lo - size))  # the swap of i takes the state after n - i steps
+        other = (powers[:size] * before + sums[:size])[::-1].astype(np.int64) % np.arange(lo + 1, lo + size + 1)
+        due = np.flatnonzero(np.isin(other, np.fromiter(slot, np.int64, len(slot)))).tolist()
+        due += [i - lo for i in slot if lo <= i < lo + size]
+        heapq.heapify(due)
+        last = -1
+        while due:
+            at = heapq.heappop(due)
+            i, j = lo + at, int(other[at])
+            if at == last or i == j:
+                continue
+            last = at
+            x, y = slot.pop(i, None), slot.pop(j, None)
+            for value, to in ((x, j), (y, i)):
+                if value is not None:
+                    slot[to] = value
+                    for later in (at + 1 + np.flatnonzero(other[at + 1 :] == to)).tolist():
+                        heapq.heappush(due, later)
+    out = np.empty(k, np.int64)
     out[list(slot.values())] = list(slot)
     return out
 

@@ -296,11 +296,14 @@ class LearnableWeights:
     def combine(self, probs, averaged: bool = False):
         return sigmoid(self.scale * (logit(probs) @ (self.mean if averaged else self.weights)) + self.shift)
 
-    def _gradient(self, z, x, y):
+    def gradient_sum(self, z, x, y):
         w = softmax(z)
         mid = x @ w
         error = sigmoid(self.scale * mid + self.shift) - y
-        return (self.scale * error[:, None] * w * (x - mid[:, None])).mean(0)
+        return (self.scale * error[:, None] * w * (x - mid[:, None])).sum(0)
+
+    def _gradient(self, z, x, y):
+        return self.gradient_sum(z, x, y) / len(y)
 
     def fit(self, probs, labels, rate: float = 0.01, steps: int = 1000, tol: float = 1e-6) -> LearnableWeights:
         x, y = logit(np.asarray(probs, float)), np.asarray(labels, float)
@@ -356,11 +359,14 @@ class AttentionWeights:
     def combine(self, probs, features, averaged: bool = False):
         return sigmoid(self.logits(probs, features, averaged))
 
-    def _gradient(self, theta, x, y, q):
+    def gradient_sum(self, theta, x, y, q):
         w = self._weights(q, theta)
         mid = (w * x).sum(1)
         g = self.scale * (sigmoid(self.scale * mid + self.shift) - y)[:, None] * w * (x - mid[:, None])
-        return np.concatenate([(g.T @ q).ravel(), g.sum(0)]) / len(y)
+        return np.concatenate([(g.T @ q).ravel(), g.sum(0)])
+
+    def _gradient(self, theta, x, y, q):
+        return self.gradient_sum(theta, x, y, q) / len(y)
 
     def fit(self, probs, labels, features, query_ids=None, rate: float = 0.01, steps: int = 500, tol: float = 1e-6) -> AttentionWeights:
         x, y, q = logit(np.asarray(probs, float).reshape(-1, self.n)), np.asarray(labels, float), np.asarray(features, float).reshape(-1, self.k)

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.analysis import tokenize
+from .dense import best_documents
 from .index import BROADCAST_TERMS, Index, idf
 
-#: Queries that are sent to every task for dense scoring; more are joined in blocks, each of which meets each block of documents once.
-QUERY_BATCH = 10_000
-
 
 def query_terms(queries: DataFrame, *, query_id: str = "query_id", text: str = "text", terms: str | None = None) -> DataFrame:
     """(query_id, term, qtf): repeated terms count as often as they are given."""
@@ -80,49 +78,43 @@ def in_order(scores: DataFrame, places: DataFrame) -> DataFrame:
 def zero_filled_top(matched: DataFrame, queries: DataFrame, docs: DataFrame, k: int, score: str = "score") -> DataFrame:
     """``top_k`` as if every document without a match scored 0.
 
-    Only queries with fewer than ``k`` positive matches look beyond them. The first documents by
-    id, as many as such a query has matches and ``k`` more, hold the ``k`` that it may need, so no
-    query is set against all documents. The best matches, ``k`` rows a query, are kept so that
-    the scores behind them are computed once.
+    Only queries with fewer than ``k`` positive matches look beyond them, and need the ``k`` smallest ids
+    that they do not match. These lie in the gaps between the places of matched ids: a prefix of the ids,
+    doubled until no such query matches all but ``k`` of it, holds them, so a query sees its matches in the
+    prefix and as many gaps, never the documents. The best matches, ``k`` rows a query, are kept so that the
+    scores behind them are computed once.
     """
     best = top_k(matched, k, score).persist()
     short = queries.select("query_id").distinct().join(best.where(F.col(score) > 0).groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= k), "query_id", "left_anti").persist()
     if short.isEmpty():
         return best
     known = matched.select("query_id", "doc_id").join(short, "query_id", "left_semi")
-    most = known.groupBy("query_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
-    low = docs.select("doc_id").distinct().orderBy("doc_id").limit(k + most)
-    other = short.crossJoin(low).join(known, ["query_id", "doc_id"], "left_anti")
-    first = other.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where(F.col("r") <= k)
+    size, by = 4 * k, Window.partitionBy("query_id").orderBy("at")
+    while True:
+        low = docs.select("doc_id").distinct().orderBy("doc_id").limit(size).persist()
+        place = low.select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("at"))  # ``size`` rows
+        inside = known.join(F.broadcast(place), "doc_id").select("query_id", "at").distinct()
+        most = inside.groupBy("query_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+        n = low.count()
+        if n < size or n - most >= k:
+            break
+        size *= 2
+    ends = inside.unionByName(short.select("query_id", F.lit(n).alias("at")))  # the prefix ends as if by a match
+    gaps = ends.withColumn("start", F.coalesce(F.lag("at").over(by), F.lit(-1)) + 1).where("start < at")
+    gaps = gaps.withColumn("before", F.coalesce(F.sum(F.col("at") - F.col("start")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < k)
+    first = gaps.select("query_id", F.explode(F.sequence("start", F.least(F.col("at"), F.col("start") + k - F.col("before")) - 1)).alias("at")).join(F.broadcast(place), "at")
     return top_k(best.drop("rank").unionByName(first.select("query_id", "doc_id", F.lit(0.0).alias(score)), allowMissingColumns=True), k, score)
 
 
-def dense_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, cos) of docs(doc_id, embedding) by queries(query_id, embedding).
-
-    A null query vector leaves the query out, an empty one scores 0 everywhere.
-    """
-    q = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("q"), X.norm(F.col("embedding")).alias("qn"))
-    n = q.count()
-    d = docs.select("doc_id", F.coalesce("embedding", F.array().cast("array<float>")).alias("d")).withColumn("dn", X.norm(F.col("d")))
-    if n <= QUERY_BATCH:
-        pairs = d.crossJoin(F.broadcast(q))
-    else:  # documents go once to each block of queries, by a hash join on its number
-        blocks = -(-n // QUERY_BATCH)
-        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = d.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(q, "block")
-    return pairs.select("query_id", "doc_id", X.cosine(F.col("q"), F.col("d"), F.col("qn"), F.col("dn")).alias("cos"))
-
-
-def signals(sparse: DataFrame, dense: DataFrame, vectors: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
+def signals(sparse: DataFrame, vectors: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
     """One row for each candidate, the best ``depth`` by either signal: bm25, bayes, cos, overlap, ratio and both ranks.
 
     The sparse scores are kept, since ranking and the dense candidates both need them; cosines
-    of the candidates are computed anew, which costs less than keeping those of all pairs.
+    of the candidates, some hundred rows a query, are computed for both signals' alike.
     """
     sparse = sparse.persist()
     s = zero_filled_top(sparse.select("query_id", "doc_id", "bm25"), vectors, docs, depth, "bm25").select("query_id", "doc_id", F.col("rank").alias("rank_sparse"))
-    d = top_k(dense, depth, "cos").select("query_id", "doc_id", F.col("rank").alias("rank_dense"))
+    d = top_k(best_documents(docs, vectors, depth), depth, "cos").select("query_id", "doc_id", F.col("rank").alias("rank_dense"))
     cand = s.join(d, ["query_id", "doc_id"], "full_outer")
     q = vectors.select("query_id", F.col("embedding").alias("q"))
     got = cand.join(q, "query_id").join(docs.select("doc_id", "doc_ratio", "embedding"), "doc_id").withColumn("cos", X.cosine(F.col("q"), F.coalesce("embedding", F.array().cast("array<float>")))).drop("q", "embedding")

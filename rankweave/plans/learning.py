@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import base_rate, scoring, training
-from ..operators.learners import AttentionWeights, Isotonic, LearnableWeights, MultiHead, Platt, Transform, descend, fit_by_group, isotonic_blocks
-from ..operators.vector_probability import VectorProbability
-from .retrieval import DEPTH, Corpus, Scorer, _base, shown
+from ..operators.binned_probability import vector_probabilities
+from ..operators.gradients import fit_attention, fit_learnable, fit_sigmoid
+from ..operators.learners import AttentionWeights, Isotonic, MultiHead, Platt, Transform, descend, fit_by_group, isotonic_blocks
+from .retrieval import DEPTH, Corpus, Scorer, _base, _safe, _sigmoid, shown
 
 #: Bins of scores in a unit of BM25 and of cosine.
 SPARSE_BINS, DENSE_BINS = 1 << 10, 1 << 16
@@ -65,22 +67,35 @@ def _model(rows: DataFrame, fit: Callable[[pd.DataFrame], dict], schema: str, or
 
 def _fitted(kind: str):
     def run(c: Corpus) -> DataFrame:
-        """The sigmoid fitted on all documents of a positive score for the training queries, unjudged ones as negative, ranks all documents."""
+        """A sigmoid fitted on the training queries' documents of a positive score ranks all documents.
+
+        By default the fit sees judged documents only, takes its default rate and steps, and the fitted values
+        score term by term; in the reference style unjudged documents are negative, the descent is longer, and one
+        posterior of the whole score ranks. Both start from the given values. Fewer than four pairs rank nothing.
+        """
         train, rest = (_ids(c, False),) * 2 if kind == "all" else _train_ids(c, False)
-        sparse = lambda ids: scoring.sparse_scores(c.index, c.queries.join(F.broadcast(_frame(c, ids)), "query_id", "left_semi"))
+        given, whole = c.index.params, c.options.style == "python-reference"
+        some = lambda ids: c.queries.join(F.broadcast(_frame(c, ids)), "query_id", "left_semi")
+        pairs = scoring.sparse_scores(c.index, some(train)).where("bm25 > 0").join(c.qrels, ["query_id", "doc_id"], "left" if whole else "inner")
+        pairs = pairs.select("query_id", "doc_id", F.col("bm25").alias("score"), (F.coalesce("relevance", F.lit(0.0)) > 0).cast("double").alias("label"))
+        start = (given.alpha, given.beta)
+        if whole:
 
-        def fit(p: pd.DataFrame) -> dict:
-            s, y, w, n = p.score.to_numpy(), p.label.to_numpy(), p.n.to_numpy(), p.n.sum()
-            alpha, beta = descend(np.array([1.0, 0.0]), lambda t: Transform.gradient(t, s, y, None, w, n), 0.05, 3000, 1e-6)
-            return {"alpha": float(alpha), "beta": float(beta), "pairs": int(n)}
+            def fit(p: pd.DataFrame) -> dict:
+                s, y, w, n = p.score.to_numpy(), p.label.to_numpy(), p.n.to_numpy(), p.n.sum()
+                alpha, beta = descend(np.array(start), lambda t: Transform.gradient(t, s, y, None, w, n), 0.05, 3000, 1e-6)
+                return {"alpha": float(alpha), "beta": float(beta), "pairs": int(n)}
 
-        label = (F.coalesce("relevance", F.lit(0.0)) > 0).cast("double").alias("label")
-        pairs = sparse(train).where("bm25 > 0").join(c.qrels, ["query_id", "doc_id"], "left").select("bm25", label)
-        m = _model(_binned(pairs, "bm25", SPARSE_BINS), fit, "alpha double, beta double, pairs long", ["bin", "label"])
-        if m.get("pairs", 0) < 4:
+            m = _model(_binned(pairs, "score", SPARSE_BINS), fit, "alpha double, beta double, pairs long", ["bin", "label"])
+            n, alpha, beta = m.get("pairs", 0), m.get("alpha", start[0]), m.get("beta", start[1])
+        else:
+            n, alpha, beta = fit_sigmoid(pairs.withColumn("model", F.lit(0)), start=start).get(0, (0, *start))
+        if n < 4:
             rest = []
-        score = F.when(F.col("bm25") > 0, X.score_to_probability(F.col("bm25"), F.col("overlap"), F.col("ratio"), m.get("alpha", 1.0), m.get("beta", 0.0))).otherwise(0.0)
-        return scoring.zero_filled_top(sparse(rest).select("query_id", "doc_id", score.alias("score")), _frame(c, rest), c.docs, c.options.top)
+        fitted = replace(c.index, params=replace(given, alpha=alpha, beta=beta))
+        rows = scoring.sparse_scores(fitted, some(rest))
+        score = scoring.overall_posterior(F.col("bm25"), F.col("overlap"), F.col("ratio"), alpha, beta, given.base_rate) if whole else F.col("bayes")
+        return scoring.zero_filled_top(rows.select("query_id", "doc_id", score.alias("score")), _frame(c, rest), c.docs, c.options.top)
 
     return run
 
@@ -99,8 +114,12 @@ def _dense_pairs(c: Corpus, train: list) -> DataFrame:
 
 def _dense_calibrated(kind: str):
     def run(c: Corpus) -> DataFrame:
+        """The held-out queries' nearest documents by a calibrated cosine; none without ten training pairs of both classes."""
         train, rest = _train_ids(c)
-        some = _dense_pairs(c, train)
+        some = _dense_pairs(c, train).persist()
+        seen = some.agg(F.count("*").alias("n"), F.sum("label").alias("positive")).first()
+        if seen.n < 10 or not 0 < seen.positive < seen.n:
+            rest = []
         if kind == "platt":
 
             def fit(p: pd.DataFrame) -> dict:
@@ -112,8 +131,9 @@ def _dense_calibrated(kind: str):
             blocks = isotonic_blocks(some, "cos", "label", ["query_id", "doc_id"])
             m = _model(blocks, lambda p: vars(Isotonic.of_blocks(p[["total", "n", "low", "high"]].to_numpy().tolist())), "x array<double>, y array<double>", ["part", "nth"])
             score = Isotonic(m.get("x", []), m.get("y", [])).column(F.col("cos"))
-        near = c.dense().join(F.broadcast(_frame(c, rest or train)), "query_id", "left_semi")
-        return scoring.top_k(scoring.top_k(near, c.options.depth, "cos").withColumn("score", score), c.options.top)
+        some.unpersist()
+        near = c.nearest(c.options.depth, _frame(c, rest)).drop("rank")
+        return scoring.top_k(near.withColumn("score", X.clamp(score, 0.0, 1.0)), c.options.top)
 
     return run
 
@@ -121,8 +141,8 @@ def _dense_calibrated(kind: str):
 def _scored(c: Corpus, vector: bool) -> DataFrame:
     """Candidates with both probabilities, their relevance (null where unjudged) and the query's features."""
     queries = c.queries.join(c.vectors.select("query_id"), "query_id", "left_semi")
-    rows = c.signals()
-    features = training.query_features(c.vectors, queries, c.sparse(), c.dense(), rows, c.index.docs.count(), DEPTH)
+    rows = c.signals().cache()
+    features = training.query_features(c.vectors, queries, c.sparse(), c.nearest(10), rows, c.index.docs.count(), DEPTH)
     if vector:
         rows = _vector_probabilities(c, rows).withColumnRenamed("cos", "dense")
     else:
@@ -145,15 +165,10 @@ def _attention(kind: str, normalize: bool = False, heads: int = 1, vector: bool
         rows = _scored(c, vector).cache()
         train, ranked = training.protocol(_ids(c), kind, c.options.ratio, c.options.seed, given=_given(c))
         order = c.spark.createDataFrame(train, f"model int, {_key(c)}, seed long")
-
-        def fit(p: pd.DataFrame) -> dict:
-            if not training.trainable(p.label):
-                return {"theta": None}
-            m = model().fit(p[["bayes", "dense"]].to_numpy(), p.label.to_numpy(), p[names].to_numpy(), p.query_id.to_numpy())
-            return {"theta": np.concatenate([x.state.theta for x in (m.models if heads > 1 else [m])]).tolist()}
-
-        fitted = fit_by_group(training.drawn(rows, order), ["model"], fit, "theta array<double>", ["query_id", "doc_id"]).where("theta is not null")
-        use = c.spark.createDataFrame(ranked, f"{_key(c)}, model int").join(F.broadcast(fitted), "model")  # a row for each model
+        parts = model().models if heads > 1 else [model()]
+        fitted = fit_attention(training.drawn(rows, order), ["bayes", "dense"], names, parts)
+        thetas = c.spark.createDataFrame([(m, np.concatenate(t).tolist()) for m, t in fitted.items()], "model int, theta array<double>")
+        use = c.spark.createDataFrame(ranked, f"{_key(c)}, model int").join(F.broadcast(thetas), "model")  # a row for each model
 
         def one(p: pd.DataFrame) -> pd.DataFrame:
             m, p = model(), p.sort_values("doc_id")
@@ -170,27 +185,16 @@ def _attention(kind: str, normalize: bool = False, heads: int = 1, vector: bool
 
 def _learnable(spark: SparkSession, d: str) -> DataFrame:
     """Fusion weights by signal, fitted on all judged candidates."""
-    rows = _judged(Corpus.of_tables(spark, d)).select("query_id", "doc_id", "bayes", X.cosine_to_probability(F.col("cos")).alias("dense"), "label")
-
-    def fit(p: pd.DataFrame) -> dict:
-        w = LearnableWeights(2).fit(p[["bayes", "dense"]].to_numpy(), p.label.to_numpy(), 0.1, 300, 1e-9).weights
-        return {"sparse_weight": round(float(w[0]), 6), "dense_weight": round(float(w[1]), 6)}
-
-    return fit_by_group(rows.withColumn("model", F.lit("all")), ["model"], fit, "sparse_weight double, dense_weight double", ["query_id", "doc_id"])
+    rows = _judged(Corpus.of_tables(spark, d)).select(F.lit(0).alias("model"), "query_id", "doc_id", "bayes", X.cosine_to_probability(F.col("cos")).alias("dense"), "label")
+    got = fit_learnable(rows, ["bayes", "dense"]).values()
+    return spark.createDataFrame([(round(float(a), 6), round(float(b), 6)) for a, b in got], "sparse_weight double, dense_weight double")
 
 
 def _vector_probabilities(c: Corpus, rows: DataFrame) -> DataFrame:
-    """``cos`` of the candidates calibrated against the background of all documents' distances."""
-    far = X.cosine_distance(F.col("cos"))
-    back = c.dense().groupBy("query_id").agg(F.avg(far).alias("mu"), F.stddev_pop(far).alias("sigma"))
-    rows = rows.join(back, "query_id").select("query_id", "doc_id", "bm25", "bayes", far.alias("dist"), "mu", "sigma")
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("doc_id")
-        v = VectorProbability(float(p.mu.iloc[0]), max(float(p.sigma.iloc[0]), 1e-10))
-        return p[["query_id", "doc_id", "bm25", "bayes"]].assign(cos=v.calibrate(p.dist.to_numpy(), weights=p.bayes.to_numpy()))
-
-    return rows.groupBy("query_id").applyInPandas(one, f"{c.keys}, bm25 double, bayes double, cos double")
+    """``cos`` of the candidates calibrated by all documents' distances, the Bayesian score their weight."""
+    weights = c.sparse().select("query_id", "doc_id", F.col("bayes").alias("weight"))
+    got = vector_probabilities(rows, c.docs, c.vectors, weights)
+    return rows.drop("cos").join(got, ["query_id", "doc_id"]).select("query_id", "doc_id", "bm25", "bayes", F.col("probability").alias("cos"))
 
 
 def _vector(method: str):
@@ -207,8 +211,7 @@ def _rates(spark: SparkSession, d: str) -> DataFrame:
     """Base rates by the three estimators, and the automatic sigmoid, from pseudo-queries of 50 documents drawn by the seeded shuffle."""
     c = Corpus.of_tables(spark, d)
     n = c.index.docs.count()
-    drawn = spark.createDataFrame([(int(i),) for i in base_rate.first_shuffled(n, PSEUDO_QUERIES, c.options.seed)], "at long")
-    ids = [r.doc_id for r in training.numbered(c.index.docs).join(F.broadcast(drawn), "at").select("doc_id").collect()]
+    ids = training.drawn_documents(c.index.docs, n, PSEUDO_QUERIES, c.options.seed)
     scores = base_rate.pseudo_scores(c.index, ids).cache()
     auto = base_rate.auto_parameters(scores)
     quantile = base_rate.percentile_rate(scores, n).withColumnRenamed("base_rate", "percentile")
@@ -260,6 +263,32 @@ mx AS (SELECT least(greatest(CASE WHEN m1 >= m0 THEN s ELSE 1 - s END, 1e-6::DOU
 SELECT round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(percentile, 6) AS percentile, round(elbow, 6) AS elbow, round(mixture, 6) AS mixture FROM auto, pc, el, mx"""
 
 
+_SHUFFLED = """shuf(i, state, l) AS (SELECT n - 1, (42 * 1664525 + 1013904223) % 4294967296, l FROM ids UNION ALL
+  SELECT i - 1, (state * 1664525 + 1013904223) % 4294967296, list_transform(range(1, len(l) + 1), lambda k: CASE WHEN k = i + 1 THEN l[state % (i + 1) + 1] WHEN k = state % (i + 1) + 1 THEN l[i + 1] ELSE l[k] END) FROM shuf WHERE i > 0)"""
+
+
+def _fitted_sql(split: bool) -> str:
+    """The sigmoid's descent as a recursion, on the judged pairs of the training queries, and the ranking with its values."""
+    parts = f"""{_SHUFFLED}, cut AS (SELECT l, least(len(l) - 1, greatest(1, floor(len(l) * 0.5::DOUBLE + 0.5::DOUBLE)::BIGINT)) AS k FROM (SELECT l FROM shuf ORDER BY i LIMIT 1)),
+train AS (SELECT unnest(l[1:k]) AS query_id FROM cut), rest AS (SELECT unnest(l[k + 1:]) AS query_id FROM cut)""" if split else "train AS (SELECT unnest(l) AS query_id FROM ids), rest AS (SELECT unnest(l) AS query_id FROM ids)"
+    like, post = _safe(_sigmoid("f.a * (raw - f.b)")), "l * pr / (l * pr + (1 - l) * (1 - pr))"
+    error = f"({_safe(_sigmoid('g.a * (s - g.b)'))} - 1)"
+    return f"""WITH RECURSIVE {_base("lucene")},
+qr AS MATERIALIZED (SELECT i.item_id AS query_id, d.doc_id FROM benchmark i JOIN embeddings q ON q.vec_id = i.item_id JOIN embeddings e ON e.label = q.label JOIN documents d ON d.doc_id = e.vec_id),
+ids AS MATERIALIZED (SELECT list(query_id ORDER BY query_id) AS l, count(*)::BIGINT AS n FROM (SELECT DISTINCT query_id FROM qr)),
+{parts},
+fit AS MATERIALIZED (SELECT bm25 AS s FROM sp JOIN qr USING (query_id, doc_id) JOIN train USING (query_id) WHERE bm25 > 0),
+gd(k, a, b, still) AS (SELECT 0, 1.0::DOUBLE, 0.5::DOUBLE, true UNION ALL
+  SELECT g.k + 1, g.a - 0.01::DOUBLE * w.da, g.b - 0.01::DOUBLE * w.db, greatest(abs(0.01::DOUBLE * w.da), abs(0.01::DOUBLE * w.db)) >= 1e-6::DOUBLE
+  FROM gd g, LATERAL (SELECT sum({error} * (s - g.b)) / count(*) AS da, sum({error} * (0 - g.a)) / count(*) AS db FROM fit) w WHERE g.k < 1000 AND g.still),
+f AS MATERIALIZED (SELECT a, b FROM gd ORDER BY k DESC LIMIT 1),
+fp AS (SELECT query_id, doc_id, qtf, raw, pr, {like} AS l FROM po, f),
+fs AS (SELECT query_id, doc_id, 1 - exp(sum(CASE WHEN raw <> 0 THEN qtf * ln(1 - {_safe(post)}) ELSE 0 END)) AS bayes FROM fp GROUP BY query_id, doc_id),
+sc AS (SELECT r.query_id, d.doc_id, coalesce(bayes, 0)::DOUBLE AS score FROM rest r CROSS JOIN documents d LEFT JOIN fs ON fs.query_id = r.query_id AND fs.doc_id = d.doc_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc)
+SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM rk WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Of the fits only the base rates; the tests hold the models to known values."""
-    return {"base_rates": _rates_sql()}
+    """Of the fits the base rates and the sigmoids; the tests hold the other models to known values."""
+    return {"base_rates": _rates_sql(), "bayesian_fitted": _fitted_sql(False), "bayesian_fitted_split": _fitted_sql(True)}

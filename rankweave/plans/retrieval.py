@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, scoring
+from ..operators.dense import best_documents, cosines
 from ..operators.index import Index, Params, block_max
 from ..operators.selfcheck import SelfCheck
 
@@ -66,10 +67,16 @@ class Corpus:
         return scoring.sparse_scores(self.index, self.queries)
 
     def dense(self) -> DataFrame:
-        return scoring.dense_scores(self.docs, self.vectors)
+        """Every cosine, a row each: for checks of a few queries."""
+        return cosines(self.docs, self.vectors)
+
+    def nearest(self, k: int, queries: DataFrame | None = None) -> DataFrame:
+        """(query_id, doc_id, cos, rank): the ``k`` best documents by cosine of all queries, or of ``queries``(query_id)."""
+        vectors = self.vectors if queries is None else self.vectors.join(F.broadcast(queries), "query_id", "left_semi")
+        return scoring.top_k(best_documents(self.docs, vectors, k), k, "cos")
 
     def signals(self) -> DataFrame:
-        return scoring.signals(self.sparse().join(self.vectors.select("query_id"), "query_id"), self.dense(), self.vectors, self.docs, self.options.depth)
+        return scoring.signals(self.sparse().join(self.vectors.select("query_id"), "query_id"), self.vectors, self.docs, self.options.depth)
 
 
 def _shown(ranked: DataFrame, score: str = "score") -> DataFrame:
@@ -98,7 +105,7 @@ def _no_base_rate(c: Corpus) -> DataFrame:
 
 
 def _dense(c: Corpus) -> DataFrame:
-    return scoring.top_k(c.dense().withColumnRenamed("cos", "score"), c.options.top)
+    return c.nearest(c.options.top).withColumnRenamed("cos", "score")
 
 
 def _fused(method: str) -> Scorer:
@@ -176,7 +183,7 @@ def _multi_field_balanced(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus.of_tables(spark, d)
     rows = scoring.multi_field_scores(_fields(spark, d), c.queries.join(c.vectors.select("query_id"), "query_id", "left_semi"), FIELDS)
     sparse = rows.select("query_id", "doc_id", F.col("score").alias("bm25"), F.col("score").alias("bayes"), F.lit(0).alias("overlap"), F.lit(None).cast("double").alias("ratio"))
-    return _shown(scoring.top_k(scoring.fuse(scoring.signals(sparse, c.dense(), c.vectors, c.docs, DEPTH), "balanced_fusion"), TOP))
+    return _shown(scoring.top_k(scoring.fuse(scoring.signals(sparse, c.vectors, c.docs, DEPTH), "balanced_fusion"), TOP))
 
 
 def _by_scorer(spark: SparkSession, d: str) -> DataFrame:

@@ -52,15 +52,31 @@ def test_order_of_equal_scores(spark):
 
 
 def test_many_queries_in_blocks(spark, monkeypatch):
-    from rankweave.operators import scoring
+    from rankweave.operators import dense, scoring
 
     rng = np.random.default_rng(1)
     vec = lambda n, name: spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(n)] + [(n, None)], f"{name} long, embedding array<double>")
     docs, queries = vec(30, "doc_id"), vec(17, "query_id")
-    want = sorted(map(str, scoring.dense_scores(docs, queries).collect()))
-    monkeypatch.setattr(scoring, "QUERY_BATCH", 5)
-    far = scoring.dense_scores(docs, queries)
-    assert sorted(map(str, far.collect())) == want and "Cartesian" not in far._jdf.queryExecution().executedPlan().toString()
+    docs = docs.unionByName(spark.createDataFrame([(50, []), (51, [1.0]), (52, [float("nan")] * 4), (53, [0.0] * 4), (54, [1.0, 2.0, 3.0, 4.0, 5.0])], docs.schema)).repartition(4)
+    x = {r.doc_id: r.embedding for r in docs.collect()}
+    want = []
+    for r in queries.where("embedding is not null").collect():
+        for i, v in x.items():
+            v = v if v and np.isfinite(v).all() else []
+            size = np.linalg.norm(r.embedding) * np.linalg.norm(v)
+            want.append((r.query_id, i, float(np.dot(r.embedding[: len(v)], v[:4]) / size) if size else 0.0))
+    close = lambda rows: [(q, d, round(c, 12)) for q, d, c in sorted(rows)]
+    assert close(tuple(r) for r in dense.cosines(docs, queries).collect()) == close(want)
+    best = lambda: sorted((r.query_id, r["rank"], r.doc_id) for r in scoring.top_k(dense.best_documents(docs, queries, 6), 6, "cos").collect())
+    ranked = [(q, k + 1, d) for q in range(17) for k, (_, d) in enumerate(sorted((-round(c, 9), d) for p, d, c in want if p == q)[:6])]
+    assert best() == ranked
+    monkeypatch.setattr(dense, "QUERY_BATCH", 5)
+    monkeypatch.setattr(dense, "HELD", 1)
+    monkeypatch.setattr(dense, "CELLS", 40)
+    assert best() == ranked
+    far = dense.best_documents(docs, queries, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in far and "NestedLoop" not in far
+    assert dense.best_documents(docs, queries.where("embedding is null"), 6).count() == 0
 
 
 def test_no_product_of_short_queries_and_documents(spark):
@@ -72,6 +88,11 @@ def test_no_product_of_short_queries_and_documents(spark):
     got = {}
     for r in scoring.zero_filled_top(matched, queries, docs, 4).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    few = spark.createDataFrame([(1, i, -1.0) for i in range(0, 60) if i != 37], "query_id long, doc_id long, score double").unionByName(matched.where("query_id = 2"))
+    far = [(r.query_id, r.doc_id, r.score) for r in scoring.zero_filled_top(few, queries, docs, 4).orderBy("query_id", "rank").collect()]
+    assert far[:4] == [(1, 37, 0.0), (1, 60, 0.0), (1, 61, 0.0), (1, 62, 0.0)] and far[4:] == [(q, i, 0.0) for q in (2, 3) for i in range(4)]
+    all_ = [(r.query_id, r.doc_id) for r in scoring.zero_filled_top(few, queries, spark.range(30).select(F.col("id").alias("doc_id")), 4).orderBy("query_id", "rank").collect()]
+    assert all_ == [(1, 0), (1, 1), (1, 2), (1, 3), *((q, i) for q in (2, 3) for i in range(4))]
     assert got == {1: [(3, 0.5), (2, 0.0), (4, 0.0), (5, 0.0)], 2: [(0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0)], 3: [(0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0)]}
 
 

@@ -1,5 +1,7 @@
 """Fitted scorers against plain Python over all documents, with a candidate depth far below them."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -48,19 +50,27 @@ def test_first_shuffled():
         assert first_shuffled(n, k, seed).tolist() == shuffled(n, seed)[:k]
 
 
-def test_sigmoid_sees_all_documents(spark):
+@pytest.mark.parametrize("style", ["pytrec", "python-reference"])
+def test_sigmoid_by_style(spark, style):
+    """Judged pairs, the default descent and terms' posteriors; or all pairs, the longer one and the whole score's."""
     c = corpus(spark)
+    c.options = replace(c.options, style=style)
     rows = [r for r in c.sparse().collect()]
+    terms = [r for r in scoring.term_scores(c.index, c.queries).collect()]
     rel = {(r.query_id, r.doc_id): r.relevance for r in c.qrels.collect()}
     assert max(sum(r.query_id == q for r in rows) for q in range(8)) > 2 * DEPTH
     for name, (train, rest) in (("bayesian_fitted", (list(range(8)),) * 2), ("bayesian_fitted_split", split_queries(list(range(8)), 0.5, 42))):
-        own = [r for r in rows if r.query_id in train and r.bm25 > 0]
-        t = Transform().fit([r.bm25 for r in own], [float(rel.get((r.query_id, r.doc_id), 0) > 0) for r in own], 0.05, 3000)
+        own = [r for r in rows if r.query_id in train and r.bm25 > 0 and (style != "pytrec" or (r.query_id, r.doc_id) in rel)]
+        how = (0.01, 1000) if style == "pytrec" else (0.05, 3000)
+        t = Transform(1.0, 0.5).fit([r.bm25 for r in own], [float(rel.get((r.query_id, r.doc_id), 0) > 0) for r in own], *how)
         score = {(q, d): 0.0 for q in rest for d in range(N)}
-        for r in rows:
-            like, prior = safe(sigmoid(t.alpha * (r.bm25 - t.beta))), composite_prior(r.overlap, r.ratio)
-            if r.query_id in rest:
-                score[r.query_id, r.doc_id] = float(like * prior / (like * prior + (1 - like) * (1 - prior)))
+        post = lambda s, prior: (lambda like: like * prior / (like * prior + (1 - like) * (1 - prior)))(float(safe(sigmoid(t.alpha * (s - t.beta)))))  # noqa: B023, E731
+        if style == "pytrec":
+            for r in terms:
+                if r.query_id in rest and r.raw != 0:
+                    score[r.query_id, r.doc_id] = 1 - (1 - score[r.query_id, r.doc_id]) * (1 - post(r.raw, float(composite_prior(r.tf, r.ratio)))) ** r.qtf
+        else:
+            score |= {(r.query_id, r.doc_id): post(r.bm25, float(composite_prior(r.overlap, r.ratio))) for r in rows if r.query_id in rest}
         assert ranked(scorers()[name](c)) == best((q, d, s) for (q, d), s in score.items())
 
 
@@ -83,6 +93,36 @@ def test_calibrators_see_all_judged_documents(spark):
         assert ranked(scorers()[name](c)) == best((q, d, float(model.calibrate([cos[q, d]])[0])) for q, d in pool)
 
 
+def test_few_pairs_calibrate_nothing(spark):
+    c = corpus(spark)
+    c.qrels = c.qrels.where("doc_id < 2")
+    assert scorers()["dense_platt_split"](c).count() == 0 and scorers()["dense_isotonic_split"](c).count() == 0
+
+
+def test_vector_probabilities_of_all_documents(spark):
+    """Against the plain transform, which has every distance in one place: by gap, by weights, without either, and few documents."""
+    from rankweave.operators import binned_probability, dense
+    from rankweave.operators.vector_probability import VectorProbability
+
+    rng = np.random.default_rng(11)
+    axis = np.eye(3)[0]
+    spread = [(axis * a + rng.normal(size=3) * b).tolist() for a, b in [(0.0, 1.0)] * 200]
+    near = [(axis + rng.normal(size=3) * 0.02).tolist() for _ in range(30)]
+    for docs, weights in ((spread + near, True), ([(np.array([np.cos(t), np.sin(t), 0])).tolist() for t in np.linspace(0, 1.2, 300)], True), ([(np.array([np.cos(t), np.sin(t), 0])).tolist() for t in np.linspace(0, 1.2, 300)], False), (spread[:20] + near[:5], True)):
+        frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, embedding array<double>").repartition(3)
+        queries = spark.createDataFrame([(0, axis.tolist()), (1, [0.3, 1.0, 0.2])], "query_id long, embedding array<double>")
+        cos = {(r.query_id, r.doc_id): r.cos for r in dense.cosines(frame, queries).collect()}
+        w = {k: float(rng.uniform(0, 0.9)) for k in cos if rng.random() < 0.4} if weights else {}
+        given = spark.createDataFrame([(*k, v) for k, v in w.items()], "query_id long, doc_id long, weight double")
+        cand = spark.createDataFrame([(q, d, c) for (q, d), c in cos.items() if d % 3 == 0], "query_id long, doc_id long, cos double")
+        got = {(r.query_id, r.doc_id): r.probability for r in binned_probability.vector_probabilities(cand, frame, queries, given).collect()}
+        for q in (0, 1):
+            d = np.maximum(0, 1 - np.array([cos[q, i] for i in range(len(docs))]))
+            want = VectorProbability.background(d).calibrate(d, weights=[w.get((q, i), 0.0) for i in range(len(docs))])
+            mine = [got[q, i] for i in range(0, len(docs), 3)]
+            np.testing.assert_allclose(mine, want[::3], rtol=0, atol=2e-3)
+
+
 def test_every_query_is_ranked(spark):
     """More eligible queries than the 2,000 that were ranked before."""
     n = 2_050
