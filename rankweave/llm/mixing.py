@@ -5,10 +5,12 @@ source's target. The documents stand in the order of their size; one random offs
 the prefix sum of expected copies, and a document is emitted once per integer boundary that its
 stretch of the sum crosses.
 
-Copies are expected alike but for documents that are a noticeable part of their source. These
-form a certainty stratum: their expected copies are whole numbers, rounded from the common rate
-one after another so that what one has too much the next has less, and all others share what is
-then left of the target. So a long document does not make a source miss its target by its size.
+In the order of their size the words taken rise with the offset, by no more than the largest
+document from one end to the other, so a source misses its target by that at most. Only where a
+document is larger than ``MISS`` of its source's target are its expected copies whole numbers, rounded
+from the common rate one after another so that what one has too much the next has less; all others
+share what is then left of the target. Whole expected copies cross as many boundaries whatever the
+offset. A source of many documents has none so large, and is sampled as one.
 
 Ranks come from a range partitioning by (source, size, document): a source with a third of
 all rows spreads over as many partitions as it fills, each counted once, and the sums over
@@ -28,8 +30,9 @@ from .textcore import NON_SPACE, partitions, slices, small_batches, stored, tidy
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
-#: Share of its source's words above which a document's expected copies are a whole number; at most 1 / LARGE documents of a source.
-LARGE = 0.002
+#: By what share of its target a source may miss it. Documents above that have whole expected copies, if they are
+#: above an eighth of that share of their source too: 8 / MISS documents of a source at most.
+MISS = 0.03
 #: Rows of a table by source (and partition) that is sent to every task; larger ones are joined.
 BROADCAST_ROWS = 100_000
 #: Documents for each partition of the ranking.
@@ -104,7 +107,7 @@ def _whole_copies(rate: Column) -> Column:
     return F.aggregate("docs", start, step, lambda s: s["copies"])
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, large: float = LARGE, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, miss: float = MISS, seed: int = 0) -> DataFrame:
     """One row per document: doc_id, size, source_size, target and copies.
 
     A null text has size 0, a null source is a source of its own and the last; repeated rows
@@ -117,8 +120,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     sized = stored(sized, "mixing-sizes")
     aims = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "mixing-targets")
     rows = joined(sized, aims, "source")
-    is_large = F.col("size") > F.lit(large) * F.col("source_size")
-    few = rows.where(is_large).groupBy("source", "source_size", "target").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id")), asc=False).alias("docs"))  # 1 / large of a source at most
+    is_large = F.col("size") > F.greatest(F.lit(miss) * F.col("target"), F.lit(miss / 8) * F.col("source_size"))
+    few = rows.where(is_large).groupBy("source", "source_size", "target").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id")), asc=False).alias("docs"))  # 8 / miss of a source at most
     few = few.withColumn("copies", _whole_copies(F.col("target") / F.col("source_size")))
     few = stored(few.select("source", "source_size", "target", F.arrays_zip("docs", "copies").alias("docs")), "mixing-large")
     firm = few.select("source", F.aggregate("docs", F.lit(0).cast("long"), lambda s, d: s + d["copies"] * d["docs"]["size"]).alias("firm"), F.aggregate("docs", F.lit(0).cast("long"), lambda s, d: s + d["docs"]["size"]).alias("large_size"))

@@ -155,7 +155,7 @@ units(k, unit) AS (SELECT 0, 0::DOUBLE UNION ALL
   SELECT k + 1, (SELECT (1.5::DOUBLE * sum(source_size) - coalesce(sum(2.0::DOUBLE * source_size) FILTER (w * u.unit > 2.0::DOUBLE * source_size), 0)) / sum(w) FILTER (w * u.unit <= 2.0::DOUBLE * source_size) FROM t)
   FROM units u WHERE k < 100),
 aim AS MATERIALIZED (SELECT source, source_size, least(w * (SELECT max(unit) FROM units), 2.0::DOUBLE * source_size) AS target FROM t),
-j AS MATERIALIZED (SELECT d.doc_id, d.size, a.source, a.source_size, a.target, d.size > 0.002::DOUBLE * a.source_size AS large FROM d JOIN aim a ON d.source IS NOT DISTINCT FROM a.source),
+j AS MATERIALIZED (SELECT d.doc_id, d.size, a.source, a.source_size, a.target, d.size > greatest(0.03::DOUBLE * a.target, 0.00375::DOUBLE * a.source_size) AS large FROM d JOIN aim a ON d.source IS NOT DISTINCT FROM a.source),
 big AS MATERIALIZED (SELECT source, list(struct_pack(size := size, doc_id := doc_id) ORDER BY size DESC, doc_id DESC) AS l, any_value(target / source_size) AS rate FROM j WHERE large GROUP BY source),
 step(source, l, rate, i, due, taken, n) AS (SELECT source, l, rate, 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM big UNION ALL
   SELECT source, l, rate, i + 1, due + rate * l[i + 1].size, taken + c * l[i + 1].size, c

@@ -535,7 +535,7 @@ def test_toxicity_fit_is_the_same_dealt_out(spark):
         assert 0 <= fit_toxicity(d, lab, held=None).score(np.zeros(0), 3) <= 1
 
 
-def _plain_mix(rows, weights=(5.0, 2.0, 1.0), share=1.5, cap=2.0, large=0.002, seed=0):
+def _plain_mix(rows, weights=(5.0, 2.0, 1.0), share=1.5, cap=2.0, miss=0.03, seed=0):
     """(id, size, source, target, copies) of (id, text, source), by plain systematic sampling."""
     size = [len(re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode())) for _, t, _ in rows]
     names = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
@@ -549,8 +549,8 @@ def _plain_mix(rows, weights=(5.0, 2.0, 1.0), share=1.5, cap=2.0, large=0.002, s
     out = []
     for n in names:
         own = sorted(((z, i is not None, i or 0) for z, (i, _, s) in zip(size, rows, strict=True) if s == n))
-        big = [x for x in own if x[0] > large * total[n]][::-1]
-        rest = [x for x in own if x[0] <= large * total[n]]
+        big = [x for x in own if x[0] > max(miss * aim[n], miss / 8 * total[n])][::-1]
+        rest = [x for x in own if x[0] <= max(miss * aim[n], miss / 8 * total[n])]
         due, taken = 0.0, 0
         for x in big:
             rate = aim[n] / total[n]
@@ -583,9 +583,9 @@ def test_mixing(spark, docs):
         finally:
             mixing.BROADCAST_ROWS = 100_000
         assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
-    for n in {s for *_, s in rows}:
+    for n in {s for *_, s in rows}:  # the stated bound, or what a source of one long document allows
         own = [r for r in want if r[2] == sum(len((t or "").split()) for _, t, s in rows if s == n)]
-        assert abs(sum(r[4] * r[1] for r in own) - own[0][3]) <= 0.005 * own[0][3] + 160 or n in ("long", "one")
+        assert abs(sum(r[4] * r[1] for r in own) - own[0][3]) <= 0.03 * own[0][3] or n in ("long", "one")
     assert all(r[4] <= 2 for r in want)
     assert mixing.mix(d.limit(0)).count() == 0 and mixing.mix(docs).count() == docs.count()
 
