@@ -11,7 +11,7 @@ def ranking_metrics(ranked: DataFrame, qrels: DataFrame, cutoffs: list[int], sty
 
     pytrec: exponential gain, the ideal from all judgments, average precision over all
     relevant. python-reference: linear gain, the ideal from what was retrieved, average
-    precision over the hits.
+    precision over the hits. evaluator: as pytrec with linear gain.
     """
     top = max(cutoffs)
     qrels = qrels.select("query_id", "doc_id", F.col("relevance").cast("double").alias("relevance"))
@@ -30,14 +30,14 @@ def ranking_metrics(ranked: DataFrame, qrels: DataFrame, cutoffs: list[int], sty
         F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.sum("hit").alias("found"),
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("rel"))
-    if style == "pytrec":
+    if style != "python-reference":
         ideal = qrels.where("relevance > 0").select("query_id", F.col("relevance").alias("rel")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= top)
         ideal = ideal.crossJoin(ks).where(F.col("r") <= F.col("cutoff"))
     else:
         ideal = cut.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "cutoff").orderBy(F.desc("rel"))))
     ideal = ideal.groupBy("query_id", "cutoff").agg(F.sum(F.when(F.col("rel") > 0, gain(F.col("rel")) / disc(F.col("r"))).otherwise(0.0)).alias("best"))
     base = judged.crossJoin(ks).join(got, ["query_id", "cutoff"], "left").join(ideal, ["query_id", "cutoff"], "left")
-    full = F.col("relevant") if style == "pytrec" else F.col("found")
+    full = F.col("found") if style == "python-reference" else F.col("relevant")
     ratio = lambda a, b: F.when(b > 0, F.coalesce(a, F.lit(0.0)) / F.when(b > 0, b)).otherwise(0.0)
     return base.select("query_id", "cutoff", ratio(F.col("dcg"), F.col("best")).alias("ndcg"), ratio(F.col("ap"), full).alias("map"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), ratio(F.col("found").cast("double"), F.col("relevant")).alias("recall"))
 
@@ -92,6 +92,26 @@ def evaluate(runs: DataFrame, qrels: DataFrame, cutoffs: list[int], style: str =
     return by.groupBy("scorer", "cutoff").agg(F.count("*").alias("queries"), *(F.avg(m).alias(m) for m in ("ndcg", "map", "mrr", "recall")))
 
 
+def judged_means(runs: DataFrame, qrels: DataFrame, cutoffs: list[int]) -> DataFrame:
+    """runs(dataset, scorer, query_id, doc_id, score) by qrels(dataset, query_id, doc_id, relevance):
+    (scorer, dataset, cutoff, datasets, queries, ndcg, map, mrr, recall), as a run file's evaluator has them.
+
+    A query's documents stand by score in single precision, of equal ones the larger id first. A data set's
+    means are over the queries that have both a judgment and a run; a null dataset has the mean over a scorer's data sets.
+    """
+    order = Window.partitionBy("dataset", "scorer", "query_id").orderBy(F.col("score").cast("float").desc(), F.col("doc_id").desc())
+    key = F.struct("dataset", "scorer", F.col("query_id").alias("q")).alias("query_id")
+    ranked = runs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(cutoffs)).select(key, "doc_id", "rank")
+    asked = runs.select("dataset", "scorer", "query_id").distinct()
+    judged = qrels.join(asked, ["dataset", "query_id"]).select(key, "doc_id", "relevance")
+    names = ("ndcg", "map", "mrr", "recall")
+    by = ranking_metrics(ranked, judged, cutoffs, "evaluator").select("query_id.dataset", "query_id.scorer", "cutoff", *names)
+    means = by.groupBy("dataset", "scorer", "cutoff").agg(F.count("*").alias("queries"), *(F.avg(m).alias(m) for m in names))
+    sets = [[F.col("scorer"), F.col("cutoff"), F.col("dataset")], [F.col("scorer"), F.col("cutoff")]]
+    out = means.groupingSets(sets, "scorer", "cutoff", "dataset").agg(F.count("*").alias("datasets"), F.sum("queries").alias("queries"), *(F.avg(m).alias(m) for m in names))
+    return out.select("scorer", "dataset", "cutoff", "datasets", "queries", *names)
+
+
 def evaluate_calibration(runs: DataFrame, qrels: DataFrame, bins: int = 10, style: str = "pytrec", scorers: tuple[str, ...] = PROBABILITIES) -> DataFrame:
     """(scorer, ece, brier, samples). pytrec: judged pairs only; python-reference: every positive score of
     a judged query, unjudged documents as negative. Probabilities are clipped into [0, 1]."""
