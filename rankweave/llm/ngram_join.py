@@ -234,7 +234,7 @@ def _verify(width: int, threshold: float, equal: int):
 
 
 def _split(live: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The branches of rows (id, sig, high, path, used, m): id, sig, high, path, used, parent (the size of the bucket that was split).
+    """The branches of rows (id, sig, high, path, used, m): id, path, used, parent (the size of the bucket that was split).
 
     ``used`` has a bit for each token place on the path, which is not sampled again. At the root,
     which holds all sets, tokens have the two bytes of ``high`` more; past it that is empty.
@@ -250,7 +250,7 @@ def _split(live: DataFrame, width: int, threshold: float) -> DataFrame:
     two_bytes = lambda c: F.substring(F.col(c), 1 + 2 * F.col("place"), F.lit(2))
     token = F.concat(two_bytes("high"), two_bytes("sig"))
     mask = F.col("used").bitwiseOR(bit(F.col("place")))
-    return rows.select("id", "sig", F.lit(b"").alias("high"), F.xxhash64("path", "place", token).alias("path"), mask.alias("used"), F.col("m").alias("parent"))
+    return rows.select("id", F.xxhash64("path", "place", token).alias("path"), mask.alias("used"), F.col("m").alias("parent"))
 
 
 def _buckets(classes: DataFrame, threshold: float, recall: float, small: int, width: int) -> DataFrame:
@@ -259,15 +259,18 @@ def _buckets(classes: DataFrame, threshold: float, recall: float, small: int, wi
     while ran < (runs := runs_for(threshold, max(levels, LEVELS), recall, width)):
         live = classes.select("id", "sig", "high", F.explode(F.sequence(F.lit(ran), F.lit(runs - 1))).alias("run")).select("id", "sig", "high", F.xxhash64(F.lit("root"), "run").alias("path"), F.lit(0).cast("long").alias("used"), F.lit(everything).cast("long").alias("m"))
         ran, level = runs, 0
-        while level == 0 or not live.isEmpty():
+        while True:
             grown = _split(live, width, threshold)
             counts = grown.groupBy("path").agg(F.count("*").alias("m")).where("m > 1").select(apart("path").alias("k"), "m")  # what is alone has no partner there
             rows = stored(grown.withColumn("pk", apart("path")).join(counts, F.col("pk") == F.col("k")).drop("pk", "k"), "paths")
             over = (F.col("m") <= small) | (F.col("m") >= DENSE * F.col("parent")) | F.lit(level + 1 == DEEPEST)
             done.append(rows.where(over).select("id", "path", "m"))
-            live = rows.where(~over).select("id", "sig", "high", "path", "used", "m")
+            live = rows.where(~over).select("id", "path", "used", "m")
             level += 1
             levels = max(levels, level)
+            if live.isEmpty():
+                break
+            live = live.join(classes.select("id", "sig"), "id").withColumn("high", F.lit(b""))  # sketches of what is split again, not of all branches
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
