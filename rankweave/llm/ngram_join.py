@@ -37,7 +37,7 @@ RECALL = 0.9999
 SMALL = 128
 BLOCK = 512
 #: Share of a bucket in one of its branches from which its sets count as alike.
-DENSE = 0.75
+DENSE = 0.6
 #: Levels that the first runs allow for, more runs following if the trees grow deeper; at the deepest, a bucket is compared however large.
 LEVELS, DEEPEST = 3, 5
 _U = np.uint64
