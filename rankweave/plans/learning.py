@@ -15,7 +15,7 @@ from ..operators import base_rate, scoring, training
 from ..operators.binned_probability import vector_probabilities
 from ..operators.gradients import fit_attention, fit_learnable, fit_sigmoid
 from ..operators.learners import AttentionWeights, Isotonic, MultiHead, Platt, Transform, descend, fit_by_group, isotonic_blocks
-from .retrieval import DEPTH, Corpus, Scorer, _base, _safe, _sigmoid, shown
+from .retrieval import _SIGNALS, _VECTORS, DEPTH, Corpus, Scorer, _base, _logit, _safe, _sigmoid, shown
 
 #: Bins of scores in a unit of BM25 and of cosine.
 SPARSE_BINS, DENSE_BINS = 1 << 10, 1 << 16
@@ -289,6 +289,18 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 SELECT query_id, doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM rk WHERE rank <= 10"""
 
 
+def _learnable_sql() -> str:
+    """The two weights' descent as a recursion."""
+    mid = "(w * x0 + (1 - w) * x1)"
+    error = f"({_sigmoid(mid)} - y)"
+    return f"""WITH RECURSIVE {_base("lucene")}, {_VECTORS}, {_SIGNALS},
+x AS MATERIALIZED (SELECT {_logit("bayes")} AS x0, {_logit(_safe("(1 + cos) / 2"))} AS x1, CASE WHEN q.label = d.label THEN 1.0::DOUBLE ELSE 0 END AS y FROM sig JOIN qv q USING (query_id) JOIN dv d USING (doc_id)),
+gd(k, z0, z1, still) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, true UNION ALL
+  SELECT g.k + 1, g.z0 - 0.1::DOUBLE * m.g0, g.z1 - 0.1::DOUBLE * m.g1, greatest(abs(0.1::DOUBLE * m.g0), abs(0.1::DOUBLE * m.g1)) >= 1e-9::DOUBLE
+  FROM gd g, LATERAL (SELECT avg({error} * w * (x0 - {mid})) AS g0, avg({error} * (1 - w) * (x1 - {mid})) AS g1 FROM (SELECT *, 1 / (1 + exp(g.z1 - g.z0)) AS w FROM x)) m WHERE g.k < 300 AND g.still)
+SELECT round(1 / (1 + exp(z1 - z0)), 6) AS sparse_weight, round(1 / (1 + exp(z0 - z1)), 6) AS dense_weight FROM gd ORDER BY k DESC LIMIT 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Of the fits the base rates and the sigmoids; the tests hold the other models to known values."""
-    return {"base_rates": _rates_sql(), "bayesian_fitted": _fitted_sql(False), "bayesian_fitted_split": _fitted_sql(True)}
+    """Of the fits the base rates, the sigmoids and the two weights; the tests hold the other models to plain descents."""
+    return {"learnable_weights": _learnable_sql(), "base_rates": _rates_sql(), "bayesian_fitted": _fitted_sql(False), "bayesian_fitted_split": _fitted_sql(True)}
