@@ -31,11 +31,13 @@ OWN_BYTES = 512 << 20
 STATES = 8
 ROUNDS = 6
 #: Tokens whose messages are held at once; longer stretches keep one message a text at their borders.
-HELD = 400_000
+HELD = 800_000
 CLASSES = 4
 #: Text bytes for each bucket of the word counts.
 BUCKET_BYTES = 10 << 20
 _BLOCK = 2048
+#: Rows whose products are summed in the messages' precision.
+_ROWS = 8192
 _U = np.uint64
 
 
@@ -195,80 +197,92 @@ class Model:
 
     def forward(self, ids: np.ndarray, ptr: np.ndarray) -> np.ndarray:
         """Natural log probability of each sequence ids[ptr[i]:ptr[i+1]], by the scaled recursion."""
-        n = np.diff(ptr)
-        order = np.argsort(-n, kind="stable")
-        n, first = n[order], ptr[:-1][order]
-        total = np.zeros(len(n))
-        table = np.ascontiguousarray(self.emit.T)
-        live = int(np.searchsorted(-n, 0, "left"))
-        if live:
-            alpha = self.start * table[ids[first[:live]]]
-            for t in range(int(n[0])):
-                if t:
-                    live = int(np.searchsorted(-n, -t, "left"))
-                    alpha = (alpha[:live] @ self.trans) * table[ids[first[:live] + t]]
-                c = alpha.sum(1)
-                alpha /= c[:, None]
-                total[:live] += np.log(c)
-        out = np.empty(len(n))
+        order, first, live, done, cuts = _side_by_side(ptr)
+        total, table, ones, before = np.zeros(len(order)), np.ascontiguousarray(self.emit.T), np.ones(self.states), None
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            who, token, off = _stretch(ids, first, live, done, lo, hi)
+            alpha, scale = table[token], np.empty(len(token))
+            for x, y in zip(off[:-1], off[1:], strict=True):
+                a = alpha[x:y]
+                a *= self.start if before is None else before[: y - x] @ self.trans
+                a /= np.matmul(a, ones, out=scale[x:y])[:, None]
+                before = a
+            total += np.bincount(who, weights=np.log(scale), minlength=len(total))
+        out = np.empty(len(order))
         out[order] = total
         return out
 
     def expect(self, ids: np.ndarray, ptr: np.ndarray, kind=np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected emissions, transitions and starts over whole texts, messages in ``kind`` and sums in double precision.
 
-        Texts run side by side. The forward messages of at most about HELD tokens are held at
+        Texts run side by side. The messages of at most about HELD tokens are held at
         once: of earlier steps only those before each stretch, from which it is run again.
+        A step makes messages alone; what they add up to is summed by stretch.
         """
-        n = np.diff(ptr)
-        order = np.argsort(-n, kind="stable")
-        n, first = n[order], ptr[:-1][order]
+        _, first, live, done, cuts = _side_by_side(ptr)
         s, table, step, begin = self.states, np.ascontiguousarray(self.emit.T, kind), self.trans.astype(kind), self.start.astype(kind)
         back_step, ones = np.ascontiguousarray(step.T), np.ones(self.states, kind)
         emit, trans, start = np.zeros((s, self.end + 1)), np.zeros((s, s)), np.zeros(s)
-        if not len(n) or not n[0]:
+        if len(cuts) < 2:
             return emit, trans, start
-        live = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # texts longer than t
-        done = np.concatenate([[0], np.cumsum(live)])
-        cuts = [0]
-        while cuts[-1] < len(live):
-            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(done, done[cuts[-1]] + HELD, "right")) - 1))
 
         def forward(lo: int, hi: int, before: np.ndarray | None):
-            at = np.repeat(np.arange(lo, hi), live[lo:hi])
-            token = ids[first[np.arange(len(at)) - (done[at] - done[lo])] + at]
+            _, token, off = _stretch(ids, first, live, done, lo, hi)
             like = table[token]
-            alpha, scale, off = np.empty_like(like), np.empty(len(like), kind), (done[lo : hi + 1] - done[lo]).tolist()
+            alpha, scale = np.empty_like(like), np.empty(len(like), kind)
             for x, y in zip(off[:-1], off[1:], strict=True):
-                a = like[x:y] * (begin if before is None else before[: y - x] @ step)
-                c = a @ ones
-                scale[x:y] = c
-                before = np.divide(a, c[:, None], out=alpha[x:y])
+                a = np.multiply(like[x:y], begin if before is None else before[: y - x] @ step, out=alpha[x:y])
+                a /= np.matmul(a, ones, out=scale[x:y])[:, None]
+                before = a
             return token, like, alpha, scale, off
 
         borders: list[np.ndarray | None] = [None]  # the message before each stretch
         for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
             got = forward(lo, hi, borders[-1])
             borders.append(got[2][got[4][-2] :].copy())
-        beta = np.ones((0, s), kind)
+        after = np.ones((0, s), kind)  # the backward message from the stretch behind
         for lo, hi, before in zip(cuts[-2::-1], cuts[:0:-1], borders[::-1], strict=True):
-            token, like, alpha, scale, off = forward(lo, hi, before)
-            like /= scale[:, None]
-            for k in range(hi - lo - 1, -1, -1):
+            token, back, alpha, scale, off = forward(lo, hi, before)
+            back /= scale[:, None]
+            beta = np.ones_like(back)
+            beta[off[-2] : off[-2] + len(after)] = after
+            for k in range(hi - lo - 1, 0, -1):
                 x, y = off[k], off[k + 1]
-                if len(beta) < y - x:
-                    beta = np.concatenate([beta, np.ones((y - x - len(beta), s), kind)])
-                back = like[x:y] * beta
-                alpha[x:y] *= beta  # now the posteriors
-                if k or before is not None:
-                    past = alpha[off[k - 1] : off[k - 1] + y - x] if k else before[: y - x]
-                    trans += (past.T @ back) * self.trans
-                    beta = back @ back_step
-            if before is None:
-                start += alpha[: off[1]].sum(0)
+                own = np.multiply(back[x:y], beta[x:y], out=back[x:y])
+                np.matmul(own, back_step, out=beta[off[k - 1] : off[k - 1] + y - x])
+            back[: off[1]] *= beta[: off[1]]
+            if before is not None:
+                trans += before[: off[1]].T @ back[: off[1]]
+                after = back[: off[1]] @ back_step
+            else:
+                start += (alpha[: off[1]] * beta[: off[1]]).sum(0)
+            last = np.arange(off[1], off[-1]) - np.repeat(live[lo : hi - 1], live[lo + 1 : hi])  # a token's row one step earlier
+            for i in range(0, len(last), _ROWS):
+                at = last[i : i + _ROWS]
+                trans += alpha[at].T @ back[off[1] + i : off[1] + i + len(at)]
+            alpha *= beta  # now the posteriors
             for k, own in enumerate(np.ascontiguousarray(alpha.T)):
                 emit[k] += np.bincount(token, weights=own, minlength=self.end + 1)
-        return emit, trans, start
+        return emit, trans * self.trans, start
+
+
+def _side_by_side(ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Texts with the longest first: their order and first tokens, how many are longer than each place, tokens before each place, cuts into stretches."""
+    n = np.diff(ptr)
+    order = np.argsort(-n, kind="stable")
+    live = np.searchsorted(-n[order], -np.arange(int(n.max(initial=0))), "left")
+    done = np.concatenate([[0], np.cumsum(live)])
+    cuts = [0]
+    while cuts[-1] < len(live):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(done, done[cuts[-1]] + HELD, "right")) - 1))
+    return order, ptr[:-1][order], live, done, cuts
+
+
+def _stretch(ids: np.ndarray, first: np.ndarray, live: np.ndarray, done: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Places ``lo`` to ``hi`` of all texts, place by place: each row's text and emission, and the bounds of places."""
+    at = np.repeat(np.arange(lo, hi), live[lo:hi])
+    who = np.arange(len(at)) - (done[at] - done[lo])
+    return who, ids[first[who] + at], (done[lo : hi + 1] - done[lo]).tolist()
 
 
 def _uid(counter: list[int], n: int) -> np.ndarray:
@@ -330,7 +344,7 @@ def _encode(model: Model, n: int):
     return run
 
 
-def _ids(b: pa.RecordBatch, kind: type, limit: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _ids(b: pa.RecordBatch, kind: type, limit: int = HELD) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     width = np.dtype(kind).itemsize
     for lo, hi, buf, offs in slices(b.column("ids"), width * limit):
         yield lo, hi, np.ascontiguousarray(buf).view(kind), offs // width
