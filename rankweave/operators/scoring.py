@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.analysis import tokenize
 from .dense import best_documents
-from .index import BROADCAST_TERMS, Index, idf
+from .index import BROADCAST_TERMS, Index, Params, idf
 
 
 def query_terms(queries: DataFrame, *, query_id: str = "query_id", text: str = "text", terms: str | None = None) -> DataFrame:
@@ -40,15 +40,18 @@ def _prior(tf: Column, ratio: Column, avgdl: Column) -> Column:
     return X.clamp(0.7 * X.tf_prior(tf) + 0.3 * length, 0.1, 0.9)
 
 
+def posterior_of(p: Params) -> Column:
+    """A term's posterior, of rows with raw, tf, ratio and avgdl."""
+    return X.posterior(X.likelihood(F.col("raw"), p.alpha, p.beta), _prior(F.col("tf"), F.col("ratio"), F.col("avgdl")), p.base_rate, safe=False)
+
+
 def sparse_scores(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, bm25, bayes, overlap, ratio) of the documents that share a term.
 
     bayes is the noisy-or of the terms' posteriors; a term of raw score 0 adds nothing.
     """
-    p = index.params
     rows = term_scores(index, queries)
-    post = X.posterior(X.likelihood(F.col("raw"), p.alpha, p.beta), _prior(F.col("tf"), F.col("ratio"), F.col("avgdl")), p.base_rate, safe=False)
-    miss = F.when(F.col("raw") != 0, F.col("qtf") * F.log(1.0 - X.safe_prob(post))).otherwise(0.0)
+    miss = F.when(F.col("raw") != 0, F.col("qtf") * F.log(1.0 - X.safe_prob(posterior_of(index.params)))).otherwise(0.0)
     return rows.groupBy("query_id", "doc_id").agg(
         F.sum(F.col("qtf") * F.col("raw")).alias("bm25"), (1.0 - F.exp(F.sum(miss))).alias("bayes"),
         F.count("*").alias("overlap"), F.first("ratio").alias("ratio"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, scoring
+from ..operators.blocksearch import BlockIndex, block_bounds_of
 from ..operators.dense import best_documents, cosines
 from ..operators.index import Index, Params, block_max
 from ..operators.selfcheck import SelfCheck
@@ -162,6 +163,22 @@ def _block_max(spark: SparkSession, d: str) -> DataFrame:
     return block_max(rows, 64).select("term", "block_id", F.round("max_score", 6).alias("max_score"))
 
 
+def _block_search(score: str):
+    """The best matches through block bounds. The blocks' postings are checkpointed where the session
+    names a folder for it, else computed by each pass."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        index = Index.build(_read(spark, d, "documents"), params=Params(method="lucene"))
+        asked = scoring.query_terms(_read(spark, d, "benchmark"), query_id="item_id")
+        built = BlockIndex.build(index)
+        if spark.conf.get("spark.checkpoint.dir", None):
+            stored = built.postings.checkpoint()
+            built = replace(built, postings=stored, blocks=block_bounds_of(stored))
+        return _shown(built.search(asked, TOP, score))
+
+    return run
+
+
 FIELDS = {"title": 0.2, "body": 0.8}
 
 
@@ -207,7 +224,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: shown(f) for n, f in known.items()} | {
         "bm25": shown(known["bm25"], robertson), "bm25_lucene": shown(known["bm25"], lucene), "bayesian_robertson": shown(known["bayesian"], robertson), "bayesian_no_base_rate": shown(known["bayesian"], lucene), "bayesian": shown(known["bayesian"], lucene), "bayesian_base_rate": shown(known["bayesian"], rated),
         "bayesian_multifield": _multi_field, "bayesian_multifield_bal": _multi_field_balanced, "metrics_pytrec": _metrics("pytrec"), "metrics_reference": _metrics("python-reference"), "metrics_by_scorer": _by_scorer,
-        "calibration": _calibration, "reliability": _reliability, "term_stats": _term_stats, "corpus_stats": _corpus_stats, "block_max": _block_max, "self_checks": _self_checks,
+        "calibration": _calibration, "reliability": _reliability, "term_stats": _term_stats, "corpus_stats": _corpus_stats, "block_max": _block_max, "block_search_bm25": _block_search("bm25"), "block_search_bayesian": _block_search("bayes"), "self_checks": _self_checks,
     }
 
 
@@ -321,6 +338,8 @@ def oracle_sql() -> dict[str, str]:
     out["term_stats"] = "SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: lower(x))) AS term FROM documents) GROUP BY term"
     out["corpus_stats"] = "SELECT count(*) AS n, round(avg(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'))), 6) AS avgdl FROM documents"
     out["block_max"] = f"WITH {_base('lucene')} SELECT term, (doc_id // 64)::BIGINT AS block_id, round(max(raw), 6) AS max_score FROM ts GROUP BY 1, 2"
+    for name, col in (("bm25", "bm25"), ("bayesian", "bayes")):
+        out[f"block_search_{name}"] = _ranked(f"{col} AS score FROM sp", _base("lucene"))
     split = "(SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, CASE WHEN instr(coalesce(text, ''), chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END AS body FROM documents)"
     fields = f"{_base('lucene', 'title', split, '1')}, {_base('lucene', 'body', split, '2')}"
     raw = f"(0.8::DOUBLE * {_logit('coalesce(b.bayes, 0)')} + 0.2::DOUBLE * {_logit('coalesce(a.bayes, 0)')}) * sqrt(2::DOUBLE)"
