@@ -11,8 +11,9 @@ from ..functions import exprs as X
 from .index import Index, Params, idf
 from .scoring import posterior_of, top_k
 
-#: Documents to a block; hash groups of a length class, which number the documents independently.
-BLOCK, GROUPS = 64, 256
+#: Documents to a block; blocks searched for the threshold; hash groups of a length class, which number the
+#: documents independently. Small blocks have tight bounds and a longer table of them.
+BLOCK, FIRST, GROUPS = 8, 32, 256
 #: What a bound may miss by rounding, and what scores are rounded by when ranked.
 SLACK = 1e-8
 
@@ -106,7 +107,7 @@ class BlockIndex:
         miss = F.when(F.col("raw") != 0, F.col("qtf") * F.log(1.0 - X.safe_prob(posterior_of(self.params)))).otherwise(0.0)
         return rows.groupBy("query_id", "doc_id").agg((1.0 - F.exp(F.sum(miss))).alias("score"))
 
-    def kept(self, queries: DataFrame, k: int, score: str = "bm25", first: int = 4) -> DataFrame:
+    def kept(self, queries: DataFrame, k: int, score: str = "bm25", first: int = FIRST) -> DataFrame:
         """``bounds`` with ``threshold`` and ``kept``: the blocks that may hold one of the best ``k``.
 
         The ``first`` blocks of the highest bound are searched; the k-th best score in them is the
@@ -118,7 +119,7 @@ class BlockIndex:
         reached = top_k(self.scores(queries, ahead, score), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("threshold"))
         return bounds.join(reached, "query_id", "left").withColumn("kept", F.col("threshold").isNull() | (F.col("bound") >= F.col("threshold") - SLACK))
 
-    def search(self, queries: DataFrame, k: int, score: str = "bm25", first: int = 4) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, score: str = "bm25", first: int = FIRST) -> DataFrame:
         """(query_id, doc_id, score, rank): the best ``k`` matches by ``bm25`` or ``bayes``, equal to a full search.
 
         A query without a matching term has no rows; repeated terms count as often as ``qtf`` says.
@@ -127,7 +128,7 @@ class BlockIndex:
             raise ValueError(f"no block bound for {score}")
         return top_k(self.scores(queries, self.kept(queries, k, score, first).where("kept"), score), k)
 
-    def read_share(self, queries: DataFrame, k: int, score: str = "bm25", first: int = 4) -> DataFrame:
+    def read_share(self, queries: DataFrame, k: int, score: str = "bm25", first: int = FIRST) -> DataFrame:
         """(query_id, blocks, blocks_kept, postings, postings_kept), from the bounds alone."""
         rows = self.kept(queries, k, score, first)
         of = lambda x: F.sum(F.when(F.col("kept"), x).otherwise(0))
