@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .index import Index, Params, idf
-from .scoring import posterior_of, top_k
+from .index import Index, Params
+from .scoring import bm25_of, posterior_of, top_k
 
 #: Documents to a block; blocks searched for the threshold; hash groups of a length class, which number the
 #: documents independently. Small blocks have tight bounds and a longer table of them.
@@ -55,10 +55,7 @@ class BlockIndex:
         rows = index.postings()
         places = ordinals(index.docs).select("doc_id", F.floor(F.col("ord") / block).cast("long").alias("block_id"))
         rows = rows.join(places, "doc_id").join(index.term_stats(rows), "term").crossJoin(stats)
-        ratio = F.when(F.col("avgdl") > 0, F.col("doc_len") / F.col("avgdl")).otherwise(1.0)
-        tf = F.col("tf").cast("double")
-        gain = tf / (p.k1 * (1.0 - p.b + p.b * ratio) + tf)
-        raw = idf(F.col("n"), F.col("df"), p.method) * gain * (1.0 if p.method == "lucene" else p.k1 + 1.0)
+        ratio, raw = bm25_of(p)
         scored = rows.select("term", "block_id", "doc_id", "tf", ratio.alias("ratio"), "avgdl", raw.alias("raw"))
         return cls(scored, block_bounds_of(scored), p)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.analysis import tokenize
 from .dense import best_documents
-from .index import BROADCAST_TERMS, Index, Params, idf
+from .index import BROADCAST_TERMS, Index, Params, check_fields, idf, spread
 
 
 def query_terms(queries: DataFrame, *, query_id: str = "query_id", text: str = "text", terms: str | None = None) -> DataFrame:
@@ -17,6 +17,14 @@ def query_terms(queries: DataFrame, *, query_id: str = "query_id", text: str = "
     return queries.select(F.col(query_id).alias("query_id"), F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def bm25_of(p: Params) -> tuple[Column, Column]:
+    """A posting's length ratio and its term's BM25, of rows with doc_len, avgdl, tf, n and df."""
+    ratio = F.when(F.col("avgdl") > 0, F.col("doc_len") / F.col("avgdl")).otherwise(1.0)
+    tf = F.col("tf").cast("double")
+    gain = tf / (p.k1 * (1.0 - p.b + p.b * ratio) + tf)
+    return ratio, idf(F.col("n"), F.col("df"), p.method) * gain * (1.0 if p.method == "lucene" else p.k1 + 1.0)
+
+
 def term_scores(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, term, qtf, tf, ratio, raw): BM25 of each query term in each document that has it."""
     p = index.params
@@ -26,12 +34,8 @@ def term_scores(index: Index, queries: DataFrame) -> DataFrame:
     if queries.select("term").distinct().limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         df = F.broadcast(df)  # a row for each query term: frequent terms then stay spread over all documents
         queries = F.broadcast(queries) if queries.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else queries
-    rows = postings.join(df, "term").crossJoin(stats)
-    ratio = F.when(F.col("avgdl") > 0, F.col("doc_len") / F.col("avgdl")).otherwise(1.0)
-    tf = F.col("tf").cast("double")
-    gain = tf / (p.k1 * (1.0 - p.b + p.b * ratio) + tf)
-    raw = idf(F.col("n"), F.col("df"), p.method) * gain * (1.0 if p.method == "lucene" else p.k1 + 1.0)
-    scored = rows.select("doc_id", "term", "tf", ratio.alias("ratio"), F.col("avgdl"), raw.alias("raw"))
+    ratio, raw = bm25_of(p)
+    scored = postings.join(df, "term").crossJoin(stats).select("doc_id", "term", "tf", ratio.alias("ratio"), F.col("avgdl"), raw.alias("raw"))
     return scored.join(queries, "term")
 
 
@@ -189,3 +193,29 @@ def multi_field_scores(indexes: dict[str, Index], queries: DataFrame, weights: d
         out = one if out is None else out.join(one, ["query_id", "doc_id"], "full_outer")
     ps = [F.coalesce(f"p_{f}", F.lit(0.0)) for f in names]
     return out.select("query_id", "doc_id", X.log_odds_conjunction(ps, alpha=alpha, weights=[w[f] for f in names]).alias("score"))
+
+
+def field_scores(docs: DataFrame, queries: DataFrame, weights: dict[str, float], params: Params, alpha: float = 0.5) -> DataFrame:
+    """As :func:`multi_field_scores`, of docs(doc_id, an array of tokens for each field), in one pass.
+
+    Postings are keyed by (document, field, term), so all fields share each shuffle, and a field's score
+    is a sum over its own rows; no join of fields. A document that lacks a field (null) is an error that names it;
+    where a field has no token in any document there is no scorer, and no rows.
+    """
+    names = sorted(weights)
+    X.check_weights([weights[f] for f in names], len(names))
+    rows = docs if check_fields(docs, names) else docs.where(F.lit(False))
+    rows = spread(rows.select("doc_id", *names))
+    mean = rows.agg(F.count("*").cast("double").alias("n"), *(F.coalesce(F.avg(F.size(f)), F.lit(0.0)).alias(f) for f in names))
+    stats = mean.select("n", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("avgdl")) for f in names))).alias("s")).select("n", "s.field", "s.avgdl")  # a row a field
+    each = rows.select("doc_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens")) for f in names))).alias("s"))
+    terms = each.select("doc_id", "s.field", F.size("s.tokens").alias("doc_len"), F.explode("s.tokens").alias("term"))
+    wanted = queries.select("term").distinct()
+    small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    postings = terms.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").groupBy("doc_id", "field", "term").agg(F.first("doc_len").alias("doc_len"), F.count("*").alias("tf"))
+    df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    ratio, raw = bm25_of(params)
+    scored = postings.join(F.broadcast(df) if small else df, ["field", "term"]).join(F.broadcast(stats), "field").select("doc_id", "field", "term", "tf", "avgdl", ratio.alias("ratio"), raw.alias("raw"))
+    miss = F.when(F.col("raw") != 0, F.col("qtf") * F.log(1.0 - X.safe_prob(posterior_of(params)))).otherwise(0.0)
+    sums = scored.join(queries, "term").groupBy("query_id", "doc_id").agg(*(F.sum(F.when(F.col("field") == f, miss).otherwise(0.0)).alias(f"m_{f}") for f in names))
+    return sums.select("query_id", "doc_id", X.log_odds_conjunction([1.0 - F.exp(f"m_{f}") for f in names], alpha=alpha, weights=[weights[f] for f in names]).alias("score"))

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.analysis import tokenize
 from ..operators import metrics, scoring
 from ..operators.blocksearch import BlockIndex, block_bounds_of
 from ..operators.dense import best_documents, cosines
@@ -182,23 +183,23 @@ def _block_search(score: str):
 FIELDS = {"title": 0.2, "body": 0.8}
 
 
-def _fields(spark: SparkSession, d: str) -> dict[str, Index]:
-    """Two fields of the documents, the first line and the rest."""
+def _field_scores(spark: SparkSession, d: str, queries: DataFrame) -> DataFrame:
+    """Scores over two fields of the documents, the first line and the rest."""
     text = F.coalesce("text", F.lit(""))
     rest = F.when(F.instr(text, "\n") > 0, F.substr(text, F.instr(text, "\n") + 1)).otherwise("")
-    parts = _read(spark, d, "documents").select("doc_id", F.substring_index(text, "\n", 1).alias("title"), rest.alias("body"))
-    return {f: Index.build(parts, text=f, params=Params(method="lucene")) for f in FIELDS}
+    parts = _read(spark, d, "documents").select("doc_id", tokenize(F.substring_index(text, "\n", 1)).alias("title"), tokenize(rest).alias("body"))
+    return scoring.field_scores(parts, queries, FIELDS, Params(method="lucene"))
 
 
 def _multi_field(spark: SparkSession, d: str) -> DataFrame:
-    rows = scoring.multi_field_scores(_fields(spark, d), scoring.query_terms(_read(spark, d, "benchmark"), query_id="item_id"), FIELDS)
+    rows = _field_scores(spark, d, scoring.query_terms(_read(spark, d, "benchmark"), query_id="item_id"))
     return _shown(scoring.top_k(rows, TOP))
 
 
 def _multi_field_balanced(spark: SparkSession, d: str) -> DataFrame:
     """The fields' score fused with the cosine over the best candidates of both."""
     c = Corpus.of_tables(spark, d)
-    rows = scoring.multi_field_scores(_fields(spark, d), c.queries.join(c.vectors.select("query_id"), "query_id", "left_semi"), FIELDS)
+    rows = _field_scores(spark, d, c.queries.join(c.vectors.select("query_id"), "query_id", "left_semi"))
     sparse = rows.select("query_id", "doc_id", F.col("score").alias("bm25"), F.col("score").alias("bayes"), F.lit(0).alias("overlap"), F.lit(None).cast("double").alias("ratio"))
     return _shown(scoring.top_k(scoring.fuse(scoring.signals(sparse, c.vectors, c.docs, DEPTH), "balanced_fusion"), TOP))
 

@@ -76,3 +76,23 @@ def test_empty_and_wrong(spark, tables):
     for wrong in ("bayes", "dense"):
         with pytest.raises(ValueError):
             built.search(asked, 3, wrong)
+
+
+def test_fields_in_one_pass(spark, tables):
+    from rankweave.functions.analysis import tokenize
+    from rankweave.operators import scoring
+    from rankweave.operators.index import Index, Params
+
+    docs, queries = tables
+    text = F.coalesce("text", F.lit(""))
+    parts = docs.select("doc_id", F.substring(text, 1, 20).alias("title"), F.expr("substring(coalesce(text, ''), 21)").alias("body"))
+    asked, weights, p = scoring.query_terms(queries), {"title": 0.3, "body": 0.7}, Params(base_rate=0.1)
+    tokens = parts.select("doc_id", *(tokenize(F.col(f)).alias(f) for f in weights))
+    apart = scoring.multi_field_scores({f: Index.build(parts, text=f, params=p) for f in weights}, asked, weights)
+    key = lambda df: sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in df.collect())
+    assert key(scoring.field_scores(tokens, asked, weights, p)) == key(apart)
+    assert scoring.field_scores(tokens.withColumn("title", F.array().cast("array<string>")), asked, weights, p).count() == 0
+    with pytest.raises(ValueError, match='document 5 lacks field "body"'):
+        scoring.field_scores(tokens.withColumn("body", F.when(F.col("doc_id") != 5, F.col("body"))), asked, weights, p)
+    with pytest.raises(ValueError):
+        scoring.field_scores(tokens, asked, {"title": 0.3, "body": 0.9}, p)
