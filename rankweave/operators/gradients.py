@@ -22,7 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learners import AttentionWeights, LearnableWeights, Transform, composite_prior, logit, min_max
+from .learners import AttentionWeights, LearnableWeights, Transform, composite_prior, descend, fit_by_group, logit, min_max, safe, sigmoid
 
 #: The arrays of a block's rows, from their frame; and the sum of the gradient over them at given parameters.
 Prepare = Callable[[pd.DataFrame], tuple]
@@ -169,3 +169,39 @@ def fit_sigmoid(rows: DataFrame, *, start: tuple[float, float] = (1.0, 0.0), awa
 
     got = fit_together(rows, key, list(order), [np.array(start, float)], prepare, lambda t, *data: Transform.gradient(t, *data, n=1), rate=rate, steps=steps, tol=tol)
     return {m: (n, float(t[0]), float(t[1])) for m, (n, (t,)) in got.items()}
+
+
+#: Bins of a score's unit in :func:`fit_sigmoid_binned`.
+SIGMOID_BINS = 1 << 8
+
+
+def fit_sigmoid_binned(rows: DataFrame, *, start: tuple[float, float] = (1.0, 0.0), rate: float = 0.01, steps: int = 1000, tol: float = 1e-6) -> tuple[int, float, float]:
+    """(rows, alpha, beta) of rows(score, label), as :func:`fit_sigmoid` without priors or ages gives them, in one job.
+
+    Rows of a label are summed up by bins of the score ``1 / SIGMOID_BINS`` wide: their number and the sums of the first five
+    powers of the distance to the bin's middle. Inside a bin the sigmoid is its series to the fourth power, whose rest is
+    below 1e-16 * alpha ** 5; so all rows count, and the fit is that of the rows to rounding. A bin is a row, so
+    the range of the score bounds what the task that descends holds.
+    """
+    d = F.col("score") - (F.col("bin") + 0.5) / SIGMOID_BINS
+    binned = rows.select(F.floor(F.col("score") * SIGMOID_BINS).alias("bin"), "label", "score")
+    powers = [F.sum(F.lit(1.0)), F.sum(d), F.sum(d * d), F.sum(d * d * d), F.sum(d * d * d * d), F.sum(d * d * d * d * d)]
+    sums = binned.groupBy("bin", "label").agg(*(p.alias(f"m{i}") for i, p in enumerate(powers))).withColumn("model", F.lit(0))
+
+    def fit(p: pd.DataFrame) -> dict:
+        m, y, mid = p[[f"m{i}" for i in range(6)]].to_numpy().T, p.label.to_numpy(float), (p.bin.to_numpy() + 0.5) / SIGMOID_BINS
+        n = m[0].sum()
+
+        def gradient(t: np.ndarray) -> np.ndarray:
+            a, b = t
+            like = safe(sigmoid(a * (mid - b)))
+            v = like * (1 - like)
+            series = [like - y, a * v, a**2 * v * (1 - 2 * like) / 2, a**3 * v * (1 - 6 * v) / 6, a**4 * v * (1 - 2 * like) * (1 - 12 * v) / 24]
+            error, slope = sum(c * m[i] for i, c in enumerate(series)), sum(c * m[i + 1] for i, c in enumerate(series))
+            return np.array([(error * (mid - b) + slope).sum(), -a * error.sum()]) / n
+
+        alpha, beta = descend(np.array(start, float), gradient, rate, steps, tol)
+        return {"n": int(n), "alpha": float(alpha), "beta": float(beta)}
+
+    got = fit_by_group(sums, ["model"], fit, "n long, alpha double, beta double", ["bin", "label"]).collect()
+    return (got[0].n, got[0].alpha, got[0].beta) if got else (0, *start)

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import base_rate, scoring, training
 from ..operators.binned_probability import vector_probabilities
-from ..operators.gradients import fit_attention, fit_learnable, fit_sigmoid
+from ..operators.gradients import fit_attention, fit_learnable, fit_sigmoid_binned
 from ..operators.learners import AttentionWeights, Isotonic, MultiHead, Platt, Transform, descend, fit_by_group, isotonic_blocks
+from ..operators.packed import Packed
 from .retrieval import _SIGNALS, _VECTORS, DEPTH, Corpus, Scorer, _base, _logit, _safe, _sigmoid, shown
 
 #: Bins of scores in a unit of BM25 and of cosine.
@@ -76,7 +77,11 @@ def _fitted(kind: str):
         train, rest = (_ids(c, False),) * 2 if kind == "all" else _train_ids(c, False)
         given, whole = c.index.params, c.options.style == "python-reference"
         some = lambda ids: c.queries.join(F.broadcast(_frame(c, ids)), "query_id", "left_semi")
-        pairs = scoring.sparse_scores(c.index, some(train)).where("bm25 > 0").join(c.qrels, ["query_id", "doc_id"], "left" if whole else "inner")
+        packed = None if whole else Packed.of(c.index, c.queries)
+        if packed:
+            pairs = packed.only(train).pairs(c.qrels.join(F.broadcast(_frame(c, train)), "query_id", "left_semi")).where("bm25 > 0")
+        else:
+            pairs = scoring.sparse_scores(c.index, some(train)).where("bm25 > 0").join(c.qrels, ["query_id", "doc_id"], "left" if whole else "inner")
         pairs = pairs.select("query_id", "doc_id", F.col("bm25").alias("score"), (F.coalesce("relevance", F.lit(0.0)) > 0).cast("double").alias("label"))
         start = (given.alpha, given.beta)
         if whole:
@@ -89,13 +94,14 @@ def _fitted(kind: str):
             m = _model(_binned(pairs, "score", SPARSE_BINS), fit, "alpha double, beta double, pairs long", ["bin", "label"])
             n, alpha, beta = m.get("pairs", 0), m.get("alpha", start[0]), m.get("beta", start[1])
         else:
-            n, alpha, beta = fit_sigmoid(pairs.withColumn("model", F.lit(0)), start=start).get(0, (0, *start))
+            n, alpha, beta = fit_sigmoid_binned(pairs, start=start)
         if n < 4:
             rest = []
         fitted = replace(c.index, params=replace(given, alpha=alpha, beta=beta))
         rows = scoring.sparse_scores(fitted, some(rest))
         score = scoring.overall_posterior(F.col("bm25"), F.col("overlap"), F.col("ratio"), alpha, beta, given.base_rate) if whole else F.col("bayes")
-        return scoring.zero_filled_top(rows.select("query_id", "doc_id", score.alias("score")), _frame(c, rest), c.docs, c.options.top)
+        best = packed.with_params(fitted.params).only(rest).top(c.options.top, "bayes") if packed else None
+        return scoring.zero_filled_top(rows.select("query_id", "doc_id", score.alias("score")), _frame(c, rest), c.docs, c.options.top, best=best)
 
     return run
 
