@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .index import Index, Params
+from .index import BROADCAST_TERMS, Index, Params
+from .learners import safe
+from .packed import CELLS, MATCHES, Best, Model, Packed
 from .scoring import bm25_of, posterior_of, top_k
 
 #: Documents to a block; blocks searched for the threshold; hash groups of a length class, which number the
@@ -130,3 +136,114 @@ class BlockIndex:
         rows = self.kept(queries, k, score, first)
         of = lambda x: F.sum(F.when(F.col("kept"), x).otherwise(0))
         return rows.groupBy("query_id").agg(F.count("*").alias("blocks"), of(F.lit(1)).alias("blocks_kept"), F.sum("n").alias("postings"), of(F.col("n")).alias("postings_kept"))
+
+
+# --- search of packed blocks ---------------------------------------------------------------------
+
+
+def _pieces(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch, np.ndarray]]:
+    """Few enough blocks at a time for a task's tables: (blocks, their documents, each document's place in blocks)."""
+    each, cells = np.diff(m.asked.start), max(1, CELLS // max(1, len(m.asked.ids)))
+    for batch in batches:
+        held = batch.column("docs")
+        off = held.offsets.to_numpy().astype(np.int64)
+        inner = held.values.slice(off[0], off[-1] - off[0])
+        docs = pa.RecordBatch.from_arrays(inner.flatten(), names=[f.name for f in inner.type])
+        off -= off[0]
+        terms = docs.column("term")
+        at = terms.offsets.to_numpy().astype(np.int64)
+        matches = np.concatenate([[0], np.cumsum(each[terms.values.slice(at[0], at[-1] - at[0]).to_numpy()])])[(at - at[0])[off]]
+        lo = 0
+        while lo < batch.num_rows:
+            hi = min(int(np.searchsorted(x, x[lo] + most, "right")) - 1 for x, most in ((off, cells), (matches, MATCHES)))
+            hi = min(max(hi, lo + 1), batch.num_rows)
+            yield batch.slice(lo, hi - lo), docs.slice(off[lo], off[hi] - off[lo]), np.repeat(np.arange(hi - lo), np.diff(off[lo : hi + 1]))
+            lo = hi
+
+
+def _block_bounds(m: Model, score: str, block: np.ndarray, t: np.ndarray, raw: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n blocks, queries): whether a block has a term of a query, and the bound of its scores."""
+    size = max(1, len(m.df))
+    key = block * size + t
+    order = np.argsort(key, kind="stable")
+    key, first = np.unique(key[order], return_index=True)
+    most = np.maximum.reduceat(raw[order], first) if len(first) else raw
+    part = np.maximum(most, 0.0) if score == "bm25" else np.log(1.0 - safe(m.posterior(most, 0.9, m.params.base_rate)))
+    hit, (total,) = m.sums(key // size, key % size, [part], n)
+    return hit > 0, total if score == "bm25" else 1.0 - np.exp(total)
+
+
+def _search(m: Model, score: str, k: int, threshold: np.ndarray | None = None, ahead: bool = False):
+    """A task's ``k`` best documents by query in the wanted blocks: those whose bound reaches the query's ``threshold``, or
+    those that the rows name (``q``); or (``ahead``) its ``k`` best blocks by their bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(m.asked.ids), k)
+        for blocks, docs, block in _pieces(m, batches):
+            row, t, tf, ratio = m.postings(docs.column("doc_len").to_numpy(), docs.column("term"), docs.column("tf"))
+            if ahead or threshold is not None:
+                hit, bound = _block_bounds(m, score, block[row], t, m.raw(t, tf, ratio), blocks.num_rows)
+            if ahead:
+                at, q = np.nonzero(hit)
+                best.add(q, bound[at, q], at, blocks.column("block_id"))
+                continue
+            if threshold is None:
+                off = blocks.column("q").offsets.to_numpy().astype(np.int64)
+                wanted = np.zeros((blocks.num_rows, len(m.asked.ids)), bool)
+                wanted[np.repeat(np.arange(blocks.num_rows), np.diff(off)), blocks.column("q").values.slice(off[0], off[-1] - off[0]).to_numpy()] = True
+            else:
+                wanted = hit & (bound >= threshold - SLACK)
+            some = wanted.any(1)[block[row]]  # postings of blocks that no query wants are not looked at
+            row, t, tf, ratio = row[some], t[some], tf[some], ratio[some]
+            hit, (total,) = m.sums(row, t, [m.part(score, t, tf, ratio)], docs.num_rows, lambda row, q: wanted[block[row], q])  # noqa: B023
+            doc, q = np.nonzero(hit)
+            total = total[doc, q]
+            best.add(q, total if score == "bm25" else 1.0 - np.exp(total), doc, docs.column("doc_id"))
+        yield from best.batches()
+
+    return run
+
+
+@dataclass(frozen=True)
+class PackedBlocks:
+    """blocks(block_id, docs): a row a block, kept, with the query terms of its documents.
+
+    Bounds, thresholds and scores of a block are all computed from its row: nothing that has a row for each term,
+    query or match of a block is stored or shuffled.
+    """
+
+    blocks: DataFrame
+    packed: Packed
+
+    @classmethod
+    def of(cls, packed: Packed, block: int = BLOCK) -> PackedBlocks:
+        places = ordinals(packed.docs).select("doc_id", F.floor(F.col("ord") / block).cast("long").alias("block_id"))
+        rows = packed.docs.where(F.size("term") > 0).join(places, "doc_id")
+        return cls(rows.groupBy("block_id").agg(F.collect_list(F.struct("doc_id", "doc_len", "term", "tf")).alias("docs")).persist(StorageLevel.MEMORY_AND_DISK), packed)
+
+    def _kind(self) -> str:
+        return self.packed.docs.schema["doc_id"].dataType.simpleString()
+
+    def thresholds(self, k: int, score: str = "bm25", first: int = FIRST) -> np.ndarray:
+        """Of each query by number the k-th best score in its ``first`` blocks of the highest bound; below all scores where they hold fewer."""
+        m = self.packed.model
+        bounds = self.blocks.mapInArrow(_search(m, score, first, ahead=True), "q long, doc_id long, score double")
+        best = Window.partitionBy("q").orderBy(F.col("score").desc(), "doc_id")
+        ahead = bounds.withColumn("place", F.row_number().over(best)).where(F.col("place") <= first).groupBy(F.col("doc_id").alias("block_id")).agg(F.collect_list("q").alias("q"))
+        ahead = F.broadcast(ahead) if first * len(m.asked.ids) <= BROADCAST_TERMS else ahead
+        found = self.blocks.join(ahead, "block_id").mapInArrow(_search(m, score, k), f"q long, doc_id {self._kind()}, score double")
+        out = np.full(len(m.asked.ids), -np.inf)
+        for r in top_k(found.withColumnRenamed("q", "query_id"), k).where(F.col("rank") == k).select("query_id", "score").collect():  # a row a query
+            out[r.query_id] = r.score
+        return out
+
+    def search(self, k: int, score: str = "bm25", first: int = FIRST) -> DataFrame:
+        """(query_id, doc_id, score, rank), as :meth:`BlockIndex.search`."""
+        if score not in ("bm25", "bayes"):
+            raise ValueError(f"no block bound for {score}")
+        m = self.packed.model
+        if score == "bayes" and m.params.alpha < 0:
+            raise ValueError("a negative alpha has no bound by block")
+        found = self.blocks.mapInArrow(_search(m, score, k, self.thresholds(k, score, first)), f"q long, doc_id {self._kind()}, score double")
+        best = top_k(found.withColumnRenamed("q", "query_id"), k).withColumnRenamed("query_id", "q")
+        return best.join(F.broadcast(m.asked.names(found.sparkSession)), "q").select("query_id", "doc_id", "score", "rank")

@@ -96,3 +96,37 @@ def test_fields_in_one_pass(spark, tables):
         scoring.field_scores(tokens.withColumn("body", F.when(F.col("doc_id") != 5, F.col("body"))), asked, weights, p)
     with pytest.raises(ValueError):
         scoring.field_scores(tokens, asked, {"title": 0.3, "body": 0.9}, p)
+
+
+@pytest.mark.parametrize("method", ["robertson", "lucene"])
+def test_packed_blocks_equal_full_search(spark, tables, monkeypatch, method):
+    from rankweave.operators import blocksearch, scoring
+    from rankweave.operators.blocksearch import PackedBlocks
+    from rankweave.operators.index import Index, Params
+    from rankweave.operators.packed import Packed
+
+    docs, queries = tables
+    index, asked = Index.build(docs, params=Params(method=method, base_rate=0.05)), scoring.query_terms(queries)
+    full = scoring.sparse_scores(index, asked).select("query_id", "doc_id", "bm25", "bayes").collect()
+    built = PackedBlocks.of(Packed.of(index, asked))
+    assert built.blocks.count() == built.blocks.select("block_id").distinct().count() <= 404 // 8 + 1
+    for cells in (1 << 20, 40):
+        monkeypatch.setattr(blocksearch, "CELLS", cells)
+        for score in ("bm25", "bayes"):
+            for k, first in ((5, 4), (3, 1), (1000, 2)):
+                got = [(r.query_id, r.doc_id, r.score) for r in built.search(k, score, first).collect()]
+                assert _full(got, k) == _full([(r.query_id, r.doc_id, r[score]) for r in full], k)
+    for wrong, p in (("dense", {}), ("bayes", {"alpha": -1.0})):
+        with pytest.raises(ValueError):
+            PackedBlocks.of(Packed.of(Index.build(docs, params=Params(**p)), asked)).search(3, wrong)
+    assert PackedBlocks.of(Packed.of(Index.build(docs.limit(0)), asked)).search(3).count() == 0
+
+
+def test_registered_search_makes_no_rows_of_postings(spark, monkeypatch):
+    """Postings of all terms were stored as rows, and joined by term and block, before."""
+    import __spark_entry__
+    from rankweave.plans import retrieval
+
+    monkeypatch.setattr(retrieval.BlockIndex, "build", lambda *a: pytest.fail("rows of postings"))
+    got = __spark_entry__.queries()["block_search_bm25"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 10 * len({r.query_id for r in got}) > 0
