@@ -6,23 +6,25 @@ formulas run over small grids.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from .index import Index, Params, idf
 from .learners import learn_parameters
-from .scoring import _prior, min_max, query_terms, sparse_scores, term_scores, top_k
+from .packed import Packed
+from .scoring import _prior, bm25_of, min_max, query_terms, sparse_scores, term_scores, top_k
 
 EPS = X.EPSILON
 
 
-def _holds(rows: DataFrame, condition: Column) -> DataFrame:
-    """One row: whether ``condition`` holds everywhere (it does on no rows; null counts as broken), and on how many."""
-    return rows.agg(F.coalesce(F.bool_and(F.coalesce(condition, F.lit(False))), F.lit(True)).alias("passed"), F.count("*").alias("tested"))
+def _holds(rows: DataFrame, condition: Column, times: Column | None = None) -> DataFrame:
+    """One row: whether ``condition`` holds everywhere (it does on no rows; null counts as broken), and on how many; a row may stand for ``times`` rows."""
+    tested = F.count("*") if times is None else F.coalesce(F.sum(times), F.lit(0))
+    return rows.agg(F.coalesce(F.bool_and(F.coalesce(condition, F.lit(False))), F.lit(True)).alias("passed"), tested.alias("tested"))
 
 
 def _grid(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
@@ -37,23 +39,31 @@ class SelfCheck:
     """The thirteen checks over an index, queries(query_id, text) and signals(query_id, doc_id, bm25, bayes, cos).
 
     ``relevant``(query_id, doc_id) labels the rows that the parameter fit learns from; it takes the
-    candidates of one query, so its training set is as small as the candidate depth.
+    candidates of one query, so its training set is as small as the candidate depth. With ``packed``, of the
+    same index and queries, a posting is checked once for all queries that ask for its term.
     """
 
-    def __init__(self, index: Index, queries: DataFrame, signals: DataFrame, relevant: DataFrame):
+    def __init__(self, index: Index, queries: DataFrame, signals: DataFrame, relevant: DataFrame, packed: Packed | None = None):
         self.index, self.signals, self.relevant = index, signals, relevant
         self.spark = queries.sparkSession
         self.queries = query_terms(queries)
-        self.matched = term_scores(index, self.queries)
+        self.packed = packed
+        if packed is None:
+            self.matched = term_scores(index, self.queries).withColumn("asked", F.lit(1))
+        else:
+            ratio, raw = bm25_of(index.params)
+            self.matched = packed.postings().select("doc_id", "term", "tf", ratio.alias("ratio"), raw.alias("raw"), "asked")
+        #: Documents of a term: a packed posting stands once for each.
+        self.n_docs = F.countDistinct("doc_id") if packed is None else F.count("*")
 
     def formula_equivalence(self) -> DataFrame:
         """BM25 as a product and as the weight less what saturation takes away."""
         p = self.index.params
-        stats, df = F.broadcast(self.index.corpus_stats()), self.matched.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
-        rows = self.matched.join(df, "term").crossJoin(stats.select("n"))
+        stats, df = F.broadcast(self.index.corpus_stats()), self.matched.groupBy("term").agg(self.n_docs.alias("df"))
+        rows = self.matched.join(df if self.packed is None else F.broadcast(df), "term").crossJoin(stats.select("n"))
         room = p.k1 * (1.0 - p.b + p.b * F.col("ratio"))
         weight = idf(F.col("n"), F.col("df"), p.method) * (1.0 if p.method == "lucene" else p.k1 + 1.0)
-        return _holds(rows, F.abs(weight - weight * room / (room + F.col("tf")) - F.col("raw")) < 1e-10)
+        return _holds(rows, F.abs(weight - weight * room / (room + F.col("tf")) - F.col("raw")) < 1e-10, F.col("asked"))
 
     def score_range(self) -> DataFrame:
         """Probabilities lie in [0, 1], and no match means 0."""
@@ -69,13 +79,13 @@ class SelfCheck:
         return _holds(rows.withColumn("before", F.lag("p").over(w)).where("before is not null"), F.col("p") >= F.col("before") - EPS)
 
     def prior_bounds(self) -> DataFrame:
-        return _holds(self.matched, _within(X.composite_prior(F.col("tf"), F.col("ratio")), 0.1, 0.9))
+        return _holds(self.matched, _within(X.composite_prior(F.col("tf"), F.col("ratio")), 0.1, 0.9), F.col("asked"))
 
     def idf_properties(self) -> DataFrame:
         """Weights of terms in at most half of the documents are not negative, fall with frequency, and bound every score."""
         p = self.index.params
         stats = F.broadcast(self.index.corpus_stats())
-        rows = self.matched.groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.max("raw").alias("most")).crossJoin(stats.select("n"))
+        rows = self.matched.groupBy("term").agg(self.n_docs.alias("df"), F.max("raw").alias("most")).crossJoin(stats.select("n"))
         rows = rows.withColumn("w", idf(F.col("n"), F.col("df"), p.method))
         bound = F.greatest(F.col("w"), F.lit(0.0)) * (1.0 if p.method == "lucene" else p.k1 + 1.0)
         more = idf(F.col("n"), F.col("df") + 1, p.method)
@@ -132,6 +142,10 @@ class SelfCheck:
 
     def base_rate(self) -> DataFrame:
         """A low base rate lowers each probability, one of a half leaves it."""
+        if self.packed is not None:
+            inside = lambda x: (x >= -EPS) & (x <= 1 + EPS)
+            each = self.packed.rates_hold([None, 0.01, 0.5], lambda none, low, half: inside(none) & inside(low) & (low <= none + EPS) & (np.abs(half - none) <= 1e-4))
+            return each.agg((F.coalesce(F.sum("good"), F.lit(0)) == F.coalesce(F.sum("tested"), F.lit(0))).alias("passed"), F.coalesce(F.sum("tested"), F.lit(0)).alias("tested"))
         p = self.index.params
         made = [sparse_scores(Index(self.index.docs, Params(p.k1, p.b, p.method, p.alpha, p.beta, rate)), self.queries).select("query_id", "doc_id", F.col("bayes").alias(n)) for n, rate in (("none", None), ("low", 0.01), ("half", 0.5))]
         rows = reduce(lambda x, y: x.join(y, ["query_id", "doc_id"]), made)
@@ -155,6 +169,6 @@ class SelfCheck:
     CHECKS = ("formula_equivalence", "score_range", "monotonicity", "prior_bounds", "idf_properties", "hybrid_quality", "method_comparison", "numeric_stability", "parameter_learning", "conjunction_bounds", "base_rate", "log_odds", "fusion_primitives")
 
     def run_all(self) -> DataFrame:
-        """(number, check, passed, tested), a row for each check."""
-        rows: list[Callable[[], DataFrame]] = [getattr(self, n) for n in self.CHECKS]
-        return reduce(DataFrame.union, [made().select(F.lit(i).alias("number"), F.lit(n).alias("check"), "passed", "tested") for i, (n, made) in enumerate(zip(self.CHECKS, rows, strict=True), 1)])
+        """(number, check, passed, tested), a row for each check. Checks run one after another, since the driver would hold all of their plans else."""
+        got = [(i, n, *getattr(self, n)().select("passed", "tested").first()) for i, n in enumerate(self.CHECKS, 1)]
+        return self.spark.createDataFrame(got, "number int, check string, passed boolean, tested long")

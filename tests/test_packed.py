@@ -79,3 +79,24 @@ def test_fitted_query_takes_few_jobs(spark, monkeypatch):
     spark.sparkContext.setJobGroup("fitted", "")
     assert scorers()["bayesian_fitted"](c).count() == 12
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("fitted")) < 200
+
+
+def test_self_checks_on_packed_postings(spark, tables, monkeypatch):
+    """The same verdicts and numbers as from rows by query, without the three joined score tables."""
+    from pyspark.sql import functions as F
+
+    from rankweave.operators import selfcheck
+    from rankweave.operators.selfcheck import SelfCheck
+
+    docs, asked = tables
+    index = Index.build(docs, params=Params(method="lucene"))
+    queries = spark.createDataFrame([(1, "w1 w2 w2 w9"), (2, "rare w3"), (3, "absent"), (4, None), (5, "w4 w1")], "query_id long, text string")
+    asked = scoring.query_terms(queries)
+    signals = scoring.sparse_scores(index, asked).select("query_id", "doc_id", "bm25", "bayes", F.lit(0.3).alias("cos")).persist()
+    relevant = spark.createDataFrame([(1, 3), (1, 8)], "query_id long, doc_id long")
+    names = ("formula_equivalence", "monotonicity", "prior_bounds", "idf_properties", "base_rate")
+    rows = lambda check: [tuple(getattr(check, n)().first()) for n in names]
+    plain = rows(SelfCheck(index, queries, signals, relevant))
+    assert all(passed and n > 0 for passed, n in plain)
+    monkeypatch.setattr(selfcheck, "sparse_scores", lambda *a: pytest.fail("a row for each match"))
+    assert rows(SelfCheck(index, queries, signals, relevant, Packed.of(index, asked))) == plain
