@@ -130,3 +130,22 @@ def test_registered_search_makes_no_rows_of_postings(spark, monkeypatch):
     monkeypatch.setattr(retrieval.BlockIndex, "build", lambda *a: pytest.fail("rows of postings"))
     got = __spark_entry__.queries()["block_search_bm25"](spark, "/root/testdata/sf0.001").collect()
     assert len(got) == 10 * len({r.query_id for r in got}) > 0
+
+
+def test_registered_search_shuffles_less_than_twice_its_input(spark, tmp_path):
+    """On 1 GB it ran out of disk: on these tables the rows of postings and bounds made some twenty times the input in shuffles."""
+    import __spark_entry__
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet").repartition(4, F.col("text")).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def written() -> int:
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        executors = context.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before = written()
+    got = __spark_entry__.queries()["block_search_bm25"](spark, str(tmp_path)).collect()
+    assert len(got) == 10 * len({r.query_id for r in got}) == 400
+    assert written() - before < 2 * sum(p.stat().st_size for p in (tmp_path / "documents.parquet").glob("*.parquet"))
