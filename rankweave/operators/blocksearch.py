@@ -22,6 +22,8 @@ from .scoring import bm25_of, posterior_of, top_k
 BLOCK, FIRST, GROUPS = 8, 32, 256
 #: What a bound may miss by rounding, and what scores are rounded by when ranked.
 SLACK = 1e-8
+#: Best rows that all tasks of a packed search send, as long as each core has a task.
+SENT = 1 << 23
 
 
 def ordinals(docs: DataFrame) -> DataFrame:
@@ -221,17 +223,26 @@ class PackedBlocks:
         rows = packed.docs.where(F.size("term") > 0).join(places, "doc_id")
         return cls(rows.groupBy("block_id").agg(F.collect_list(F.struct("doc_id", "doc_len", "term", "tf")).alias("docs")).persist(StorageLevel.MEMORY_AND_DISK), packed)
 
+    def release(self) -> None:
+        """What is kept of the documents goes."""
+        self.blocks.unpersist()
+        self.packed.docs.unpersist()
+
+    def _few(self, rows: DataFrame, k: int) -> DataFrame:
+        """``rows`` in so few tasks that the best ``k`` by query of each are ``SENT`` rows in all."""
+        return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, SENT // max(1, k * len(self.packed.model.asked.ids))))
+
     def _kind(self) -> str:
         return self.packed.docs.schema["doc_id"].dataType.simpleString()
 
     def thresholds(self, k: int, score: str = "bm25", first: int = FIRST) -> np.ndarray:
         """Of each query by number the k-th best score in its ``first`` blocks of the highest bound; below all scores where they hold fewer."""
         m = self.packed.model
-        bounds = self.blocks.mapInArrow(_search(m, score, first, ahead=True), "q long, doc_id long, score double")
+        bounds = self._few(self.blocks, first).mapInArrow(_search(m, score, first, ahead=True), "q long, doc_id long, score double")
         best = Window.partitionBy("q").orderBy(F.col("score").desc(), "doc_id")
         ahead = bounds.withColumn("place", F.row_number().over(best)).where(F.col("place") <= first).groupBy(F.col("doc_id").alias("block_id")).agg(F.collect_list("q").alias("q"))
         ahead = F.broadcast(ahead) if first * len(m.asked.ids) <= BROADCAST_TERMS else ahead
-        found = self.blocks.join(ahead, "block_id").mapInArrow(_search(m, score, k), f"q long, doc_id {self._kind()}, score double")
+        found = self._few(self.blocks.join(ahead, "block_id"), k).mapInArrow(_search(m, score, k), f"q long, doc_id {self._kind()}, score double")
         out = np.full(len(m.asked.ids), -np.inf)
         for r in top_k(found.withColumnRenamed("q", "query_id"), k).where(F.col("rank") == k).select("query_id", "score").collect():  # a row a query
             out[r.query_id] = r.score
@@ -244,6 +255,6 @@ class PackedBlocks:
         m = self.packed.model
         if score == "bayes" and m.params.alpha < 0:
             raise ValueError("a negative alpha has no bound by block")
-        found = self.blocks.mapInArrow(_search(m, score, k, self.thresholds(k, score, first)), f"q long, doc_id {self._kind()}, score double")
+        found = self._few(self.blocks, k).mapInArrow(_search(m, score, k, self.thresholds(k, score, first)), f"q long, doc_id {self._kind()}, score double")
         best = top_k(found.withColumnRenamed("q", "query_id"), k).withColumnRenamed("query_id", "q")
         return best.join(F.broadcast(m.asked.names(found.sparkSession)), "q").select("query_id", "doc_id", "score", "rank")

@@ -149,3 +149,47 @@ def test_registered_search_shuffles_less_than_twice_its_input(spark, tmp_path):
     got = __spark_entry__.queries()["block_search_bm25"](spark, str(tmp_path)).collect()
     assert len(got) == 10 * len({r.query_id for r in got}) == 400
     assert written() - before < 2 * sum(p.stat().st_size for p in (tmp_path / "documents.parquet").glob("*.parquet"))
+
+
+def test_large_query_set_is_searched_in_groups(spark, monkeypatch, tmp_path):
+    """Above ``ASKED`` rows of query terms all postings became rows, and bounds a row for each query and block: out of disk."""
+    import __spark_entry__
+    from rankweave.operators import packed
+    from rankweave.plans import retrieval
+
+    run = __spark_entry__.queries()["block_search_bm25"]
+    want = sorted(run(spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(retrieval.BlockIndex, "build", lambda *a: pytest.fail("rows of postings"))
+    sizes, of, get = [], packed.Asked.of, type(spark.conf).get
+    monkeypatch.setattr(packed.Asked, "of", lambda queries: sizes.append(queries.count()) or of(queries))
+    monkeypatch.setattr(packed, "ASKED", 1000)
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    for stores in (None, str(tmp_path)):
+        monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: stores if key == "spark.checkpoint.dir" else get(self, key, *a))  # noqa: B023
+        sizes.clear()
+        assert sorted(run(spark, "/root/testdata/sf0.001").collect()) == want
+        assert len(sizes) > 2 and sum(sizes[1:]) == sizes[0] and max(sizes[1:]) <= 1000
+
+
+def test_groups_hold_each_query_once(spark, tables, monkeypatch):
+    from rankweave.operators import blocksearch, packed, scoring
+    from rankweave.operators.blocksearch import PackedBlocks
+    from rankweave.operators.index import Index
+    from rankweave.operators.packed import Packed
+
+    docs, queries = tables
+    asked = scoring.query_terms(queries)
+    index, key = Index.build(docs), lambda df: sorted((r.query_id, r.term, r.qtf) for r in df.collect())
+    whole = _full([(r.query_id, r.doc_id, r.score) for r in PackedBlocks.of(Packed.of(index, asked)).search(5).collect()], 5)
+    monkeypatch.setattr(blocksearch, "SENT", 1)  # as few tasks as cores
+    found = PackedBlocks.of(Packed.of(index, asked))
+    assert found._few(found.blocks.repartition(9), 5).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert _full([(r.query_id, r.doc_id, r.score) for r in found.search(5).collect()], 5) == whole
+    found.release()
+    assert not found.blocks.storageLevel.useMemory and not found.packed.docs.storageLevel.useMemory
+    for most, parts in ((100, 1), (2, 5)):
+        monkeypatch.setattr(packed, "ASKED", most)
+        got = list(packed.groups(asked))
+        assert sum((key(g) for g in got), []) and sorted(sum((key(g) for g in got), [])) == key(asked)
+        assert len(got) <= parts and all(g.count() <= most or len({q for q, _, _ in key(g)}) == 1 for g in got)
+    assert list(packed.groups(asked.where("query_id < 0"))) == []
