@@ -13,14 +13,18 @@ taken from them:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .dense import BINS, distance_bins
+from .dense import BINS, COUNTS, cosine_pieces, distance_bins, passes
 from .learners import EPS, safe, sigmoid
+from .packed import Packed
 from .vector_probability import VectorProbability, pdf
 
 TEMPERATURE = 0.05
@@ -132,16 +136,53 @@ def _weight_bins(weights: DataFrame, docs: DataFrame, queries: DataFrame) -> Dat
     return rows.groupBy("query_id", "bin").agg(F.count("*").cast("double").alias("m"), F.sum("d").alias("m1"), F.sum(d * d).alias("m2"), F.sum("w").alias("w1"), F.max("weight").alias("most"), F.sum("s").alias("e"), F.sum(s * s).alias("ee"), F.sum(s * d).alias("ed"), F.sum(s * d * d).alias("edd"))
 
 
-_MATCHED = ("m", "m1", "m2", "w1", "most", "e", "ee", "ed", "edd")
+_SUMMED = ("m", "m1", "m2", "w1", "e", "ee", "ed", "edd")
+
+
+def _packed_bins(packed: Packed, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """As :func:`_weight_bins`, the Bayesian scores of the packed documents the weights: a task adds its matches up by query
+    and bin, so no row stands for a match."""
+    m, width = packed.model, 2 * BINS + 1
+    number = {q: i for i, q in enumerate(m.asked.ids)}
+
+    def of(ids: list, q: np.ndarray):
+        asks = np.array([i for i, x in enumerate(ids) if x in number], np.int64)  # rows of q that ask for a term
+        asked = np.array([number[ids[i]] for i in asks], np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, most = np.zeros((8, len(q) * width)), np.full(len(q) * width, -np.inf)
+            for whole, cos in cosine_pieces(batches, q):
+                lo = 0
+                for b in m.pieces([whole]):
+                    row, t, tf, ratio = m.postings(b.column("doc_len").to_numpy(), b.column("term"), b.column("tf"))
+                    hit, (miss,) = m.sums(row, t, [m.part("bayes", t, tf, ratio)], b.num_rows)
+                    doc, i = np.nonzero(hit[:, asked])
+                    w, d = 1.0 - np.exp(miss[doc, asked[i]]), np.maximum(0.0, 1.0 - np.clip(cos[asks[i], lo + doc], -1.0, 1.0))
+                    s, at = np.exp((w - 1.0) / TEMPERATURE), np.floor(d * BINS).astype(np.int64) + asks[i] * width
+                    for total, x in zip(sums, (None, d, d * d, np.maximum(w, 0.0), s, s * s, s * d, s * d * d), strict=True):
+                        total += np.bincount(at, weights=x, minlength=len(total))
+                    np.maximum.at(most, at, w)
+                    lo += b.num_rows
+            some = np.flatnonzero(sums[0])
+            yield pa.RecordBatch.from_arrays([pa.array(some // width), pa.array(some % width), *(pa.array(x[some]) for x in (*sums, most))], names=["q", "bin", *_SUMMED, "most"])
+
+        return run
+
+    vectors = docs.select("doc_id", "embedding").join(packed.docs.select("doc_id", "doc_len", "term", "tf"), "doc_id")
+    schema = ", ".join(["q long", "bin long", *(f"{c} double" for c in (*_SUMMED, "most"))])
+    rows = passes(vectors, queries, max(1, COUNTS // 2 // width), of, schema, ["doc_len", "term", "tf"])
+    return rows.groupBy("query_id", "bin").agg(*(F.sum(c).alias(c) for c in _SUMMED), F.max("most").alias("most"))
 
 
-def vector_probabilities(candidates: DataFrame, docs: DataFrame, queries: DataFrame, weights: DataFrame, base_rate: float | None = None) -> DataFrame:
+def vector_probabilities(candidates: DataFrame, docs: DataFrame, queries: DataFrame, weights: DataFrame | Packed, base_rate: float | None = None) -> DataFrame:
     """(query_id, doc_id, probability) of candidates(query_id, doc_id, cos), bounded for each query.
 
     Background, gap and density come from all of docs(doc_id, embedding) for queries(query_id, embedding);
-    weights(query_id, doc_id, weight) are those of the documents with one, all others weigh 0.
+    weights(query_id, doc_id, weight) are those of the documents with one, all others weigh 0; or packed documents,
+    which weigh their Bayesian scores.
     """
-    bins = distance_bins(docs, queries).join(_weight_bins(weights, docs, queries), ["query_id", "bin"], "left").na.fill(0.0, list(_MATCHED))
+    matched = (_packed_bins if isinstance(weights, Packed) else _weight_bins)(weights, docs, queries)
+    bins = distance_bins(docs, queries).join(matched, ["query_id", "bin"], "left").na.fill(0.0, [*_SUMMED, "most"])
     kinds = {f.name: f.dataType.simpleString() for f in candidates.select("query_id", "doc_id").schema}
 
     def one(p: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

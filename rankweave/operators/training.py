@@ -16,16 +16,18 @@ from .scoring import top_k
 BASIC, RICH = ("f0", "f1", "f2"), ("f0", "f1", "f2", "f3", "f4", "f5", "f6")
 
 
-def query_features(ids: DataFrame, queries: DataFrame, sparse: DataFrame, near: DataFrame, candidates: DataFrame, n_docs: int, depth: int = 100) -> DataFrame:
+def query_features(ids: DataFrame, queries: DataFrame, sparse: DataFrame | None, near: DataFrame, candidates: DataFrame, n_docs: int, depth: int = 100, extents: DataFrame | None = None) -> DataFrame:
     """(query_id, f0..f6), each over all documents.
 
     f0 length, f1 share of documents with a positive score, f2 largest score, f3 and f4 mean and
     deviation of the ten best cosines, f5 the best of them, f6 overlap of the ``depth`` best by
     either signal; lengths and largest values as log(1 + x). ``candidates`` holds at least those,
-    ``near``(query_id, doc_id, cos) at least the ten best cosines.
+    ``near``(query_id, doc_id, cos) at least the ten best cosines. ``extents``(query_id, n, most), the number of
+    positive scores and the largest, stands for ``sparse``.
     """
     length = queries.groupBy("query_id").agg(F.log1p(F.sum("qtf").cast("double")).alias("f0"))
-    hits = sparse.where("bm25 > 0").groupBy("query_id").agg((F.count("*") / float(max(n_docs, 1))).alias("f1"), F.log1p(F.max("bm25")).alias("f2"))
+    seen = sparse.where("bm25 > 0").groupBy("query_id").agg(F.count("*").alias("n"), F.max("bm25").alias("most")) if extents is None else extents
+    hits = seen.select("query_id", (F.col("n") / float(max(n_docs, 1))).alias("f1"), F.log1p("most").alias("f2"))
     near = top_k(near, 10, "cos").groupBy("query_id").agg(F.avg("cos").alias("f3"), F.stddev_pop("cos").alias("f4"), F.log1p(F.greatest(F.max("cos"), F.lit(0.0))).alias("f5"))
     in_s, in_d = F.coalesce(F.col("rank_sparse") <= depth, F.lit(False)), F.coalesce(F.col("rank_dense") <= depth, F.lit(False))
     both, either = F.sum((in_s & in_d).cast("double")), F.sum((in_s | in_d).cast("double"))

@@ -147,8 +147,10 @@ def _dense_calibrated(kind: str):
 def _scored(c: Corpus, vector: bool) -> DataFrame:
     """Candidates with both probabilities, their relevance (null where unjudged) and the query's features."""
     queries = c.queries.join(c.vectors.select("query_id"), "query_id", "left_semi")
-    rows = c.signals().cache()
-    features = training.query_features(c.vectors, queries, c.sparse(), c.nearest(10), rows, c.index.docs.count(), DEPTH)
+    packed = c.packed()
+    rows = c.signals().select("query_id", "doc_id", "rank_sparse", "rank_dense", "bm25", "bayes", "cos").cache()
+    sparse, extents = (None, packed.extents()) if packed else (c.sparse(), None)
+    features = training.query_features(c.vectors, queries, sparse, c.nearest(10), rows, c.index.docs.count(), DEPTH, extents)
     if vector:
         rows = _vector_probabilities(c, rows).withColumnRenamed("cos", "dense")
     else:
@@ -198,14 +200,14 @@ def _learnable(spark: SparkSession, d: str) -> DataFrame:
 
 def _vector_probabilities(c: Corpus, rows: DataFrame) -> DataFrame:
     """``cos`` of the candidates calibrated by all documents' distances, the Bayesian score their weight."""
-    weights = c.sparse().select("query_id", "doc_id", F.col("bayes").alias("weight"))
-    got = vector_probabilities(rows, c.docs, c.vectors, weights)
+    packed = c.packed()
+    got = vector_probabilities(rows, c.docs, c.vectors, packed or c.sparse().select("query_id", "doc_id", F.col("bayes").alias("weight")))
     return rows.drop("cos").join(got, ["query_id", "doc_id"]).select("query_id", "doc_id", "bm25", "bayes", F.col("probability").alias("cos"))
 
 
 def _vector(method: str):
     def run(c: Corpus) -> DataFrame:
-        got = _vector_probabilities(c, c.signals())
+        got = _vector_probabilities(c, c.signals().select("query_id", "doc_id", "bm25", "bayes", "cos").cache())
         if method == "balanced":
             return scoring.top_k(scoring.fuse(got, "balanced_fusion"), c.options.top)
         return scoring.top_k(got.withColumn("score", X.log_odds_conjunction([F.col("bayes"), F.col("cos")], gating="softplus")), c.options.top)
