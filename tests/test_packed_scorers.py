@@ -68,7 +68,7 @@ def test_registered_queries(spark, tmp_path, frames, monkeypatch):
     queries.select(F.col("query_id").alias("item_id"), "text").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.where("embedding is not null").select(F.col("doc_id").alias("vec_id"), "embedding", (F.col("doc_id") % 3).cast("int").alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
     both(monkeypatch, lambda: rows(retrieval.queries()["bayesian_base_rate"](spark, str(tmp_path))))
-    both(monkeypatch, lambda: [pytest.approx(tuple(r)[2:], abs=1e-6) for r in retrieval.queries()["metrics_by_scorer"](spark, str(tmp_path)).orderBy("scorer").collect()])
+    both(monkeypatch, lambda: [tuple(pytest.approx(x, abs=1e-6) for x in r[2:]) for r in retrieval.queries()["metrics_by_scorer"](spark, str(tmp_path)).orderBy("scorer").collect()])
 
 
 def test_features_of_extents(frames):
